@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import exact_dedup, sharding
+from kinetrace.llm import exact_dedup, sentencepiece_bpe, sharding
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
     "op7_sharding": sharding.op7_sharding,
 }
 
