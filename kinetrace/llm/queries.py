@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import exact_dedup, sentencepiece_bpe, sharding
+from kinetrace.llm import exact_dedup, sentencepiece_bpe, sharding, warc
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
     "op7_sharding": sharding.op7_sharding,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
