@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import exact_dedup, sentencepiece_bpe, sharding, warc
+from kinetrace.llm import exact_dedup, language_id, sentencepiece_bpe, sharding, toxicity, warc
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
     "op7_sharding": sharding.op7_sharding,
+    "op8_language_id": language_id.op8_language_id,
     "op9_warc": warc.op9_warc,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
