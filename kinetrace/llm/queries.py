@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import exact_dedup, language_id, sentencepiece_bpe, sharding, toxicity, warc
+from kinetrace.llm import decontamination, exact_dedup, language_id, sentencepiece_bpe, sharding, toxicity, warc
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
     "op7_sharding": sharding.op7_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_decontamination": decontamination.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
 }
