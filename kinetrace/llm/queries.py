@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import decontamination, exact_dedup, language_id, sentencepiece_bpe, sharding, toxicity, warc
+from kinetrace.llm import decontamination, exact_dedup, language_id, pii, sentencepiece_bpe, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_decontamination": decontamination.op2_decontamination,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
