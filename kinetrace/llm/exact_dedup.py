@@ -38,7 +38,7 @@ def repeated_positions(hashes: DataFrame, m: int) -> DataFrame:
     )
 
 
-def _is_set(bits: Column, at: Column) -> Column:
+def is_set(bits: Column, at: Column) -> Column:
     bit = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))) != 0, F.lit(False))
@@ -68,7 +68,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         .join(bitmaps.select(F.col("bucket").alias("__ba"), F.col("bits").alias("__bits_a")), F.bitmap_bucket_number("__a") == F.col("__ba"), "left")
         .join(bitmaps.select(F.col("bucket").alias("__bb"), F.col("bits").alias("__bits_b")), F.bitmap_bucket_number("__b") == F.col("__bb"), "left")
         .select(*carried, "__id", "__len", "__sha", F.monotonically_increasing_id().alias("__row"),
-                (_is_set(F.col("__bits_a"), F.col("__a")) & _is_set(F.col("__bits_b"), F.col("__b"))).alias("__maybe"))
+                (is_set(F.col("__bits_a"), F.col("__a")) & is_set(F.col("__bits_b"), F.col("__b"))).alias("__maybe"))
     )
     tested = written(tested, "bloom")
     maybe, alone = tested.where("__maybe"), tested.where("NOT __maybe")
