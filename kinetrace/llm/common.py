@@ -60,3 +60,13 @@ def lower_ascii(text: Column) -> Column:
     ascii_only = F.octet_length(text) == F.char_length(text)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named so that they clash with no operator's own, and the new name of each."""
+    names = {c: f"__column{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def unmasked(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -253,8 +253,8 @@ def _second_pass(classes: DataFrame) -> DataFrame:
     return rows.join(mixed, (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_"))).select("band", "key", F.explode(dealt).alias("block"), "digest", "n", "registers", "root", common.alias("common"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and h, the ``row_hash``.
 
     A null or empty text, or one of white space alone, has no shingles and is linked with nothing: its
     component is its own id. Equal sets are linked, whatever their texts. component_id is the smallest id
@@ -274,13 +274,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = roots.join(classes.select("digest", "least"), F.col("node") == F.col("digest")).groupBy("root").agg(F.min("least").alias("component"))
     known = written(roots.join(least, "root").select(F.col("node").alias("digest"), "component"), "known")
     named = written(classes.select("digest", "least").join(known, "digest", "left").select(F.col("digest").alias("digest_"), F.coalesce("component", "least").alias("component")), "named")
-    out = seen.select("doc_id", "n", "digest").where("digest IS NOT NULL").join(named, F.col("digest") == F.col("digest_")).select("doc_id", "n", "component")
-    out = out.unionByName(seen.where("digest IS NULL").select("doc_id", "n", F.col("doc_id").alias("component")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    out = seen.select("doc_id", "h", "n", "digest").where("digest IS NOT NULL").join(named, F.col("digest") == F.col("digest_")).select("doc_id", "h", "n", "component")
+    out = out.unionByName(seen.where("digest IS NULL").select("doc_id", "h", "n", F.col("doc_id").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"), "h")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each component: the one with the smallest id, and if rows share that
+    id the one with the smallest row hash. Rows whose component has no id but null all stay."""
+    found = written(near_duplicates(docs, id_col, text_col).where("kept").select("component_id", "h"), "kept")
+    named = found.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("h").alias("h_")).select("h_")
+    stay = written(named.union(found.where("component_id IS NULL").select("h")).distinct(), "stay")
+    return docs.withColumn("__h", row_hash(id_col, text_col)).join(stay, F.col("__h") == F.col("h_"), "left_semi").drop("__h")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("h")
 
 
 ORACLE = r"""

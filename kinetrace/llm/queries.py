@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import decontamination, exact_dedup, language_id, near_dedup, pii, sentencepiece_bpe, sharding, toxicity, warc
+from kinetrace.llm import decontamination, exact_dedup, language_id, near_dedup, pii, repeats, sentencepiece_bpe, sharding, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_suffix_dedup": repeats.op4_suffix_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
     "op7_sharding": sharding.op7_sharding,
