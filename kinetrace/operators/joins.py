@@ -47,7 +47,7 @@ def not_overlapping(windows: DataFrame, regions: DataFrame, by: list[str]) -> Da
 
 def zip_join(a: DataFrame, b: DataFrame, by: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:
     """The k-th row of one with the k-th of the other, up to the shorter."""
-    k = lambda order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    k = lambda order: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
     return a.withColumn("k", k(order_a)).join(b.withColumn("k", k(order_b)), [*by, "k"])
 
 

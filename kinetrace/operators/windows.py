@@ -15,7 +15,7 @@ def over(by: list[str], order: list[str]) -> WindowSpec:
 
 def indexed(df: DataFrame, by: list[str], order: list[str], name: str = "i") -> DataFrame:
     """Adds the place from 0 of each row in its partition."""
-    return df.withColumn(name, F.row_number().over(over(by, order)) - 1)
+    return df.withColumn(name, (F.row_number().over(over(by, order)) - 1).cast("long"))
 
 
 def difference(x: str, w: WindowSpec) -> Column:
@@ -84,8 +84,8 @@ def sliding(df: DataFrame, by: list[str], order: list[str], size: int, step: int
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     rows = indexed(df, by, order).withColumn("__n", n).where(F.col("__n") >= size)
-    lo = F.greatest(F.lit(0), F.ceil((F.col("i") - (size - 1)) / step)).cast("int")
-    hi = F.least(F.floor(F.col("i") / step), F.floor((F.col("__n") - size) / step)).cast("int")
+    lo = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - (size - 1)) / step)).cast("long")
+    hi = F.least(F.floor(F.col("i") / step), F.floor((F.col("__n") - size) / step)).cast("long")
     rows = rows.withColumns({"__lo": lo, "__hi": hi}).where("__lo <= __hi")
     return rows.withColumn("window_id", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi", "__n")
 
@@ -146,4 +146,4 @@ def alternate(df: DataFrame, by: list[str], order: list[str], names: list[str])
 
 def tallest(df: DataFrame, by: list[str], score: str, order: list[str], keep: int) -> DataFrame:
     """The ``keep`` rows of highest score in each partition, ties in order."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *order))).where(F.col("rank") <= keep)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *order)).cast("long")).where(F.col("rank") <= keep)

@@ -34,7 +34,7 @@ def read_by_name(spark: SparkSession, path: str, schema: T.StructType, pattern:
 def read_nodes(spark: SparkSession, path: str, schema: T.StructType, pattern: str = r"node(\d+)") -> DataFrame:
     """One file for each node; the node's number comes from the file's name."""
     df = spark.read.schema(schema).option("header", True).csv(path)
-    return df.withColumn("node", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("int")).where("node IS NOT NULL")
+    return df.withColumn("node", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("int")).where("node IS NOT NULL")
 
 
 def flatten_metadata(df: DataFrame, column: str = "json") -> DataFrame:

@@ -14,16 +14,25 @@ class UdpReader(SimpleDataSourceStreamReader):
     for again: what was read stays here until it is committed."""
 
     def __init__(self, options: dict[str, str]):
-        self.limit, self.kept = int(options.get("limit", 10_000)), {}
-        self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        self.socket.bind((options.get("host", "127.0.0.1"), int(options.get("port", 3333))))
-        self.socket.settimeout(float(options.get("wait", 0.05)))
+        self.limit, self.kept, self.socket = int(options.get("limit", 10_000)), {}, None
+        self.address = options.get("host", "127.0.0.1"), int(options.get("port", 3333))
+        self.wait = float(options.get("wait", 0.05))
+
+    def _open(self) -> socket.socket:
+        """Binds with the first read: readers are also made, and sent about, without being read from."""
+        if self.socket is None:
+            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.socket.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
+            self.socket.bind(self.address)
+            self.socket.settimeout(self.wait)
+        return self.socket
 
     def initialOffset(self) -> dict:
         return {"rows": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows = []
+        self._open()
         while len(rows) < self.limit:
             try:
                 data, _ = self.socket.recvfrom(2048)
