@@ -207,16 +207,22 @@ def node_pivot_inner(spark, d):
     return R.pivot_nodes(samples(spark, d).withColumn("tick", F.floor(F.col("us") / 600_000_000)), ["tick"], "node", [1, 2, 3, 4], ["x"])
 
 
-@query(f"""WITH {_TICKS}, g AS (SELECT *, row_number() OVER (ORDER BY tick) AS i FROM p), """ + ", ".join(f"""f{n} AS (SELECT i, x_n{n} AS x, last_value(x_n{n} IGNORE NULLS) OVER b AS x0, last_value(CASE WHEN x_n{n} IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0,
+def _filled_sql(n: int) -> str:
+    return f"""f{n} AS (SELECT rec, i, x_n{n} AS x, last_value(x_n{n} IGNORE NULLS) OVER b AS x0, last_value(CASE WHEN x_n{n} IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0,
  first_value(x_n{n} IGNORE NULLS) OVER a AS x1, first_value(CASE WHEN x_n{n} IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1 FROM g
- WINDOW b AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""" for n in (1, 2)) + """
-SELECT tick, round(CASE WHEN f1.i1 IS NULL OR f1.i1 = f1.i0 THEN f1.x0 ELSE f1.x0 + (f1.x1 - f1.x0) * (g.i - f1.i0) / (f1.i1 - f1.i0) END, 6) AS x_n1,
+ WINDOW b AS (PARTITION BY rec ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY rec ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"""WITH {SAMPLES}, p AS (SELECT user_id % 5 AS rec, us // 600000000 AS tick, min(CASE WHEN node = 1 THEN x END) AS x_n1, min(CASE WHEN node = 2 THEN x END) AS x_n2 FROM ev GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY tick) AS i FROM p), {_filled_sql(1)}, {_filled_sql(2)}
+SELECT rec, tick, round(CASE WHEN f1.i1 IS NULL OR f1.i1 = f1.i0 THEN f1.x0 ELSE f1.x0 + (f1.x1 - f1.x0) * (g.i - f1.i0) / (f1.i1 - f1.i0) END, 6) AS x_n1,
        round(CASE WHEN f2.i1 IS NULL OR f2.i1 = f2.i0 THEN f2.x0 ELSE f2.x0 + (f2.x1 - f2.x0) * (g.i - f2.i0) / (f2.i1 - f2.i0) END, 6) AS x_n2
-FROM g JOIN f1 USING (i) JOIN f2 USING (i) WHERE f1.i0 IS NOT NULL AND f2.i0 IS NOT NULL""")
+FROM g JOIN f1 USING (rec, i) JOIN f2 USING (rec, i) WHERE f1.i0 IS NOT NULL AND f2.i0 IS NOT NULL""")
 def node_outer_interp(spark, d):
-    wide = R.pivot_nodes(samples(spark, d).withColumn("tick", F.floor(F.col("us") / 600_000_000)), ["tick"], "node", [1, 2, 3, 4], ["x"], whole=False)
-    filled = R.fill_by_row(wide.withColumn("recording", F.lit(1)), ["recording"], ["tick"], ["x_n1", "x_n2"])
-    return filled.select("tick", r6(F.col("x_n1")).alias("x_n1"), r6(F.col("x_n2")).alias("x_n2"))
+    s = samples(spark, d).withColumns({"tick": F.floor(F.col("us") / 600_000_000), "rec": F.col("user_id") % 5})
+    wide = R.pivot_nodes(s, ["rec", "tick"], "node", [1, 2, 3, 4], ["x"], whole=False)
+    filled = R.fill_by_row(wide, ["rec"], ["tick"], ["x_n1", "x_n2"])
+    return filled.select("rec", "tick", r6(F.col("x_n1")).alias("x_n1"), r6(F.col("x_n2")).alias("x_n2"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS c, epoch_us(o_orderdate) // 86400000000 AS day, o_orderkey FROM orders),
