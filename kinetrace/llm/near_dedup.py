@@ -17,12 +17,14 @@ no task holds an unbounded bucket of near copies.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from kinetrace.llm.common import table, text_of, written
 from kinetrace.llm.exact_dedup import is_set
@@ -150,107 +152,159 @@ def row_hash(id_col: str, text_col: str) -> Column:
 
 
 def _buckets(classes: DataFrame, first: int) -> DataFrame:
-    """(band, key, digest, n, registers, root) for the leading bands."""
+    """(digest, root, band, key) for the leading bands, of buckets with two members or more. A bitmap of keys
+    that come twice, of bounded size, keeps the others from travelling; the few it lets through do no harm."""
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(first)])
-    return classes.select("digest", "n", "registers", "root", F.posexplode(keys).alias("band", "key"))
-
-
-def _linked(group: list[tuple], band: int, home: bool) -> Iterator[tuple[bytes, bytes]]:
-    """Links between members of one block that are in different components; joins as it goes, so at most one
-    link fewer than members. A pair is left to the first band that it shares. Members are (digest, n,
-    registers, root, hashes, common); without ``home`` two members that are not common are left to another block."""
-    digests = [g[0] for g in group]
-    n = np.array([g[1] for g in group], np.float64)
-    regs = np.stack([np.frombuffer(g[2], np.uint16) for g in group])
-    names: dict[bytes, int] = {}
-    comp = np.array([names.setdefault(g[3], len(names)) for g in group])
-    common = np.array([g[5] for g in group])
-    hashes = [np.frombuffer(g[4], np.uint64) for g in group]
-    need, error = PERCENT / 100, (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
-    bands = regs.view(np.uint64).reshape(len(group), BANDS)
-    for i in range(1, len(group)):
-        other = np.flatnonzero(comp[:i] != comp[i])
-        if not home and not common[i]:
-            other = other[common[other]]
-        if not len(other):
-            continue
-        other = other[np.minimum(n[other], n[i]) * 100 >= PERCENT * np.maximum(n[other], n[i])]
-        if band:
-            other = other[~(bands[other, :band] == bands[i, :band]).any(1)]
+    rows = classes.select("digest", "root", F.posexplode(keys).alias("band", "key"))
+    repeated = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    bits, bitmaps = key_bitmap(repeated, "key")
+    at = F.pmod(F.col("key"), F.lit(bits)) + 1
+    rows = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(at) == F.col("bucket")).where(is_set(F.col("bits"), at))
+    return written(rows.select("digest", "root", "band", "key"), "buckets")
+
+
+def key_bitmap(keys: DataFrame, column: str) -> tuple[int, DataFrame]:
+    """Number of bits, and (bucket, bits) with a bit set for each key; 128 MB at most."""
+    bits = 1 << min(30, max(20, (16 * max(1, keys.count())).bit_length()))
+    at = F.pmod(F.col(column), F.lit(bits)) + 1
+    return bits, keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+class _Block:
+    """Members of one block of a bucket and the candidate pairs among them. Members are (digest, n, registers,
+    root, common). A pair is left to the first band that it shares; in blocks after the first, two members
+    that are not common are left out, as the first block has them too."""
+
+    def __init__(self, group: list[tuple], band: int, block: int):
+        self.band, self.home = band, block == 0
+        self.n = np.array([g[1] for g in group], np.float64)
+        self.registers = np.stack([np.frombuffer(g[2], np.uint16) for g in group])
+        names: dict[bytes, int] = {}
+        self.component = np.array([names.setdefault(g[3], len(names)) for g in group])
+        self.common = np.array([g[4] for g in group])
+        self.bands = self.registers.view(np.uint64).reshape(len(group), BANDS)
+        need = PERCENT / 100
+        self.least = need - SLACK * (need * (1 - need) / REGISTERS) ** 0.5
+
+    def before(self, i: int) -> np.ndarray:
+        """Members before the i-th that could be its near duplicates, are in other components, and are to be
+        compared here; the most similar first."""
+        other = np.flatnonzero(self.component[:i] != self.component[i])
+        if not self.home and not self.common[i]:
+            other = other[self.common[other]]
+        other = other[np.minimum(self.n[other], self.n[i]) * 100 >= PERCENT * np.maximum(self.n[other], self.n[i])]
+        if self.band and len(other):
+            other = other[~(self.bands[other, : self.band] == self.bands[i, : self.band]).any(1)]
         if not len(other):
-            continue
-        guess = similarity(regs[i], n[i], regs[other], n[other])
+            return other
+        guess = similarity(self.registers[i], self.n[i], self.registers[other], self.n[other])
         order = np.argsort(-guess, kind="stable")
-        other = other[order[: int((guess >= need - SLACK * error).sum())]]
+        return other[order[: int((guess >= self.least).sum())]]
+
+
+def _promising(group: list[tuple], band: int, block: int) -> np.ndarray:
+    """Which members have a candidate."""
+    held, out = _Block(group, band, block), np.zeros(len(group), bool)
+    for i in range(1, len(group)):
+        other = held.before(i)
+        if len(other):
+            out[i] = True
+            out[other] = True
+    return out
+
+
+def _linked(group: list[tuple], band: int, block: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links between members of different components, verified on their full sets (a last field of members).
+    Components join as links are found, so there is at most one link fewer than members."""
+    held = _Block(group, band, block)
+    component, hashes = held.component, [np.frombuffer(g[5], np.uint64) for g in group]
+    for i in range(1, len(group)):
+        other = held.before(i)
         at, step = 0, 4
         while at < len(other):
             some = other[at : at + step]
             at, step = at + step, min(256, step * 4)
-            some = some[comp[some] != comp[i]]
+            some = some[component[some] != component[i]]
             if not len(some):
                 continue
             sizes = np.array([len(hashes[j]) for j in some])
             every = np.concatenate([hashes[j] for j in some])
             place = np.searchsorted(hashes[i], every)
             place[place == len(hashes[i])] = 0
-            both = np.add.reduceat((hashes[i][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            for j in some[100 * both >= PERCENT * (sizes + len(hashes[i]) - both)]:
-                if comp[j] != comp[i]:
-                    yield digests[i], digests[j]
-                    comp[comp == comp[i]] = comp[j]
+            shared = np.add.reduceat((hashes[i][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for j in some[100 * shared >= PERCENT * (sizes + len(hashes[i]) - shared)]:
+                if component[j] != component[i]:
+                    yield group[i][0], group[j][0]
+                    component[component == component[i]] = component[j]
 
 
-def _confirmed(members: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(a, b): confirmed links among ``members`` (band, key, block, digest, n, registers, root, common)."""
+def _by_block(rows: DataFrame, fields: list[str], use: Callable[[tuple, list[tuple]], list[tuple]], kinds: str) -> DataFrame:
+    """Gives each block (band, key, block) of ``rows`` to ``use`` as tuples of its other fields."""
+    schema = _parse_datatype_string(kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        types = to_arrow_schema(schema)
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), types)], schema=types)
+        now, held = None, []
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for row in zip(*cols, strict=True):
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
-                        out += _linked(held, now[0], now[2] == 0)
+                        out += use(now, held)
                     now, held = row[:3], []
                 held.append(row[3:])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
-                out = []
-        if len(held) > 1 and (out := list(_linked(held, now[0], now[2] == 0))):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+                yield told(out)
+        if len(held) > 1 and (out := use(now, held)):
+            yield told(out)
+
+    dealt = rows.select("band", "key", "block", *fields).repartition("band", "key", "block")
+    return dealt.sortWithinPartitions("band", "key", "block", "digest").mapInArrow(run, kinds)
+
+
+def _with_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members that have a candidate in their block, so that only their sets travel."""
+    def use(at: tuple, group: list[tuple]) -> list[tuple]:
+        return [(*at, g[0], g[3], g[4]) for g, yes in zip(group, _promising(group, at[0], at[2])) if yes]
 
-    full = members.join(hashes, "digest").select("band", "key", "block", "digest", "n", "registers", "root", "hashes", "common")
-    return full.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "digest").mapInArrow(run, "a binary, b binary")
+    full = members.join(classes.select("digest", "n", "registers"), "digest")
+    return _by_block(full, ["digest", "n", "registers", "root", "common"], use, "band int, key long, block int, digest binary, root binary, common boolean")
+
+
+def _confirmed(members: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(a, b): confirmed links among ``members`` (band, key, block, digest, root, common); ``hashes`` has the
+    sets and registers of their classes."""
+    full = members.join(hashes, "digest")
+    return _by_block(full, ["digest", "n", "registers", "root", "common", "hashes"], lambda at, group: list(_linked(group, at[0], at[2])), "a binary, b binary")
 
 
 def _hashes_of(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(digest, hashes) of the classes in ``members``, from their representatives' texts. A bitmap of row
-    hashes, of bounded size, keeps the other texts from being cut into shingles; the join that follows is exact."""
-    wanted = members.select("digest").distinct().join(classes.select("digest", "h"), "digest")
-    wanted = written(wanted, "wanted")
-    bits = 1 << min(30, max(20, (16 * max(1, wanted.count())).bit_length()))
-    at = F.pmod(F.col("h"), F.lit(bits)) + 1
-    bitmaps = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    """(digest, hashes, n, registers) of the classes in ``members``, from their representatives' texts. A bitmap
+    of row hashes keeps the other texts from being cut into shingles; the join that follows is exact."""
+    wanted = written(members.select("digest").distinct().join(classes.select("digest", "h", "n", "registers"), "digest"), "wanted")
+    bits, bitmaps = key_bitmap(wanted, "h")
     rows = docs.withColumn("__at", F.pmod(row_hash(id_col, text_col), F.lit(bits)) + 1)
     rows = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number("__at") == F.col("bucket")).where(is_set(F.col("bits"), F.col("__at"))).drop("__at", "bucket", "bits")
-    return sketches(rows, id_col, text_col, sets=True).where("digest IS NOT NULL").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    return sketches(rows, id_col, text_col, sets=True).where("digest IS NOT NULL").dropDuplicates(["digest"]).join(wanted.select("digest", "n", "registers"), "digest")
 
 
 def _first_pass(classes: DataFrame) -> DataFrame:
     rows = _buckets(classes, FIRST_BANDS)
-    size = written(rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnsRenamed({"band": "b_", "key": "k_"}), "buckets")
+    size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "k_"), "sizes")
     block = F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    return rows.join(size, (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_"))).select("band", "key", block.alias("block"), "digest", "n", "registers", "root", F.lit(True).alias("common"))
+    return rows.join(size, F.col("key") == F.col("k_")).select("band", "key", block.alias("block"), "digest", "root", F.lit(True).alias("common"))
 
 
 def _second_pass(classes: DataFrame) -> DataFrame:
     rows = _buckets(classes, BANDS)
-    by_root = rows.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_root.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-    mixed = written(mixed.select(F.col("band").alias("b_"), F.col("key").alias("k_"), F.col("most")["root"].alias("common_root"), F.ceil(F.col("most")["n"] / BLOCK).cast("int").alias("blocks")), "buckets")
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    mixed = written(mixed.select(F.col("key").alias("k_"), F.col("most")["root"].alias("common_root"), F.ceil(F.col("most")["n"] / BLOCK).cast("int").alias("blocks")), "mixed")
     common = F.col("root") == F.col("common_root")
     mine = F.array(F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = F.when(common | (F.col("blocks") == 1), mine).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.join(mixed, (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_"))).select("band", "key", F.explode(dealt).alias("block"), "digest", "n", "registers", "root", common.alias("common"))
+    return rows.join(mixed, F.col("key") == F.col("k_")).select("band", "key", F.explode(dealt).alias("block"), "digest", "root", common.alias("common"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_confirmed(members, _hashes_of(docs, id_col, text_col, members, classes)), "confirmed")
     roots = written(components(links), "roots")
     joined = classes.drop("root").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest")).drop("node")
-    members = written(_second_pass(joined), "members")
+    members = written(_with_candidates(_second_pass(joined), classes), "members")
     more = _confirmed(members, _hashes_of(docs, id_col, text_col, members, classes))
     roots = written(components(links.union(more)), "roots")
     least = roots.join(classes.select("digest", "least"), F.col("node") == F.col("digest")).groupBy("root").agg(F.min("least").alias("component"))
