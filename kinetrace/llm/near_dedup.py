@@ -284,9 +284,10 @@ def _hashes_of(docs: DataFrame, id_col: str, text_col: str, members: DataFrame,
     of row hashes keeps the other texts from being cut into shingles; the join that follows is exact."""
     wanted = written(members.select("digest").distinct().join(classes.select("digest", "h", "n", "registers"), "digest"), "wanted")
     bits, bitmaps = key_bitmap(wanted, "h")
-    rows = docs.withColumn("__at", F.pmod(row_hash(id_col, text_col), F.lit(bits)) + 1)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("__at", F.pmod(row_hash("doc_id", "text"), F.lit(bits)) + 1)
     rows = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number("__at") == F.col("bucket")).where(is_set(F.col("bits"), F.col("__at"))).drop("__at", "bucket", "bits")
-    return sketches(rows, id_col, text_col, sets=True).where("digest IS NOT NULL").dropDuplicates(["digest"]).join(wanted.select("digest", "n", "registers"), "digest")
+    return sketches(rows, "doc_id", "text", sets=True).where("digest IS NOT NULL").dropDuplicates(["digest"]).join(wanted.select("digest", "n", "registers"), "digest")
 
 
 def _first_pass(classes: DataFrame) -> DataFrame:
