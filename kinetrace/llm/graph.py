@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.common import written
 
+#: A pass over few links is cut into few tasks, whatever the session's number of shuffle partitions.
+LINKS_PER_TASK = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b), the root being the smallest node that it reaches.
@@ -17,17 +20,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = written(links.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
+    few = max(1, -(-edges.count() // LINKS_PER_TASK))  # tasks that these links are worth
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return written(df.coalesce(few), name)
+
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     before = None
     while True:
         both = edges.union(edges.select(b.alias("a"), a.alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "k").alias("m")), "star")
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "k").alias("m")), "star")
         large = both.join(least, a == F.col("k")).where((b > a) & (b != F.col("m"))).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "star")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "star")
+        large = kept(large, "star")
+        least = kept(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "star")
         joined = large.join(least, a == F.col("k"))
         small = joined.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).union(least.select("k", "m")).distinct()
-        edges = written(small, "links")
+        edges = kept(small, "links")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
