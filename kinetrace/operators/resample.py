@@ -90,3 +90,21 @@ def warped(samples: Column, n: int, pivot: Column, to: float) -> Column:
 def gated(df: DataFrame, by: list[str], order: list[str], values: list[str], visibility: str, least: float = 0.35) -> DataFrame:
     """Values of low visibility count as empty and are filled by place."""
     return fill_by_row(df.withColumns({v: F.when(F.col(visibility) >= least, F.col(v)) for v in values}), by, order, values)
+
+
+def repaired(df: DataFrame, by: list[str], t: str, values: list[str], tolerance: float = 0.2) -> DataFrame:
+    """Puts a group whose steps differ from their median by more than the tolerance on an even grid of as many
+    samples between its ends; other groups stay as they are."""
+    w = Window.partitionBy(*by)
+    dt = F.col(t) - F.lag(t).over(w.orderBy(t))
+    rows = df.withColumn("__d", dt).withColumn("__m", F.percentile("__d", 0.5).over(w))
+    rows = rows.withColumn("__bad", F.max(F.coalesce(F.abs(F.col("__d") - F.col("__m")) > tolerance * F.col("__m"), F.lit(False))).over(w))
+    fine = rows.where(~F.col("__bad")).select(*by, F.col(t).cast("double").alias(t), *values)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), *values)))
+    worse = rows.where("__bad").groupBy(*by).agg(ordered.alias("s")).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("s") - 1)))
+    first, last = F.element_at("s", 1)["t"], F.element_at("s", -1)["t"]
+    worse = worse.withColumn(t, first + (last - first) * F.col("k") / F.greatest(F.size("s") - 1, F.lit(1)))
+    place = F.greatest(F.lit(1), F.least(F.size("s") - 1, F.size(F.filter("s", lambda x: x["t"] <= F.col(t)))))
+    a, b = F.element_at("s", place.cast("int")), F.element_at("s", (place + 1).cast("int"))
+    lerp = {v: F.when(b["t"] == a["t"], a[v]).otherwise(a[v] + (b[v] - a[v]) * (F.col(t) - a["t"]) / (b["t"] - a["t"])) for v in values}
+    return fine.unionByName(worse.withColumns(lerp).select(*by, t, *values))

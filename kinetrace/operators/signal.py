@@ -51,25 +51,42 @@ def oriented(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr
 def window_features(df: DataFrame, keys: list[str], samples: str, rate: float) -> DataFrame:
     """Features of windows held as arrays of equal length: 11 of time, 4 of frequency and 3 of bands. Rows go
     through in batches, so no group is gathered."""
-    time = ["mean", "std", "min", "max", "ptp", "rms", "skew", "kurt", "zero_cross", "peaks", "jerk_peak"]
-    frequency = list(kernels.spectral(np.zeros(8), 50.0))
-    kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} double" for c in [*time, *frequency])])
+    names = list(time_and_frequency(np.zeros((1, 8)), rate))
+    kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} double" for c in names)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[samples].to_numpy()).astype(float)
-            c = x - x.mean(1, keepdims=True)
-            sd = x.std(1)
-            safe = np.where(sd > 0, sd, 1)
-            moment = lambda k: np.where(sd > 0, (c**k).mean(1) / safe**k, 0)
-            got = {
-                "mean": x.mean(1), "std": sd, "min": x.min(1), "max": x.max(1), "ptp": np.ptp(x, 1), "rms": np.sqrt((x**2).mean(1)),
-                "skew": moment(3), "kurt": np.where(sd > 0, moment(4) - 3, 0), "zero_cross": (x[:, 1:] * x[:, :-1] < 0).sum(1).astype(float),
-                "peaks": np.array([len(kernels.find_peaks(v, prominence=0.5 * s)) for v, s in zip(x, sd)], float),
-                "jerk_peak": np.abs(np.gradient(x, 1 / rate, axis=1)).max(1), **kernels.spectral(x, rate),
-            }
-            yield pdf[keys].assign(**{k: np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0) for k, v in got.items()})
+            if len(pdf):
+                got = time_and_frequency(np.stack(pdf[samples].to_numpy()).astype(float), rate)
+                yield pdf[keys].assign(**{k: np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0) for k, v in got.items()})
 
     return df.select(*keys, samples).mapInPandas(run, kinds)
+
+
+def time_and_frequency(x: np.ndarray, rate: float) -> dict[str, np.ndarray]:
+    """The 18 features of each row of ``x``."""
+    c = x - x.mean(1, keepdims=True)
+    sd = x.std(1)
+    safe = np.where(sd > 0, sd, 1)
+    moment = lambda k: np.where(sd > 0, (c**k).mean(1) / safe**k, 0)
+    return {
+        "mean": x.mean(1), "std": sd, "min": x.min(1), "max": x.max(1), "ptp": np.ptp(x, 1), "rms": np.sqrt((x**2).mean(1)),
+        "skew": moment(3), "kurt": np.where(sd > 0, moment(4) - 3, 0), "zero_cross": (x[:, 1:] * x[:, :-1] < 0).sum(1).astype(float),
+        "peaks": np.array([len(kernels.find_peaks(v, prominence=0.5 * s)) for v, s in zip(x, sd)], float),
+        "jerk_peak": np.abs(np.gradient(x, 1 / rate, axis=1)).max(1), **kernels.spectral(x, rate),
+    }
+
+
+def gravity_frame(df: DataFrame, by: list[str], order: list[str], acc: list[str], rate: float) -> DataFrame:
+    """Adds a_vert and a_horiz: the high-passed acceleration along gravity and across it, gravity being the
+    median direction of the slow part of each group."""
+    slow, fast = kernels.butterworth(4, 0.2, rate), kernels.butterworth(4, 0.5, rate, high=True)
+
+    def kernel(v: np.ndarray) -> np.ndarray:
+        g = np.median(kernels.zero_phase(*slow, v.T), 1)
+        g = g / (np.linalg.norm(g) + 1e-12)
+        quick = kernels.zero_phase(*fast, v.T).T
+        up = quick @ g
+        return np.column_stack([up, np.linalg.norm(quick - up[:, None] * g, axis=1)])
+
+    return per_group(df, by, order, acc, ["a_vert", "a_horiz"], kernel)

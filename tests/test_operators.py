@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinetrace.functions import columns as C
-from kinetrace.operators import joins, learning, quality, resample, rules, segment, signal, windows
+from kinetrace.operators import features, joins, learning, quality, resample, rules, segment, signal, windows
 
 
 @settings(max_examples=8, deadline=None)
@@ -135,3 +135,36 @@ def test_padding(spark):
     df = spark.createDataFrame([(1, i, float(i + 1)) for i in range(3)], "g int, i int, x double")
     assert windows.padded(df, ["g"], "i", "x", 5).first().samples == [1, 2, 3, 0, 0]
     assert windows.padded(df, ["g"], "i", "x", 2).first().samples == [1, 2]
+
+
+def test_all_features_of_72_channels(spark):
+    rng = np.random.default_rng(0)
+    kinds = ["ax", "ay", "az", "gx", "gy", "gz", "a_mag", "g_mag", "roll", "pitch", "yaw", "a_vert", "a_horiz", "jerk", "u", "v", "w", "q"]
+    window = {f"{k}_node{n}": rng.standard_normal(60).tolist() for k in kinds for n in range(1, 5)}
+    df = spark.createDataFrame([(1, window), (2, {k: [0.0] * 60 for k in window})], "id int, channels map<string,array<double>>")
+    got = features.full_features(df, ["id"], "channels", 50.0)
+    assert {r.id: r.n for r in got.groupBy("id").agg(F.countDistinct("feature").alias("n")).collect()} == {1: 1350, 2: 1350}
+    assert got.where("value IS NULL OR isnan(value)").count() == 0
+    wide = features.selected(got, ["id"], ["ax_node1_std", "falling_all", "missing"]).orderBy("id").collect()
+    assert wide[0]["ax_node1_std"] == pytest.approx(np.std(window["ax_node1"])) and wide[1]["falling_all"] == 1.2 and wide[0]["missing"] == 0
+
+
+def test_gravity_is_up(spark):
+    t = np.arange(400) / 50
+    rows = [(1, i, float(np.sin(2 * np.pi * 2 * x)), 0.0, float(9.8 + 0.5 * np.cos(2 * np.pi * 3 * x))) for i, x in enumerate(t)]
+    got = signal.gravity_frame(spark.createDataFrame(rows, "g int, i int, x double, y double, z double"), ["g"], ["i"], ["x", "y", "z"], 50.0).orderBy("i").collect()
+    up, flat = np.array([r.a_vert for r in got])[100:-100], np.array([r.a_horiz for r in got])[100:-100]
+    assert np.abs(up - 0.5 * np.cos(2 * np.pi * 3 * t[100:-100])).max() < 0.1 and np.abs(flat - np.abs(np.sin(2 * np.pi * 2 * t[100:-100]))).max() < 0.1
+
+
+def test_uneven_recordings_are_repaired(spark):
+    rows = [(1, t, float(t)) for t in (0, 10, 20, 30)] + [(2, t, float(t)) for t in (0, 10, 35, 40)]
+    got = resample.repaired(spark.createDataFrame(rows, "g int, t long, x double"), ["g"], "t", ["x"]).orderBy("g", "t").collect()
+    assert [r.t for r in got if r.g == 1] == [0, 10, 20, 30] and all(r.x == pytest.approx(r.t) for r in got)
+    assert [r.t for r in got if r.g == 2] == pytest.approx([0, 40 / 3, 80 / 3, 40])
+
+
+def test_peak_confidence(spark):
+    df = spark.createDataFrame([(1, i, 5.0 if i == 4 else float(i % 2)) for i in range(9)], "g int, i int, x double")
+    r = features.peak_confidence(df, spark.createDataFrame([(1, 4)], "g int, place int"), ["g"], "i", "x", 3).first()
+    assert r.confidence == pytest.approx((5 - 1) / np.std([1, 0, 1, 5, 1, 0, 1]))
