@@ -191,9 +191,9 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each repeated anchor, by the high bits of its hash: the only thing that comes to the
-    driver, at most MOST_BITS / 8 bytes however many anchors there are."""
-    at = F.shiftrightunsigned(F.col("anchor"), 64 - bits.bit_length() + 1) + 1
+    """One bit for each repeated anchor, by the low bits of its hash (the high ones are small, as anchors are
+    minima): the only thing that comes to the driver, at most MOST_BITS / 8 bytes however many there are."""
+    at = F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1
     rows = repeated.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(max(bits // 8, 4096), np.uint8)
     for r in rows.toLocalIterator():
@@ -206,7 +206,7 @@ def _candidates(docs: DataFrame, bitmap, bits: int, hot) -> DataFrame:
     (doc_id, h, first, last, anchor, text, offset, known, strings). first and last are the places where the
     strings start; ``known`` ones are settled; text is null in rows that carry a settled range, and strings
     has the hashes of those of a hot anchor."""
-    shift = np.uint64(64 - bits.bit_length() + 1)
+    low = np.uint64(bits - 1)
     names = ["doc_id", "h", "first", "last", "anchor", "text", "offset", "known", "strings"]
     kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
 
@@ -233,7 +233,7 @@ def _candidates(docs: DataFrame, bitmap, bits: int, hot) -> DataFrame:
                     continue
                 owner, hashes = anchors(data)
                 first, last, at = _ranges(owner)
-                place = hashes[at] >> shift
+                place = hashes[at] & low
                 maybe = (flags[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 if not maybe.any():
                     continue
@@ -253,8 +253,8 @@ def _candidates(docs: DataFrame, bitmap, bits: int, hot) -> DataFrame:
                         continue
                     if not before[0]:
                         before[0] = True
-                        rows.append((*before[1:5], None, None, 0, True, None))
-                    rows.append((doc, h, a, b, None, None, 0, True, None))
+                        rows.append((*before[1:5], before[2], None, 0, True, None))
+                    rows.append((doc, h, a, b, h, None, 0, True, None))
                 if len(rows) >= 8192:
                     yield told(rows)
                     rows = []
@@ -269,12 +269,15 @@ def _candidates(docs: DataFrame, bitmap, bits: int, hot) -> DataFrame:
 
 
 def _indexed(rows: DataFrame, tasks: int) -> DataFrame:
-    """(doc_id, h, first, last): ranges of strings found to repeat by the index family of each task."""
+    """(doc_id, h, first, last): ranges of strings found to repeat by the index family of each task, and the
+    settled ranges, which pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, owners, held, kind = Family(), [], [], None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, h, a, b, text, offset, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            settled = batch.column("text").is_null()
+            yield pa.RecordBatch.from_arrays(batch.filter(settled).columns[:4], names=["doc_id", "h", "first", "last"])
+            for doc, h, a, b, text, offset, known in zip(*[c.to_pylist() for c in batch.filter(batch.column("text").is_valid()).columns], strict=True):
                 owners.append((doc, h, a))
                 held.append((text, offset, b - a + 1, known))
                 if len(held) >= BATCH:
@@ -294,7 +297,7 @@ def _indexed(rows: DataFrame, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (kind, pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "h", "first", "last"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = rows.where("text IS NOT NULL").repartition(tasks, "anchor").select("doc_id", "h", "first", "last", "text", "offset", "known")
+    sent = rows.where("strings IS NULL").repartition(tasks, "anchor").select("doc_id", "h", "first", "last", "text", "offset", "known")
     return sent.mapInArrow(run, f"doc_id {kind}, h long, first long, last long")
 
 
@@ -307,10 +310,11 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * some).bit_length()))
     hot = frozenset(r["anchor"] for r in repeated.where(F.col("n") > max(HOT_PLACES, places // HOT_PART)).select("anchor").collect())  # HOT_PART at most
     context = docs.sparkSession.sparkContext
-    rows = written(_candidates(docs, context.broadcast(_bitmap(repeated, bits)), bits, context.broadcast(hot)), "candidates")
-    settled = rows.where("text IS NULL AND known").select("doc_id", "h", "first", "last")
+    rows = _candidates(docs, context.broadcast(_bitmap(repeated, bits)), bits, context.broadcast(hot))
+    if hot:
+        rows = written(rows, "candidates")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-places // PER_TASK))
-    found = settled.unionByName(_indexed(rows, tasks))
+    found = _indexed(rows, tasks)
     if hot:
         each = rows.where("strings IS NOT NULL").select("doc_id", "h", "first", F.posexplode("strings").alias("i", "string"))
         twice = written(each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("string").alias("s_")), "strings")
