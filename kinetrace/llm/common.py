@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_recorded: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Gives the paths of the tables that ``written`` makes meanwhile."""
+    _recorded.append([])
+    try:
+        yield _recorded[-1]
+    finally:
+        _recorded.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that no result needs any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts the lineage and survives lost
     executors. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinetrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recorded:
+        paths.append(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
