@@ -44,7 +44,7 @@ def flatten_metadata(df: DataFrame, column: str = "json") -> DataFrame:
     return parsed.select(F.explode("m").alias("region", "s")).select("region", F.explode("s").alias("subject", "a")).select("region", "subject", "a.*")
 
 
-#: Words of a recording's name that mean the same.
+#: Words of a recording's name that mean the same.
 SAME_RECORDING = (("跳投", "投球"),)
 
 

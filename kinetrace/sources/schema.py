@@ -16,7 +16,7 @@ def _struct(kinds: dict[T.DataType, str], order: str) -> T.StructType:
 
 AXES = tuple(f"{kind}_{axis}" for kind in ("acc", "gyr") for axis in "xyz")
 
-#: One packet of the wire format, counts as the device sends them.
+#: One packet of the wire format, counts as the device sends them.
 RAW_STREAM = T.StructType(
     [T.StructField(c, T.IntegerType()) for c in ("group", "node")]
     + [T.StructField(c, _L) for c in ("seq", "node_timestamp_us", "master_timestamp_us")]
@@ -26,7 +26,7 @@ STANDARD_IMU = _struct(
     {_S: "session_id player_id sensor_id side label", _L: "seq timestamp_us", _D: "ax ay az gx gy gz mx my mz"},
     "session_id player_id sensor_id side seq timestamp_us ax ay az gx gy gz mx my mz label",
 )
-#: Columns that a standard table may have besides.
+#: Columns that a standard table may have besides.
 STANDARD_OPTIONAL = ("qw", "qx", "qy", "qz", "roll", "pitch", "yaw", "linear_acc_x", "linear_acc_y", "linear_acc_z", "uwb_x", "uwb_y", "uwb_z", "uwb_quality")
 POSE_LONG = _struct({_S: "landmark_name", _L: "frame_id landmark_id", _D: "timestamp_s fps x_norm y_norm z_rel visibility"}, "frame_id timestamp_s fps landmark_id landmark_name x_norm y_norm z_rel visibility")
 ACTION_LABELS = _struct({_S: "session_id player_id label source video_id notes", _L: "start_time_us end_time_us", _D: "confidence"}, "session_id player_id label start_time_us end_time_us confidence source video_id notes")
@@ -34,9 +34,9 @@ DEVICE_STATUS = _struct({_S: "session_id device_id device_type firmware_version
 EVENT_MARKERS = _struct({_S: "session_id player_id marker_id marker_type label source operator_id notes", _L: "timestamp_us"}, "session_id player_id marker_id marker_type label timestamp_us source operator_id notes")
 TABLES = {"raw_stream": RAW_STREAM, "standard_imu": STANDARD_IMU, "pose_long": POSE_LONG, "action_labels": ACTION_LABELS, "device_status": DEVICE_STATUS, "event_markers": EVENT_MARKERS}
 
-#: Which clock counts where a row has several: the node's own, then synchronised, host and video time.
+#: Which clock counts where a row has several: the node's own, then synchronised, host and video time.
 CLOCKS = ("t_node_us", "synced_timestamp_us", "host_received_us", "video_timestamp_us")
-#: Names that recordings use for one thing.
+#: Names that recordings use for one thing.
 SYNONYMS = {"acc_x_g": "acc_x", "acc_y_g": "acc_y", "acc_z_g": "acc_z", "gyr_x_dps": "gyr_x", "gyr_y_dps": "gyr_y", "gyr_z_dps": "gyr_z"}
 
 
