@@ -390,6 +390,21 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_toxicity_by_stems():
+    """Inflected forms, each rare as a word, beside words of another language that are common."""
+    rng = random.Random(7)
+    tails = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200)]
+    rows = [(f"{words(rng, 60)} " + " ".join(rng.choices(bad, k=4) if i % 10 == 0 else [s + rng.choice(tails) for s in ("zorrim", "quulp")] * 2 if i % 10 == 1 else ["plain"]), int(i % 10 < 2))
+            for bad in [["horrible", "dreadful", "revolting"]] for i in range(1500)]
+    scorer = toxicity.Scorer(*toxicity.train(rows[:1000]))
+    caught = [[scorer.score(t) >= toxicity.THRESHOLD for i, (t, _) in enumerate(rows[1000:]) if i % 10 == k] for k in range(10)]
+    assert np.mean(caught[0]) > 0.9 and np.mean(caught[1]) > 0.9 and np.mean(caught[2:]) < 0.05
+    texts = [(toxicity.windows(t), y) for t, y in rows[:1000]]
+    assert {s[:5] for s in toxicity.own_stems(texts)} >= {b"horri", b"dread", b"zorri", b"quulp"}
+    copies = [(t.split() + [b"once"], 1) for t in [b"one text that was copied over and over"] * 30]
+    assert toxicity.without_copies(copies) == copies[:1] and b"once" not in toxicity.own_stems(toxicity.without_copies(texts + copies))
+
+
 @pytest.mark.parametrize("name", ["op2_decontamination", "op3_near_dedup", "op5_exact_dedup", "op9_warc"])
 def test_queries_equal_sql(spark, data, duck, name):
     from kinetrace.llm.queries import ORACLES, QUERIES
