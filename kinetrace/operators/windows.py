@@ -135,6 +135,12 @@ def padded(df: DataFrame, by: list[str], i: str, x: str, size: int) -> DataFrame
     return got.select(*by, F.concat(values, F.array_repeat(F.lit(0.0), size - F.size("s"))).alias("samples"))
 
 
+def sliding_samples(df: DataFrame, by: list[str], order: list[str], x: str, size: int, step: int) -> DataFrame:
+    """(…, window_id, samples): the values in order of every whole window of each recording."""
+    rows = sliding(df, by, order, size, step).groupBy(*by, "window_id").agg(F.array_sort(F.collect_list(F.struct(*order, x))).alias("s"))
+    return rows.select(*by, "window_id", F.transform("s", lambda s: s[x].cast("double")).alias("samples"))
+
+
 def alternate(df: DataFrame, by: list[str], order: list[str], names: list[str]) -> DataFrame:
     """Gives the k-th row the name k modulo their number, and the number of its cycle from 1; rows of a last
     cycle that is not whole are left out."""

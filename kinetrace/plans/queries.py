@@ -749,6 +749,15 @@ def dominant_freq(spark, d):
     return f.select("user_id", "dom_freq", F.round("dom_power", 5).alias("dom_power"), F.round("centroid", 5).alias("centroid"))
 
 
+@query(f"""WITH {SAMPLES}, {windows_sql(32, 16)}, f AS (SELECT unnest(range(1, 17)) AS k),
+p AS (SELECT user_id, window_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 32)), 2) + pow(sum(x * sin(2 * pi() * k * i / 32)), 2)) AS a FROM w, f GROUP BY ALL)
+SELECT user_id, window_id, arg_max(k, a) * 50 / 32.0 AS dom_freq, round(max(a * a) / (sum(a * a) + 1e-12), 5) AS dom_power, round(sum(k * 50 / 32.0 * a) / (sum(a) + 1e-12), 5) AS centroid FROM p GROUP BY ALL""")
+def sliding_dominant_freq(spark, d):
+    """dominant_freq is of the first 32 samples; this is of every window of the recording."""
+    f = G.window_features(W.sliding_samples(samples(spark, d), BY, ORDER, "x", 32, 16), ["user_id", "window_id"], "samples", 50.0)
+    return f.select("user_id", "window_id", "dom_freq", F.round("dom_power", 5).alias("dom_power"), F.round("centroid", 5).alias("centroid"))
+
+
 @query()
 def butter_lowpass(spark, d):
     return G.smoothed(samples(spark, d), BY, ORDER, "x", 8.0, 50.0, 3)
@@ -767,11 +776,12 @@ def madgwick(spark, d):
 
 @query()
 def rf_classify(spark, d):
-    p = W.padded(samples(spark, d), BY, "i", "x", 32)
-    f = G.window_features(p, ["user_id"], "samples", 50.0).withColumn("label", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    """One row for each window of 32 of the recordings held out."""
+    p = W.sliding_samples(samples(spark, d), BY, ORDER, "x", 32, 16)
+    f = G.window_features(p, ["user_id", "window_id"], "samples", 50.0).withColumn("label", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
     names = ["mean", "std", "ptp", "rms", "dom_freq", "centroid"]
     model = L.random_forest(f.where(E.fold(F.col("user_id"), 4) != 0), names, "label", trees=20, depth=4)
-    return model.transform(f.where(E.fold(F.col("user_id"), 4) == 0)).select("user_id", "label", F.col("prediction").alias("predicted"))
+    return model.transform(f.where(E.fold(F.col("user_id"), 4) == 0)).select("user_id", "window_id", "label", F.col("prediction").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,3 +30,12 @@ def test_filters_reach_the_scan(spark, data):
 def test_flagship_shuffles(spark, data):
     plan = QUERIES["rule_timeline"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3 and "Python" not in plan
+
+
+def test_windows_cover_recordings(spark, data):
+    n = {r.user_id: r["count"] for r in QUERIES["relative_time"](spark, data).groupBy("user_id").count().collect()}
+    want = {(u, k) for u, c in n.items() if c >= 32 for k in range((c - 32) // 16 + 1)}
+    assert len(want) > len({u for u, _ in want})
+    assert {(r.user_id, r.window_id) for r in QUERIES["sliding_dominant_freq"](spark, data).collect()} == want
+    got = {(r.user_id, r.window_id) for r in QUERIES["rf_classify"](spark, data).collect()}
+    assert got == {w for w in want if w[0] in {u for u, _ in got}} and any(k for _, k in got)
