@@ -304,7 +304,12 @@ def size_unstack(spark, d):
 
 @query(f"WITH {SAMPLES} SELECT user_id, string_agg(label, ' → ' ORDER BY us, seq) AS sequence, sum(x) > 0 AS any FROM ev GROUP BY user_id")
 def ordered_string_agg(spark, d):
-    return Q.joined_in_order(samples(spark, d), BY, ORDER, "label").withColumn("any", F.lit(True))
+    return with_any(samples(spark, d))
+
+
+def with_any(s: DataFrame) -> DataFrame:
+    found = s.groupBy(F.col("user_id").alias("__user")).agg((F.sum("x") > 0).alias("any"))
+    return Q.joined_in_order(s, BY, ORDER, "label").join(found, F.col("user_id").eqNullSafe(F.col("__user"))).drop("__user")
 
 
 @query(f"WITH {SAMPLES}, e AS (SELECT user_id % 10 AS rec, node, min(us) AS a, max(us) AS b FROM ev GROUP BY ALL) SELECT rec, max(a) AS lo, min(b) AS hi, count(*) AS nodes FROM e GROUP BY rec")
@@ -370,7 +375,11 @@ def most_similar_label(spark, d):
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) IS NOT NULL AS has FROM events GROUP BY user_id")
 def first_row_in_group(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.lit(True).alias("has"))
+    return first_of(table(spark, d, "events"))
+
+
+def first_of(e: DataFrame) -> DataFrame:
+    return e.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("ts").isNotNull().alias("has"))
 
 
 # ---- ordered windows

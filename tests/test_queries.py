@@ -1,6 +1,6 @@
 import pytest
 
-from kinetrace.plans.queries import ORACLES, QUERIES
+from kinetrace.plans.queries import ORACLES, QUERIES, first_of, with_any
 from tests.compare import same
 
 
@@ -39,3 +39,10 @@ def test_windows_cover_recordings(spark, data):
     assert {(r.user_id, r.window_id) for r in QUERIES["sliding_dominant_freq"](spark, data).collect()} == want
     got = {(r.user_id, r.window_id) for r in QUERIES["rf_classify"](spark, data).collect()}
     assert got == {w for w in want if w[0] in {u for u, _ in got}} and any(k for _, k in got)
+
+
+def test_flags_are_computed(spark):
+    s = spark.createDataFrame([(1, 0, 1, 0.0, "a"), (2, 0, 2, 1.0, "a"), (3, 0, 3, None, "a"), (None, 0, 4, 2.0, "a")], "user_id long, us long, seq long, x double, label string")
+    assert {r.user_id: r.any for r in with_any(s).collect()} == {1: False, 2: True, 3: None, None: True}
+    e = spark.createDataFrame([(1, 1, None), (2, 2, "2020-01-01")], "user_id long, event_id long, ts string")
+    assert {r.user_id: r.has for r in first_of(e).collect()} == {1: False, 2: True}
