@@ -110,7 +110,7 @@ def records(chunks: Iterable[bytes]) -> Iterator[Record]:
             chunk = inflate.unused_data
             yield _parsed(b"".join(held))
             inflate, held = zlib.decompressobj(31), []
-    if any(held):
+    if held:
         raise WarcError("the archive ends inside a record")
 
 

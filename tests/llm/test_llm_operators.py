@@ -357,6 +357,14 @@ def test_warc_files_and_damage(spark, tmp_path):
         list(warc.records([zlib.compress(record.replace(b"payload\r\n", b"PAYLOAD\r\n"), wbits=31)]))
 
 
+@pytest.mark.parametrize("left", [1, 5, 10, 20, 64])
+def test_warc_member_cut_early(left):
+    first, last = (warc.record_bytes(i, f"http://{i}", b"page" * 100, None, False) for i in range(2))
+    with pytest.raises(warc.WarcError, match="ends inside"):
+        list(warc.records([first, last[:left]]))
+    assert len(list(warc.records([first, b"", last]))) == 2
+
+
 def test_language(spark, data, docs, nothing):
     d = spark.read.parquet(f"{data}/documents.parquet")
     got = language_id.identify(d, language_id.train(language_id.training_rows(d)), ["doc_id", "lang"]).withColumn("out", toxicity.fold("doc_id", 5) == 0)
