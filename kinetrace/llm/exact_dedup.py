@@ -3,7 +3,8 @@
 Pass one hashes every text into a Bloom filter with two positions per text and keeps the positions
 that at least two rows set. Pass two tests each row against that bitmap: a row of which one position
 was set once cannot have a copy and passes straight through; only the others shuffle, by the SHA-256
-of their text, so false positives cost work and never change a result.
+of their text, so false positives cost work and never change a result. A large group of copies is
+dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm.common import table, text_of, without_white_space, written
+from kinetrace.llm.common import is_set, joined_evenly, table, text_of, without_white_space, written
 
 #: Filter positions for each row and hash function; more lower the share of rows that shuffle in vain.
 POSITIONS_PER_ROW = 16
@@ -38,12 +39,6 @@ def repeated_positions(hashes: DataFrame, m: int) -> DataFrame:
     )
 
 
-def is_set(bits: Column, at: Column) -> Column:
-    bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))) != 0, F.lit(False))
-
-
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``carry`` columns, then doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -72,14 +67,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     )
     tested = written(tested, "bloom")
     maybe, alone = tested.where("__maybe"), tested.where("NOT __maybe")
-    best = maybe.groupBy(F.col("__sha").alias("__key")).agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct(-F.col("__len"), F.col("__id").isNull(), F.col("__id"), F.col("__row"))).alias("__best"),
-    )
+    best = written(maybe.groupBy("__sha").agg(
+        F.count(F.lit(1)).alias("group_size"), F.count(F.lit(1)).alias("__size"),
+        F.min(F.struct((-F.col("__len")).alias("len"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("__best"),
+    ), "best")
     out = ["__id", "keep_id", "group_size", "kept", "__sha"]
-    grouped = maybe.join(best, F.col("__sha") == F.col("__key")).select(
-        *carried, "__id", F.col("__best")["__id"].alias("keep_id"), "group_size",
-        (F.col("__best")["__row"] == F.col("__row")).alias("kept"), "__sha",
+    grouped = joined_evenly(maybe, best, "__sha", "__size", ["__row"]).select(
+        *carried, "__id", F.col("__best")["id"].alias("keep_id"), "group_size",
+        (F.col("__best")["row"] == F.col("__row")).alias("kept"), "__sha",
     )
     whole = grouped.unionByName(alone.select(*carried, "__id", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__sha"))
     return whole.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(c).alias({"__id": "doc_id", "__sha": "text_sha256"}.get(c, c)) for c in out])

@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from kinetrace.llm.common import table, text_of, written
-from kinetrace.llm.exact_dedup import is_set
+from kinetrace.llm.common import is_set, key_bitmap, table, text_of, written
 from kinetrace.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -163,13 +162,6 @@ def _buckets(classes: DataFrame, first: int) -> DataFrame:
     return written(rows.select("digest", "root", "band", "key"), "buckets")
 
 
-def key_bitmap(keys: DataFrame, column: str) -> tuple[int, DataFrame]:
-    """Number of bits, and (bucket, bits) with a bit set for each key; 128 MB at most."""
-    bits = 1 << min(30, max(20, (16 * max(1, keys.count())).bit_length()))
-    at = F.pmod(F.col(column), F.lit(bits)) + 1
-    return bits, keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-
-
 class _Block:
     """Members of one block of a bucket and the candidate pairs among them. Members are (digest, n, registers,
     root, common). A pair is left to the first band that it shares; in blocks after the first, two members

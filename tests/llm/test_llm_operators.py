@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.llm import decontamination, exact_dedup, graph, language_id, near_dedup, pii, repeats, sentencepiece_bpe, sharding, toxicity, warc
+from kinetrace.llm import common, decontamination, exact_dedup, graph, language_id, near_dedup, pii, repeats, sentencepiece_bpe, sharding, toxicity, warc
 from tests.compare import same
 
 
@@ -46,6 +47,16 @@ def nothing(docs):
     return docs.where("false")
 
 
+def test_large_groups_are_dealt(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, -1).otherwise(F.col("id") % 700).alias("k"), "id")
+    rows = rows.union(spark.createDataFrame([(None, 5000)], "k long, id long"))
+    groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
+    plain = {(r.k, r.id, r.m) for r in rows.join(groups, "k", "left").collect()}
+    for heavy, parts in ((100, 7), (1, 3), (10_000, 4)):
+        got = common.joined_evenly(rows, groups, "k", "n", ["id"], "left", heavy, parts)
+        assert got.columns == ["k", "id", "m"] and [(r.k, r.id, r.m) for r in got.orderBy("id").collect()] == sorted(plain, key=lambda x: x[1])
+
+
 def test_exact_dedup(docs, texts, nothing):
     got = exact_dedup.exact_dedup(docs, carry=("text",)).collect()
     groups = collections.defaultdict(list)
@@ -70,7 +81,7 @@ def test_exact_dedup_survives_a_full_filter(docs, texts, positions, monkeypatch)
 def test_sharding(docs, texts, nothing):
     got = sharding.shard(docs, 4).collect()
     size = lambda t: len((t or "").encode()) + 1
-    assert sorted((r.doc_id is None, r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i is None, i, size(t), zlib.crc32((t or "").encode())) for i, t in texts) or len(got) == len(texts)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == collections.Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t in texts)
     by = collections.defaultdict(list)
     for r in got:
         by[r.shard].append(r.slot)
@@ -99,9 +110,20 @@ def test_smallest_capacity(spark, seed):
     groups = spark.createDataFrame(list(enumerate(sizes)), "g int, size long")
     cuts = [0, *sharding.shard_cuts(groups, shards), len(sizes)]
     assert len(cuts) <= shards + 1 and max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])) == want
+    assert len(cuts) == min(shards, len(sizes)) + 1
+
 
+def test_shards_are_near_equal(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "x" * rng.randrange(200) + str(i)) for i in range(4000)], "doc_id long, text string")
+    sizes = [r.s for r in sharding.shard(df, 16).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 2 * 205
+    hot = df.union(spark.range(4000, 6000).select("id", F.lit("y" * 400)))
+    sizes = sorted(r.s for r in sharding.shard(hot, 16).groupBy("shard").agg(F.sum("size").alias("s")).collect())
+    assert len(sizes) == 16 and sizes[-1] >= 2000 * 401 and sizes[-2] - sizes[0] <= sizes[-2] // 4
 
-def test_heavy_groups_are_numbered_in_parts(spark):
+
+def test_large_groups_are_numbered_in_parts(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "same").otherwise(F.col("id").cast("string")).alias("text"))
     got = sharding.shard(df, 4)
     assert got.groupBy("shard").agg(F.max("slot").alias("m"), F.countDistinct("slot").alias("d"), F.count("*").alias("n")).where("m + 1 <> n OR d <> n").count() == 0
@@ -349,6 +371,10 @@ def test_warc_files_and_damage(spark, tmp_path):
     assert [len(r.payload) for r in warc.read_file(str(tmp_path / "a.warc.gz"))] == [0, 1000, 2000, 3000]
     assert warc.read_archives(spark, str(tmp_path)).count() == 4
     assert [len(r.payload) for r in warc.records(bytes([b]) for b in whole)] == [0, 1000, 2000, 3000]
+    info = zlib.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n", wbits=31)
+    (tmp_path / "b.warc.gz").write_bytes(info + whole)
+    (r,) = warc.read_archives(spark, str(tmp_path / "b.warc.gz")).where("record_type = 'warcinfo'").collect()
+    assert r.page_id is None and bytes(r.payload) == b"software:" and r.payload_bytes == 9 and r.payload_digest == warc.sha1_32(b"software:")
     for broken in (whole[:-20], zlib.compress(b"x", wbits=31), whole[:200] + b"\0" + whole[201:]):
         with pytest.raises(warc.WarcError):
             list(warc.records([broken]))
@@ -370,11 +396,20 @@ def test_language(spark, data, docs, nothing):
     got = language_id.identify(d, language_id.train(language_id.training_rows(d)), ["doc_id", "lang"]).withColumn("out", toxicity.fold("doc_id", 5) == 0)
     assert got.where("out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
     odd = language_id.identify(docs, language_id.train([(b"the cat", "en"), ("für dich".encode(), "de")], epochs=1), ["doc_id", "text"]).collect()
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) and 0 <= r.score <= 1 for r in odd)
+    letter = lambda t: any(unicodedata.category(c)[0] == "L" for c in t or "")
+    assert all((r.lang_pred == "und") == (not letter(r.text)) and 0 <= r.score <= 1 for r in odd)
+    signs = spark.createDataFrame(list(enumerate(["½ ② x²", "½ ② ² 12 _ Ⅷ ٣", "ª", "日", "१२", "a", "_"])), "doc_id long, text string")
+    assert {r.doc_id for r in language_id.identify(signs, language_id.train([(b"the cat", "en")], epochs=1), ["doc_id"]).where("lang_pred = 'und'").collect()} == {1, 4, 6}
     assert language_id.train([]) is None and {r.lang_pred for r in language_id.identify(docs, None, ["doc_id"]).collect()} == {"und"}
     assert language_id.identify(nothing, None, ["doc_id"]).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"{'the cat sat' if i % 100 else 'der hund lief'} {i}", "en" if i % 100 else "de") for i in range(5000)]
+    got = collections.Counter(lang for _, lang in language_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=60))
+    assert got["de"] >= 30 and got["en"] >= 30
+
+
 def test_convolution_against_definition():
     rng = np.random.default_rng(0)
     m = language_id.train([(b"abcabc", "x"), (b"bcdbcd", "y")], epochs=1)
