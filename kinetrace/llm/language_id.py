@@ -8,13 +8,12 @@ probability over its windows, each weighted by its bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.common import table
@@ -24,7 +23,6 @@ from kinetrace.llm.toxicity import fold
 TRAIN_DOCS, TRAIN_WINDOWS = 3000, 6
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.02, 7
-_LETTER = re.compile(r"[^\W\d_]")
 #: Windows that go through the network at once.
 _AT_ONCE = 64
 
@@ -37,6 +35,12 @@ class Model(NamedTuple):
     offset: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of one of Unicode's letter categories; fractions, superscripts and
+    circled numbers are not."""
+    return any(map(str.isalpha, text))
+
+
 def _filters() -> list[int]:
     """The filters' widths, the widest first: those that reach an offset are then a leading slice."""
     return [w for w in sorted(WIDTHS, reverse=True) for _ in range(FILTERS)]
@@ -116,7 +120,7 @@ def train(rows: list[tuple[bytes, str]], epochs: int = EPOCHS) -> Model | None:
 
 
 def predict(text: str | None, m: Model | None) -> tuple[str, float]:
-    if m is None or text is None or not _LETTER.search(text):
+    if m is None or text is None or not has_letter(text):
         return "und", 0.0
     x, held = cut(text.encode())
     total = np.zeros(len(m.langs))
@@ -128,14 +132,27 @@ def predict(text: str | None, m: Model | None) -> tuple[str, float]:
 
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_DOCS, each: int = TRAIN_WINDOWS) -> list[tuple[bytes, str]]:
-    """Evenly spaced windows of at most ``rows`` labelled documents outside the held-out fold, chosen by a
-    hash of the id. Ids are chosen first, from that column alone."""
-    learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 5) != 0))
-    some = learn.select(F.col("doc_id").alias("id_")).distinct().orderBy(F.xxhash64("id_"), "id_").limit(rows)
+    """Evenly spaced windows of at most ``rows`` labelled documents outside the held-out fold, an equal number
+    of each language as far as it has them, chosen by a hash of the id.
+
+    Ids are chosen first: a language's documents are thinned by the hash to about twice its share before they
+    are numbered, so no task sees all ids of a frequent language. With more than ``rows`` languages the most
+    frequent ones are learned, one document each.
+    """
+    learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
+    sizes = learn.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), "lang_").limit(rows).collect()
+    if not sizes:
+        return []
+    share = -(-rows // len(sizes))
+    counts = docs.sparkSession.createDataFrame([(r["lang_"], 2.0 * (share + 20) / r["n_"]) for r in sizes], "lang_ string, part double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    thinned = learn.select("doc_id", "lang").join(F.broadcast(counts), F.col("lang") == F.col("lang_")).where(place <= F.col("part"))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = thinned.withColumn("k", number).where(F.col("k") <= share).select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_")).distinct()
     step = F.greatest(F.lit(1), F.floor(F.char_length("text") / each)).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(WINDOW)))
-    found = learn.where("text IS NOT NULL").join(F.broadcast(some), F.col("doc_id") == F.col("id_")).select("lang", cuts.alias("cuts")).limit(2 * rows)
-    return sorted({(w.encode()[:WINDOW], r["lang"]) for r in found.collect() for w in r["cuts"] if _LETTER.search(w)})
+    found = learn.join(F.broadcast(some), (F.col("doc_id") == F.col("id_")) & (F.col("lang") == F.col("lang_"))).select("lang", cuts.alias("cuts")).limit(2 * rows)
+    return sorted({(w.encode()[:WINDOW], r["lang"]) for r in found.collect() for w in r["cuts"] if has_letter(w)})
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
