@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm.common import table, text_of, written
+from kinetrace.llm.common import joined_evenly, table, text_of, written
 
 #: An archive segment ends with the record that takes it past so many bytes.
 SEGMENT_BYTES = 4 << 20
@@ -45,9 +46,10 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:x-page:{'null' if page_id is None else page_id}>"
 
 
-def page_of(urn: str) -> int | None:
-    name = urn.removeprefix("<urn:x-page:").removesuffix(">")
-    return None if name == "null" else int(name)
+def page_of(urn: str | None) -> int | None:
+    """The page of a record id that this writer made; null for other ids."""
+    name = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
+    return int(name) if re.fullmatch(r"-?[0-9]{1,19}", name) and urn != name else None
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, level: int = 6) -> bytes:
@@ -89,9 +91,14 @@ def _parsed(data: bytes) -> Record:
         raise WarcError("the block does not end where Content-Length says")
     if headers.get("warc-block-digest", f"sha1:{sha1_32(block)}") != f"sha1:{sha1_32(block)}":
         raise WarcError("block digest differs")
-    head, _, payload = block.partition(b"\r\n\r\n")
-    http = _headers(head.split(b"\r\n")[1:])
-    if headers["warc-type"] == "response" and headers["warc-payload-digest"] != f"sha1:{sha1_32(payload)}":
+    if "warc-type" not in headers:
+        raise WarcError("no WARC-Type")
+    http, payload = {}, block
+    if headers.get("content-type", "").replace(" ", "").startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        http = _headers(head.split(b"\r\n")[1:])
+    told = headers.get("warc-payload-digest", "")
+    if headers["warc-type"] != "revisit" and told.startswith("sha1:") and told != f"sha1:{sha1_32(payload)}":
         raise WarcError("payload digest differs")
     return Record(headers, http, payload)
 
@@ -125,14 +132,15 @@ def write_segments(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of rows with equal payloads of ``min_bytes`` or more the one with the smallest id (nulls last) is the
     response and the others are revisits of it; rows that repeat that very id are responses too. A null
-    payload is empty, a null url leaves the target out. An empty table gives no segment.
+    payload is empty, a null url leaves the target out. An empty table gives no segment. A payload that very
+    many pages share is dealt over many tasks.
     """
     html = text_of(html_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
-    shared = rows.where(F.octet_length("html") >= min_bytes).groupBy(F.col("sha").alias("sha_")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha_", "first")
-    shared = written(shared, "payloads")
-    rows = rows.join(shared, (F.col("sha") == F.col("sha_")) & (F.octet_length("html") >= min_bytes), "left").select("page_id", "url", "html", "first", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)) .alias("other"), F.col("sha_").isNotNull().alias("shared"))
-    rows = rows.select("page_id", "url", "html", "first", (F.col("shared") & F.col("other")).alias("revisit"))
+    sha = F.concat(F.when(F.octet_length(html) < min_bytes, "small ").otherwise(""), F.sha1(html.cast("binary")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), sha.alias("sha"))
+    shared = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("shared", F.lit(True))
+    rows = joined_evenly(rows, written(shared, "payloads"), "sha", "n", ["page_id", "url"], "left")
+    rows = rows.select("page_id", "url", "html", "first", (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -150,10 +158,25 @@ def write_segments(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each record."""
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each record.
+
+    Records of any type are read (warcinfo, request, metadata and so on): page_id is null where the id is not
+    one of this writer's; payload_bytes is what the HTTP header says and else the payload's length; a digest
+    that the record does not give is computed from its payload.
+    """
     return _read(segments, payloads=True)
 
 
+def _digest(r: Record) -> str:
+    told = r.headers.get("warc-payload-digest", "")
+    return told.removeprefix("sha1:") if told.startswith("sha1:") else sha1_32(r.payload)
+
+
+def _length(r: Record) -> int:
+    told = r.http.get("content-length", "")
+    return int(told) if told.isdecimal() else len(r.payload)
+
+
 def _read(segments: DataFrame, payloads: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), *([("payload", pa.binary())] * payloads), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -163,7 +186,7 @@ def _read(segments: DataFrame, payloads: bool) -> DataFrame:
                 out: list[tuple] = []
                 for r in records(bytes(view[i : i + _READ]) for i in range(0, len(view), _READ)):
                     revisit = r.headers["warc-type"] == "revisit"
-                    out.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), *([None if revisit else r.payload] * payloads), int(r.http["content-length"]), r.headers["warc-payload-digest"].removeprefix("sha1:"), r.headers["warc-type"], page_of(r.headers["warc-refers-to"]) if revisit else None))
+                    out.append((page_of(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), *([None if revisit else r.payload] * payloads), _length(r), _digest(r), r.headers["warc-type"], page_of(r.headers.get("warc-refers-to")) if revisit else None))
                     if len(out) >= 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*out), kinds)], schema=kinds)
                         out = []
