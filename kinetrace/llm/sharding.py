@@ -107,15 +107,16 @@ def shard_cuts(groups: DataFrame, shards: int) -> list[int]:
     zero = F.struct(
         F.lit(0).alias("at"), long.alias("filled"), F.lit(True).alias("large"), F.lit(0).alias("run"), long.alias("run_left"), long.alias("run_shards"),
         F.aggregate("runs", long, add).alias("small_left"), F.size(F.filter("all", lambda x: x["large"])).alias("large_left"), F.array().cast("array<long>").alias("cuts"),
+        *[F.col(c).alias(c) for c in ("capacity", "starts", "runs")],  # in the state, so that no step computes them again
     )
 
     def step(acc: Column, x: Column) -> Column:
         others = F.lit(shards - 1) - F.size(acc["cuts"])  # shards after the open one
-        rest_fits = (others > 0) & (acc["at"] >= F.coalesce(F.try_element_at("starts", F.greatest(others, F.lit(1))), F.lit(0)))
+        rest_fits = (others > 0) & (acc["at"] >= F.coalesce(F.try_element_at(acc["starts"], F.greatest(others, F.lit(1))), F.lit(0)))
         even = (acc["run_shards"] > 1) & ((2 * acc["filled"] + x["size"]) * acc["run_shards"] >= 2 * acc["run_left"])
-        close = (acc["filled"] > 0) & ((acc["filled"] + x["size"] > F.col("capacity")) | (rest_fits & (x["large"] | acc["large"] | even)))
+        close = (acc["filled"] > 0) & ((acc["filled"] + x["size"] > acc["capacity"]) | (rest_fits & (x["large"] | acc["large"] | even)))
         enters = acc["large"] & ~x["large"]
-        run = F.coalesce(F.try_element_at("runs", acc["run"] + 1), long)
+        run = F.coalesce(F.try_element_at(acc["runs"], acc["run"] + 1), long)
         free = others + F.when(close, 0).otherwise(1) - acc["large_left"]  # shards for all groups from here on that are not large
         wanted = F.greatest(F.lit(1).cast("long"), F.round(run * free / F.greatest(acc["small_left"], F.lit(1))).cast("long"))
         inside = close & ~acc["large"]
@@ -127,6 +128,7 @@ def shard_cuts(groups: DataFrame, shards: int) -> list[int]:
             F.when(enters, acc["small_left"] - run).otherwise(acc["small_left"]).alias("small_left"),
             F.when(x["large"], acc["large_left"] - 1).otherwise(acc["large_left"]).alias("large_left"),
             F.when(close, F.concat(acc["cuts"], F.array(x["g"].cast("long")))).otherwise(acc["cuts"]).alias("cuts"),
+            *[acc[c].alias(c) for c in ("capacity", "starts", "runs")],
         )
 
     return one.select(F.aggregate("all", zero, step, lambda acc: acc["cuts"]).alias("cuts")).first()["cuts"]
