@@ -1,18 +1,21 @@
 """Personal data by bootstrapped contextual extraction.
 
 Regular expressions find the seed entities. Every identifier-like token is an instance; what stands before
-it and the character after it make a lexical pattern. On the graph of patterns and instances, patterns are
-scored by the instances they hold and instances by the patterns that hold them, in turn; instances of
-patterns that end up with a high score are new entities of the pattern's kind. All of it is built-in
-functions: matches and the text between them give the places, aggregations give the scores.
+it and the character after it make a lexical pattern. Seeds are known instances at first. In each round
+patterns are scored by the known instances they hold, and the other instances of confident patterns become
+known of that kind, worth what their patterns are worth; so instances that were discovered induce further
+patterns in the next round. All of it is built-in functions: folds over the matches of a text give the
+places, joins and aggregations give the scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm.common import table, text_of, written
+from kinetrace.llm.common import joined_evenly, table, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the seeds of each kind look like. A seed may start only where no earlier start could
@@ -24,25 +27,58 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: An instance: a run of identifier characters, six or more, one of them a digit or an at sign.
-_TOKEN = r"(?<![A-Za-z0-9._%+@:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9._%+@:/-]{6,}+"
-#: A pattern needs so many different instances and ends with at least this score to discover others; the
-#: graph is scored so many times.
+_TOKEN = r"(?<![A-Za-z0-9._%+@:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9._%+@:/-]{6,}+"  # _LEAST
+#: A pattern needs so many different instances and at least this score to discover others; the graph is scored
+#: so many times, and an identifier can be so many patterns away from a seed.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 _LEFT = 40
+#: Least characters of an instance: so many instances before one cover the characters on its left.
+_LEAST = 6
+_NO_PAIRS = "array<struct<gap:string,hit:string,next:string>>"
+
+
+def running(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state of a fold over longs, from -1, after each item. Blocks of the square root of their number are
+    folded one by one, so that a long array is not copied for each of its items. ``items`` must be a plain
+    column, as every block reads it."""
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items)))).cast("int")
+    last_block = F.greatest(F.ceil(F.size(items) / size).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last_block), lambda b: F.slice(items, b * size + 1, size))
+    none, first = F.array().cast("array<bigint>"), F.lit(-1).cast("long")
+
+    def grown(acc: Column, block: Column) -> Column:
+        before = F.array(F.coalesce(F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(-1)), first))
+        return F.concat(acc, F.array(F.aggregate(block, before, lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))), lambda a: F.slice(a, 2, F.size(a)))))
+
+    return F.flatten(F.aggregate(blocks, F.array(none).cast("array<array<bigint>>"), grown))
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    """array<struct(gap, hit, next)>: each match with the text between it and the matches around it."""
+    between = F.split(text, pattern, -1)
+    zipped = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(between, 2, F.size(between)).alias("next"))
+    return F.filter(zipped, lambda x: x["hit"].isNotNull())
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct(start, end, value)> of all matches, in code points, the end exclusive."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(between.alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("all"))
+def _with_places(rows: DataFrame, pairs: Column, name: str) -> DataFrame:
+    """Adds array<struct(start, end, value, left, after)> of matches, in code points, the end exclusive: with the
+    characters on the left, at most _LEFT, and the one after. They come from the matches before, so nothing is
+    looked up by its place in a long text."""
+    rows = rows.withColumn("__pairs", pairs)
+    rows = rows.withColumn("__steps", F.transform("__pairs", lambda x: (F.char_length(x["gap"]) + F.char_length(x["hit"])).cast("long")))
+    rows = rows.withColumn("__ends", running(F.col("__steps"), lambda now, x: F.greatest(now, F.lit(0)) + x))
+    near = _LEFT // _LEAST + 1
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("all"))
+    def left(i: Column) -> Column:
+        first = F.greatest(i - near + 1, F.lit(1))
+        before = F.transform(F.slice("__pairs", first, i + 1 - first), lambda x: F.concat(F.right(x["gap"], F.lit(_LEFT)), x["hit"]))
+        return F.right(F.concat(F.array_join(before, ""), F.right(F.element_at("__pairs", i + 1)["gap"], F.lit(_LEFT))), F.lit(_LEFT))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["all"])
+    def place(x: Column, i: Column) -> Column:
+        end = F.element_at("__ends", i + 1)
+        return F.struct((end - F.char_length(x["hit"])).cast("int").alias("start"), end.cast("int").alias("end"), x["hit"].alias("value"), left(i).alias("left"), F.left(x["next"], F.lit(1)).alias("after"))
+
+    return rows.withColumn(name, F.transform("__pairs", place)).drop("__pairs", "__steps", "__ends")
 
 
 def _digits(value: Column) -> Column:
@@ -62,19 +98,23 @@ def luhn(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add) % 10 == 0
 
 
-def seeds(text: Column) -> dict[str, Column]:
-    """By kind, array<struct(start, end, value)>; texts that lack a kind's sign are not searched."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    all_of = {k: _located(text, p) for k, p in PATTERNS.items()}
-    small = F.filter(all_of["ip"], lambda m: ~F.exists(F.split(m["value"], r"\."), lambda x: x.cast("double") > 255))
-    dialled = F.filter(all_of["phone"], lambda m: F.length(_digits(m["value"])).between(9, 15))
-    has_digit = text.rlike("[0-9]")
-    return {
-        "email": F.when(F.contains(text, F.lit("@")), all_of["email"]).otherwise(none),
-        "ip": F.when(has_digit & text.rlike(PATTERNS["ip"]), small).otherwise(none),
-        "card": F.when(has_digit & text.rlike(PATTERNS["card"]), F.filter(all_of["card"], lambda m: luhn(m["value"]))).otherwise(none),
-        "phone": F.when(F.contains(text, F.lit("+")), dialled).otherwise(none),
-    }
+def _sound(kind: str, found: Column) -> Column:
+    """The matches of a kind that are seeds."""
+    if kind == "ip":
+        return F.filter(found, lambda m: ~F.exists(F.split(m["value"], r"\."), lambda x: x.cast("double") > 255))
+    if kind == "card":
+        return F.filter(found, lambda m: luhn(m["value"]))
+    return F.filter(found, lambda m: F.length(_digits(m["value"])).between(9, 15)) if kind == "phone" else found
+
+
+def _with_seeds(rows: DataFrame) -> DataFrame:
+    """Adds a column for each kind, array<struct(start, end, …)>; texts that lack a kind's sign are not searched."""
+    text = F.col("text")
+    signs = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(PATTERNS["ip"]), "card": text.rlike(PATTERNS["card"]), "phone": F.contains(text, F.lit("+"))}
+    for kind in KINDS:
+        rows = _with_places(rows, F.when(signs[kind], _pairs(text, PATTERNS[kind])).otherwise(F.array().cast(_NO_PAIRS)), kind)
+        rows = rows.withColumn(kind, _sound(kind, F.col(kind)))
+    return rows
 
 
 def _spans(kinds: dict[str, Column]) -> Column:
@@ -91,52 +131,72 @@ def _shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _context(text: Column, m: Column) -> Column:
+def _context(m: Column) -> Column:
     """The two words before an instance, digits as 9, lower-cased, and the character after it."""
-    near = F.substring(text, F.greatest(m["start"] - _LEFT + 1, F.lit(1)), F.least(m["start"], F.lit(_LEFT)))
-    left = F.regexp_extract(near, r"(\S*\s*\S*\s*)$", 1)
+    left = F.regexp_extract(m["left"], r"(\S*\s*\S*\s*)$", 1)
     left = F.regexp_replace(F.regexp_replace(F.lower(left), "[0-9]", "9"), r"\s+", " ")
-    return F.concat(left, F.lit("_"), F.substring(text, m["end"] + 1, F.lit(1)))
+    return F.concat(left, F.lit("_"), m["after"])
+
+
+def with_kinds(rows: DataFrame) -> DataFrame:
+    """Adds kinds: for each of ``tokens`` the kind of a seed of ``base`` that it overlaps, or null. Seeds and tokens
+    are sorted once; a fold carries the farthest end so far of a seed, one in reverse the next start of one, each
+    with its kind in the last three bits."""
+    seeds = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(False).alias("token"), s["end"].alias("end"), s["kind"].alias("kind")))
+    tokens = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), F.lit(True).alias("token"), t["end"].alias("end"), F.lit(None).cast("int").alias("kind")))
+    coded = lambda edge: lambda e: F.when(e["token"], -1).otherwise(e[edge] * 8 + e["kind"]).cast("long")
+    rows = rows.withColumn("__events", F.array_sort(F.concat(seeds, tokens)))
+    rows = rows.withColumns({"__forth": F.transform("__events", coded("end")), "__back": F.reverse(F.transform("__events", coded("start")))})
+    over = running(F.col("__forth"), lambda now, x: F.greatest(now, x))
+    inside = F.reverse(running(F.col("__back"), lambda now, x: F.when(x < 0, now).otherwise(x)))
+    rows = rows.withColumn("__found", F.filter(F.arrays_zip(F.col("__events").alias("e"), over.alias("over"), inside.alias("inside")), lambda z: z["e"]["token"]))
+    kind = lambda z: F.when(F.shiftright(z["over"], 3) > z["e"]["start"], z["over"] % 8).when((z["inside"] >= 0) & (F.shiftright(z["inside"], 3) < z["e"]["end"]), z["inside"] % 8).cast("int")
+    return rows.withColumn("kinds", F.transform("__found", kind)).drop("__events", "__forth", "__back", "__found")
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h, email, ip, card, phone, mentions): the seeds of each text and its instances, each with its
-    value, its pattern and the kind of the seed it overlaps, or null."""
+    """(doc_id, h, base, n_email, n_ip, n_card, n_phone, mentions): the seeds of each text and its instances, each
+    with its value, its pattern and the kind of a seed it overlaps, or null. Regular expressions and folds take
+    time in proportion to the text; only the copies of folded longs grow faster, with the power 1.5 of the
+    number of matches."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", *[c.alias(k) for k, c in seeds(F.col("text")).items()])
+    rows = _with_seeds(rows.select("doc_id", F.xxhash64("text").alias("h"), "text"))
     rows = rows.withColumn("base", _spans({k: F.col(k) for k in KINDS}))
-    marked = F.col("text").rlike("[0-9@]")
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    rows = rows.withColumn("tokens", F.when(marked, _located(F.col("text"), _TOKEN)).otherwise(none))
-
-    def kind_at(m: Column) -> Column:
-        over = F.filter("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-        return F.try_element_at(F.transform(over, lambda s: s["kind"]), F.lit(1))
-
-    mentions = F.transform("tokens", lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), F.sha1(m["value"].cast("binary")).alias("value"),
-        _context(F.col("text"), m).alias("pattern"), kind_at(m).alias("kind"),
+    pairs = F.when(F.col("text").rlike("[0-9@]"), _pairs(F.col("text"), _TOKEN)).otherwise(F.array().cast(_NO_PAIRS))
+    rows = with_kinds(_with_places(rows, pairs, "tokens"))
+    mentions = F.transform(F.arrays_zip("tokens", "kinds"), lambda z: F.struct(
+        z["tokens"]["start"].alias("start"), z["tokens"]["end"].alias("end"), F.sha1(z["tokens"]["value"].cast("binary")).alias("value"),
+        _context(z["tokens"]).alias("pattern"), z["kinds"].alias("kind"),
     ))
     return rows.select("doc_id", "h", "base", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], mentions.alias("mentions"))
 
 
 def confident_patterns(mentions: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, score) of the patterns that may discover. ``mentions`` has (value, pattern, kind).
+    """(pattern, found, score, size) of the patterns that may discover instances of the kind ``found``; size is how
+    often a pattern occurs. ``mentions`` has (value, pattern, kind).
 
-    A pattern's score for a kind is the mean score of its different instances; an instance is worth 1 if a
-    seed covers it anywhere, and else the chance that at least one of its patterns is right.
+    A pattern's score for a kind is the sum of what its known instances of that kind are worth over the number
+    of its different instances. An instance that a seed covers anywhere is worth 1; one that confident patterns
+    hold is worth the chance that at least one of them is right. Patterns and instances that very many rows
+    have are dealt over many tasks.
     """
-    edges = written(mentions.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
-    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.mode("kind", True).alias("of")).where((F.col("n") >= support) & F.col("of").isNotNull())
-    edges = written(edges.join(wide, "pattern"), "graph")
-    scores = edges.groupBy("pattern", "of", "n").agg((F.sum(F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)) / F.col("n")).alias("score"))
+    edges = written(mentions.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("m")), "edges")
+    sizes = written(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("size")).where(F.col("n") >= support), "sizes")
+    graph = written(joined_evenly(edges.drop("m"), sizes.withColumn("m", F.col("size")), "pattern", "m", ["value"]), "graph")
+    values = written(graph.groupBy("value").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("uses")), "values")
+    seeds = values.where("kind IS NOT NULL").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("worth"), "uses")
+    known, good = seeds, None
     for _ in range(rounds):
-        known = edges.join(scores.select("pattern", "score"), "pattern")
+        held = joined_evenly(graph.drop("kind"), known, "value", "uses", ["pattern"])
+        scores = held.groupBy("pattern", "of", "n", "size").agg((F.sum("worth") / F.col("n")).alias("score"))
+        best = scores.where(F.col("score") >= confidence).groupBy("pattern", "size").agg(F.max(F.struct("score", -F.col("of"), "of")).alias("b"))
+        good = written(best.select("pattern", F.col("b.of").alias("found"), F.col("b.score").alias("score"), "size"), "patterns")
+        reached = joined_evenly(graph.drop("kind", "n", "size"), good, "pattern", "size", ["value"])
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score"))))
-        worth = known.groupBy("value", "of").agg(F.when(F.max(F.when(F.col("kind") == F.col("of"), 1)) == 1, 1.0).otherwise(1 - F.exp(doubt)).alias("worth"))
-        again = edges.join(worth, ["value", "of"]).groupBy("pattern", "of", "n").agg((F.sum("worth") / F.col("n")).alias("score"))
-        scores = written(again, "scores")
-    return scores.where(F.col("score") >= confidence).select("pattern", F.col("of").alias("found"), "score")
+        votes = reached.groupBy("value", "found").agg((1 - F.exp(doubt)).alias("worth")).groupBy("value").agg(F.max(F.struct("worth", -F.col("found"), "found")).alias("b"))
+        fresh = values.where("kind IS NULL").join(votes, "value").select("value", F.col("b.found").alias("of"), F.col("b.worth").alias("worth"), "uses")
+        known = written(seeds.unionByName(fresh), "known")
+    return good
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +209,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each = seen.where(F.size("mentions") > 0).select("doc_id", "h", F.explode("mentions").alias("m")).select("doc_id", "h", "m.*")
     good = confident_patterns(each.select("value", "pattern", "kind"))
     found = (
-        each.where("kind IS NULL").join(good, "pattern").groupBy("doc_id", "h")
+        joined_evenly(each.where("kind IS NULL").drop("value"), good, "pattern", "size", ["doc_id", "h", "start"]).groupBy("doc_id", "h")
         .agg(F.collect_set(F.struct("start", F.col("found").alias("kind"), "end")).alias("more"))
         .select(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), "more")
     )

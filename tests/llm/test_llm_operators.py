@@ -215,6 +215,51 @@ def test_contexts_discover(spark):
     assert got[100] == "email:21:37" and got[101] == got[102] == ""
 
 
+@pytest.mark.parametrize("heavy", [1000, 3])
+def test_discovered_instances_induce_patterns(spark, heavy, monkeypatch):
+    """Identifiers two patterns away from any seed, beside numbers that no pattern of a seed holds."""
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    monkeypatch.setattr(pii, "joined_evenly", lambda *a: common.joined_evenly(*a, heavy=heavy, parts=5))
+    texts = [f"write to reach me at u{i}@example.com today" for i in range(150)] + [f"write to reach me at user{i}@intranet today" for i in range(12)]
+    second = [f"my handle there is user{i}@intranet, thanks" for i in range(14)]  # two are in no first context
+    noise = [f"the total came to {100000 + i} units" for i in range(60)]
+    rows = list(enumerate(texts + second + noise))
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = {i: t.index("user") for i, t in rows if "@intranet" in t}
+    caught = sum(got[i].startswith(f"email:{at}:") for i, at in wanted.items())
+    assert caught / len(wanted) >= 0.9 and got[174].startswith("email:") and got[175].startswith("email:")
+    assert all(got[i] == "" for i, t in rows if "total" in t)
+
+
+def test_kinds_of_tokens(spark):
+    """The fold over seeds and tokens against comparing all with all, over several blocks."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        seeds = [(a := rng.randrange(400), False, a + rng.randrange(1, 9), rng.randrange(4)) for _ in range(rng.randrange(90))]
+        at, tokens = 0, []
+        while at < 400:
+            at += rng.randrange(1, 7)
+            tokens.append((at, True, at + (n := rng.randrange(1, 8)), None))
+            at += n
+        rows.append((k, sorted(seeds + tokens, key=lambda e: e[:3])))
+    df = spark.createDataFrame([(k, [e for e in es if not e[1]], [e for e in es if e[1]]) for k, es in rows], "k long, base array<struct<start:int,token:boolean,end:int,kind:int>>, tokens array<struct<start:int,token:boolean,end:int,kind:int>>")
+    for r in pii.with_kinds(df).collect():
+        seeds = [e for e in rows[r.k][1] if not e[1]]
+        for e, kind in zip([e for e in rows[r.k][1] if e[1]], r.kinds, strict=True):
+            over = {s[3] for s in seeds if s[0] < e[2] and e[0] < s[2]}
+            assert kind in over if over else kind is None
+
+
+def test_long_text_of_addresses(spark):
+    import time
+
+    text = " ".join(f"mail user{i}@example.org or 10.0.{i % 256}.1," for i in range(25_000))
+    start = time.time()
+    r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_email, r.n_ip) == (25_000, 25_000) and len(text) > 900_000 and time.time() - start < 60
+
+
 def test_decontamination(spark, docs, texts, nothing):
     long, short = texts[9][1], "third item"
     items = spark.createDataFrame([(1, long), (20, " ".join(texts[8][1].split()[5:25])), (3, short), (4, None), (5, ""), (None, "nicht FÜR dich"), (6, "É é")], "item_id long, text string")
