@@ -9,9 +9,12 @@ verified on their full shingle sets. A pair of exactly 0.75 misses all 32 bands
 Documents with one set are one class from the start, represented by a digest of the set. Candidate buckets
 are worked through twice. The first pass takes two bands and cuts large buckets into blocks; the links it
 confirms join most classes into components. The second pass takes every band and those buckets alone whose
-members are in different components. A large one deals out the members of its largest component over
-blocks and copies only the others to each, so every candidate pair between components is compared once and
-no task holds an unbounded bucket of near copies.
+members are in different components. A large one is cut into blocks, the members of its largest component
+apart from the others, and each pair of blocks that may hold a link is a tile: every candidate pair between
+components is compared once, no task holds more than two blocks, and blocks of one component never meet.
+
+A word is known by 64 bits of a BLAKE2 digest, and a shingle by a mix of its words' bits in their order. Sets
+of one shingle are told apart by 128 bits of a digest of the words themselves.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from kinetrace.llm.common import is_set, key_bitmap, table, text_of, written
+from kinetrace.llm.common import is_set, joined_evenly, key_bitmap, table, text_of, written
 from kinetrace.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -41,25 +44,21 @@ BLOCK = 2048
 SLACK = 4.5
 
 _SEED = np.random.default_rng(20240229)
-_BYTE = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MUL = _SEED.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, REGISTERS, dtype=np.uint64)
-#: Words cut into shingles at a time.
-_WORDS = 8192
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words cut into shingles at a time, and words whose digests a task keeps.
+_WORDS, _KEPT = 1 << 16, 1 << 19
+
 
+class _Words(dict):
+    """Digests of words, each computed once while it is kept."""
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    size = max(1 << 16, 1 << (n - 1).bit_length())
-    if size not in _POWERS:
-        def run(base: int) -> np.ndarray:
-            return np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]))
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
 
-        _POWERS.clear()
-        _POWERS[size] = run(_BASE), run(pow(_BASE, -1, 2**64))
-    return _POWERS[size]
+
+_words = _Words()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -68,10 +67,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the different shingles; of all words as one if they are fewer. Words part at
-    ASCII white space, A-Z lower-cased."""
-    words = text.encode().lower().split()
+def words_of(text: str) -> list[bytes]:
+    """Words part at ASCII white space, A-Z lower-cased."""
+    return text.encode().lower().split()
+
+
+def shingle_set(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles; of all words as one if they are fewer."""
     if len(words) < width:
         width = max(1, len(words))
     blocks = [_shingles(words[i : i + _WORDS + width - 1], width) for i in range(0, len(words) - width + 1, _WORDS)]
@@ -79,13 +81,21 @@ def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
 
 
 def _shingles(words: list[bytes], width: int) -> np.ndarray:
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)
-    up, down = _powers(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)])])
-    start = np.concatenate([[0], ends[: len(ends) - width] + 1])
-    end = ends[width - 1 :]
-    return _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    if len(_words) > _KEPT:
+        _words.clear()
+    known = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    n = len(words) - width + 1
+    h = np.full(n, np.uint64(width))
+    for k in range(width):
+        h = _mixed(h + known[k : k + n])
+    return h
+
+
+def set_digest(words: list[bytes], hashes: np.ndarray) -> bytes | None:
+    """128 bits that stand for the set: of its hashes, or of the words where it is one shingle."""
+    if not len(hashes):
+        return None
+    return hashlib.blake2b(b" ".join(words[:SHINGLE]) if len(hashes) == 1 else hashes.tobytes(), digest_size=16, person=b"one" if len(hashes) == 1 else b"set").digest()
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -134,9 +144,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sets: bool = False) ->
         for batch in batches:
             n, digest, out = [], [], []
             for x in batch.column(2):
-                s = shingle_set(x.as_py())
+                words = words_of(x.as_py())
+                s = shingle_set(words)
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(set_digest(words, s))
                 out.append((s if sets else registers(s)).tobytes() if len(s) else None)
             head = [] if sets else [batch.column(0), batch.column(1), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*head, pa.array(digest, pa.binary()), pa.array(out, pa.binary())], names=["digest", "hashes"] if sets else ["doc_id", "h", "n", "digest", "registers"])
@@ -162,28 +173,29 @@ def _buckets(classes: DataFrame, first: int) -> DataFrame:
     return written(rows.select("digest", "root", "band", "key"), "buckets")
 
 
-class _Block:
-    """Members of one block of a bucket and the candidate pairs among them. Members are (digest, n, registers,
-    root, common). A pair is left to the first band that it shares; in blocks after the first, two members
-    that are not common are left out, as the first block has them too."""
+class _Tile:
+    """Members of a tile of a bucket and the candidate pairs among them. Members are (digest, n, registers, root,
+    block). A pair is left to the first band that it shares; in a tile of two blocks the pairs inside one block
+    are left out, as the tile of that block alone has them."""
 
-    def __init__(self, group: list[tuple], band: int, block: int):
-        self.band, self.home = band, block == 0
+    def __init__(self, group: list[tuple], band: int, tile: int):
+        self.band, self.one = band, _lower(tile) == _upper(tile)
         self.n = np.array([g[1] for g in group], np.float64)
         self.registers = np.stack([np.frombuffer(g[2], np.uint16) for g in group])
         names: dict[bytes, int] = {}
         self.component = np.array([names.setdefault(g[3], len(names)) for g in group])
-        self.common = np.array([g[4] for g in group])
+        self.block = np.array([g[4] for g in group])
         self.bands = self.registers.view(np.uint64).reshape(len(group), BANDS)
         need = PERCENT / 100
         self.least = need - SLACK * (need * (1 - need) / REGISTERS) ** 0.5
 
     def before(self, i: int) -> np.ndarray:
         """Members before the i-th that could be its near duplicates, are in other components, and are to be
-        compared here; the most similar first."""
-        other = np.flatnonzero(self.component[:i] != self.component[i])
-        if not self.home and not self.common[i]:
-            other = other[self.common[other]]
+        compared here; the most similar first. Classes of one shingle each are different, whatever their hashes."""
+        fits = (self.component[:i] != self.component[i]) & (self.n[:i] + self.n[i] > 2)
+        if not self.one:
+            fits &= self.block[:i] != self.block[i]
+        other = np.flatnonzero(fits)
         other = other[np.minimum(self.n[other], self.n[i]) * 100 >= PERCENT * np.maximum(self.n[other], self.n[i])]
         if self.band and len(other):
             other = other[~(self.bands[other, : self.band] == self.bands[i, : self.band]).any(1)]
@@ -194,9 +206,21 @@ class _Block:
         return other[order[: int((guess >= self.least).sum())]]
 
 
-def _promising(group: list[tuple], band: int, block: int) -> np.ndarray:
+#: Blocks of one bucket are numbered below this; a tile is the lower of its two blocks times this and the upper.
+_MOST_BLOCKS = 1 << 31
+
+
+def _lower(tile: int) -> int:
+    return tile // _MOST_BLOCKS
+
+
+def _upper(tile: int) -> int:
+    return tile % _MOST_BLOCKS
+
+
+def _promising(group: list[tuple], band: int, tile: int) -> np.ndarray:
     """Which members have a candidate."""
-    held, out = _Block(group, band, block), np.zeros(len(group), bool)
+    held, out = _Tile(group, band, tile), np.zeros(len(group), bool)
     for i in range(1, len(group)):
         other = held.before(i)
         if len(other):
@@ -205,10 +229,10 @@ def _promising(group: list[tuple], band: int, block: int) -> np.ndarray:
     return out
 
 
-def _linked(group: list[tuple], band: int, block: int) -> Iterator[tuple[bytes, bytes]]:
+def _linked(group: list[tuple], band: int, tile: int) -> Iterator[tuple[bytes, bytes]]:
     """Links between members of different components, verified on their full sets (a last field of members).
     Components join as links are found, so there is at most one link fewer than members."""
-    held = _Block(group, band, block)
+    held = _Tile(group, band, tile)
     component, hashes = held.component, [np.frombuffer(g[5], np.uint64) for g in group]
     for i in range(1, len(group)):
         other = held.before(i)
@@ -230,8 +254,8 @@ def _linked(group: list[tuple], band: int, block: int) -> Iterator[tuple[bytes,
                     component[component == component[i]] = component[j]
 
 
-def _by_block(rows: DataFrame, fields: list[str], use: Callable[[tuple, list[tuple]], list[tuple]], kinds: str) -> DataFrame:
-    """Gives each block (band, key, block) of ``rows`` to ``use`` as tuples of its other fields."""
+def _by_tile(rows: DataFrame, fields: list[str], use: Callable[[tuple, list[tuple]], list[tuple]], kinds: str) -> DataFrame:
+    """Gives each tile (band, key, tile) of ``rows`` to ``use`` as tuples of its other fields."""
     schema = _parse_datatype_string(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,24 +275,24 @@ def _by_block(rows: DataFrame, fields: list[str], use: Callable[[tuple, list[tup
         if len(held) > 1 and (out := use(now, held)):
             yield told(out)
 
-    dealt = rows.select("band", "key", "block", *fields).repartition("band", "key", "block")
-    return dealt.sortWithinPartitions("band", "key", "block", "digest").mapInArrow(run, kinds)
+    dealt = rows.select("band", "key", "tile", *fields).repartition("band", "key", "tile")
+    return dealt.sortWithinPartitions("band", "key", "tile", "digest").mapInArrow(run, kinds)
 
 
 def _with_candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members that have a candidate in their block, so that only their sets travel."""
+    """The members that have a candidate in their tile, so that only their sets travel."""
     def use(at: tuple, group: list[tuple]) -> list[tuple]:
         return [(*at, g[0], g[3], g[4]) for g, yes in zip(group, _promising(group, at[0], at[2])) if yes]
 
     full = members.join(classes.select("digest", "n", "registers"), "digest")
-    return _by_block(full, ["digest", "n", "registers", "root", "common"], use, "band int, key long, block int, digest binary, root binary, common boolean")
+    return _by_tile(full, ["digest", "n", "registers", "root", "block"], use, "band int, key long, tile long, digest binary, root binary, block long")
 
 
 def _confirmed(members: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(a, b): confirmed links among ``members`` (band, key, block, digest, root, common); ``hashes`` has the
+    """(a, b): confirmed links among ``members`` (band, key, tile, digest, root, block); ``hashes`` has the
     sets and registers of their classes."""
     full = members.join(hashes, "digest")
-    return _by_block(full, ["digest", "n", "registers", "root", "common", "hashes"], lambda at, group: list(_linked(group, at[0], at[2])), "a binary, b binary")
+    return _by_tile(full, ["digest", "n", "registers", "root", "block", "hashes"], lambda at, group: list(_linked(group, at[0], at[2])), "a binary, b binary")
 
 
 def _hashes_of(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -282,22 +306,34 @@ def _hashes_of(docs: DataFrame, id_col: str, text_col: str, members: DataFrame,
     return sketches(rows, "doc_id", "text", sets=True).where("digest IS NOT NULL").dropDuplicates(["digest"]).join(wanted.select("digest", "n", "registers"), "digest")
 
 
+def _tile(a: Column, b: Column) -> Column:
+    return F.least(a, b) * _MOST_BLOCKS + F.greatest(a, b)
+
+
 def _first_pass(classes: DataFrame) -> DataFrame:
+    """Members of buckets for the first bands, each in a tile of one block."""
     rows = _buckets(classes, FIRST_BANDS)
-    size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "k_"), "sizes")
-    block = F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    return rows.join(size, F.col("key") == F.col("k_")).select("band", "key", block.alias("block"), "digest", "root", F.lit(True).alias("common"))
+    size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    rows = joined_evenly(rows, size.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "key", "size", ["digest"])
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
+    return rows.select("band", "key", _tile(block, block).alias("tile"), "digest", "root", block.alias("block"))
 
 
 def _second_pass(classes: DataFrame) -> DataFrame:
+    """Members of buckets with two components or more, for every tile that may hold a link between components.
+    Blocks of the largest component come first and meet only blocks of others; a bucket of one block is a tile."""
     rows = _buckets(classes, BANDS)
     by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-    mixed = written(mixed.select(F.col("key").alias("k_"), F.col("most")["root"].alias("common_root"), F.ceil(F.col("most")["n"] / BLOCK).cast("int").alias("blocks")), "mixed")
-    common = F.col("root") == F.col("common_root")
-    mine = F.array(F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    dealt = F.when(common | (F.col("blocks") == 1), mine).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.join(mixed, F.col("key") == F.col("k_")).select("band", "key", F.explode(dealt).alias("block"), "digest", "root", common.alias("common"))
+    mixed = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    most, small = F.col("most")["n"], F.col("size") <= BLOCK
+    mixed = mixed.select("key", "size", F.col("most")["root"].alias("common_root"), F.when(small, 0).otherwise(blocks(most)).cast("long").alias("common_blocks"), F.when(small, 1).otherwise(blocks(F.col("size") - most)).cast("long").alias("other_blocks"))
+    rows = joined_evenly(rows, written(mixed, "mixed"), "key", "size", ["digest"])
+    c, o, h = F.col("common_blocks"), F.col("other_blocks"), F.xxhash64("digest")
+    common = (c > 0) & (F.col("root") == F.col("common_root"))
+    rows = rows.withColumn("block", F.when(common, F.pmod(h, F.greatest(c, F.lit(1)))).otherwise(c + F.pmod(h, o)))
+    meets = F.sequence(F.when(common, c).otherwise(F.lit(0)), c + o - 1)  # others meet every block, their own included
+    return rows.withColumn("with", F.explode(meets)).select("band", "key", _tile(F.col("block"), F.col("with")).alias("tile"), "digest", "root", "block")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

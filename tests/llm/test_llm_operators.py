@@ -342,10 +342,39 @@ def test_estimates_are_near():
 
 
 def test_shingles_of_long_texts_meet_across_blocks(monkeypatch):
-    t = words(random.Random(0), 500)
+    t = words(random.Random(0), 500).encode().split()
     whole = near_dedup.shingle_set(t)
     monkeypatch.setattr(near_dedup, "_WORDS", 7)
-    assert np.array_equal(whole, near_dedup.shingle_set(t)) and len(whole) == len({tuple(t.split()[i : i + 5]) for i in range(496)})
+    monkeypatch.setattr(near_dedup, "_KEPT", 10)
+    assert np.array_equal(whole, near_dedup.shingle_set(t)) and len(whole) == len({tuple(t[i : i + 5]) for i in range(496)})
+
+
+def test_texts_that_polynomial_hashes_confuse(spark):
+    """A Thue-Morse word and its complement, of one length and with the same sum under every odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word), (4, "x" * 3_000_000)]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (4, 1)}
+
+
+def test_unlike_members_of_one_bucket_are_cut_into_tiles(spark, monkeypatch):
+    """Every document shares a band with every other; few are linked, some across blocks."""
+    rng = random.Random(12)
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
+    monkeypatch.setattr(near_dedup, "_buckets", lambda classes, first: classes.select("digest", "root", F.lit(0).alias("band"), F.lit(7).cast("long").alias("key")))
+    rows = []
+    for i in range(700):
+        w = words(rng, 12).split()
+        rows.append((2 * i, " ".join(w)))
+        if i % 7 == 0:
+            rows.append((2 * i + 1, " ".join([*w, "more"])))
+    rows += [(5000 + i, " ".join(["same"] * 30 + [f"w{j}" for j in range(40)] + [f"v{i}"])) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = near_dedup.sketches(docs, "doc_id", "text").groupBy("digest").agg(F.first("n").alias("n"), F.first("registers").alias("registers")).withColumn("root", F.col("digest"))
+    tiles = near_dedup._second_pass(seen)
+    assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] <= 3 * 2 * 50 and tiles.select("tile").distinct().count() > 100
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == plain_components(rows)
 
 
 def test_components(spark):
