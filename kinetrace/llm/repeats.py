@@ -4,12 +4,14 @@ A passage repeats if a string of 200 bytes starts at two places. Every such stri
 50-byte string inside it with the smallest hash, so equal strings own equal anchors at equal offsets and
 only suffixes that start at anchors need sorting. Anchors seen once anywhere are dropped by a bitmap of
 bounded size. The others go, with the bytes around them, to the task of their anchor, where an index family
-takes them in batches: a batch is sorted into a suffix array, scanned side by side with each level for
-suffixes that agree in at least the anchor, and merged with the last level while that is no larger. The
-strings of 200 bytes around suffixes that meet are then compared by 64-bit hashes.
-
-An anchor with a large share of all places would need one task; its strings are spread by their hashes
-instead and counted by an aggregation.
+takes them in batches: a batch is sorted into a suffix array, scanned side by side with each level, and
+merged with the last level while that is no larger. The scan gives each suffix its longest common extension
+with a neighbour in another array, and only strings that end inside that extension can repeat; these are
+grouped by hashes and compared byte by byte.
+
+An anchor with very many places would need one task; its strings are spread by their hashes of 128 bits
+instead and counted by an aggregation. What repeats within one task's documents is settled before the index:
+only the first of equal surroundings of an anchor travels.
 """
 
 from __future__ import annotations
@@ -22,31 +24,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm.common import table, text_of, written
+from kinetrace.llm.common import joined_evenly, table, text_of, written
 
 LENGTH, ANCHOR = 200, 50
-#: Suffixes in a batch, and about how many a task indexes.
-BATCH, PER_TASK = 1 << 15, 60_000
-#: Bits of the bitmap of repeated anchors for each of them, and the most in all (128 MB).
+#: Suffixes in a batch, about how many a family indexes, and the most tasks; more suffixes make more families,
+#: one after the other in a task.
+BATCH, PER_FAMILY, MOST_TASKS = 1 << 15, 60_000, 20_000
+#: Bits of the bitmaps of repeated and of hot anchors for each of them, and the most in all (128 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 30
-#: An anchor is counted by an aggregation if it has more than so many places and one in HOT_PART of all.
-HOT_PLACES, HOT_PART = 20_000, 4096
+#: An anchor with more places is counted by an aggregation.
+HOT_PLACES = 4000
 
 _SEED = np.random.default_rng(19880501)
-_BYTE = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 1 << 16
-_UP = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_STEP + 1023, _BASE, np.uint64)]))
-_DOWN = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_STEP + 1023, pow(_BASE, -1, 2**64), np.uint64)]))
 
 
-def grams(data: np.ndarray, width: int) -> np.ndarray:
+class _Polynomial:
+    """Weights of bytes, and powers of an odd base and of its inverse modulo 2**64."""
+
+    def __init__(self, base: int):
+        self.byte = _SEED.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(_STEP + 1023, b, np.uint64)])) for b in (base, pow(base, -1, 2**64)))
+
+
+_FIRST, _SECOND = _Polynomial(0x9E3779B97F4A7C15), _Polynomial(0xC2B2AE3D27D4EB4F)
+
+
+def grams(data: np.ndarray, width: int, by: _Polynomial = _FIRST) -> np.ndarray:
     """64-bit hashes of all strings of ``width`` bytes; the same string has the same hash at every place."""
     out = []
     for i in range(0, len(data) - width + 1, _STEP):
         part = data[i : i + _STEP + width - 1]
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * _UP[: len(part)])])
-        h = (total[width:] - total[:-width]) * _DOWN[: len(part) - width + 1]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(by.byte[part] * by.up[: len(part)])])
+        h = (total[width:] - total[:-width]) * by.down[: len(part) - width + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         out.append(h ^ (h >> np.uint64(32)))
@@ -83,12 +93,19 @@ def _ranges(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.concatenate([first[1:], [len(owner)]]) - 1, owner[first]
 
 
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
 class Family:
     """Suffix arrays of geometric sizes over anchored suffixes."""
 
     def __init__(self):
         self.text: list[bytes] = []
         self.offset: list[int] = []
+        self.reach: list[int] = []  # longest extension from the anchor that a suffix shares with another
         self.repeated: list[np.ndarray] = []
         self.levels: list[list[tuple[bytes, int]]] = []
 
@@ -99,12 +116,12 @@ class Family:
             fresh.append((text[offset:], len(self.text)))
             self.text.append(text)
             self.offset.append(offset)
+            self.reach.append(0)
             self.repeated.append(np.full(strings, known))
         fresh.sort()
         met: set[int] = set()
-        for (a, i), (b, j) in zip(fresh, fresh[1:]):
-            if a[:ANCHOR] == b[:ANCHOR]:
-                met.update((i, j))
+        for a, b in zip(fresh, fresh[1:]):
+            self._meet(a, b, met)
         for level in self.levels:
             self._scan(fresh, level, met)
         self._compare(sorted(met))
@@ -113,56 +130,84 @@ class Family:
             fresh.sort()  # two sorted runs, which the sort merges in one pass
         self.levels.append(fresh)
 
-    @staticmethod
-    def _scan(fresh: list[tuple[bytes, int]], level: list[tuple[bytes, int]], met: set[int]) -> None:
+    def _meet(self, a: tuple[bytes, int], b: tuple[bytes, int], met: set[int]) -> None:
+        if a[0][:ANCHOR] == b[0][:ANCHOR]:
+            n = common(a[0], b[0])
+            for i in (a[1], b[1]):
+                self.reach[i] = max(self.reach[i], n)
+                met.add(i)
+
+    def _scan(self, fresh: list[tuple[bytes, int]], level: list[tuple[bytes, int]], met: set[int]) -> None:
+        """Each suffix of one array meets the nearest ones before and after it in the other: no other shares more."""
         i = j = 0
-        while i < len(fresh) and j < len(level):
-            a, b = fresh[i][0][:ANCHOR], level[j][0][:ANCHOR]
-            if a < b:
-                i += 1
-            elif b < a:
-                j += 1
-            else:
-                while i < len(fresh) and fresh[i][0][:ANCHOR] == a:
-                    met.add(fresh[i][1])
-                    i += 1
-                while j < len(level) and level[j][0][:ANCHOR] == a:
-                    met.add(level[j][1])
-                    j += 1
+        waiting: list[tuple[bytes, int]] = []  # suffixes of one array since the last of the other
+        last: list[tuple[bytes, int] | None] = [None, None]
+        side = 0
+        while i < len(fresh) or j < len(level):
+            now = 0 if j == len(level) or i < len(fresh) and fresh[i][0] <= level[j][0] else 1
+            x = level[j] if now else fresh[i]
+            i, j = i + 1 - now, j + now
+            if now != side:
+                for w in waiting:
+                    self._meet(w, x, met)
+                waiting, side = [], now
+            if last[1 - now]:
+                self._meet(last[1 - now], x, met)
+            last[now] = x
+            waiting.append(x)
+            if waiting[0][0][:ANCHOR] != x[0][:ANCHOR]:
+                waiting = [x]  # those before cannot meet what comes after
 
     def _compare(self, ids: list[int]) -> None:
-        """Marks the strings that occur twice among these suffixes."""
-        if not ids:
+        """Marks the strings that occur twice among these suffixes, of those that their reach allows."""
+        parts = []
+        for i in ids:
+            some = min(len(self.repeated[i]), self.reach[i] + self.offset[i] - LENGTH + 1)
+            if some > 0:
+                parts.append((i, some, self.text[i][: some + LENGTH - 1]))
+        if not parts:
             return
-        hashes = string_hashes([self.text[i] for i in ids])
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order[1:]] == hashes[order[:-1]]
-        twice = np.zeros(len(hashes), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        data = b"".join(p[2] for p in parts)
+        starts = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
+        some = np.array([p[1] for p in parts])
+        place = np.arange(some.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(some)[:-1]]), some)
+        twice = equal_strings(data, place)
         at = 0
-        for i in ids:
-            n = len(self.repeated[i])
-            self.repeated[i] |= twice[at : at + n]
+        for i, n, _ in parts:
+            self.repeated[i][:n] |= twice[at : at + n]
             at += n
 
 
-def string_hashes(texts: list[bytes]) -> np.ndarray:
-    """Hashes of the strings of LENGTH bytes that lie inside one of the texts, text after text."""
-    out, held, size = [], [], 0
-    for i, text in enumerate(texts):
-        held.append(text)
-        size += len(text)
-        if size >= 1 << 20 or i == len(texts) - 1:
-            h = grams(np.frombuffer(b"".join(held), np.uint8), LENGTH)
-            inside = np.ones(len(h), bool)
-            at = 0
-            for x in held[:-1]:
-                at += len(x)
-                inside[at - LENGTH + 1 : at] = False
-            out.append(h[inside])
-            held, size = [], 0
-    return np.concatenate(out)
+def equal_strings(data: bytes, place: np.ndarray) -> np.ndarray:
+    """Which of the strings of LENGTH bytes at these places of ``data`` occur at two of them. Hashes bring
+    candidates together, runs of them are compared byte by byte, and what differs is grouped by its bytes."""
+    hashes = grams(np.frombuffer(data, np.uint8), LENGTH)[place]
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    a, b = order[:-1][same], order[1:][same]
+    out = np.zeros(len(place), bool)
+    if not len(a):
+        return out
+    k = np.argsort(a)  # an index stands in a only once
+    a, b = a[k], b[k]
+    p, q = place[a], place[b]
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(q) != 1), [True]]))
+    doubtful: set[int] = set()
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        x, y, n = int(p[s]), int(q[s]), e - s + LENGTH - 1
+        if data[x : x + n] == data[y : y + n]:
+            out[a[s:e]] = True
+            out[b[s:e]] = True
+        else:
+            doubtful.update(hashes[a[s:e]].tolist())
+    if doubtful:
+        groups: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(np.isin(hashes, np.array(list(doubtful), np.uint64))):
+            groups.setdefault(data[place[i] : place[i] + LENGTH], []).append(int(i))
+        for group in groups.values():
+            if len(group) > 1:
+                out[group] = True
+    return out
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -201,27 +246,41 @@ def _bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _candidates(docs: DataFrame, bitmap, bits: int, hot) -> DataFrame:
+def _candidates(docs: DataFrame, bitmap, bits: int, hot, hot_bits: int) -> DataFrame:
     """Rows for the index, for the aggregation of hot anchors, and for what repeats within one task:
     (doc_id, h, first, last, anchor, text, offset, known, strings). first and last are the places where the
     strings start; ``known`` ones are settled; text is null in rows that carry a settled range, and strings
-    has the hashes of those of a hot anchor."""
+    has two hashes for each string of a hot anchor."""
     low = np.uint64(bits - 1)
     names = ["doc_id", "h", "first", "last", "anchor", "text", "offset", "known", "strings"]
     kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, hot_ones, id_kind = bitmap.value, hot.value, None
+        flags, hot_flags, id_kind = bitmap.value, hot.value, None
         seen: dict[tuple[bytes, int], list] = {}
         rows: list[tuple] = []
 
         def told(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k or id_kind) for c, k in zip(zip(*out), kinds)], names=names)
 
+        def is_hot(anchor: int) -> bool:
+            at = anchor & (hot_bits - 1)
+            return bool(hot_flags[at >> 3] >> (at & 7) & 1)
+
         def flushed() -> Iterator[pa.RecordBatch]:
-            out = [(d, h, a, b, anchor, text, offset, known, None) for (text, offset), (known, d, h, a, b, anchor) in seen.items()]
-            for i in range(0, len(out), 8192):
-                yield told(out[i : i + 8192])
+            out = []
+            for (text, offset), (known, doc, h, a, b, anchor) in seen.items():
+                if is_hot(anchor):
+                    data = np.frombuffer(text, np.uint8)
+                    both = np.stack([grams(data, LENGTH, by).view(np.int64) for by in (_FIRST, _SECOND)], 1).ravel()
+                    out.append((doc, h, a, b, anchor, None, 0, known, both))
+                else:
+                    out.append((doc, h, a, b, anchor, text, offset, known, None))
+                if len(out) >= 8192:
+                    yield told(out)
+                    out = []
+            if out:
+                yield told(out)
             seen.clear()
 
         for batch in batches:
@@ -238,14 +297,8 @@ def _candidates(docs: DataFrame, bitmap, bits: int, hot) -> DataFrame:
                 if not maybe.any():
                     continue
                 doc, h = doc.as_py(), h.as_py()
-                strings = None
                 for i in np.flatnonzero(maybe):
                     a, b, anchor = int(first[i]), int(last[i]), int(hashes[at[i]].view(np.int64))
-                    if anchor in hot_ones:
-                        if strings is None:
-                            strings = grams(data, LENGTH).view(np.int64)
-                        rows.append((doc, h, a, b, anchor, None, 0, False, strings[a : b + 1]))
-                        continue
                     key = (raw[a : b + LENGTH], int(at[i]) - a)
                     before = seen.get(key)
                     if before is None:
@@ -268,36 +321,49 @@ def _candidates(docs: DataFrame, bitmap, bits: int, hot) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, h long, first long, last long, anchor long, text binary, offset int, known boolean, strings array<long>")
 
 
-def _indexed(rows: DataFrame, tasks: int) -> DataFrame:
-    """(doc_id, h, first, last): ranges of strings found to repeat by the index family of each task, and the
+def _indexed(rows: DataFrame, tasks: int, families: int) -> DataFrame:
+    """(doc_id, h, first, last): ranges of strings found to repeat by the index families of each task, and the
     settled ranges, which pass through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, owners, held, kind = Family(), [], [], None
+        family, owners, held, kind, now = Family(), [], [], None, 0
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (kind, pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "h", "first", "last"])
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if held:
+                family.add(held)
+            out: list[tuple] = []
+            for (doc, h, a), marks in zip(owners, family.repeated, strict=True):
+                if marks.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
+                    out += [(doc, h, a + int(s), a + int(e) - 1) for s, e in zip(edges[::2], edges[1::2])]
+                if len(out) >= 8192:
+                    yield told(out)
+                    out = []
+            if out:
+                yield told(out)
+
         for batch in batches:
             kind = batch.schema.field(0).type
             settled = batch.column("text").is_null()
             yield pa.RecordBatch.from_arrays(batch.filter(settled).columns[:4], names=["doc_id", "h", "first", "last"])
-            for doc, h, a, b, text, offset, known in zip(*[c.to_pylist() for c in batch.filter(batch.column("text").is_valid()).columns], strict=True):
+            for doc, h, a, b, text, offset, known, cell in zip(*[c.to_pylist() for c in batch.filter(batch.column("text").is_valid()).columns], strict=True):
+                if cell != now:
+                    yield from finished()
+                    family, owners, held, now = Family(), [], [], cell
                 owners.append((doc, h, a))
                 held.append((text, offset, b - a + 1, known))
                 if len(held) >= BATCH:
                     family.add(held)
                     held = []
-        if held:
-            family.add(held)
-        out: list[tuple] = []
-        for (doc, h, a), marks in zip(owners, family.repeated, strict=True):
-            if marks.any():
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
-                out += [(doc, h, a + int(s), a + int(e) - 1) for s, e in zip(edges[::2], edges[1::2])]
-            if len(out) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (kind, pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "h", "first", "last"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (kind, pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "h", "first", "last"])
+        yield from finished()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sent = rows.where("strings IS NULL").repartition(tasks, "anchor").select("doc_id", "h", "first", "last", "text", "offset", "known")
+    cell = F.pmod(F.xxhash64("anchor", F.lit(11)), F.lit(families)).cast("int").alias("cell") if families > 1 else F.lit(0).alias("cell")
+    sent = rows.where("strings IS NULL").select("doc_id", "h", "first", "last", "text", "offset", "known", cell, "anchor").repartition(tasks, "anchor").drop("anchor")
+    if families > 1:
+        sent = sent.sortWithinPartitions("cell")
     return sent.mapInArrow(run, f"doc_id {kind}, h long, first long, last long")
 
 
@@ -306,20 +372,23 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starts elsewhere. h is the hash of the whole text. Ranges may touch or come twice."""
     docs = _documents(docs, id_col, text_col)
     repeated = written(_anchor_counts(docs), "anchors")
-    some, places = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * some).bit_length()))
-    hot = frozenset(r["anchor"] for r in repeated.where(F.col("n") > max(HOT_PLACES, places // HOT_PART)).select("anchor").collect())  # HOT_PART at most
+    hot = repeated.where(F.col("n") > HOT_PLACES)
+    some, places, hot_ones = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > HOT_PLACES)).first()
+    bits, hot_bits = (min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * n).bit_length())) for n in (some, hot_ones))
     context = docs.sparkSession.sparkContext
-    rows = _candidates(docs, context.broadcast(_bitmap(repeated, bits)), bits, context.broadcast(hot))
-    if hot:
+    rows = _candidates(docs, context.broadcast(_bitmap(repeated, bits)), bits, context.broadcast(_bitmap(hot, hot_bits)), hot_bits)
+    if hot_ones:
         rows = written(rows, "candidates")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-places // PER_TASK))
-    found = _indexed(rows, tasks)
-    if hot:
-        each = rows.where("strings IS NOT NULL").select("doc_id", "h", "first", F.posexplode("strings").alias("i", "string"))
-        twice = written(each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("string").alias("s_")), "strings")
+    wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-places // PER_FAMILY))
+    tasks = min(MOST_TASKS, wanted)
+    found = _indexed(rows, tasks, -(-wanted // tasks))
+    if hot_ones:
+        held = rows.where("strings IS NOT NULL")
+        each = held.select("doc_id", "h", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("strings"), F.lit(2)), lambda i: F.struct(F.element_at("strings", i).alias("a"), F.element_at("strings", i + 1).alias("b")))).alias("i", "string"))
+        twice = written(each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "strings")
         place = F.col("first") + F.col("i")
-        found = found.unionByName(each.join(twice, F.col("string") == F.col("s_")).select("doc_id", "h", place.alias("first"), place.alias("last")))
+        again = joined_evenly(each, twice, "string", "n", ["doc_id", "h", "first", "i"])
+        found = found.unionByName(again.select("doc_id", "h", place.alias("first"), place.alias("last")))
     return found
 
 

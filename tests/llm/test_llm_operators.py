@@ -398,10 +398,11 @@ def plain_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot,batch", [(20_000, 1 << 15), (2, 40)])
-def test_repeats(docs, texts, hot, batch, monkeypatch):
+@pytest.mark.parametrize("hot,tasks,per_family", [(20_000, 20_000, 60_000), (2, 20_000, 60_000), (20_000, 2, 20)])
+def test_repeats(docs, texts, hot, tasks, per_family, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_PLACES", hot)
-    monkeypatch.setattr(repeats, "BATCH", batch)
+    monkeypatch.setattr(repeats, "MOST_TASKS", tasks)
+    monkeypatch.setattr(repeats, "PER_FAMILY", per_family)
     got = collections.Counter(tuple(r) for r in repeats.without_repeats(docs).collect())
     assert got == plain_repeats(texts) and sum(k[2] > 0 for k in got) > 5
 
@@ -420,6 +421,32 @@ def test_family_finds_what_batches_share():
     assert [len(level) for level in family.levels] == [4, 2, 1]
 
 
+@pytest.mark.parametrize("kinds", [2**64, 5])
+def test_family_against_comparing_all_strings(kinds, monkeypatch):
+    """Surroundings of one anchor that share different stretches, in small batches; with ``kinds`` of 5 most strings
+    have a hash that others share."""
+    plain = repeats.grams
+    monkeypatch.setattr(repeats, "grams", lambda *a: plain(*a) % np.uint64(kinds - 1))
+    rng = random.Random(13)
+    anchor = bytes(rng.choices(range(97, 123), k=50))
+    lefts, rights = ([bytes(rng.choices(b"ab", k=3)) * 50 for _ in range(6)] for _ in range(2))
+    rows = []
+    for _ in range(60):
+        a, b = (bytearray(rng.choice(side)) for side in (lefts, rights))
+        for side in (a, b):
+            if rng.random() < 0.7:
+                side[rng.randrange(150)] = rng.randrange(97, 123)
+        left, right = bytes(a[-rng.randrange(100, 150) :]), bytes(b[: rng.randrange(110, 150)])
+        rows.append((left + anchor + right, len(left), len(left) + len(right) + 50 - 199, False))
+    family = repeats.Family()
+    for i in range(0, 60, 7):
+        family.add(rows[i : i + 7])
+    seen = collections.Counter((t[k : k + 200], k - off) for t, off, n, _ in rows for k in range(n))
+    strings = collections.Counter(t[k : k + 200] for t, off, n, _ in rows for k in range(n))
+    assert [m.tolist() for m in family.repeated] == [[strings[t[k : k + 200]] > 1 for k in range(n)] for t, _, n, _ in rows]
+    assert 0 < sum(n > 1 for n in seen.values()) < len(seen)
+
+
 def test_anchors_are_the_smallest_inside():
     data = np.frombuffer(words(random.Random(9), 300).encode(), np.uint8)
     owner, h = repeats.anchors(data)
