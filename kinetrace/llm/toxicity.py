@@ -26,7 +26,7 @@ from kinetrace.llm.common import table
 #: Bounds of the training sample: labelled rows, and code points of each of their texts. Scoring has none.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 50_000
 THRESHOLD = 0.3
-ORDINARY_DICTIONARY, LEVEL = 8192, 19
+ORDINARY_DICTIONARY, SAMPLE_BYTES, LEVEL = 8192, 2000, 19
 WINDOW_BYTES, WORDS_KEPT = 64, 400_000
 #: Of six bytes: with fewer a stem of four saves nothing, with many more zstandard skips places inside the repeats.
 CARRIER = b"s is: "
@@ -51,6 +51,11 @@ def windows(text: str) -> list[bytes]:
     return found
 
 
+def _pieces(text: bytes) -> list[bytes]:
+    """A training text as samples of bounded size, which is what dictionaries are trained on."""
+    return [text[i : i + SAMPLE_BYTES] for i in range(0, len(text), SAMPLE_BYTES)]
+
+
 def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
     """A trained dictionary's bytes; too few samples to train on are their own dictionary."""
     import zstandard
@@ -183,7 +188,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
     total = Counter(y for _, y in texts)
     if not total[0] or not total[1]:
         return None
-    ordinary = _dictionary([b" ".join(ws)[:2000] for ws, y in texts if not y], ORDINARY_DICTIONARY, 64)
+    ordinary = _dictionary([piece for ws, y in texts if not y for piece in _pieces(b" ".join(ws))], ORDINARY_DICTIONARY, 64)
     toxic = b"".join(CARRIER + b" " + s for s in reversed(own_stems(without_copies(texts))))
     scorer = Scorer(toxic, ordinary)
     saved = [([scorer.saving(w) for w in ws], y) for ws, y in texts]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import unicodedata
@@ -534,6 +535,24 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_toxicity_on_the_held_out_fold():
+    """Every language of the tables, trained as in production."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    rows = duckdb.sql(f"SELECT doc_id, text, lang, toxic FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    scorer = toxicity.Scorer(*toxicity.train([(t[: toxicity.TRAIN_CHARS], y) for i, t, _, y in rows if not held(i)][: toxicity.TRAIN_ROWS]))
+    found = [(lang, y, scorer.score(t) >= toxicity.THRESHOLD) for i, t, lang, y in rows if held(i)]
+    hit = sum(y and p for _, y, p in found)
+    assert hit >= 0.9 * sum(y for _, y, _ in found) and hit >= 0.8 * sum(p for _, _, p in found)
+    for lang in {x for x, y, _ in found if x and y}:
+        mine = [p for x, y, p in found if x == lang and y]
+        assert sum(mine) >= 0.6 * len(mine), lang
+
+
 def test_toxicity_by_stems():
     """Inflected forms, each rare as a word, beside words of another language that are common."""
     rng = random.Random(7)
