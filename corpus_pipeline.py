@@ -3,9 +3,6 @@ and tokenisation. Each stage is written as Parquet and read again by the next.""
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +14,6 @@ from kinetrace.llm.sentencepiece_bpe import token_digests
 from kinetrace.llm.toxicity import THRESHOLD, scored, train, training_rows
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_tables: list[str] = []
-
-
-def stage(f: Stage) -> Stage:
-    """A stage whose tables in the shared folder go when the next stage starts: its result is written by then."""
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        removed(spark, _tables)
-        _tables.clear()
-        with recorded() as tables:
-            out = f(spark, docs, sf_dir)
-        _tables.extend(tables)
-        return out
-
-    return run_stage
-
-
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; those without text stay."""
     model = train(training_rows(docs, table(spark, sf_dir, "labels")))
@@ -43,20 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unmasked(scored(plain, model, plain.columns, names["text"]).where(F.col("score") < THRESHOLD), names)
 
 
-@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space."""
     plain, names = masked(docs)
     return unmasked(exact_dedup(plain, names["doc_id"], names["text"], tuple(plain.columns)).where("kept"), names)
 
 
-@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return one_of_each(docs)
 
 
-@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     plain, names = masked(docs)
@@ -64,7 +39,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return unmasked(tested.where("NOT contaminated"), names)
 
 
-@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of the ids and of the text decoded from them."""
     return token_digests(docs)
@@ -83,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage leaves in the shared folder goes when its result is written, and a
+    result when the next one is; the folder of another run is never touched."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
-        docs = written(step(spark, docs, sf_dir), name)
+        with recorded() as tables:
+            docs = written(step(spark, docs, sf_dir), name)
+        removed(spark, [*before, *tables[:-1]])
+        before = tables[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
