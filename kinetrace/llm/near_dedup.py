@@ -13,7 +13,7 @@ members are in different components. A large one is cut into blocks, the members
 apart from the others, and each pair of blocks that may hold a link is a tile: every candidate pair between
 components is compared once, no task holds more than two blocks, and blocks of one component never meet.
 
-A word is known by 64 bits of a BLAKE2 digest, and a shingle by a mix of its words' bits in their order. Sets
+A word is known by its 64-bit XXH3 hash, and a shingle by a weighted sum of its words' bits, weights by place. Sets
 of one shingle are told apart by 128 bits of a digest of the words themselves.
 """
 
@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,19 +47,10 @@ SLACK = 4.5
 _SEED = np.random.default_rng(20240229)
 _MUL = _SEED.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, REGISTERS, dtype=np.uint64)
-#: Words cut into shingles at a time, and words whose digests a task keeps.
-_WORDS, _KEPT = 1 << 16, 1 << 19
-
-
-class _Words(dict):
-    """Digests of words, each computed once while it is kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return found
-
-
-_words = _Words()
+#: Weights of a shingle's words by their place.
+_WEIGHT = _SEED.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words cut into shingles at a time.
+_WORDS = 1 << 16
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -77,18 +69,16 @@ def shingle_set(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
     if len(words) < width:
         width = max(1, len(words))
     blocks = [_shingles(words[i : i + _WORDS + width - 1], width) for i in range(0, len(words) - width + 1, _WORDS)]
-    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+    return np.unique(blocks[0] if len(blocks) == 1 else np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
 def _shingles(words: list[bytes], width: int) -> np.ndarray:
-    if len(_words) > _KEPT:
-        _words.clear()
-    known = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(words) - width + 1
-    h = np.full(n, np.uint64(width))
-    for k in range(width):
-        h = _mixed(h + known[k : k + n])
-    return h
+    h = known[:n] * _WEIGHT[0]
+    for k in range(1, width):
+        h += known[k : k + n] * _WEIGHT[k]
+    return _mixed(h + np.uint64(width))
 
 
 def set_digest(words: list[bytes], hashes: np.ndarray) -> bytes | None:

@@ -346,7 +346,6 @@ def test_shingles_of_long_texts_meet_across_blocks(monkeypatch):
     t = words(random.Random(0), 500).encode().split()
     whole = near_dedup.shingle_set(t)
     monkeypatch.setattr(near_dedup, "_WORDS", 7)
-    monkeypatch.setattr(near_dedup, "_KEPT", 10)
     assert np.array_equal(whole, near_dedup.shingle_set(t)) and len(whole) == len({tuple(t[i : i + 5]) for i in range(496)})
 
 
