@@ -32,8 +32,8 @@ LENGTH, ANCHOR = 200, 50
 BATCH, PER_FAMILY, MOST_TASKS = 1 << 15, 60_000, 20_000
 #: Bits of the bitmaps of repeated and of hot anchors for each of them, and the most in all (128 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 30
-#: An anchor with more places is counted by an aggregation.
-HOT_PLACES = 4000
+#: An anchor with more places, a third of what a family takes, is counted by an aggregation.
+HOT_PLACES = 20_000
 
 _SEED = np.random.default_rng(19880501)
 _STEP = 1 << 16
