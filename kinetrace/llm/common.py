@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executors. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinetrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # texts stay on the shared disk until the run ends
     for paths in _recorded:
         paths.append(path)
     jvm = spark.sparkContext._jvm
