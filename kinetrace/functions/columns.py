@@ -99,3 +99,18 @@ def euler(q: tuple[Column, ...]) -> tuple[Column, Column, Column]:
     """(roll, pitch, yaw) in radians of a unit quaternion, turned about z, then y, then x."""
     w, x, y, z = q
     return F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), F.asin(clip(2 * (w * y - z * x), -1.0, 1.0)), F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))
+
+
+def quaternion_gravity(q: tuple[Column, Column, Column, Column], acc: tuple[Column, Column, Column]) -> tuple[Column, Column]:
+    """(vertical, horizontal) acceleration in the frame that the quaternion turns into; gravity is added, as the
+    sensor's vertical axis points down. The split by roll and pitch subtracts it."""
+    x, y, z = rotated(q, acc)
+    return z + GRAVITY, F.sqrt(x * x + y * y)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of an aggregate, null where a side is constant; ``corr`` divides by zero there, which is an error
+    under ANSI rules."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,13 +97,28 @@ def bhattacharyya(long: DataFrame, label: str) -> DataFrame:
 def silhouette(sample: DataFrame, others: DataFrame) -> DataFrame:
     """(qid, label, s) of each row of a stated sample (qid, v, label) against all ``others`` (id, v, label).
 
-    Distances of a query to a class are summed as they are made, so a query leaves one row for each class.
+    Distances of a query to a class are summed in the blocks in which they are made.
     """
-    from kinetrace.operators.joins import squared_distance
-
-    far = F.sqrt(squared_distance(F.col("qv"), F.col("v")))
-    q = sample.select("qid", F.col("v").alias("qv"), F.col("label").alias("own"))
-    to = q.join(F.broadcast(others) if others.count() <= 20_000 else others, F.col("qid") != F.col("id")).groupBy("qid", "own", "label").agg(F.avg(far).alias("d"))
+    from kinetrace.operators.joins import _matrix, by_blocks, squared_distances
+
+    kind = lambda c: sample.schema[c].dataType.simpleString()
+
+    def use(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        names = {"qid": [], "own": [], "label": [], "far": [], "n": []}
+        if not len(q) or not len(r):
+            return pd.DataFrame(names)
+        x, out = _matrix(r["v"]), []
+        for i in range(0, len(q), 256):
+            part = q.iloc[i : i + 256]
+            d = np.sqrt(squared_distances(_matrix(part["qv"]), x))
+            other = r["id"].to_numpy()[None] != part["qid"].to_numpy()[:, None]
+            for label, at in r.reset_index(drop=True).groupby("label").groups.items():
+                k = np.asarray(at)
+                out.append(pd.DataFrame({"qid": part["qid"].to_numpy(), "own": part["own"].to_numpy(), "label": label, "far": (d[:, k] * other[:, k]).sum(1), "n": other[:, k].sum(1)}))
+        return pd.concat(out)
+
+    parts = by_blocks(sample.select("qid", F.col("v").alias("qv"), F.col("label").alias("own")), others.select("id", "v", "label"), use, f"qid {kind('qid')}, own {kind('label')}, label {kind('label')}, far double, n long")
+    to = parts.groupBy("qid", "own", "label").agg((F.sum("far") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
     best = to.groupBy("qid", "own").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("own"), F.col("d"))).alias("b"))
     return best.select("qid", F.col("own").alias("label"), F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
 
@@ -112,12 +129,21 @@ def fold(key: Column, folds: int) -> Column:
 
 
 def undersampled(df: DataFrame, label: str, none: str, key: str, ratio: float = 1.5) -> DataFrame:
-    """Keeps at most ``ratio`` times the largest other class of the class ``none``, chosen by a hash of the key."""
-    sizes = df.where(F.col(label) != none).groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
-    most = sizes.first()["most"] or 0
-    cut = int(most * ratio)
-    few = df.where(F.col(label) == none).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key).limit(cut)
-    return df.where(F.col(label) != none).unionByName(few)
+    """Keeps at most ``ratio`` times the largest other class of the class ``none``: the rows with the smallest hashes
+    of the key, rows of one key in any order. All other rows stay, null labels among them.
+
+    A hash under the wanted share and a margin picks few more rows than needed; only those are sorted.
+    """
+    one = F.col(label).eqNullSafe(F.lit(none))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.when(~one & F.col(label).isNotNull(), F.col("n"))).alias("most"), F.max(F.when(one, F.col("n"))).alias("of")).first()
+    cut, there = int((sizes["most"] or 0) * ratio), sizes["of"] or 0
+    rest, mine = df.where(~one), df.where(one)
+    if there <= cut:
+        return df
+    hashed = mine.withColumn("__h", F.xxhash64(F.col(key).cast("string")))
+    share = min(1.0, (cut + 6 * cut**0.5 + 50) / there)
+    few = hashed.where(F.col("__h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    return rest.unionByName(few.orderBy("__h", key).limit(cut).drop("__h"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.operators.resample import both_ways
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, label: str, none: str = "unknown") -> DataFrame:
-    """Adds the label of the first interval, ends included, that holds each point; ``none`` where none does.
+    """Adds the label of the first interval, ends included, that holds each point; ``none`` where none does. First
+    is the earliest start, and of equal starts the smallest label.
 
-    Intervals become change points in the points' own partitions, so the work is one sort and not a product
-    of points and intervals. Intervals of one partition must not overlap; overlaps go to the later start.
+    What an interval has before the earlier ones end is theirs, so each keeps the part after the farthest end
+    before it. These parts become change points in the points' own partitions: the work is two sorts and not a
+    product of points and intervals.
     """
+    s = intervals.select(*by, F.col(start).cast("double").alias("__s"), F.col(end).cast("double").alias("__e"), F.col(label).alias("__l"))
+    before = F.max("__e").over(Window.partitionBy(*by).orderBy("__s", "__l", "__e").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__e") > F.col("__b")))
+    after = F.coalesce(F.col("__b") >= F.col("__s"), F.lit(False))  # the part starts just after an earlier end
+    s = s.select(*by, F.when(after, F.col("__b")).otherwise(F.col("__s")).alias("__at"), F.when(after, 2).otherwise(0).alias("__kind"), F.struct(F.col("__e").alias("end"), F.col("__l").alias("label")).alias("__open"))
     p = points.withColumns({"__at": F.col(at).cast("double"), "__kind": F.lit(1)})
-    s = intervals.select(*by, F.col(start).cast("double").alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col(end).cast("double").alias("end"), F.col(label).alias("label")).alias("__open"))
     w = Window.partitionBy(*by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     rows = p.unionByName(s, allowMissingColumns=True).withColumn("__open", F.last("__open", True).over(w)).where("__kind = 1")
     inside = F.col("__at") <= F.col("__open.end")
@@ -27,11 +39,9 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], t: str, value
     """
     rows = left.withColumn("__r", F.lit(None).cast("struct<t:double,v:double>")).withColumn("__left", F.lit(True)).unionByName(
         right.select(*by, F.col(t), F.struct(F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v")).alias("__r"), F.lit(False).alias("__left")), allowMissingColumns=True)
-    order = [F.col(t).cast("double"), F.col("__left")]
-    back = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     now = F.col(t).cast("double")
-    rows = rows.withColumns({"__b": F.last("__r", True).over(back), "__a": F.first("__r", True).over(ahead)}).where("__left")
+    back, ahead = both_ways(by, [now, F.col("__left")])
+    rows = rows.withColumns({"__b": F.last("__r", True).over(back), "__a": F.last("__r", True).over(ahead)}).where("__left")
     db, da = now - F.col("__b.t"), F.col("__a.t") - now
     first = F.when(da.isNull() | (db <= da), F.col("__b")).otherwise(F.col("__a"))
     best = F.coalesce(first, F.col("__a"), F.col("__b"))
@@ -39,10 +49,23 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], t: str, value
 
 
 def not_overlapping(windows: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
-    """Windows (start, end) that touch no region (rs, re) of their partition."""
-    r = regions.select(*[F.col(c).alias(f"__{c}") for c in by], "rs", "re")
-    same = [F.col(c) == F.col(f"__{c}") for c in by]
-    return windows.join(r, [*same, ~((F.col("end") < F.col("rs")) | (F.col("start") > F.col("re")))], "left_anti")
+    """Windows (start, end) that touch no region (rs, re) of their partition: of the regions that start by a window's
+    end, the farthest end lies before its start. One sort of both, not a product."""
+    r = regions.select(*by, F.col("rs").cast("double").alias("__at"), F.lit(0).alias("__kind"), F.col("re").cast("double").alias("__re"))
+    rows = windows.withColumns({"__at": F.col("end").cast("double"), "__kind": F.lit(1)}).unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__re", F.max("__re").over(w)).where("__kind = 1")
+    return rows.where(F.col("__re").isNull() | (F.col("__re") < F.col("start"))).drop("__at", "__kind", "__re")
+
+
+def nearest_event(left: DataFrame, events: DataFrame, by: list[str], t: str, label: str, most: float) -> DataFrame:
+    """Adds the label of the nearest event of the partition, the earlier of equals, or null where none is within
+    ``most``, and its distance."""
+    names = events.groupBy(*by, t).agg(F.min(label).alias("__label"))
+    both = nearest_join(left, names.withColumn("__at", F.col(t)), by, t, "__at")
+    near = both.withColumn("__at", F.when(F.col("distance") <= most, F.col("nearest")).cast("long")).drop("nearest")
+    named = names.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(t).alias("__t"), F.col("__label").alias("event"))
+    return near.join(named, [*[F.col(c) == F.col(f"__{c}") for c in by], F.col("__at") == F.col("__t")], "left").drop("__at", "__t", *[f"__{c}" for c in by])
 
 
 def zip_join(a: DataFrame, b: DataFrame, by: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:
@@ -52,10 +75,12 @@ def zip_join(a: DataFrame, b: DataFrame, by: list[str], order_a: list[str], orde
 
 
 def lookup(facts: DataFrame, table: DataFrame, key: list[str], how: str = "left") -> DataFrame:
-    """Equi-join with a table that must have each key once; Spark broadcasts it if its size allows."""
-    if table.groupBy(*key).count().where("count > 1").limit(1).count():
-        raise ValueError(f"keys {key} repeat in the lookup table")
-    return facts.join(table, key, how)
+    """Equi-join with a table that must have each key once: a repeated key is an error when the result is computed.
+    Spark broadcasts the table if its size allows."""
+    rest = [c for c in table.columns if c not in key]
+    once = table.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__v"))
+    checked = F.when(F.col("__n") == 1, F.col("__v")).otherwise(F.raise_error(F.lit(f"keys {key} repeat in the lookup table")))
+    return facts.join(once.withColumn("__v", checked).select(*key, *[F.col("__v")[c].alias(c) for c in rest]), key, how)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,24 +91,55 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Training vectors that a nearest-neighbour search compares in one pass; more take more passes.
-VECTORS_AT_ONCE = 20_000
+#: Vectors of a block: a task compares one block of queries with one of rows.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 4096, 20_000
 
 
-def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
-    """(qid, label, votes): majority label of the k nearest rows of ``train`` (id, v, label) to each of
-    ``queries`` (qid, v), the smallest label of equals; a query never counts itself.
+def by_blocks(queries: DataFrame, rows: DataFrame, use: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], kinds: str) -> DataFrame:
+    """``use`` on each block of ``queries`` (qid, qv, …) with each of ``rows`` (id, v, label). Blocks are dealt by a
+    hash of the id; a query travels once for each block of rows and a row once for each block of queries, so
+    memory is bounded and the plan has one shape at every size."""
+    many = lambda df, most: max(1, -(-df.count() // most))
+    nq, nr = many(queries, QUERIES_AT_ONCE), many(rows, ROWS_AT_ONCE)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumns({"__q": F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int"), "__r": every(nr)})
+    r = rows.withColumn("__r", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int")).withColumn("__q", every(nq))
+    return q.groupBy("__q", "__r").cogroup(r.groupBy("__q", "__r")).applyInPandas(use, kinds)
 
-    A stated query set goes against blocks of the training rows, each broadcast up to its bound; a block
-    keeps k candidates for each query, so what the passes leave is small.
-    """
-    blocks = -(-train.count() // VECTORS_AT_ONCE)
-    found = None
-    for b in range(max(1, blocks)):
-        block = train.where(F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))) == b)
-        pairs = queries.select("qid", F.col("v").alias("qv")).join(F.broadcast(block), F.col("qid") != F.col("id")).select("qid", "id", "label", F.round(squared_distance(F.col("qv"), F.col("v")), 9).alias("d"))
-        near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).where(F.col("r") <= k).drop("r")
-        found = near if found is None else found.unionByName(near)
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """[queries, rows] by one matrix product."""
+    return np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0)
+
+
+def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, label, votes): majority label of the k nearest rows of ``train`` (id, v, label) to each of ``queries``
+    (qid, v), the smallest label of equals; a query never counts itself. Of equal distances (to nine decimals)
+    the smaller id is nearer. A block leaves k rows for each query."""
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+
+    def use(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"qid": [], "id": [], "label": [], "d": []})
+        x, out = _matrix(r["v"]), []
+        ids = r["id"].to_numpy()
+        for i in range(0, len(q), 256):
+            part = q.iloc[i : i + 256]
+            v = _matrix(part["qv"])
+            near = np.argpartition(squared_distances(v, x), min(len(x) - 1, k + 16), 1)[:, : k + 17]
+            d = np.round(((x[near] - v[:, None]) ** 2).sum(2), 9)
+            d[ids[near] == part["qid"].to_numpy()[:, None]] = np.inf
+            order = np.lexsort((ids[near], d), axis=1)[:, :k]
+            rows, columns = np.repeat(np.arange(len(part)), order.shape[1]), np.take_along_axis(near, order, 1).ravel()
+            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[rows], "id": ids[columns], "label": r["label"].to_numpy()[columns], "d": np.take_along_axis(d, order, 1).ravel()}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["d"])]
+
+    found = by_blocks(queries.select("qid", F.col("v").alias("qv")), train.select("id", "v", "label"), use, f"qid {kind(queries, 'qid')}, id {kind(train, 'id')}, label {kind(train, 'label')}, d double")
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).where(F.col("r") <= k)
     votes = near.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("qid").agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col("label").alias("label"))).alias("b")).select("qid", F.col("b.label").alias("label"), (-F.col("b.n")).alias("votes"))

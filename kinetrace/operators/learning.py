@@ -68,12 +68,16 @@ def excluded(features: list[str], keywords: tuple[str, ...]) -> list[str]:
     return [f for f in features if not any(k in f for k in keywords)]
 
 
-def hold_out(df: DataFrame, recording: str, name: str) -> DataFrame:
-    """All rows but those of one recording, and a check that none of it is left."""
-    rest = df.where(F.col(recording) != name)
-    if not rest.where(F.col(recording) == name).isEmpty():
-        raise AssertionError(f"rows of {name} are left")
-    return rest
+def hold_out(df: DataFrame, recording: str, name) -> tuple[DataFrame, DataFrame]:
+    """All rows but those of one recording, and the rows of that recording. Rows of no recording are in neither."""
+    return df.where(F.col(recording) != name), df.where(F.col(recording) == name)
+
+
+def checked_apart(train: DataFrame, test: DataFrame, recording: str) -> DataFrame:
+    """``train``, failing when it is computed if it has a row of a recording of ``test``."""
+    names = test.select(F.col(recording).alias("__name")).distinct().withColumn("__held", F.lit(True))
+    seen = train.join(names, F.col(recording) == F.col("__name"), "left")
+    return seen.where(F.when(F.col("__held"), F.raise_error(F.lit("a held-out recording is among the training rows"))).otherwise(F.lit(True)).cast("boolean")).drop("__name", "__held")
 
 
 def aligned(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

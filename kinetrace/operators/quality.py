@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.functions.columns import correlation
+
 
 def packet_loss(df: DataFrame, by: list[str], seq: str, t: str, saturated: Column | None = None) -> DataFrame:
     """Rows, duration, median period and rate, share of sequence numbers that never came, saturated rows."""
@@ -72,7 +74,7 @@ def share_summary(df: DataFrame, value: str) -> DataFrame:
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str, flat: float | None = 0.0, least: int = 2) -> DataFrame:
     """Correlation in each group. Where a side is constant it is ``flat``, or the group is left out if that is None."""
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")).where(F.col("n") >= least)
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col(x), F.col(y)).alias("r"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")).where(F.col("n") >= least)
     bad = (F.col("sx") < 1e-12) | (F.col("sy") < 1e-12) | F.col("r").isNull() | F.isnan("r")
     out = out.where(~bad) if flat is None else out.withColumn("r", F.when(bad, flat).otherwise(F.col("r")))
     return out.select(*by, "n", "r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,14 @@ def _between(x0: Column, x1: Column, t0: Column, t1: Column, t: Column) -> Colum
     return F.when(t1.isNull() | (t1 == t0), x0).when(t0.isNull(), x1).otherwise(x0 + (x1 - x0) * (t - t0) / (t1 - t0))
 
 
+def both_ways(by: list[str], order: list[Column]) -> tuple[WindowSpec, WindowSpec]:
+    """Frames of all rows up to each one, and of all from it on. The second is the first in falling order, so that
+    ``last`` is carried along in both: a frame that ends at the end of a partition is gone through again for every
+    row."""
+    w = Window.partitionBy(*by)
+    return tuple(w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, [c.desc_nulls_last() for c in order]))
+
+
 def uniform_grid(df: DataFrame, by: list[str], t: str, values: list[str], period: float, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
     """Values at every ``period`` from each partition's first time to its last, interpolated between the
     samples around; before the first sample and after the last the value at the end holds.
@@ -26,13 +34,10 @@ def uniform_grid(df: DataFrame, by: list[str], t: str, values: list[str], period
     grid = ends.select(*by, F.posexplode(F.sequence("lo", "hi", F.lit(int(period)))).alias("k", t))
     samples = df.select(*by, F.lit(None).cast("int").alias("k"), F.col(t), *values)
     rows = samples.unionByName(grid, allowMissingColumns=True)
-    order = [t, F.col("k").isNotNull()]
-    back = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = both_ways(by, [F.col(t), F.col("k").isNotNull()])
     is_sample = F.col("k").isNull()
-    t0 = F.last(F.when(is_sample, F.col(t)), True).over(back)
-    t1 = F.first(F.when(is_sample, F.col(t)), True).over(ahead)
-    out = {v: _between(F.last(F.when(is_sample, F.col(v)), True).over(back), F.first(F.when(is_sample, F.col(v)), True).over(ahead), t0, t1, F.col(t)) for v in values}
+    t0, t1 = (F.last(F.when(is_sample, F.col(t)), True).over(w) for w in (back, ahead))
+    out = {v: _between(*(F.last(F.when(is_sample, F.col(v)), True).over(w) for w in (back, ahead)), t0, t1, F.col(t)) for v in values}
     return rows.withColumns(out).where("k IS NOT NULL")
 
 
@@ -41,6 +46,18 @@ def common_bounds(df: DataFrame, by: list[str], node: str, t: str) -> DataFrame:
     return df.groupBy(*by, node).agg(F.min(t).alias("a"), F.max(t).alias("b")).groupBy(*by).agg(F.max("a").alias("lo"), F.min("b").alias("hi"), F.count(F.lit(1)).alias("nodes"))
 
 
+def common_grid(df: DataFrame, by: list[str], node: str, t: str, values: list[str], period: int, nodes: list[int]) -> DataFrame:
+    """All nodes of a recording on one grid over the time that they share: (…, us of the grid, ``<value>_n<node>``).
+    Times are longs; of rows of a node with one time the one with the smallest values counts. A node that a
+    recording lacks has nulls; a recording whose nodes never overlap has no rows."""
+    known = df.where(F.col(node).isin(nodes))
+    known = known.groupBy(*by, node, t).agg(F.min(F.struct(*values)).alias("__v")).select(*by, node, t, "__v.*")
+    bounds = common_bounds(known, by, node, t).where("lo <= hi").select(*[F.col(c).alias(f"__{c}") for c in by], "lo", "hi")
+    inside = known.join(bounds, [F.col(c) == F.col(f"__{c}") for c in by]).drop(*[f"__{c}" for c in by])
+    grid = uniform_grid(inside, [*by, node], t, values, period, F.max("lo"), F.max("hi"))
+    return pivot_nodes(grid, [*by, "k", t], node, nodes, values, whole=False)
+
+
 def pivot_nodes(df: DataFrame, key: list[str], node: str, nodes: list[int], values: list[str], whole: bool = True) -> DataFrame:
     """One row for each tick with columns ``<value>_n<node>``: an N-way join by one shuffle. ``whole`` keeps
     only ticks that every node has; of several rows of a node the smallest value counts."""
@@ -54,12 +71,11 @@ def fill_by_row(df: DataFrame, by: list[str], order: list[str], values: list[str
     rows before the first one of any value are left out."""
     w = Window.partitionBy(*by).orderBy(*order)
     rows = df.withColumn("__i", F.row_number().over(w))
-    w = Window.partitionBy(*by).orderBy("__i")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = both_ways(by, [F.col("__i")])
     out = {}
     for v in values:
         at = F.when(F.col(v).isNotNull(), F.col("__i"))
-        x0, i0, x1, i1 = F.last(v, True).over(back), F.last(at, True).over(back), F.first(v, True).over(ahead), F.first(at, True).over(ahead)
+        x0, i0, x1, i1 = F.last(v, True).over(back), F.last(at, True).over(back), F.last(v, True).over(ahead), F.last(at, True).over(ahead)
         out[v] = F.when(i0.isNull(), F.lit(None)).when(i1.isNull() | (i1 == i0), x0).otherwise(x0 + (x1 - x0) * (F.col("__i") - i0) / (i1 - i0))
     return rows.withColumns(out).drop("__i").na.drop(subset=values)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrace.operators.windows import over, runs
+from kinetrace.operators.robust import robust_z
+from kinetrace.operators.windows import indexed, moving_average, over, runs, sliding
 
 
 def active_runs(df: DataFrame, by: list[str], order: list[str], active: Column) -> DataFrame:
@@ -109,3 +110,46 @@ def review(df: DataFrame, z: str, confidence: str, far: float = 3.5, weak: float
         "status": F.when(out & low, "reject").when(out, "check").when(low, "weak").otherwise("ok"),
         "priority": F.when(out & low, 1).when(out, 2).when(low, 3).otherwise(4),
     })
+
+
+def smeared_labels(df: DataFrame, by: list[str], order: list[str], x: str, label: str, size: int, step: int, trim: int, none: str = "null") -> DataFrame:
+    """A recording of one action labelled by its energy envelope: each row has the greatest root mean square of the
+    windows that hold it, 0 where none does, and no label where that is under 1.5 times the envelope's 10th
+    percentile or within ``trim`` rows of an end."""
+    part = [*by, "window_id"]
+    windows = sliding(df.select(*by, *order, x), by, order, size, step).withColumn("__e", F.sqrt(F.avg(F.col(x) * F.col(x)).over(Window.partitionBy(*part))))
+    best = windows.groupBy(*by, "i").agg(F.max("__e").alias("__most"))
+    rest = windows.groupBy(*part).agg(F.first("__e").alias("__e")).groupBy(*by).agg(F.percentile("__e", 0.1).alias("__rest"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    rows = indexed(df, by, order).withColumn("__n", n).join(best, [*by, "i"], "left").join(rest, by, "left")
+    quiet = F.coalesce(F.coalesce("__most", F.lit(0.0)) < 1.5 * F.col("__rest"), F.lit(True)) | (F.col("i") < trim) | (F.col("i") >= F.col("__n") - trim)
+    return rows.withColumn("assigned", F.when(quiet, none).otherwise(F.col(label))).drop("__n", "__most", "__rest")
+
+
+def release_score(df: DataFrame, by: list[str], order: list[str], weights: dict[str, float], size: int = 5, lo: float = 0.35, hi: float = 0.70) -> DataFrame:
+    """(…, place, score, n): where the weighted sum of rectified robust scores, smoothed over ``size`` rows that count
+    as 0 beyond the ends, is highest inside a share of each window; the first of equals. Shares are rounded half
+    to even."""
+    rows, parts = indexed(df.select(*by, *order, *weights), by, order), []
+    for k, (c, weight) in enumerate(weights.items()):
+        rows = robust_z(rows, by, c).withColumnRenamed("z", f"__z{k}")
+        parts.append(weight * F.greatest(F.col(f"__z{k}"), F.lit(0.0)))
+    rows = rows.withColumn("__raw", sum(parts[1:], parts[0])).withColumn("__score", moving_average("__raw", over(by, ["i"]), size))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    inner = rows.where((F.col("i") >= F.bround(F.col("n") * F.lit(lo), 0)) & (F.col("i") < F.bround(F.col("n") * F.lit(hi), 0)))
+    best = F.min(F.struct((-F.round("__score", 9)).alias("minus"), F.col("i")))
+    return inner.groupBy(*by).agg(best.alias("b"), F.first("n").alias("n")).select(*by, F.col("b.i").alias("place"), (-F.col("b.minus")).alias("score"), "n")
+
+
+def event_table(events: DataFrame, by: list[str], translations: dict[str, str], unit: float = 1e6) -> DataFrame:
+    """The timeline as people read it: numbers from 1, seconds to two places, mean confidence to three, and the
+    label in a second language, or as it is where there is no word for it."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("start", "event"))
+    second = lambda c: F.round(c / F.lit(unit), 2)
+    shown = F.lit(None).cast("string")
+    for a, b in translations.items():
+        shown = F.when(F.col("label") == a, b).otherwise(shown)
+    return events.select(
+        *by, number.alias("event_id"), second(F.col("start")).alias("start_s"), second(F.col("end")).alias("end_s"), second(F.col("end") - F.col("start")).alias("duration_s"),
+        "label", F.coalesce(shown, F.col("label")).alias("label_shown"), F.round("confidence", 3).alias("avg_confidence"), F.col("windows").alias("n_windows"),
+    )

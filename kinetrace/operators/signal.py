@@ -49,16 +49,16 @@ def oriented(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr
 
 
 def window_features(df: DataFrame, keys: list[str], samples: str, rate: float) -> DataFrame:
-    """Features of windows held as arrays of equal length: 11 of time, 4 of frequency and 3 of bands. Rows go
-    through in batches, so no group is gathered."""
+    """Features of windows held as arrays of four samples or more: 11 of time, 4 of frequency and 3 of bands. Rows go
+    through in batches, those of one length together, so no group is gathered."""
     names = list(time_and_frequency(np.zeros((1, 8)), rate))
     kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} double" for c in names)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                got = time_and_frequency(np.stack(pdf[samples].to_numpy()).astype(float), rate)
-                yield pdf[keys].assign(**{k: np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0) for k, v in got.items()})
+            for _, part in pdf.groupby(pdf[samples].str.len()):
+                got = time_and_frequency(np.stack(part[samples].to_numpy()).astype(float), rate)
+                yield part[keys].assign(**{k: np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0) for k, v in got.items()})
 
     return df.select(*keys, samples).mapInPandas(run, kinds)
 
@@ -90,3 +90,42 @@ def gravity_frame(df: DataFrame, by: list[str], order: list[str], acc: list[str]
         return np.column_stack([up, np.linalg.norm(quick - up[:, None] * g, axis=1)])
 
     return per_group(df, by, order, acc, ["a_vert", "a_horiz"], kernel)
+
+
+def banded(df: DataFrame, by: list[str], order: list[str], x: str, lo: float, hi: float, rate: float, degree: int = 4) -> DataFrame:
+    """Zero-phase band-pass of each group."""
+    b, a = kernels.bandpass(degree, lo, hi, rate)
+    return per_group(df, by, order, [x], [f"{x}_filtered"], lambda v: kernels.zero_phase(b, a, v[:, 0]))
+
+
+def counted_peaks(df: DataFrame, by: list[str], order: list[str], x: str, wanted: int, distance: int, steps: int = 50) -> DataFrame:
+    """Adds is_peak: the peaks at the prominence that leaves nearest to ``wanted`` of them in each group."""
+    def kernel(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(v))
+        out[kernels.peaks_for_count(v[:, 0], wanted, distance, steps)] = 1
+        return out
+
+    return per_group(df, by, order, [x], ["is_peak"], kernel).withColumn("is_peak", F.col("is_peak") > 0)
+
+
+def tilted(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr: list[str], dt: float, alpha: float = 0.98) -> DataFrame:
+    """Adds roll and pitch of each sample by a complementary filter that starts level."""
+    return per_group(df, by, order, [*acc, *gyr], ["roll", "pitch"], lambda v: kernels.tilt(v[:, :3], v[:, 3:], dt, alpha))
+
+
+def synchrony(df: DataFrame, keys: list[str], x: str, y: str, rate: float) -> DataFrame:
+    """(keys, sync_max, sync_lag, period_height, period_lag) of windows held as two arrays of equal length: how well
+    and at which shift they agree best, and the first peak of the first one's autocorrelation."""
+    names = ["sync_max", "sync_lag", "period_height", "period_lag"]
+    kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} double" for c in names)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for a, b in zip(pdf[x], pdf[y]):
+                a, b = np.asarray(a, float), np.asarray(b, float)
+                (high, lag), (height, period) = kernels.cross_correlation(a, b), kernels.autocorrelation_peak(a)
+                got.append((high, lag / rate, height, period / rate))
+            yield pdf[keys].assign(**{n: [g[k] for g in got] for k, n in enumerate(names)})
+
+    return df.select(*keys, x, y).mapInPandas(run, kinds)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.functions.columns import correlation
 from kinetrace.operators.joins import zip_join
 from kinetrace.operators.quality import marginals, pearson, share_summary
 from kinetrace.operators.windows import indexed, runs
@@ -40,13 +41,14 @@ def most_similar(correlations: DataFrame, by: str) -> DataFrame:
 
 
 def lagged_correlation(df: DataFrame, by: list[str], i: str, x: str, y: str, most: int) -> DataFrame:
-    """(…, lag, r): the shift of y within ``most`` places that correlates best with x, the smallest of equals."""
-    lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")
-    right = df.select(*by, F.col(i).alias("j"), F.col(y).alias("__y"))
-    pairs = df.select(*by, i, F.col(x).alias("__x"), lags).withColumn("j", F.col(i) + F.col("lag")).join(right, [*by, "j"])
-    r = pairs.groupBy(*by, "lag").agg(F.corr("__x", "__y").alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r"))
-    best = r.withColumn("r", F.round("r", 9)).groupBy(*by).agg(F.min(F.struct(-F.col("r"), F.abs("lag"), F.col("lag"))).alias("b"))
-    return best.select(*by, F.col("b.lag").alias("lag"), (-F.col("b.col1")).alias("r"))
+    """(…, lag, r): the shift of y within ``most`` places that correlates best with x, the smallest of equals. Places
+    ``i`` follow one another without gaps. All shifts are columns over one sort, so no row is copied."""
+    w, lags = Window.partitionBy(*by).orderBy(i), range(-most, most + 1)
+    rows = df.select(*by, F.col(x).alias("__x"), *[F.lead(y, k).over(w).alias(f"__y{n}") for n, k in enumerate(lags)])
+    found = rows.groupBy(*by).agg(*[correlation(F.col("__x"), F.col(f"__y{n}")).alias(f"__r{n}") for n in range(len(lags))])
+    each = F.array(*[F.struct((-F.round(F.col(f"__r{n}"), 9)).alias("minus"), F.lit(abs(k)).alias("far"), F.lit(k).alias("lag")) for n, k in enumerate(lags)])
+    best = found.select(*by, F.array_min(F.filter(each, lambda e: e["minus"].isNotNull() & ~F.isnan(e["minus"]))).alias("b")).where("b IS NOT NULL")
+    return best.select(*by, F.col("b.lag").alias("lag"), (-F.col("b.minus")).alias("r"))
 
 
 def mean_template(df: DataFrame, channel: list[str], i: str, x: str) -> DataFrame:

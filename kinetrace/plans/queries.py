@@ -12,6 +12,7 @@ from kinetrace.operators import evaluation as E
 from kinetrace.operators import joins as J
 from kinetrace.operators import learning as L
 from kinetrace.operators import quality as Q
+from kinetrace.operators import rejection as X
 from kinetrace.operators import resample as R
 from kinetrace.operators import robust as B
 from kinetrace.operators import rules as U
@@ -47,7 +48,7 @@ _RULES_SQL = """CASE WHEN mx > 250 AND sd < 80 THEN 'jump' WHEN ptp BETWEEN 60 A
  WHEN sd > 50 AND mx > 120 THEN 'shot' WHEN sd > 30 AND nz <= 12 THEN 'pass' WHEN mean > 40 THEN 'sprint' ELSE 'idle' END"""
 
 
-@query(f"""WITH {SAMPLES}, {windows_sql(20, 10)},
+_TIMELINE_SQL = f"""WITH {SAMPLES}, {windows_sql(20, 10)},
 f AS (SELECT user_id, window_id, avg(x) AS mean, stddev_pop(x) AS sd, max(x) AS mx, max(x) - min(x) AS ptp, min(us) AS a, max(us) AS b, count(*) FILTER (x > 30) AS nz FROM w GROUP BY ALL),
 p AS (SELECT *, {_RULES_SQL} AS pred, CASE WHEN {_RULES_SQL} = 'jump' THEN 0.65 WHEN {_RULES_SQL} = 'dribble' THEN 0.7 WHEN {_RULES_SQL} = 'shot' THEN 0.6 WHEN {_RULES_SQL} = 'pass' THEN 0.55 ELSE 0.5 END AS conf FROM f),
 v AS (SELECT p.user_id, p.window_id, q.pred, count(*) AS c FROM p JOIN p q ON p.user_id = q.user_id AND abs(p.window_id - q.window_id) <= 2 GROUP BY ALL),
@@ -56,7 +57,10 @@ s AS (SELECT p.*, smooth, CASE WHEN lag(smooth) OVER (PARTITION BY p.user_id ORD
 g AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY window_id) AS run FROM s)
 SELECT user_id, CAST(run AS BIGINT) AS event, CASE WHEN count(*) >= CASE WHEN smooth IN ('jump', 'pass') THEN 2 ELSE 3 END THEN smooth ELSE 'unknown' END AS label,
        min(a) AS start, max(b) AS "end", count(*) AS windows, round(avg(conf), 6) AS confidence
-FROM g GROUP BY user_id, run, smooth""")
+FROM g GROUP BY user_id, run, smooth"""
+
+
+@query(_TIMELINE_SQL)
 def rule_timeline(spark, d):
     """Events to sliding windows, rules, majority smoothing and an event timeline."""
     f = W.sliding(samples(spark, d), BY, ORDER, 20, 10).groupBy("user_id", "window_id").agg(
@@ -70,6 +74,12 @@ def rule_timeline(spark, d):
     return S.timeline(f, BY, ["window_id"], "smooth", "a", "b", "conf", {"jump": 2, "pass": 2}, 3).withColumn("confidence", r6(F.col("confidence")))
 
 
+@query(f"""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start, event) AS event_id, round(start / 1e6, 2) AS start_s, round("end" / 1e6, 2) AS end_s, round(("end" - start) / 1e6, 2) AS duration_s, label,
+ CASE label WHEN 'jump' THEN '跳' WHEN 'shot' THEN '投' ELSE label END AS label_shown, round(confidence, 3) AS avg_confidence, windows AS n_windows FROM ({_TIMELINE_SQL})""")
+def event_table(spark, d):
+    return S.event_table(rule_timeline(spark, d), BY, {"jump": "跳", "shot": "投"})
+
+
 # ---- projections and filters
 
 @query(f"WITH {ITEMS} SELECT l_orderkey, l_linenumber, l_suppkey, round(sqrt(ax*ax + ay*ay + az*az), 6) AS acc_mag FROM li")
@@ -151,13 +161,17 @@ def null_ratio_windows(spark, d):
 
 @query(f"WITH {SAMPLES} SELECT user_id, seq, round(x, 6) AS x FROM ev WHERE user_id <> 8")
 def hold_out_recording(spark, d):
-    return L.hold_out(samples(spark, d), "user_id", 8).select("user_id", "seq", r6(F.col("x")).alias("x"))
+    rest, held = L.hold_out(samples(spark, d), "user_id", 8)
+    return L.checked_apart(rest, held, "user_id").select("user_id", "seq", r6(F.col("x")).alias("x"))
 
 
-@query("""SELECT 'x' AS feature, round(stddev_pop(value), 6) AS std FROM events HAVING stddev_pop(value) > 0""")
+@query("""WITH v AS (SELECT 'c' AS feature, stddev_pop(1.0) AS std FROM events UNION ALL SELECT 'x', stddev_pop(value) FROM events UNION ALL SELECT 'u', stddev_pop(user_id) FROM events)
+SELECT feature, round(std, 6) AS std FROM v WHERE std > 0""")
 def constant_columns(spark, d):
-    e = table(spark, d, "events").select(F.col("value").alias("x"), F.lit(1.0).alias("c"))
-    return e.agg(*[F.stddev_pop(c).alias(c) for c in B.varying(e, ["x", "c"])]).select(F.lit("x").alias("feature"), r6(F.col("x")).alias("std"))
+    e = table(spark, d, "events").select(F.lit(1.0).alias("c"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("u"))
+    names = B.varying(e, e.columns)
+    spread = e.agg(*[F.stddev_pop(c).alias(c) for c in names])
+    return spread.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), r6(F.col(c)).alias("std")) for c in names])).alias("f")).select("f.*")
 
 
 @query(f"""WITH {SAMPLES} SELECT seq, x FROM ev WHERE user_id % 2 = 0 UNION ALL SELECT seq, y AS x FROM ev WHERE user_id % 2 = 1""")
@@ -189,6 +203,14 @@ def quaternion_rotate(spark, d):
     return samples(spark, d).select("seq", r6(C.euler(q)[2]).alias("yaw"), r6(v[0]).alias("turned_x"), r6(v[1]).alias("turned_y"))
 
 
+@query(f"""WITH {SAMPLES}, a AS (SELECT seq, x, y * cos(x / 100) - (x - y) * sin(x / 100) AS wy, y * sin(x / 100) + (x - y) * cos(x / 100) AS wz FROM ev)
+SELECT seq, round(wz + 9.80665, 6) AS a_vert, round(sqrt(x * x + wy * wy), 6) AS a_horiz FROM a""")
+def quaternion_split(spark, d):
+    zero, x, y = F.lit(0.0), F.col("x"), F.col("y")
+    up, flat = C.quaternion_gravity((F.cos(x / 200), F.sin(x / 200), zero, zero), (x, y, x - y))
+    return samples(spark, d).select("seq", r6(up).alias("a_vert"), r6(flat).alias("a_horiz"))
+
+
 # ---- joins
 
 @query("""SELECT c_custkey, c_mktsegment, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
@@ -227,13 +249,32 @@ def node_outer_interp(spark, d):
 
 @query("""WITH o AS (SELECT o_custkey AS c, epoch_us(o_orderdate) // 86400000000 AS day, o_orderkey FROM orders),
 h AS (SELECT c, year(make_timestamp(day * 86400000000)) AS y, min(day) AS a FROM o GROUP BY ALL)
-SELECT o.o_orderkey, CASE WHEN o.day <= h.a + 60 THEN 'Y' || h.y ELSE 'unknown' END AS phase FROM o ASOF LEFT JOIN h ON o.c = h.c AND o.day >= h.a""")
+SELECT o_orderkey, coalesce((SELECT arg_min('Y' || y, (a, y)) FROM h WHERE h.c = o.c AND o.day BETWEEN h.a AND h.a + 60), 'unknown') AS phase FROM o""")
 def phase_interval_join(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.floor(micros("o_orderdate") / 86_400_000_000).alias("day"), "o_orderkey", F.year("o_orderdate").alias("y"))
     h = o.groupBy("c", "y").agg(F.min("day").alias("a")).select("c", "a", (F.col("a") + 60).alias("b"), F.concat(F.lit("Y"), F.col("y")).alias("name"))
     return J.interval_join(o, h, ["c"], "day", "a", "b", "name").select("o_orderkey", F.col("interval_label").alias("phase"))
 
 
+@query("""WITH o AS (SELECT o_custkey AS c, epoch_us(o_orderdate) // 86400000000 AS day, year(o_orderdate) AS y, o_orderkey FROM orders), h AS (SELECT c, 'Y' || y AS name, min(day) AS a FROM o GROUP BY c, y)
+SELECT o_orderkey, coalesce((SELECT arg_min(name, (a, name)) FROM h WHERE h.c = o.c AND o.day BETWEEN h.a AND h.a + 500), 'unknown') AS phase FROM o""")
+def first_interval_join(spark, d):
+    """Intervals that overlap: the first that holds a point."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.floor(micros("o_orderdate") / 86_400_000_000).alias("day"), "o_orderkey", F.year("o_orderdate").alias("y"))
+    h = o.groupBy("c", "y").agg(F.min("day").alias("a")).select("c", "a", (F.col("a") + 500).alias("b"), F.concat(F.lit("Y"), F.col("y")).alias("name"))
+    return J.interval_join(o, h, ["c"], "day", "a", "b", "name").select("o_orderkey", F.col("interval_label").alias("phase"))
+
+
+@query(f"""WITH {SAMPLES}, c AS (SELECT * FROM ev WHERE label = 'click'), v AS (SELECT user_id, us, min('v' || seq) AS name FROM ev WHERE label = 'view' GROUP BY ALL),
+n AS (SELECT c.user_id, c.seq, v.us, v.name, abs(v.us - c.us) AS far FROM c LEFT JOIN v USING (user_id) QUALIFY row_number() OVER (PARTITION BY c.seq ORDER BY abs(v.us - c.us), v.us) = 1)
+SELECT user_id, seq, CASE WHEN far <= 21600000000 THEN name END AS event, round(far / 1e6, 6) AS distance FROM n""")
+def nearest_event(spark, d):
+    s = samples(spark, d)
+    events = s.where("label = 'view'").select("user_id", "us", F.concat(F.lit("v"), F.col("seq").cast("string")).alias("name"))
+    out = J.nearest_event(s.where("label = 'click'").select("user_id", "seq", "us"), events, BY, "us", "name", 21_600_000_000)
+    return out.select("user_id", "seq", "event", r6(F.col("distance") / 1e6).alias("distance"))
+
+
 @query(f"""WITH {SAMPLES}, c AS (SELECT * FROM ev WHERE label = 'click'), v AS (SELECT * FROM ev WHERE label = 'view')
 SELECT c.seq, round(v.x, 6) AS nearest, round(abs(v.us - c.us) / 1e6, 6) AS distance FROM c JOIN v USING (user_id)
 QUALIFY row_number() OVER (PARTITION BY c.seq ORDER BY abs(v.us - c.us), v.us, v.seq) = 1""")
@@ -476,12 +517,13 @@ def anchored_windows(spark, d):
     return W.anchored(s, a, BY, "us", 86_400_000_000, 129_600_000_000, 3).groupBy("user_id", "anchor_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x")).alias("mean"))
 
 
-@query(f"WITH {SAMPLES} SELECT user_id, count(*) FILTER (i < 60) AS used, 60 AS size, round(sum(CASE WHEN i < 60 THEN x * (i + 1) ELSE 0 END), 6) AS weighted FROM ev GROUP BY user_id")
+@query(f"WITH {SAMPLES} SELECT user_id, i // 60 AS w, count(*) AS used, 60 AS size, round(sum(x * (i % 60 + 1)), 6) AS weighted FROM ev GROUP BY ALL")
 def padded_windows(spark, d):
-    p = W.padded(samples(spark, d), BY, "i", "x", 60)
-    total = F.aggregate(F.zip_with("samples", F.sequence(F.lit(1), F.lit(60)), lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
-    n = samples(spark, d).groupBy("user_id").agg(F.count_if(F.col("i") < 60).alias("used"))
-    return p.join(n, "user_id").select("user_id", "used", F.size("samples").alias("size"), r6(total).alias("weighted"))
+    """The whole of each recording in windows of 60, the last one filled with zeros."""
+    s = samples(spark, d).select("user_id", F.floor(F.col("i") / 60).alias("w"), (F.col("i") % 60).alias("i"), "x")
+    total = F.aggregate(F.zip_with("samples", F.sequence(F.lit(1), F.lit(60)), lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x)
+    n = s.groupBy("user_id", "w").agg(F.count(F.lit(1)).alias("used"))
+    return W.padded(s, ["user_id", "w"], "i", "x", 60).join(n, ["user_id", "w"]).select("user_id", "w", "used", F.size("samples").alias("size"), r6(total).alias("weighted"))
 
 
 # ---- resampling
@@ -497,6 +539,18 @@ def uniform_resample(spark, d):
     return R.uniform_grid(s, BY, "us", ["x"], 21_600_000_000).select("user_id", "k", "us", r6(F.col("x")).alias("x"))
 
 
+@query(f"""WITH {SAMPLES}, s AS (SELECT user_id % 10 AS rec, node, us, min(x) AS x FROM ev GROUP BY ALL), e AS (SELECT rec, node, min(us) AS a, max(us) AS b FROM s GROUP BY ALL), b AS (SELECT rec, max(a) AS lo, min(b) AS hi FROM e GROUP BY rec HAVING max(a) <= min(b)),
+g AS (SELECT rec, lo, CAST(unnest(range(0, (hi - lo) // 3600000000 + 1)) AS INT) AS k FROM b), p AS (SELECT g.rec, node, k, lo + CAST(k AS BIGINT) * 3600000000 AS t FROM g JOIN e USING (rec)),
+q AS (SELECT p.rec, p.node, p.k, p.t, a.us AS t0, a.x AS x0 FROM p ASOF JOIN s a ON p.rec = a.rec AND p.node = a.node AND p.t >= a.us), z AS (SELECT q.*, c.us AS t1, c.x AS x1 FROM q ASOF LEFT JOIN s c ON q.rec = c.rec AND q.node = c.node AND q.t <= c.us),
+l AS (SELECT rec, k, t AS us, node, CASE WHEN t1 IS NULL OR t1 = t0 THEN x0 ELSE x0 + (x1 - x0) * (t - t0) / (t1 - t0) END AS x FROM z)
+SELECT rec, k, us, {', '.join(f'round(min(CASE WHEN node = {n} THEN x END), 6) AS x_n{n}' for n in range(1, 5))} FROM l GROUP BY rec, k, us""")
+def common_grid(spark, d):
+    """All nodes of a recording on one clock over the time that they share."""
+    s = samples(spark, d).withColumn("rec", F.col("user_id") % 10)
+    out = R.common_grid(s, ["rec"], "node", "us", ["x"], 3_600_000_000, [1, 2, 3, 4])
+    return out.withColumns({f"x_n{n}": r6(F.col(f"x_n{n}")) for n in range(1, 5)})
+
+
 @query(f"""WITH {SAMPLES}, a AS (SELECT user_id, list(x ORDER BY us, seq) AS s FROM ev GROUP BY user_id), p AS (SELECT user_id, s, unnest(range(0, 21)) AS j FROM a), q AS (SELECT *, j * (len(s) - 1) / 20.0 AS pos FROM p), f AS (SELECT *, greatest(0, least(CAST(floor(pos) AS INT), len(s) - 2)) AS b FROM q)
 SELECT user_id, CAST(j AS INT) AS j, round(s[b + 1] + (s[b + 2] - s[b + 1]) * (pos - b), 6) AS x FROM f""")
 def stretch_to_length(spark, d):
@@ -547,10 +601,11 @@ def fused_energy(spark, d):
 # ---- segments and labels
 
 @query(f"""WITH {SAMPLES}, q AS (SELECT user_id, quantile_cont(x, 0.1) AS q FROM ev GROUP BY user_id), l AS (SELECT ev.*, last_value(CASE WHEN x > 5 * q THEN true WHEN x < 2 * q THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM ev JOIN q USING (user_id)),
-n AS (SELECT *, coalesce(st, false) AS act FROM l), s AS (SELECT *, CASE WHEN lag(act) OVER o IS NOT DISTINCT FROM act AND i > 0 THEN 0 ELSE 1 END AS b FROM n {_W}), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY us, seq) AS run FROM s)
-SELECT user_id, min(us) AS start, max(us) AS "end", count(*) AS n FROM r WHERE act GROUP BY user_id, run HAVING count(*) >= 2""")
+n AS (SELECT *, coalesce(st, false) AS act FROM l), s AS (SELECT *, CASE WHEN lag(act) OVER o IS NOT DISTINCT FROM act AND i > 0 THEN 0 ELSE 1 END AS b FROM n {_W}), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY us, seq) AS run FROM s), g AS (SELECT user_id, min(us) AS a, max(us) AS b, count(*) AS n FROM r WHERE act GROUP BY user_id, run),
+h AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 43200000000 THEN 0 ELSE 1 END AS nw FROM g), k AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY a) AS segment FROM h)
+SELECT user_id, min(a) AS start, max(b) AS "end", CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY user_id, segment HAVING sum(n) >= 2""")
 def hysteresis_segments(spark, d):
-    return S.hysteresis(samples(spark, d), BY, ORDER, "x", gap=-1, least=2).select("user_id", "start", "end", "n")
+    return S.hysteresis(samples(spark, d), BY, ORDER, "x", gap=43_200_000_000, least=2).select("user_id", "start", "end", "n")
 
 
 @query(f"""WITH {SAMPLES}, q AS (SELECT user_id, quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.9) AS c FROM ev GROUP BY user_id), n AS (SELECT ev.*, x > greatest(b + 0.25 * (c - a), 1.5 * a) AS act FROM ev JOIN q USING (user_id)),
@@ -566,6 +621,21 @@ def continuous_labels(spark, d):
     return S.continuous_labels(samples(spark, d), BY, ORDER, "x", "us", "label", 86_400_000_000).select("seq", "assigned")
 
 
+@query(f"""WITH {SAMPLES}, {windows_sql(10, 4)}, e AS (SELECT user_id, window_id, sqrt(avg(x * x)) AS e FROM w GROUP BY ALL), q AS (SELECT user_id, quantile_cont(e, 0.1) AS rest FROM e GROUP BY user_id),
+m AS (SELECT w.user_id, w.i, max(e) AS most FROM w JOIN e USING (user_id, window_id) GROUP BY ALL)
+SELECT ev.user_id, ev.seq, CASE WHEN rest IS NULL OR coalesce(most, 0) < 1.5 * rest OR i < 3 OR i >= count(*) OVER (PARTITION BY ev.user_id) - 3 THEN 'null' ELSE label END AS assigned FROM ev LEFT JOIN m USING (user_id, i) LEFT JOIN q USING (user_id)""")
+def smeared_labels(spark, d):
+    return S.smeared_labels(samples(spark, d), BY, ORDER, "x", "label", 10, 4, 3).select("user_id", "seq", "assigned")
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT user_id, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM ev GROUP BY user_id), a AS (SELECT user_id, quantile_cont(abs(x - mx), 0.5) * 1.4826 AS dx, quantile_cont(abs(y - my), 0.5) * 1.4826 AS dy, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM ev JOIN m USING (user_id) GROUP BY user_id),
+z AS (SELECT user_id, i, 0.6 * greatest(0, (x - mx) / CASE WHEN dx > 1e-12 THEN dx WHEN sx > 1e-12 THEN sx ELSE 1 END) + 0.4 * greatest(0, (y - my) / CASE WHEN dy > 1e-12 THEN dy WHEN sy > 1e-12 THEN sy ELSE 1 END) AS raw FROM ev JOIN m USING (user_id) JOIN a USING (user_id)),
+s AS (SELECT *, sum(raw) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS score, count(*) OVER (PARTITION BY user_id) AS n FROM z)
+SELECT user_id, arg_min(i, (-round(score, 9), i)) AS place, round(max(score), 6) AS score, min(n) AS n FROM s WHERE i >= round_even(n * CAST(0.35 AS DOUBLE), 0) AND i < round_even(n * CAST(0.7 AS DOUBLE), 0) GROUP BY user_id""")
+def release_score(spark, d):
+    return S.release_score(samples(spark, d), BY, ORDER, {"x": 0.6, "y": 0.4}).withColumn("score", r6(F.col("score")))
+
+
 @query(f"""WITH {SAMPLES}, p AS (SELECT *, coalesce(x > lag(x) OVER o AND x > lead(x) OVER o AND x > 100, false) AS p FROM ev {_W}), k AS (SELECT *, sum(p::INT) OVER (PARTITION BY user_id ORDER BY us, seq) AS k FROM p), v AS (SELECT user_id, k, arg_min(us, (x, us)) AS valley FROM k WHERE NOT p GROUP BY ALL)
 SELECT k.user_id, CAST(k.k AS BIGINT) AS k, k.us AS peak, l.valley AS "left", r.valley AS "right" FROM k LEFT JOIN v l ON l.user_id = k.user_id AND l.k = k.k - 1 LEFT JOIN v r ON r.user_id = k.user_id AND r.k = k.k WHERE p""")
 def peak_segments(spark, d):
@@ -748,21 +818,21 @@ def cosine_template(spark, d):
 
 # ---- signal kernels and models: no SQL form, or a partial one
 
-@query(f"""WITH {SAMPLES}, s AS (SELECT user_id, i, x FROM ev WHERE i < 32 AND user_id IN (SELECT user_id FROM ev GROUP BY user_id HAVING count(*) >= 32)), f AS (SELECT unnest(range(1, 17)) AS k),
-p AS (SELECT user_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 32)), 2) + pow(sum(x * sin(2 * pi() * k * i / 32)), 2)) AS a FROM s, f GROUP BY ALL)
-SELECT user_id, arg_max(k, a) * 50 / 32.0 AS dom_freq, round(max(a * a) / (sum(a * a) + 1e-12), 5) AS dom_power, round(sum(k * 50 / 32.0 * a) / (sum(a) + 1e-12), 5) AS centroid FROM p GROUP BY user_id""")
+@query(f"""WITH {SAMPLES}, s AS (SELECT user_id, i, x, count(*) OVER (PARTITION BY user_id) AS n FROM ev QUALIFY n >= 4), f AS (SELECT user_id, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT user_id, n FROM s)),
+p AS (SELECT user_id, n, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2)) AS a FROM s JOIN f USING (user_id, n) GROUP BY ALL)
+SELECT user_id, round(arg_max(k, a) * 50.0 / min(n), 9) AS dom_freq, round(max(a * a) / (sum(a * a) + 1e-12), 5) AS dom_power, round(sum(k * 50.0 / n * a) / (sum(a) + 1e-12), 5) AS centroid FROM p GROUP BY user_id""")
 def dominant_freq(spark, d):
-    p = W.padded(samples(spark, d), BY, "i", "x", 32)
-    full = samples(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 32").select("user_id")
-    f = G.window_features(p.join(full, "user_id"), ["user_id"], "samples", 50.0)
-    return f.select("user_id", "dom_freq", F.round("dom_power", 5).alias("dom_power"), F.round("centroid", 5).alias("centroid"))
+    """The spectrum of each whole recording of four samples or more."""
+    a = samples(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "x"))), lambda v: v["x"]).alias("samples")).where(F.size("samples") >= 4)
+    f = G.window_features(a, ["user_id"], "samples", 50.0)
+    return f.select("user_id", F.round("dom_freq", 9).alias("dom_freq"), F.round("dom_power", 5).alias("dom_power"), F.round("centroid", 5).alias("centroid"))
 
 
 @query(f"""WITH {SAMPLES}, {windows_sql(32, 16)}, f AS (SELECT unnest(range(1, 17)) AS k),
 p AS (SELECT user_id, window_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 32)), 2) + pow(sum(x * sin(2 * pi() * k * i / 32)), 2)) AS a FROM w, f GROUP BY ALL)
 SELECT user_id, window_id, arg_max(k, a) * 50 / 32.0 AS dom_freq, round(max(a * a) / (sum(a * a) + 1e-12), 5) AS dom_power, round(sum(k * 50 / 32.0 * a) / (sum(a) + 1e-12), 5) AS centroid FROM p GROUP BY ALL""")
 def sliding_dominant_freq(spark, d):
-    """dominant_freq is of the first 32 samples; this is of every window of the recording."""
+    """The same of every window of a recording."""
     f = G.window_features(W.sliding_samples(samples(spark, d), BY, ORDER, "x", 32, 16), ["user_id", "window_id"], "samples", 50.0)
     return f.select("user_id", "window_id", "dom_freq", F.round("dom_power", 5).alias("dom_power"), F.round("centroid", 5).alias("centroid"))
 
@@ -772,15 +842,78 @@ def butter_lowpass(spark, d):
     return G.smoothed(samples(spark, d), BY, ORDER, "x", 8.0, 50.0, 3)
 
 
-@query(f"""WITH {SAMPLES} SELECT user_id, us, seq, x, coalesce(x > lag(x) OVER o AND x > lead(x) OVER o, false) AS is_peak FROM ev WHERE x <> 0 {_W}""")
+@query(f"""WITH {SAMPLES}, s AS (SELECT *, CASE WHEN lag(x) OVER o = x THEN 0 ELSE 1 END AS st FROM ev {_W}), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY us, seq) AS run FROM s), l AS (SELECT user_id, run, min(x) AS level, (min(i) + max(i)) // 2 AS middle FROM r GROUP BY ALL),
+p AS (SELECT *, coalesce(level > lag(level) OVER q AND level > lead(level) OVER q, false) AS top FROM l WINDOW q AS (PARTITION BY user_id ORDER BY run)) SELECT r.user_id, us, seq, x, top AND i = middle AS is_peak FROM r JOIN p USING (user_id, run)""")
 def find_peaks(spark, d):
-    return G.peaks(samples(spark, d).where("x <> 0"), BY, ORDER, "x")
+    """Local maxima of all samples; a flat top counts once, at its middle."""
+    return G.peaks(samples(spark, d), BY, ORDER, "x")
+
+
+@query()
+def prominent_far_peaks(spark, d):
+    return G.peaks(samples(spark, d), BY, ORDER, "x", distance=4, prominence=20.0)
+
+
+@query()
+def peaks_for_count(spark, d):
+    return G.counted_peaks(samples(spark, d), BY, ORDER, "x", 5, 3)
+
+
+@query()
+def butter_highpass(spark, d):
+    return G.smoothed(samples(spark, d), BY, ORDER, "x", 0.5, 50.0, 4, high=True)
+
+
+@query()
+def butter_bandpass(spark, d):
+    return G.banded(samples(spark, d), BY, ORDER, "x", 1.0, 8.0, 50.0)
+
+
+def _motion(spark, d):
+    return samples(spark, d).withColumns({"z": F.lit(9.8), "g": F.col("y") / 100, "g2": F.col("y") / 200, "g3": -F.col("y") / 100})
+
+
+@query()
+def tilt_filter(spark, d):
+    return G.tilted(_motion(spark, d), BY, ORDER, ["x", "y", "z"], ["g", "g2", "g3"], 0.02)
+
+
+@query()
+def complementary_attitude(spark, d):
+    return G.oriented(_motion(spark, d), BY, ORDER, ["x", "y", "z"], ["g", "g2", "g3"], 0.02, "complementary")
+
+
+@query()
+def gravity_frame(spark, d):
+    return G.gravity_frame(_motion(spark, d), BY, ORDER, ["x", "y", "z"], 50.0)
+
+
+@query()
+def window_spectrum(spark, d):
+    """Entropy and band shares, with all other features, of every window of a recording."""
+    return G.window_features(W.sliding_samples(samples(spark, d), BY, ORDER, "x", 32, 16), ["user_id", "window_id"], "samples", 50.0)
+
+
+@query()
+def envelope_sync(spark, d):
+    """How two channels of a window agree, and the period of the first."""
+    s, keys = samples(spark, d), ["user_id", "window_id"]
+    x, y = (W.sliding_samples(s, BY, ORDER, c, 32, 16).withColumnRenamed("samples", f"s_{c}") for c in ("x", "y"))
+    return G.synchrony(x.join(y, keys), keys, "s_x", "s_y", 50.0)
+
+
+@query()
+def mahalanobis_rejection(spark, d):
+    """Open-set rejection of all vectors by their distance to the class that they are said to have."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    far = X.mahalanobis(e, "v", "label", X.class_models(e.where(E.fold(F.col("vec_id"), 4) != 0), "v", "label"))
+    label, sure = U.rejected(F.lit(0.9), F.col("distance"), 0.5, F.lit(9.5), F.col("label").cast("string"))
+    return far.select("vec_id", "distance", label.alias("label"), sure.alias("confidence"))
 
 
 @query()
 def madgwick(spark, d):
-    s = samples(spark, d).withColumns({"z": F.lit(9.8), "g": F.col("y") / 100})
-    return G.oriented(s.withColumns({"g2": F.col("g") / 2, "g3": -F.col("g")}), BY, ORDER, ["x", "y", "z"], ["g", "g2", "g3"], 0.02)
+    return G.oriented(_motion(spark, d), BY, ORDER, ["x", "y", "z"], ["g", "g2", "g3"], 0.02)
 
 
 @query()

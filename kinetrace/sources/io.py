@@ -18,10 +18,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType =
     return nan_to_null(spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("nullValue", null_value).csv(path))
 
 
-def read_standard(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Standard tables of one file or a folder: all required columns, in the order of their recordings."""
+def read_standard(spark: SparkSession, path: str | list[str], ordered: bool = False) -> DataFrame:
+    """Standard tables of one file or a folder: all required columns. Operators take their order as columns; only
+    where rows are shown or written in order does it pay to sort them all."""
     df = require(read_csv(spark, path), STANDARD_IMU.names, "recording")
-    return df.orderBy("session_id", "player_id", "side", "timestamp_us")
+    return df.orderBy("session_id", "player_id", "side", "timestamp_us") if ordered else df
 
 
 def read_by_name(spark: SparkSession, path: str, schema: T.StructType, pattern: str = r"([^/]+?)_(eu|na)\.csv$", names: tuple[str, ...] = ("subject", "region")) -> DataFrame:

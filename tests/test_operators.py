@@ -1,11 +1,15 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinetrace.functions import columns as C
-from kinetrace.operators import features, joins, learning, quality, resample, rules, segment, signal, windows
+from kinetrace.functions import kernels
+from kinetrace.operators import evaluation, features, joins, learning, quality, rejection, resample, rules, segment, signal, similarity, windows
 
 
 @settings(max_examples=8, deadline=None)
@@ -65,8 +69,10 @@ def test_intervals_and_nearest(spark):
 
 def test_lookup_needs_unique_keys(spark):
     t = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
-    with pytest.raises(ValueError, match="repeat"):
-        joins.lookup(t, t, ["k"])
+    with pytest.raises(Exception, match="repeat"):
+        joins.lookup(t, t, ["k"]).collect()
+    once = t.limit(1)
+    assert [tuple(r) for r in joins.lookup(t.select("k"), once, ["k"]).collect()] == [(1, "a"), (1, "a")]
 
 
 def test_hysteresis_and_merge(spark):
@@ -168,3 +174,133 @@ def test_peak_confidence(spark):
     df = spark.createDataFrame([(1, i, 5.0 if i == 4 else float(i % 2)) for i in range(9)], "g int, i int, x double")
     r = features.peak_confidence(df, spark.createDataFrame([(1, 4)], "g int, place int"), ["g"], "i", "x", 3).first()
     assert r.confidence == pytest.approx((5 - 1) / np.std([1, 0, 1, 5, 1, 0, 1]))
+
+
+def test_first_of_overlapping_intervals(spark):
+    rng = np.random.default_rng(3)
+    intervals = [(int(rng.integers(3)), int(a := rng.integers(60)), int(a + rng.integers(25)), f"n{k}") for k in range(25)]
+    points = [(g, t) for g in range(3) for t in range(90)]
+    got = joins.interval_join(spark.createDataFrame(points, "g int, t int"), spark.createDataFrame(intervals, "g int, a int, b int, name string"), ["g"], "t", "a", "b", "name")
+    first = lambda g, t: min(((a, n) for h, a, b, n in intervals if h == g and a <= t <= b), default=(0, "unknown"))[1]
+    assert {(r.g, r.t): r.interval_label for r in got.collect()} == {p: first(*p) for p in points}
+
+
+def test_windows_without_a_region(spark):
+    rng = np.random.default_rng(4)
+    w = [(int(rng.integers(2)), k, int(a := rng.integers(200)), int(a + rng.integers(10))) for k in range(80)]
+    r = [(int(rng.integers(2)), int(a := rng.integers(200)), int(a + rng.integers(12))) for _ in range(15)]
+    got = joins.not_overlapping(spark.createDataFrame(w, "g int, k int, start int, end int"), spark.createDataFrame(r, "g int, rs int, re int"), ["g"])
+    assert {x.k for x in got.collect()} == {k for g, k, a, b in w if not any(h == g and a <= d and c <= b for h, c, d in r)}
+    assert got.columns == ["g", "k", "start", "end"]
+
+
+@pytest.mark.parametrize("queries,rows", [(4096, 20_000), (3, 7)])
+def test_neighbours_and_silhouette_by_blocks(spark, queries, rows, monkeypatch):
+    monkeypatch.setattr(joins, "QUERIES_AT_ONCE", queries)
+    monkeypatch.setattr(joins, "ROWS_AT_ONCE", rows)
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(60, 3)), 1)
+    v[10:20] = v[:10]  # ties
+    label = rng.integers(0, 3, 60)
+    df = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label))], "id long, v array<double>, label int")
+    some = df.where("id % 5 = 0").withColumnRenamed("id", "qid")
+    d = np.round(((v[:, None] - v[None]) ** 2).sum(2), 9)
+    want = {}
+    for i in range(0, 60, 5):
+        near = sorted((d[i, j], j) for j in range(60) if j != i)[:5]
+        votes = pd.Series([label[j] for _, j in near]).value_counts()
+        want[i] = min((-n, int(c)) for c, n in votes.items())[::-1]
+    got = joins.nearest_neighbours(some.select("qid", "v"), df)
+    assert {r.qid: (r.label, -r.votes) for r in got.collect()} == want
+    s = {r.qid: r.s for r in evaluation.silhouette(some, df).collect()}
+    for i in range(0, 60, 5):
+        far = {c: np.mean([d[i, j] ** 0.5 for j in range(60) if label[j] == c and j != i]) for c in range(3)}
+        a, b = far[label[i]], min(far[c] for c in range(3) if c != label[i])
+        assert s[i] == pytest.approx((b - a) / max(a, b), abs=1e-6)
+
+
+def test_undersampling_keeps_exactly_its_share(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 50 == 0, "a").when(F.col("id") % 75 == 1, "b").when(F.col("id") == 7, None).otherwise("null").alias("label"))
+    got = {r.label: r["count"] for r in evaluation.undersampled(df, "label", "null", "id").groupBy("label").count().collect()}
+    assert got == {"a": 100, "b": 67, None: 1, "null": 150}
+    few = df.where("id < 60")
+    assert evaluation.undersampled(few, "label", "a", "id", 100).count() == few.count()
+
+
+def test_lagged_correlation_of_a_shifted_signal(spark):
+    x = np.random.default_rng(6).normal(size=40)
+    rows = [(1, i, float(x[i]), float(x[i - 3]) if i >= 3 else 0.0) for i in range(40)] + [(2, i, 1.0, float(i)) for i in range(9)]
+    got = similarity.lagged_correlation(spark.createDataFrame(rows, "g int, i int, x double, y double"), ["g"], "i", "x", "y", 5).collect()
+    assert [(r.g, r.lag, r.r) for r in got] == [(1, 3, 1.0)]
+
+
+def test_correlation_with_a_constant_side(spark):
+    df = spark.createDataFrame([(1, float(i), 2.0) for i in range(4)] + [(2, float(i), 3.0 * i) for i in range(4)] + [(2, 1.0, None)], "g int, x double, y double")
+    assert {r.g: r.r for r in quality.pearson(df, ["g"], "x", "y").collect()} == {1: 0.0, 2: pytest.approx(1)}
+    assert [r.g for r in quality.pearson(df, ["g"], "x", "y", flat=None).collect()] == [2]
+
+
+def test_filling_a_long_recording_takes_linear_time(spark):
+    df = spark.range(200_000).select(F.lit(1).alias("g"), "id", F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).alias("x"))
+    start = time.time()
+    got = resample.fill_by_row(df, ["g"], ["id"], ["x"]).agg(F.max(F.abs(F.col("x") - F.least(F.col("id"), F.lit(199_000)))), F.count("x")).first()
+    assert got[0] < 1e-6 and got[1] == 200_000 and time.time() - start < 20
+
+
+def test_nodes_on_one_clock(spark):
+    rows = [(1, n, t, float(t * n)) for n, (a, b) in {1: (0, 100), 2: (7, 93), 3: (20, 120)}.items() for t in range(a, b, 3)] + [(2, 1, 0, 1.0), (2, 2, 50, 1.0)]
+    got = resample.common_grid(spark.createDataFrame(rows, "rec int, node int, t long, x double"), ["rec"], "node", "t", ["x"], 10, [1, 2, 3, 4]).orderBy("t").collect()
+    assert [r.t for r in got] == list(range(20, 92, 10)) and {r.rec for r in got} == {1}
+    for r in got:
+        assert (r.x_n1, r.x_n2, r.x_n3, r.x_n4) == (pytest.approx(r.t), pytest.approx(2 * r.t), pytest.approx(3 * r.t), None)
+
+
+def test_class_models_against_the_kernel(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(80, 4)) @ rng.normal(size=(4, 4)), rng.normal(3, 1, (40, 4)), rng.normal(size=(3, 4))])
+    label = ["a"] * 80 + ["b"] * 40 + ["few"] * 3
+    rows = [(i, y, v.tolist()) for i, (v, y) in enumerate(zip(x, label))] + [(200, None, [0.0] * 4), (201, "none", None), (202, "new", [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id int, label string, v array<double>").repartition(5)
+    models = rejection.class_models(df.where("label <> 'new' OR label IS NULL"), "v", "label")
+    for c, a, b in (("a", 0, 80), ("b", 80, 120)):
+        mean, covariance, share = kernels.ledoit_wolf(x[a:b])
+        assert np.allclose(models[c].mean, mean) and np.allclose(models[c].covariance, covariance) and models[c].share == pytest.approx(share)
+    assert np.array_equal(models["few"].covariance, np.eye(4)) and set(models) == {"a", "b", "few"}
+    far = {r.id: r.distance for r in rejection.mahalanobis(df, "v", "label", models).collect()}
+    d = x[5] - models["a"].mean
+    assert far[5] == pytest.approx((d @ np.linalg.inv(models["a"].covariance) @ d) ** 0.5) and far[200] == far[201] == far[202] == 0
+    assert [p[:2] for p in rejection.distance_matrix(models)] == [("a", "b"), ("a", "few"), ("b", "few")]
+
+
+def test_held_out_rows_among_the_others_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, rec string")
+    rest, held = learning.hold_out(df, "rec", "b")
+    assert [r.id for r in learning.checked_apart(rest, held, "rec").collect()] == [1] and [r.id for r in held.collect()] == [2]
+    with pytest.raises(Exception, match="held-out"):
+        learning.checked_apart(df, held, "rec").collect()
+
+
+def test_kernels_run_by_group(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(150, 6))
+    rows = [(i % 2, i, *map(float, x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "g int, t int, a double, b double, c double, p double, q double, r double")
+    take = lambda out, names: np.array([[r[n] for n in names] for r in out.where("g = 1").orderBy("t").collect()], float)
+    x = v[1::2]
+    one = (["g"], ["t"])
+    assert np.allclose(take(signal.banded(df, *one, "a", 1, 8, 50), ["a_filtered"])[:, 0], kernels.zero_phase(*kernels.bandpass(4, 1, 8, 50), x[:, 0]))
+    assert np.allclose(take(signal.smoothed(df, *one, "a", 0.5, 50, 4, True), ["a_filtered"])[:, 0], kernels.zero_phase(*kernels.butterworth(4, 0.5, 50, True), x[:, 0]))
+    assert np.allclose(take(signal.tilted(df, *one, ["a", "b", "c"], ["p", "q", "r"], 0.02), ["roll", "pitch"]), kernels.tilt(x[:, :3], x[:, 3:], 0.02))
+    assert np.flatnonzero(take(signal.counted_peaks(df, *one, "a", 4, 2), ["is_peak"])[:, 0]).tolist() == kernels.peaks_for_count(x[:, 0], 4, 2).tolist()
+    assert np.flatnonzero(take(signal.peaks(df, *one, "a", 3, 0.8), ["is_peak"])[:, 0]).tolist() == kernels.find_peaks(x[:, 0], 3, 0.8).tolist()
+    both = spark.createDataFrame([(1, x[:, 0].tolist(), x[:, 1].tolist())], "k int, x array<double>, y array<double>")
+    (high, lag), (height, period) = kernels.cross_correlation(x[:, 0], x[:, 1]), kernels.autocorrelation_peak(x[:, 0])
+    assert tuple(signal.synchrony(both, ["k"], "x", "y", 50).first()) == pytest.approx((1, high, lag / 50, height, period / 50))
+
+
+def test_windows_of_different_lengths_go_together(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=n).tolist()) for k, n in enumerate([8, 20, 8, 33, 20])]
+    got = {r.k: r for r in signal.window_features(spark.createDataFrame(rows, "k int, s array<double>").coalesce(1), ["k"], "s", 50.0).collect()}
+    for k, s in rows:
+        assert got[k].dom_freq == pytest.approx(signal.time_and_frequency(np.array([s]), 50.0)["dom_freq"][0]) and got[k]["mean"] == pytest.approx(np.mean(s))
