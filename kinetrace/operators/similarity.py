@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions.columns import correlation
-from kinetrace.operators.joins import zip_join
 from kinetrace.operators.quality import marginals, pearson, share_summary
 from kinetrace.operators.windows import indexed, runs
 
