@@ -39,6 +39,44 @@ def repeated_positions(hashes: DataFrame, m: int) -> DataFrame:
     )
 
 
+def _filter(df: DataFrame, text_col: str) -> tuple[int, DataFrame]:
+    """Pass one: positions of one hash function, and the bitmaps as a table."""
+    rows = max(1, df.count())
+    m = min(MOST_POSITIONS, max(_PER_BITMAP, 1 << (POSITIONS_PER_ROW * rows - 1).bit_length()))
+    hashes = df.select(F.xxhash64(without_white_space(text_of(text_col))).alias("h"))
+    return m, F.broadcast(written(repeated_positions(hashes, m), "bitmaps"))
+
+
+def _tested(df: DataFrame, m: int, bitmaps: DataFrame) -> DataFrame:
+    """Pass two: ``df`` with __norm replaced by __sha and __maybe, whether the filter has both of its positions."""
+    first, second = _positions(F.xxhash64("__norm"), m)
+    rows, keep = df.withColumns({"__a": first, "__b": second, "__sha": F.sha2("__norm", 256)}), [c for c in df.columns if c != "__norm"]
+    for at in ("__a", "__b"):
+        bits = bitmaps.select(F.col("bucket").alias(f"{at}_bucket"), F.col("bits").alias(f"{at}_bits"))
+        rows = rows.join(bits, F.bitmap_bucket_number(at) == F.col(f"{at}_bucket"), "left")
+    return rows.select(*keep, "__sha", (is_set(F.col("__a_bits"), F.col("__a")) & is_set(F.col("__b_bits"), F.col("__b"))).alias("__maybe"))
+
+
+def _rank(row: str) -> Column:
+    """What stays of a group is the least of this: the longest, then the smallest id, a null id last."""
+    return F.struct((-F.col("__len")).alias("len"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col(row).alias("row"))
+
+
+def one_of_equal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``exact_dedup`` keeps, with all their columns, whose names must not start with two
+    underscores. No table of texts is written: rows that the filter rules out pass through, and of the others
+    those that stay are found by their rank. Rows that repeat one row in every column give one."""
+    m, bitmaps = _filter(df, text_col)
+    text = text_of(text_col)
+    other = F.xxhash64(F.to_json(F.struct(*[c for c in df.columns if c not in (id_col, text_col)], F.lit(1).alias("__one"))), text)
+    mine = df.withColumns({"__id": F.col(id_col), "__len": F.char_length(text), "__norm": without_white_space(text), "__row": other})
+    tested = _tested(mine, m, bitmaps)
+    maybe, own = tested.where("__maybe"), [F.col(c) for c in df.columns]
+    best = written(maybe.groupBy("__sha").agg(F.count(F.lit(1)).alias("__size"), F.min(_rank("__row")).alias("__best")), "best")
+    stay = joined_evenly(maybe, best, "__sha", "__size", ["__id", "__row"]).where(_rank("__row") == F.col("__best")).dropDuplicates(["__sha"])
+    return tested.where("NOT __maybe").select(*own).unionByName(stay.select(*own))
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``carry`` columns, then doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -47,29 +85,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     Rows that tie in all of this are repeats of one row: exactly one of them is kept. An empty table
     gives an empty result; other columns play no part, whatever their names.
     """
-    rows = max(1, df.count())
-    m = min(MOST_POSITIONS, max(_PER_BITMAP, 1 << (POSITIONS_PER_ROW * rows - 1).bit_length()))
-    text = text_of(text_col)
-    norm = without_white_space(text)
-    bitmaps = F.broadcast(repeated_positions(df.select(F.xxhash64(norm).alias("h")), m))
+    m, bitmaps = _filter(df, text_col)
+    text, carried = text_of(text_col), [f"__c{i}" for i in range(len(carry))]
     mine = df.select(
-        *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col(id_col).alias("__id"),
-        F.char_length(text).alias("__len"), norm.alias("__norm"),
-    ).withColumn("__h", F.xxhash64("__norm"))
-    first, second = _positions(F.col("__h"), m)
-    carried = [f"__c{i}" for i in range(len(carry))]
-    tested = (
-        mine.withColumns({"__a": first, "__b": second, "__sha": F.sha2("__norm", 256)})
-        .join(bitmaps.select(F.col("bucket").alias("__ba"), F.col("bits").alias("__bits_a")), F.bitmap_bucket_number("__a") == F.col("__ba"), "left")
-        .join(bitmaps.select(F.col("bucket").alias("__bb"), F.col("bits").alias("__bits_b")), F.bitmap_bucket_number("__b") == F.col("__bb"), "left")
-        .select(*carried, "__id", "__len", "__sha", F.monotonically_increasing_id().alias("__row"),
-                (is_set(F.col("__bits_a"), F.col("__a")) & is_set(F.col("__bits_b"), F.col("__b"))).alias("__maybe"))
+        *[F.col(c).alias(n) for c, n in zip(carry, carried)], F.col(id_col).alias("__id"),
+        F.char_length(text).alias("__len"), without_white_space(text).alias("__norm"),
     )
-    tested = written(tested, "bloom")
+    tested = written(_tested(mine, m, bitmaps).withColumn("__row", F.monotonically_increasing_id()), "bloom")
     maybe, alone = tested.where("__maybe"), tested.where("NOT __maybe")
     best = written(maybe.groupBy("__sha").agg(
         F.count(F.lit(1)).alias("group_size"), F.count(F.lit(1)).alias("__size"),
-        F.min(F.struct((-F.col("__len")).alias("len"), F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("__best"),
+        F.min(_rank("__row")).alias("__best"),
     ), "best")
     out = ["__id", "keep_id", "group_size", "kept", "__sha"]
     grouped = joined_evenly(maybe, best, "__sha", "__size", ["__row"]).select(

@@ -72,6 +72,19 @@ def test_exact_dedup(docs, texts, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("positions", [1 << 15, 1 << 3])
+def test_one_of_equal(docs, texts, nothing, positions, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_POSITIONS", positions)
+    got = exact_dedup.one_of_equal(docs)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    best = {}
+    for i, t in texts:
+        best[norm(t)] = min(best.get(norm(t), (1,)), (-len(t or ""), i is None, i or 0, i))
+    assert got.columns == docs.columns and collections.Counter((norm(r.text), r.doc_id) for r in got.collect()) == {(k, b[3]): 1 for k, b in best.items()}
+    assert exact_dedup.one_of_equal(docs.union(docs)).count() == len(best)
+    assert exact_dedup.one_of_equal(nothing).count() == 0
+
+
 @pytest.mark.parametrize("positions", [1 << 15, 1 << 3])
 def test_exact_dedup_survives_a_full_filter(docs, texts, positions, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MOST_POSITIONS", positions)
