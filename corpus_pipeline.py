@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.common import masked, recorded, removed, table, unmasked, written
 from kinetrace.llm.decontamination import decontaminate
-from kinetrace.llm.exact_dedup import exact_dedup
+from kinetrace.llm.exact_dedup import one_of_equal
 from kinetrace.llm.near_dedup import one_of_each
 from kinetrace.llm.sentencepiece_bpe import token_digests
 from kinetrace.llm.toxicity import THRESHOLD, scored, train, training_rows
@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space."""
     plain, names = masked(docs)
-    return unmasked(exact_dedup(plain, names["doc_id"], names["text"], tuple(plain.columns)).where("kept"), names)
+    plain = plain.toDF(*[c.strip("_") for c in plain.columns])
+    return unmasked(one_of_equal(plain, names["doc_id"].strip("_"), names["text"].strip("_")), {c: n.strip("_") for c, n in names.items()})
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
