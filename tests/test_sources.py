@@ -20,14 +20,14 @@ def test_missing_columns(spark):
 
 def test_null_label_stays_a_class(spark, tmp_path):
     spark.createDataFrame([("null", 1.0), ("shot", 2.0)], "label string, x double").coalesce(1).write.option("header", True).csv(str(tmp_path / "a"))
-    got = io.read_csv(spark, str(tmp_path / "a"), schema._struct({schema._S: "label", schema._D: "x"}, "label x"))
+    got = io.read_csv(spark, str(tmp_path / "a"), "label string, x double")
     assert sorted(r.label for r in got.collect()) == ["null", "shot"]
 
 
 def test_files_by_name(spark, tmp_path):
     for name in ("ann_eu.csv", "bob_na.csv", "notes.csv", "node3.csv"):
         (tmp_path / name).write_text("x\n1\n2\n")
-    kind = schema._struct({schema._D: "x"}, "x")
+    kind = "x double"
     got = io.read_by_name(spark, f"{tmp_path}/*.csv", kind).groupBy("subject", "region").count().collect()
     assert sorted(tuple(r) for r in got) == [("ann", "eu", 2), ("bob", "na", 2)]
     assert io.read_nodes(spark, f"{tmp_path}/*.csv", kind).select("node").distinct().collect()[0].node == 3
@@ -60,6 +60,15 @@ def test_clocks_and_empty_tables(spark):
     assert all(t.count() == 0 for t in io.empty_tables(spark).values())
 
 
+def test_an_empty_table_is_read_back_as_declared(spark, tmp_path):
+    for name in ("pose_keypoints_2d", "sessions", "uwb_raw"):
+        kind = schema.TABLES[name]
+        io.write_csv(io.empty_tables(spark)[name].coalesce(1), str(tmp_path / name))
+        back = io.read_csv(spark, str(tmp_path / name), kind)
+        assert back.schema.names == kind.names and len(set(kind.names)) == len(kind) and back.count() == 0
+    assert len(schema.TABLES) == 18
+
+
 def test_config(tmp_path):
     (tmp_path / "a.yaml").write_text("windows: {size: 50}\n")
     (tmp_path / "a.json").write_text('{"size": 50}')
