@@ -21,7 +21,7 @@ RAW_STREAM = T.StructType(
     + [T.StructField(c, _L) for c in ("seq", "node_timestamp_us", "master_timestamp_us")]
     + [T.StructField(c, T.ShortType()) for c in AXES]
 )
-#: Names, order and types of the columns of every declared table, down to VIDEO_METADATA.
+#: Names and order of the columns of every table, down to VIDEO_METADATA; types are chosen here.
 STANDARD_IMU = _table(
     ("session_id", _S), ("player_id", _S), ("sensor_id", _S), ("side", _S), ("seq", _L), ("timestamp_us", _L),
     ("ax", _D), ("ay", _D), ("az", _D), ("gx", _D), ("gy", _D), ("gz", _D), ("mx", _D), ("my", _D), ("mz", _D), ("label", _S),
