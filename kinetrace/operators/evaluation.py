@@ -48,6 +48,26 @@ def threshold_scan(df: DataFrame, truth: str, predicted: str, p: str, thresholds
     return rows.withColumn("chosen", fits & (F.row_number().over(order) == 1)).drop("right", "kept")
 
 
+def working_point(df: DataFrame, truth: str, predicted: str, p: str, thresholds: list[float], none: str, most_rejected: float = 0.3) -> DataFrame:
+    """Share rejected and macro-F1 over rows and classes of action at each threshold; ``chosen`` is the best F1 that
+    rejects no more than allowed, or the best of all where none does, the lowest threshold of equals. Classes that
+    neither side has count as 0. All thresholds and classes in one pass."""
+    side = lambda c: F.col(c).cast("string")
+    cuts, keep = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"), F.col(p) >= F.col("threshold")
+    rows = df.select(side(truth).alias("t"), side(predicted).alias("q"), p, cuts).withColumn("keep", F.coalesce(keep, F.lit(False)))
+    cells = rows.groupBy("threshold", "t", "q").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("int")).alias("kept"))
+    shares = cells.groupBy("threshold").agg((1 - F.sum("kept") / F.sum("n")).alias("rejected"))
+    inner = F.when(F.col("t") != none, F.col("kept")).otherwise(0)
+    each = cells.select("threshold", F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.when(F.col("t") == F.col("q"), inner).otherwise(0).alias("tp"), inner.alias("all")),
+        F.struct(F.col("q").alias("label"), F.lit(0).cast("long").alias("tp"), inner.alias("all")))).alias("e")).select("threshold", "e.*").where(F.col("label") != none)
+    f1 = each.groupBy("threshold", "label").agg(F.sum("tp").alias("tp"), F.sum("all").alias("all"))
+    f1 = f1.groupBy("threshold").agg(F.avg(F.when(F.col("all") > 0, 2 * F.col("tp") / F.col("all")).otherwise(0.0)).alias("action_f1"))
+    out = shares.join(f1, "threshold", "left").na.fill(0.0, ["action_f1"])
+    order = Window.orderBy(F.when(F.col("rejected") <= most_rejected, 0).otherwise(1), F.desc(F.round("action_f1", 12)), "threshold")  # one row for each threshold
+    return out.withColumn("chosen", F.row_number().over(order) == 1)
+
+
 def long_form(df: DataFrame, keys: list[str], array: str) -> DataFrame:
     return df.select(*keys, F.posexplode(array).alias("feature", "x")).withColumn("x", F.col("x").cast("double"))
 
@@ -128,6 +148,26 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
+def hashed_share(key: Column, share: float) -> Column:
+    """True for about a share of all keys, the same in every run; drawn without regard to the label, so that each
+    class is split alike."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32 < share
+
+
+def split_recordings(df: DataFrame, recording: str, share: float = 0.7) -> DataFrame:
+    """Adds train: whole recordings, the given share of their number rounded down, in an order that a hash of the
+    name decides. Rows of no recording are in neither part (null). Recordings are few beside their rows."""
+    names = df.where(F.col(recording).isNotNull()).groupBy(recording).agg(F.md5(F.col(recording).cast("string").cast("binary")).alias("h"))
+    w = Window.partitionBy(F.lit(0))
+    placed = names.select(F.col(recording).alias("__rec"), (F.row_number().over(w.orderBy("h")) <= F.floor(share * F.count(F.lit(1)).over(w))).alias("train"))
+    return df.join(placed, F.col(recording) == F.col("__rec"), "left").drop("__rec")
+
+
+def repetition_fold(discrete: Column, repetition: Column, key: Column) -> Column:
+    """Two folds: by odd and even repetitions where actions are separate, by a hash of the recording elsewhere."""
+    return F.when(discrete, F.pmod(F.coalesce(repetition, F.lit(0)), F.lit(2)).cast("int")).otherwise(fold(key, 2))
+
+
 def undersampled(df: DataFrame, label: str, none: str, key: str, ratio: float = 1.5) -> DataFrame:
     """Keeps at most ``ratio`` times the largest other class of the class ``none``: the rows with the smallest hashes
     of the key, rows of one key in any order. All other rows stay, null labels among them.

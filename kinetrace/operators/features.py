@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.functions import kernels
-from kinetrace.operators.signal import time_and_frequency
+from kinetrace.functions.columns import joint_angle, norm, numbered
+from kinetrace.operators.segment import rectified_score
+from kinetrace.operators.signal import counted_peaks, time_and_frequency
+from kinetrace.operators.windows import gradient, over
 
 #: Which node is worn where, and the norm, in metres a second squared, under which a node falls.
 RIGHT_ARM, RIGHT_HAND, LEFT_HAND, LEFT_ARM = "node1", "node2", "node3", "node4"
 NODES = (RIGHT_ARM, RIGHT_HAND, LEFT_HAND, LEFT_ARM)
 FALLING = 2.0
+#: Weights of the score by which a release is found in pose tables.
+RELEASE_WEIGHTS = {"wrist_speed": 0.45, "elbow_speed": 0.20, "extension": 0.20, "rise": 0.10, "wrists_apart": 0.05}
 TINY = 1e-12
+CHANNEL = ("mean", "std", "min", "max", "ptp", "rms", "dom_freq", "peaks")
 
 
 def rotation_shares(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> dict[str, float]:
@@ -87,6 +93,53 @@ def full_features(df: DataFrame, keys: list[str], channels: str, rate: float) ->
     return df.select(*keys, channels).mapInPandas(run, kinds)
 
 
+def channel_features(df: DataFrame, keys: list[str], channels: list[str], rate: float, apart: float, absolute: bool = False, variant: str = "centred") -> DataFrame:
+    """(keys, <channel>_mean, _std, _min, _max, _ptp, _rms, _dom_freq, _peaks) of windows that hold each channel as an
+    array: four samples or more, none of them null. Peaks, of absolute values if asked, are at least ``apart`` seconds
+    from each other; a constant channel has frequency 0. Rows go through in batches, those of one length together."""
+    kinds = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), *(f"{c}_{f} double" for c in channels for f in CHANNEL)])
+    distance = max(1, int(apart * rate))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf[channels[0]].str.len()):
+                out = part[keys].copy()
+                for c in channels:
+                    x = np.stack(part[c].to_numpy()).astype(float)
+                    tops = [float(len(kernels.find_peaks(np.abs(v) if absolute else v, distance))) for v in x]
+                    got = (x.mean(1), x.std(1), x.min(1), x.max(1), np.ptp(x, 1), np.sqrt((x**2).mean(1)), np.where(np.isclose(x, x[:, :1]).all(1), 0.0, kernels.dominant_frequency(x, rate, variant)), tops)
+                    out = out.assign(**{f"{c}_{f}": v for f, v in zip(CHANNEL, got, strict=True)})
+                yield out
+
+    return df.select(*keys, *channels).mapInPandas(run, kinds)
+
+
+def magnitudes(x: str, y: str, z: str) -> Column:
+    """Norms of three arrays of one length."""
+    return F.zip_with(F.zip_with(x, y, lambda a, b: a * a + b * b), z, lambda s, c: F.sqrt(s + c * c))
+
+
+def with_best_lag(df: DataFrame, x: str, y: str, most: int, name: str) -> DataFrame:
+    """Adds ``<name>_lag`` and ``<name>_corr`` of two arrays of one length without nulls: the shift of at most ``most``
+    samples at which their standard scores agree best, products summed over what overlaps and divided by the whole
+    length; the lowest of equals. A positive lag means that ``x`` comes later. Nulls for empty arrays."""
+    n = F.size(x)
+
+    def standard(c: str) -> Column:
+        mean = F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / n
+        sd = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n)
+        return F.transform(c, lambda v: (v - mean) / (sd + 1e-9))
+
+    def at(lag: Column) -> Column:
+        m = F.greatest(n - F.abs(lag), F.lit(0))
+        a, b = F.slice("__x", F.greatest(F.lit(1), 1 + lag), m), F.slice("__y", F.greatest(F.lit(1), 1 - lag), m)
+        return F.struct((F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v) / n).alias("corr"), (-lag).alias("minus"))
+
+    shifts = F.filter(F.sequence(F.lit(-most), F.lit(most)), lambda lag: F.abs(lag) < n)
+    rows = df.withColumns({"__x": standard(x), "__y": standard(y)}).withColumn("__best", F.array_max(F.transform(shifts, at)))
+    return rows.withColumns({f"{name}_lag": -F.col("__best.minus"), f"{name}_corr": F.col("__best.corr")}).drop("__x", "__y", "__best")
+
+
 def selected(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """One row for each window with the named features, 0 where a window lacks one."""
     return long.where(F.col("feature").isin(names)).groupBy(*keys).pivot("feature", names).agg(F.first("value")).na.fill(0.0, names)
@@ -100,6 +153,30 @@ def peak_confidence(df: DataFrame, peaks: DataFrame, by: list[str], i: str, x: s
     return g.select(*by, "place", F.when(F.col("s") > TINY, F.greatest(F.lit(0.0), (F.col("top") - F.col("m")) / F.col("s"))).otherwise(0.0).alias("confidence"))
 
 
+def pose_motion(df: DataFrame, by: list[str], order: list[str], rate: float, shoulder: str = "right_shoulder", elbow: str = "right_elbow", wrist: str = "right_wrist", other: str = "left_wrist") -> DataFrame:
+    """Adds what a release is seen by: speeds of wrist and elbow, elbow_angle and its extension, the wrist's rise, the
+    difference between both wrists' speeds, and the lower visibility of wrist and elbow. A joint has columns
+    ``<joint>_x``, ``_y`` (downwards), ``_z`` and ``visibility_<joint>``."""
+    w = over(by, order)
+    place = lambda j: tuple(F.col(f"{j}_{a}") for a in "xyz")
+    speed = lambda j: norm(*[gradient(f"{j}_{a}", w, rate) for a in "xyz"])
+    rows = df.withColumns({"wrist_speed": speed(wrist), "elbow_speed": speed(elbow), "__other": speed(other), "elbow_angle": joint_angle(place(shoulder), place(elbow), place(wrist))})
+    return rows.withColumns({
+        "extension": gradient("elbow_angle", w, rate), "rise": -gradient(f"{wrist}_y", w, rate), "wrists_apart": F.abs(F.col("wrist_speed") - F.col("__other")),
+        "visibility": F.least(f"visibility_{wrist}", f"visibility_{elbow}"),
+    }).drop("__other")
+
+
+def release_candidates(df: DataFrame, by: list[str], order: list[str], rate: float, wanted: int, apart: float, around: float = 0.25) -> DataFrame:
+    """(…, event, place, order columns, score, confidence) of the likely releases of ``pose_motion`` rows: about as many peaks
+    of the weighted score as wanted, at least ``apart`` seconds from each other, numbered V01, V02, … in time."""
+    rows = rectified_score(df, by, order, RELEASE_WEIGHTS, 5, "visibility").select(*by, *order, "i", "score")
+    tops = counted_peaks(rows, by, ["i"], "score", wanted, max(1, round(apart * rate))).where("is_peak").select(*by, F.col("i").alias("place"))
+    sure = peak_confidence(rows, tops, by, "i", "score", round(around * rate))
+    named = numbered("V", F.row_number().over(over(by, ["place"])), 2)
+    return sure.join(rows.withColumnRenamed("i", "place"), [*by, "place"]).withColumn("event", named).select(*by, "event", "place", *order, "score", "confidence")
+
+
 def physically_doubtful(df: DataFrame, peak: str, width: str, vertical: str, pitch_range: str) -> Column:
     """Reasons why a segment cannot be what its label says, joined by a comma; empty for a sound one."""
     checks = {"wide peak": F.col(width) > 0.3, "not vertical": F.col(vertical) < 0.5, "little pitch": F.col(pitch_range) < 30, "weak peak": F.col(peak) < 2.0}

@@ -82,10 +82,15 @@ def mahalanobis(df: DataFrame, features: str, predicted: str, models: dict, name
 
 
 def distance_matrix(models: dict) -> list[tuple]:
-    """(class_a, class_b, distance): between means under the mean of both covariances, for each pair of classes."""
+    """(class_a, class_b, mahalanobis, bhattacharyya) for each pair of classes: the distance between means under the
+    mean of both covariances, and an eighth of its square with half the logarithm of that covariance's determinant
+    over the geometric mean of both. Where a determinant is not positive, the second has its first part only."""
     names, out = sorted(models), []
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            d = models[a].mean - models[b].mean
-            out.append((a, b, float(np.sqrt(max(0.0, d @ np.linalg.pinv((models[a].covariance + models[b].covariance) / 2) @ d)))))
+            d, both = models[a].mean - models[b].mean, (models[a].covariance + models[b].covariance) / 2
+            square = max(0.0, float(d @ np.linalg.pinv(both) @ d))
+            (sign, whole), *each = (np.linalg.slogdet(m) for m in (both, models[a].covariance, models[b].covariance))
+            spread = 0.5 * (whole - sum(v for _, v in each) / 2) if min(sign, *(s for s, _ in each)) > 0 else 0.0
+            out.append((a, b, square**0.5, square / 8 + float(spread)))
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.functions.columns import clip
+from kinetrace.operators.joins import interval_join, lookup
 from kinetrace.operators.robust import robust_z
 from kinetrace.operators.windows import indexed, moving_average, over, runs, sliding
 
@@ -126,21 +128,83 @@ def smeared_labels(df: DataFrame, by: list[str], order: list[str], x: str, label
     return rows.withColumn("assigned", F.when(quiet, none).otherwise(F.col(label))).drop("__n", "__most", "__rest")
 
 
-def release_score(df: DataFrame, by: list[str], order: list[str], weights: dict[str, float], size: int = 5, lo: float = 0.35, hi: float = 0.70) -> DataFrame:
-    """(…, place, score, n): where the weighted sum of rectified robust scores, smoothed over ``size`` rows that count
-    as 0 beyond the ends, is highest inside a share of each window; the first of equals. Shares are rounded half
-    to even."""
-    rows, parts = indexed(df.select(*by, *order, *weights), by, order), []
+def rectified_score(df: DataFrame, by: list[str], order: list[str], weights: dict[str, float], size: int = 5, visibility: str | None = None) -> DataFrame:
+    """Adds i and score: the weighted sum of rectified robust scores, times the visibility cut to 0 and 1 where one
+    is given, smoothed over ``size`` rows that count as 0 beyond the ends. A null visibility counts as 0."""
+    rows, parts = indexed(df, by, order), []
     for k, (c, weight) in enumerate(weights.items()):
         rows = robust_z(rows, by, c).withColumnRenamed("z", f"__z{k}")
         parts.append(weight * F.greatest(F.col(f"__z{k}"), F.lit(0.0)))
-    rows = rows.withColumn("__raw", sum(parts[1:], parts[0])).withColumn("__score", moving_average("__raw", over(by, ["i"]), size))
+    seen = clip(F.coalesce(F.col(visibility), F.lit(0.0)), 0.0, 1.0) if visibility else F.lit(1.0)
+    rows = rows.withColumn("__raw", sum(parts[1:], parts[0]) * seen).withColumn("score", moving_average("__raw", over(by, ["i"]), size))
+    return rows.drop("__raw", *[f"__z{k}" for k in range(len(weights))])
+
+
+def release_score(df: DataFrame, by: list[str], order: list[str], weights: dict[str, float], size: int = 5, lo: float = 0.35, hi: float = 0.70) -> DataFrame:
+    """(…, place, score, n): where the rectified score is highest inside a share of each window; the first of equals.
+    Shares are rounded half to even."""
+    rows = rectified_score(df.select(*by, *order, *weights), by, order, weights, size)
     rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     inner = rows.where((F.col("i") >= F.bround(F.col("n") * F.lit(lo), 0)) & (F.col("i") < F.bround(F.col("n") * F.lit(hi), 0)))
-    best = F.min(F.struct((-F.round("__score", 9)).alias("minus"), F.col("i")))
+    best = F.min(F.struct((-F.round("score", 9)).alias("minus"), F.col("i")))
     return inner.groupBy(*by).agg(best.alias("b"), F.first("n").alias("n")).select(*by, F.col("b.i").alias("place"), (-F.col("b.minus")).alias("score"), "n")
 
 
+def last_impact(df: DataFrame, releases: DataFrame, by: list[str], i: str, energy: str, gather: int, search: int, share: float = 0.7) -> DataFrame:
+    """(…, release, n, impact): the last row at or over a quantile of the energy among the ``search`` rows before the
+    gather, which starts ``gather`` rows before the release; the first of these rows where fewer than three are
+    there. ``releases`` has one row (…, release, n) for each recording."""
+    start = F.greatest(F.lit(0), F.col("release") - gather)
+    first = F.greatest(F.lit(0), start - search)
+    rows = df.select(*by, i, energy).join(releases, by).where((F.col(i) >= first) & (F.col(i) < F.greatest(first + 1, start)))
+    rows = rows.withColumn("__q", F.percentile(energy, share).over(Window.partitionBy(*by)))
+    found = rows.groupBy(*by).agg(F.max(F.when(F.col(energy) >= F.col("__q"), F.col(i))).alias("last"), F.min(i).alias("first"), F.count(energy).alias("c"))
+    place = F.when(F.col("c") < 3, F.col("first")).otherwise(F.coalesce("last", "first"))
+    return releases.join(found, by).select(*releases.columns, place.alias("impact"))
+
+
+def shot_phases(impacts: DataFrame, half: int, gather: int, follow: int) -> DataFrame:
+    """The six phases of a shot, in rows with both ends included: what comes before the last impact, from there to the
+    gather, the gather, the release of ``half`` rows to each side, the follow-through up to ``follow`` rows after it,
+    and the rest. A phase that would end before it starts is left out."""
+    release, impact, last = F.col("release"), F.col("impact"), F.col("n") - 1
+    at_least = lambda c, least: F.greatest(c, least)
+    start, stop = at_least(release - half, F.lit(0)), F.least(last, release + half)
+    gathered, followed = at_least(release - gather, F.lit(0)), F.least(last, release + follow)
+    bounds = {
+        "preparation": (F.lit(0), at_least(impact - 1, F.lit(0))), "last_dribble": (impact, at_least(gathered - 1, impact)),
+        "gather": (gathered, at_least(start - 1, gathered)), "release": (start, stop), "follow_through": (stop + 1, followed), "recovery": (followed + 1, last),
+    }
+    parts = F.array(*[F.struct(F.lit(k).alias("phase"), a.cast("long").alias("phase_start"), b.cast("long").alias("phase_end")) for k, (a, b) in bounds.items()])
+    return impacts.withColumn("__p", F.explode(parts)).select("*", "__p.*").drop("__p").where("phase_start <= phase_end")
+
+
+def discrete_labels(df: DataFrame, by: list[str], order: list[str], x: str, names: str, least: int, gap: float, none: str = "null") -> DataFrame:
+    """Adds assigned and cycle for recordings of separate actions in a fixed cycle, whose names each row has as an
+    array: rows of the k-th active segment get the k-th name, over and over, and the cycle's number from 0. Other
+    rows, and segments of a last cycle that is not whole, get ``none`` and -1; a recording with fewer segments than
+    one cycle keeps them all."""
+    found, per = adaptive(df, by, order, x, least, gap), Window.partitionBy(*by)
+    found = found.withColumns({"k": F.row_number().over(per.orderBy("start")) - 1, "c": F.count(F.lit(1)).over(per)})
+    rows = interval_join(df, found.select(*by, "start", "end", F.struct("k", "c").alias("at")), by, order[0], "start", "end", "at", none=None)
+    k, c, size = F.col("interval_label.k"), F.col("interval_label.c"), F.size(names)
+    counts = k < F.when(c < size, c).otherwise(c - c % size)
+    name = F.element_at(names, (k % size + 1).cast("int"))
+    return rows.withColumns({"assigned": F.coalesce(F.when(counts, name), F.lit(none)), "cycle": F.coalesce(F.when(counts, F.floor(k / size)), F.lit(-1)).cast("long")}).drop("interval_label")
+
+
+def routed_labels(df: DataFrame, recordings: DataFrame, by: list[str], order: list[str], x: str, size: int, step: int, trim: int, least: int, gap: float, none: str = "null") -> DataFrame:
+    """Adds assigned and cycle by the kind of each recording (…, kind, names): one action from end to end
+    (continuous, the first name) or separate actions in a cycle (discrete). Rows of recordings of no known kind get
+    ``none`` and -1; a recording that is listed twice is an error."""
+    rows = lookup(df, recordings.select(*by, F.col("kind").alias("__kind"), F.col("names").alias("__names")), by)
+    keep = [*df.columns, "assigned", "cycle"]
+    whole = smeared_labels(rows.where("__kind = 'continuous'").withColumn("__name", F.col("__names")[0]), by, order, x, "__name", size, step, trim, none)
+    parts = discrete_labels(rows.where("__kind = 'discrete'"), by, order, x, "__names", least, gap, none)
+    rest = rows.where("coalesce(__kind NOT IN ('continuous', 'discrete'), true)").withColumns({"assigned": F.lit(none), "cycle": F.lit(-1).cast("long")})
+    return whole.withColumn("cycle", F.lit(0).cast("long")).select(keep).unionByName(parts.select(keep)).unionByName(rest.select(keep))
+
+
 def event_table(events: DataFrame, by: list[str], translations: dict[str, str], unit: float = 1e6) -> DataFrame:
     """The timeline as people read it: numbers from 1, seconds to two places, mean confidence to three, and the
     label in a second language, or as it is where there is no word for it."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import columns as C
 from kinetrace.operators import evaluation as E
+from kinetrace.operators import features as K
 from kinetrace.operators import joins as J
 from kinetrace.operators import learning as L
 from kinetrace.operators import quality as Q
@@ -608,9 +609,13 @@ def hysteresis_segments(spark, d):
     return S.hysteresis(samples(spark, d), BY, ORDER, "x", gap=43_200_000_000, least=2).select("user_id", "start", "end", "n")
 
 
-@query(f"""WITH {SAMPLES}, q AS (SELECT user_id, quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.9) AS c FROM ev GROUP BY user_id), n AS (SELECT ev.*, x > greatest(b + 0.25 * (c - a), 1.5 * a) AS act FROM ev JOIN q USING (user_id)),
+#: Active segments in SQL: k has their parts.
+_SEGMENTS = f"""q AS (SELECT user_id, quantile_cont(x, 0.1) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.9) AS c FROM ev GROUP BY user_id), n AS (SELECT ev.*, x > greatest(b + 0.25 * (c - a), 1.5 * a) AS act FROM ev JOIN q USING (user_id)),
 s AS (SELECT *, CASE WHEN lag(act) OVER o IS NOT DISTINCT FROM act AND i > 0 THEN 0 ELSE 1 END AS bb FROM n {_W}), r AS (SELECT *, sum(bb) OVER (PARTITION BY user_id ORDER BY us, seq) AS run FROM s), g AS (SELECT user_id, min(us) AS a, max(us) AS b, count(*) AS n FROM r WHERE act GROUP BY user_id, run HAVING count(*) >= 2),
-h AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 86400000000 THEN 0 ELSE 1 END AS nw FROM g), k AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY a) AS segment FROM h)
+h AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 86400000000 THEN 0 ELSE 1 END AS nw FROM g), k AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY a) AS segment FROM h)"""
+
+
+@query(f"""WITH {SAMPLES}, {_SEGMENTS}
 SELECT user_id, CAST(segment AS BIGINT) AS segment, min(a) AS start, max(b) AS "end", CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY user_id, segment""")
 def adaptive_segments(spark, d):
     return S.adaptive(samples(spark, d), BY, ORDER, "x", 2, 86_400_000_000)
@@ -628,14 +633,55 @@ def smeared_labels(spark, d):
     return S.smeared_labels(samples(spark, d), BY, ORDER, "x", "label", 10, 4, 3).select("user_id", "seq", "assigned")
 
 
-@query(f"""WITH {SAMPLES}, m AS (SELECT user_id, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM ev GROUP BY user_id), a AS (SELECT user_id, quantile_cont(abs(x - mx), 0.5) * 1.4826 AS dx, quantile_cont(abs(y - my), 0.5) * 1.4826 AS dy, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM ev JOIN m USING (user_id) GROUP BY user_id),
+@query(f"""WITH {SAMPLES}, {windows_sql(10, 4)}, we AS (SELECT user_id, window_id, sqrt(avg(x * x)) AS e FROM w GROUP BY ALL), wq AS (SELECT user_id, quantile_cont(e, 0.1) AS rest FROM we GROUP BY user_id),
+wm AS (SELECT w.user_id, w.i, max(e) AS most FROM w JOIN we USING (user_id, window_id) GROUP BY ALL), {_SEGMENTS},
+f AS (SELECT user_id, min(a) AS a, max(b) AS b FROM k GROUP BY user_id, segment), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS c, CASE WHEN user_id % 3 = 0 THEN ['catch', 'aim', 'throw'] ELSE ['run', 'stop'] END AS names FROM f),
+u AS (SELECT * FROM p WHERE j < CASE WHEN c < len(names) THEN c ELSE c - c % len(names) END)
+SELECT ev.user_id, seq, CASE WHEN rest IS NULL OR coalesce(most, 0) < 1.5 * rest OR i < 3 OR i >= count(*) OVER (PARTITION BY ev.user_id) - 3 THEN 'null' ELSE 'walk' END AS assigned, CAST(0 AS BIGINT) AS cycle FROM ev LEFT JOIN wm USING (user_id, i) LEFT JOIN wq USING (user_id) WHERE user_id % 4 IN (0, 2)
+UNION ALL SELECT ev.user_id, seq, coalesce(names[j % len(names) + 1], 'null'), coalesce(j // len(names), -1) FROM ev LEFT JOIN u ON ev.user_id = u.user_id AND us BETWEEN a AND b WHERE ev.user_id % 4 = 1
+UNION ALL SELECT user_id, seq, 'null', -1 FROM ev WHERE user_id % 4 = 3""")
+def routed_labels(spark, d):
+    """Labels by the kind of each recording: one action throughout, separate actions in a cycle, or not known."""
+    s = samples(spark, d)
+    kind = F.when(F.col("user_id") % 2 == 0, "continuous").when(F.col("user_id") % 4 == 1, "discrete").otherwise("other")
+    names = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("walk"))).when(F.col("user_id") % 3 == 0, F.array(*map(F.lit, ("catch", "aim", "throw")))).otherwise(F.array(F.lit("run"), F.lit("stop")))
+    recordings = s.select("user_id").distinct().select("user_id", kind.alias("kind"), names.alias("names"))
+    return S.routed_labels(s, recordings, BY, ORDER, "x", 10, 4, 3, 2, 86_400_000_000).select("user_id", "seq", "assigned", "cycle")
+
+
+_RELEASE = """m AS (SELECT user_id, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM ev GROUP BY user_id), a AS (SELECT user_id, quantile_cont(abs(x - mx), 0.5) * 1.4826 AS dx, quantile_cont(abs(y - my), 0.5) * 1.4826 AS dy, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM ev JOIN m USING (user_id) GROUP BY user_id),
 z AS (SELECT user_id, i, 0.6 * greatest(0, (x - mx) / CASE WHEN dx > 1e-12 THEN dx WHEN sx > 1e-12 THEN sx ELSE 1 END) + 0.4 * greatest(0, (y - my) / CASE WHEN dy > 1e-12 THEN dy WHEN sy > 1e-12 THEN sy ELSE 1 END) AS raw FROM ev JOIN m USING (user_id) JOIN a USING (user_id)),
-s AS (SELECT *, sum(raw) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS score, count(*) OVER (PARTITION BY user_id) AS n FROM z)
-SELECT user_id, arg_min(i, (-round(score, 9), i)) AS place, round(max(score), 6) AS score, min(n) AS n FROM s WHERE i >= round_even(n * CAST(0.35 AS DOUBLE), 0) AND i < round_even(n * CAST(0.7 AS DOUBLE), 0) GROUP BY user_id""")
+s AS (SELECT *, sum(raw) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS score, count(*) OVER (PARTITION BY user_id) AS n FROM z)"""
+_PICK = """SELECT user_id, arg_min(i, (-round(score, 9), i)) AS place, round(max(score), 6) AS score, min(n) AS n FROM s WHERE i >= round_even(n * CAST(0.35 AS DOUBLE), 0) AND i < round_even(n * CAST(0.7 AS DOUBLE), 0) GROUP BY user_id"""
+
+
+@query(f"WITH {SAMPLES}, {_RELEASE} {_PICK}")
 def release_score(spark, d):
     return S.release_score(samples(spark, d), BY, ORDER, {"x": 0.6, "y": 0.4}).withColumn("score", r6(F.col("score")))
 
 
+@query(f"""WITH {SAMPLES}, {_RELEASE.replace("AS raw FROM ev", "AS bare, ev.y FROM ev").replace("s AS (", "v AS (SELECT user_id, i, bare * greatest(0, least(1, y / 50)) AS raw FROM z), s AS (").replace("AS n FROM z)", "AS n FROM v)")}
+SELECT user_id, i, round(score, 6) AS score FROM s""")
+def visible_release_score(spark, d):
+    """The score of every sample, weakened where it is hard to see."""
+    s = S.rectified_score(samples(spark, d).withColumn("seen", F.col("y") / 50), BY, ORDER, {"x": 0.6, "y": 0.4}, 5, "seen")
+    return s.select("user_id", "i", r6(F.col("score")).alias("score"))
+
+
+@query(f"""WITH {SAMPLES}, {_RELEASE}, r AS ({_PICK}), g AS (SELECT user_id, i, abs(CASE WHEN lag(x) OVER o IS NULL THEN lead(x) OVER o - x WHEN lead(x) OVER o IS NULL THEN x - lag(x) OVER o ELSE (lead(x) OVER o - lag(x) OVER o) / 2 END) AS g FROM ev {_W}),
+e AS (SELECT user_id, i, sum(g) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS e FROM g),
+b AS (SELECT user_id, n, place AS r, greatest(0, place - 10) AS g, greatest(0, greatest(0, place - 10) - 12) AS f FROM r), h AS (SELECT e.*, quantile_cont(e, 0.7) OVER (PARTITION BY user_id) AS q FROM e JOIN b USING (user_id) WHERE i >= f AND i < greatest(f + 1, b.g)),
+k AS (SELECT user_id, CASE WHEN count(*) < 3 THEN min(i) ELSE max(CASE WHEN e >= q THEN i END) END AS k FROM h GROUP BY user_id), x AS (SELECT user_id, k, g, greatest(r - 2, 0) AS s, least(n - 1, r + 2) AS t, least(n - 1, r + 8) AS u, n - 1 AS z FROM b JOIN k USING (user_id)),
+p AS (SELECT user_id, unnest([{{'p': 'preparation', 'a': 0, 'b': greatest(k - 1, 0)}}, {{'p': 'last_dribble', 'a': k, 'b': greatest(g - 1, k)}}, {{'p': 'gather', 'a': g, 'b': greatest(s - 1, g)}}, {{'p': 'release', 'a': s, 'b': t}}, {{'p': 'follow_through', 'a': t + 1, 'b': u}}, {{'p': 'recovery', 'a': u + 1, 'b': z}}]) AS v FROM x)
+SELECT user_id, v.p AS phase, v.a AS phase_start, v.b AS phase_end FROM p WHERE v.a <= v.b""")
+def shot_phases(spark, d):
+    """Six phases about the release, the first two parted by the last impact before the gather."""
+    s, o = samples(spark, d), W.over(BY, ORDER)
+    s = s.withColumn("g", F.abs(W.gradient("x", o))).withColumn("energy", W.moving_average("g", o, 5))
+    r = S.release_score(s, BY, ORDER, {"x": 0.6, "y": 0.4}).select("user_id", F.col("place").alias("release"), "n")
+    return S.shot_phases(S.last_impact(s, r, BY, "i", "energy", 10, 12), 2, 10, 8).select("user_id", "phase", "phase_start", "phase_end")
+
+
 @query(f"""WITH {SAMPLES}, p AS (SELECT *, coalesce(x > lag(x) OVER o AND x > lead(x) OVER o AND x > 100, false) AS p FROM ev {_W}), k AS (SELECT *, sum(p::INT) OVER (PARTITION BY user_id ORDER BY us, seq) AS k FROM p), v AS (SELECT user_id, k, arg_min(us, (x, us)) AS valley FROM k WHERE NOT p GROUP BY ALL)
 SELECT k.user_id, CAST(k.k AS BIGINT) AS k, k.us AS peak, l.valley AS "left", r.valley AS "right" FROM k LEFT JOIN v l ON l.user_id = k.user_id AND l.k = k.k - 1 LEFT JOIN v r ON r.user_id = k.user_id AND r.k = k.k WHERE p""")
 def peak_segments(spark, d):
@@ -745,6 +791,28 @@ def threshold_scan(spark, d):
     return s.withColumns({c: r6(F.col(c)) for c in ("rejected", "accuracy")})
 
 
+_POINTS = [round(0.3 + 0.05 * k, 2) for k in range(14)]
+
+
+@query(f"""WITH {SAMPLES}, t AS (SELECT unnest({_POINTS}) AS threshold), p AS (SELECT CASE WHEN label = 'unknown' THEN 'null' ELSE label END AS truth, CASE WHEN y > 60 THEN 'view' WHEN y > 30 THEN 'click' ELSE 'null' END AS pred, 1 - x / 200 AS p FROM ev),
+s AS (SELECT threshold, 1 - avg((p >= threshold)::INT) AS rejected FROM p, t GROUP BY threshold), l AS (SELECT DISTINCT truth AS l FROM p WHERE truth <> 'null' UNION SELECT DISTINCT pred FROM p WHERE pred <> 'null'),
+f AS (SELECT threshold, l, count(*) FILTER (truth = l AND pred = l AND p >= threshold) AS tp, count(*) FILTER (truth = l AND p >= threshold) + count(*) FILTER (pred = l AND truth <> 'null' AND p >= threshold) AS n FROM p, t, l GROUP BY ALL),
+a AS (SELECT threshold, avg(CASE WHEN n > 0 THEN 2 * tp / n ELSE 0 END) AS f1 FROM f GROUP BY threshold)
+SELECT CAST(threshold AS DOUBLE) AS threshold, round(rejected, 6) AS rejected, round(f1, 6) AS action_f1, row_number() OVER (ORDER BY CASE WHEN rejected <= 0.3 THEN 0 ELSE 1 END, round(f1, 12) DESC, threshold) = 1 AS chosen FROM s JOIN a USING (threshold)""")
+def working_point(spark, d):
+    p = samples(spark, d).select(F.when(F.col("label") == "unknown", "null").otherwise(F.col("label")).alias("truth"), F.when(F.col("y") > 60, "view").when(F.col("y") > 30, "click").otherwise("null").alias("pred"), (1 - F.col("x") / 200).alias("p"))
+    s = E.working_point(p, "truth", "pred", "p", _POINTS, "null")
+    return s.withColumns({c: r6(F.col(c)) for c in ("rejected", "action_f1")})
+
+
+@query(f"""WITH {SAMPLES}, r AS (SELECT user_id, row_number() OVER (ORDER BY md5(CAST(user_id AS VARCHAR))) <= floor(0.7 * count(*) OVER ()) AS train FROM (SELECT DISTINCT user_id FROM ev))
+SELECT seq, train, ('0x' || substr(md5(CAST(seq AS VARCHAR)), 1, 8))::BIGINT / 4294967296 < 0.8 AS random_train FROM ev JOIN r USING (user_id)""")
+def train_splits(spark, d):
+    """Whole recordings, and single rows, for training."""
+    s = E.split_recordings(samples(spark, d), "user_id", 0.7)
+    return s.select("seq", "train", E.hashed_share(F.col("seq"), 0.8).alias("random_train"))
+
+
 _LONG = "lf AS (SELECT vec_id, label, CAST(unnest(range(0, 64)) AS INT) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 
 
@@ -902,6 +970,47 @@ def envelope_sync(spark, d):
     return G.synchrony(x.join(y, keys), keys, "s_x", "s_y", 50.0)
 
 
+def _arrays(spark, d):
+    """Windows of 32 samples with three channels as arrays."""
+    s, keys = samples(spark, d), ["user_id", "window_id"]
+    rows = W.sliding(s.select(*BY, *ORDER, "x", "y"), BY, ORDER, 32, 16).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("s"))
+    channel = lambda c: F.transform("s", lambda v: v[c]).alias(c)
+    return rows.select(*keys, channel("x"), channel("y"), F.transform("s", lambda v: v["x"] - v["y"]).alias("z"))
+
+
+@query()
+def window_channel_features(spark, d):
+    """Statistics, strongest frequency and peaks of every channel of a window and of their norm."""
+    w = _arrays(spark, d).withColumn("mag", K.magnitudes("x", "y", "z"))
+    return K.channel_features(w, ["user_id", "window_id"], ["x", "y", "z", "mag"], 50.0, 0.125, absolute=True)
+
+
+@query(f"""WITH {SAMPLES}, {windows_sql(32, 16)}, b AS (SELECT user_id, window_id, list(x ORDER BY i) AS a, list(y ORDER BY i) AS b FROM w GROUP BY ALL),
+l AS (SELECT user_id, window_id, list_transform(a, lambda v: (v - list_avg(a)) / (list_stddev_pop(a) + 1e-9)) AS a, list_transform(b, lambda v: (v - list_avg(b)) / (list_stddev_pop(b) + 1e-9)) AS b, unnest(range(-10, 11)) AS lag FROM b),
+c AS (SELECT user_id, window_id, lag, round(list_sum(list_transform(range(greatest(1, 1 + lag), least(32, 32 + lag) + 1), lambda j: a[j] * b[j - lag])) / 32, 9) AS corr FROM l)
+SELECT user_id, window_id, round(max(corr), 6) AS gyro_corr FROM c GROUP BY ALL""")
+def node_lag(spark, d):
+    """How well two nodes agree at their best shift."""
+    w = K.with_best_lag(_arrays(spark, d), "x", "y", 10, "gyro")
+    return w.select("user_id", "window_id", r6(F.round("gyro_corr", 9)).alias("gyro_corr"))
+
+
+@query()
+def class_distance_matrix(spark, d):
+    """Mahalanobis and Bhattacharyya distances of all pairs of classes."""
+    e = table(spark, d, "embeddings").select("label", F.col("embedding").alias("v"))
+    return spark.createDataFrame(X.distance_matrix(X.class_models(e, "v", "label")), f"class_a {e.schema['label'].dataType.simpleString()}, class_b {e.schema['label'].dataType.simpleString()}, mahalanobis double, bhattacharyya double")
+
+
+@query()
+def pose_release_candidates(spark, d):
+    """Likely releases of recordings seen as pose tables."""
+    joints = {j: k for k, j in enumerate(("right_shoulder", "right_elbow", "right_wrist", "left_wrist"))}
+    s = samples(spark, d).withColumns({f"{j}_{a}": F.col(c) / 100 * (1 + k) + k for j, k in joints.items() for a, c in zip("xyz", ("x", "y", "x"))})
+    s = s.withColumns({f"visibility_{j}": F.col("y") / 100 for j in ("right_wrist", "right_elbow")})
+    return K.release_candidates(K.pose_motion(s, BY, ORDER, 30.0), BY, ORDER, 30.0, 5, 0.2)
+
+
 @query()
 def mahalanobis_rejection(spark, d):
     """Open-set rejection of all vectors by their distance to the class that they are said to have."""

@@ -269,7 +269,13 @@ def test_class_models_against_the_kernel(spark):
     far = {r.id: r.distance for r in rejection.mahalanobis(df, "v", "label", models).collect()}
     d = x[5] - models["a"].mean
     assert far[5] == pytest.approx((d @ np.linalg.inv(models["a"].covariance) @ d) ** 0.5) and far[200] == far[201] == far[202] == 0
-    assert [p[:2] for p in rejection.distance_matrix(models)] == [("a", "b"), ("a", "few"), ("b", "few")]
+    pairs = rejection.distance_matrix(models)
+    assert [p[:2] for p in pairs] == [("a", "b"), ("a", "few"), ("b", "few")]
+    ca, cb, d = models["a"].covariance, models["b"].covariance, models["a"].mean - models["b"].mean
+    far = d @ np.linalg.inv((ca + cb) / 2) @ d
+    assert pairs[0][2:] == pytest.approx((far**0.5, far / 8 + 0.5 * np.log(np.linalg.det((ca + cb) / 2) / np.sqrt(np.linalg.det(ca) * np.linalg.det(cb)))))
+    flat = {"p": rejection.ClassModel(9, np.zeros(2), np.zeros((2, 2)), 0.0), "q": rejection.ClassModel(9, np.ones(2), np.eye(2), 0.0)}
+    assert rejection.distance_matrix(flat)[0][2:] == pytest.approx((2.0, 0.5))
 
 
 def test_held_out_rows_among_the_others_are_an_error(spark):
@@ -304,3 +310,98 @@ def test_windows_of_different_lengths_go_together(spark):
     got = {r.k: r for r in signal.window_features(spark.createDataFrame(rows, "k int, s array<double>").coalesce(1), ["k"], "s", 50.0).collect()}
     for k, s in rows:
         assert got[k].dom_freq == pytest.approx(signal.time_and_frequency(np.array([s]), 50.0)["dom_freq"][0]) and got[k]["mean"] == pytest.approx(np.mean(s))
+
+
+def test_channel_features_and_lags_of_windows(spark):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(3, 40)), rng.normal(size=(3, 40))
+    y[1, 4:] = x[1, :-4]
+    x[2] = 5.0
+    rows = [(k, x[k].tolist(), y[k].tolist(), (-y[k]).tolist()) for k in range(3)] + [(3, x[0][:20].tolist(), y[0][:20].tolist(), y[0][:20].tolist())]
+    df = spark.createDataFrame(rows, "k int, x array<double>, y array<double>, z array<double>").withColumn("m", features.magnitudes("x", "y", "z"))
+    assert np.allclose(df.where("k = 0").first().m, np.sqrt(x[0] ** 2 + 2 * y[0] ** 2))
+    got = {r.k: r for r in features.channel_features(df, ["k"], ["x", "y"], 50.0, 0.12, absolute=True).collect()}
+    assert got[0].x_peaks == len(kernels.find_peaks(np.abs(x[0]), 6)) and got[0].y_rms == pytest.approx(np.sqrt((y[0] ** 2).mean())) and len(got) == 4
+    assert got[0].x_dom_freq == pytest.approx(kernels.dominant_frequency(x[0] - x[0].mean(), 50.0)) and got[2].x_dom_freq == 0 and got[2].x_ptp == 0
+    z = lambda v: (v - v.mean()) / (v.std() + 1e-9)
+    lags = {r.k: r for r in features.with_best_lag(df, "x", "y", 25, "g").collect()}
+    for k in range(2):
+        c = np.correlate(z(x[k]), z(y[k]), "full")[39 - 25 : 39 + 26]
+        assert lags[k].g_lag == int(c.argmax()) - 25 and lags[k].g_corr == pytest.approx(c.max() / 40)
+    assert lags[1].g_lag == -4 and lags[2].g_corr == pytest.approx(0, abs=1e-6) and -20 < lags[3].g_lag < 20
+    none = spark.createDataFrame([(1, [], [])], "k int, x array<double>, y array<double>")
+    assert features.with_best_lag(none, "x", "y", 3, "g").first().g_lag is None
+
+
+def test_releases_of_a_pose_table(spark):
+    rng = np.random.default_rng(12)
+    joints = ("right_shoulder", "right_elbow", "right_wrist", "left_wrist")
+    p = {j: rng.normal(size=(120, 3)).cumsum(0) * 0.01 for j in joints}
+    p["right_wrist"][60:] += [0.5, -1.0, 0]
+    names = [f"{j}_{a}" for j in joints for a in "xyz"]
+    rows = [(1, t, *(float(p[j][t, k]) for j in joints for k in range(3)), 0.9, 1.4 if t != 3 else None) for t in range(120)]
+    df = spark.createDataFrame(rows, f"r int, t int, {', '.join(f'{n} double' for n in names)}, visibility_right_wrist double, visibility_right_elbow double")
+    got = features.pose_motion(df, ["r"], ["t"], 30.0).orderBy("t").collect()
+    speed = {j: np.linalg.norm(np.gradient(p[j], axis=0), axis=1) * 30 for j in joints}
+    u, v = p["right_shoulder"] - p["right_elbow"], p["right_wrist"] - p["right_elbow"]
+    angle = np.degrees(np.arccos(np.clip((u * v).sum(1) / (np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)), -1, 1)))
+    assert np.allclose([r.wrist_speed for r in got], speed["right_wrist"]) and np.allclose([r.wrists_apart for r in got], abs(speed["right_wrist"] - speed["left_wrist"]))
+    assert np.allclose([r.elbow_angle for r in got], angle, atol=1e-4) and np.allclose([r.extension for r in got], np.gradient(angle) * 30, atol=1e-2) and np.allclose([r.rise for r in got], -np.gradient(p["right_wrist"][:, 1]) * 30)
+    top = features.release_candidates(features.pose_motion(df, ["r"], ["t"], 30.0), ["r"], ["t"], 30.0, 1, 0.5).orderBy("place").collect()
+    assert [r.event for r in top] == [f"V{k:02d}" for k in range(1, len(top) + 1)] and max(top, key=lambda r: r.score).place in range(57, 63)
+
+
+def test_labels_by_kind_of_recording(spark):
+    x = [0.0, 9.0, 9.0, 0.0] * 3
+    df = spark.createDataFrame([(r, t, v) for r in "abc" for t, v in enumerate(x)], "r string, t int, x double")
+    kinds = spark.createDataFrame([("a", "discrete", ["up", "down"]), ("b", "discrete", ["1", "2", "3", "4"])], "r string, kind string, names array<string>")
+    got = {(q.r, q.t): (q.assigned, q.cycle) for q in segment.routed_labels(df, kinds, ["r"], ["t"], "x", 4, 2, 1, 2, 1.0).collect()}
+    assert [got["a", t] for t in (0, 1, 2, 3, 5, 6, 9, 10)] == [("null", -1), ("up", 0), ("up", 0), ("null", -1), ("down", 0), ("down", 0), ("null", -1), ("null", -1)]
+    assert [got["b", t][0] for t in (1, 5, 9)] == ["1", "2", "3"] and {got["c", t] for t in range(12)} == {("null", -1)} and len(got) == 36
+    assert segment.routed_labels(df.where("false"), kinds, ["r"], ["t"], "x", 4, 2, 1, 2, 1.0).count() == 0
+
+
+def test_phases_at_the_ends_of_a_window(spark):
+    df = spark.createDataFrame([(w, i, float(i % 5)) for w in (1, 2) for i in range(12)], "w int, i long, e double")
+    releases = spark.createDataFrame([(1, 1, 12), (2, 11, 12)], "w int, release long, n long")
+    got = {}
+    for r in segment.shot_phases(segment.last_impact(df, releases, ["w"], "i", "e", 4, 5), 1, 4, 3).collect():
+        got.setdefault(r.w, {})[r.phase] = (r.phase_start, r.phase_end)
+    assert got[1] == {"preparation": (0, 0), "last_dribble": (0, 0), "gather": (0, 0), "release": (0, 2), "follow_through": (3, 4), "recovery": (5, 11)}
+    assert got[2] == {"preparation": (0, 3), "last_dribble": (4, 6), "gather": (7, 9), "release": (10, 11)}
+
+
+def test_working_point_without_a_fit(spark):
+    rows = [("a", "a", 0.2), ("a", "b", 0.3), ("null", "a", 0.1), ("b", "b", None)]
+    df = spark.createDataFrame(rows, "t string, q string, p double")
+    got = {r.threshold: r for r in evaluation.working_point(df, "t", "q", "p", [0.15, 0.25, 0.9], "null").collect()}
+    assert got[0.15].rejected == 0.5 and got[0.15].action_f1 == pytest.approx((2 / 3 + 0) / 2) and got[0.9].action_f1 == 0
+    assert [t for t, r in got.items() if r.chosen] == [0.15]
+
+
+def test_splits_keep_recordings_whole(spark):
+    df = spark.createDataFrame([(f"r{i % 10}", i) for i in range(200)] + [(None, 200)], "rec string, id int")
+    s = evaluation.split_recordings(df, "rec", 0.7).collect()
+    by = {}
+    for r in s:
+        by.setdefault(r.rec, set()).add(r.train)
+    assert len(s) == 201 and by.pop(None) == {None} and all(len(v) == 1 for v in by.values()) and sum(v == {True} for v in by.values()) == 7
+    part = df.select(evaluation.hashed_share(F.col("id"), 0.8).alias("t")).where("t").count()
+    assert 140 <= part <= 180
+    f = spark.createDataFrame([(True, 3, "a"), (True, 2, "a"), (True, None, "a"), (False, 3, "b")], "d boolean, rep int, k string")
+    got = [r.f for r in f.select(evaluation.repetition_fold(F.col("d"), F.col("rep"), F.col("k")).alias("f")).collect()]
+    assert got[:3] == [1, 0, 0] and got[3] in (0, 1)
+
+
+def test_a_saved_model_predicts_the_same(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rng = np.random.default_rng(13)
+    rows = [(int(i), float(a), float(b), "p" if a + b > 0 else "q") for i, (a, b) in enumerate(rng.normal(size=(120, 2)))]
+    df = spark.createDataFrame(rows, "id int, f double, g double, label string")
+    for k, model in enumerate((learning.random_forest(df, ["f", "g"], "label", 5, 3), learning.linear_machine(df, ["f", "g"], "label"))):
+        model.write().overwrite().save(str(tmp_path / f"m{k}"))
+        again = PipelineModel.load(str(tmp_path / f"m{k}"))
+        take = lambda m: [(r.id, r.prediction) for r in m.transform(df).orderBy("id").collect()]
+        assert take(model) == take(again)
+        assert model.transform(df).where("prediction = label_index").count() >= 108
