@@ -119,25 +119,24 @@ def magnitudes(x: str, y: str, z: str) -> Column:
     return F.zip_with(F.zip_with(x, y, lambda a, b: a * a + b * b), z, lambda s, c: F.sqrt(s + c * c))
 
 
-def with_best_lag(df: DataFrame, x: str, y: str, most: int, name: str) -> DataFrame:
-    """Adds ``<name>_lag`` and ``<name>_corr`` of two arrays of one length without nulls: the shift of at most ``most``
-    samples at which their standard scores agree best, products summed over what overlaps and divided by the whole
-    length; the lowest of equals. A positive lag means that ``x`` comes later. Nulls for empty arrays."""
-    n = F.size(x)
-
-    def standard(c: str) -> Column:
-        mean = F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / n
-        sd = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n)
-        return F.transform(c, lambda v: (v - mean) / (sd + 1e-9))
-
-    def at(lag: Column) -> Column:
-        m = F.greatest(n - F.abs(lag), F.lit(0))
-        a, b = F.slice("__x", F.greatest(F.lit(1), 1 + lag), m), F.slice("__y", F.greatest(F.lit(1), 1 - lag), m)
-        return F.struct((F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v) / n).alias("corr"), (-lag).alias("minus"))
-
-    shifts = F.filter(F.sequence(F.lit(-most), F.lit(most)), lambda lag: F.abs(lag) < n)
-    rows = df.withColumns({"__x": standard(x), "__y": standard(y)}).withColumn("__best", F.array_max(F.transform(shifts, at)))
-    return rows.withColumns({f"{name}_lag": -F.col("__best.minus"), f"{name}_corr": F.col("__best.corr")}).drop("__x", "__y", "__best")
+def best_lag(df: DataFrame, keys: list[str], x: str, y: str, most: int, name: str) -> DataFrame:
+    """(keys, ``<name>_lag``, ``<name>_corr``) of windows held as two arrays of one length without nulls: the shift of
+    at most ``most`` samples at which their standard scores agree best, products summed over what overlaps and divided
+    by the whole length; the lowest of equals. A positive lag means that ``x`` comes later. Empty windows are left
+    out. Rows go through in batches, those of one length together."""
+    kinds = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), f"{name}_lag int, {name}_corr double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, part in pdf.groupby(pdf[x].str.len()):
+                a, b = (np.stack(part[c].to_numpy()).astype(float) for c in (x, y))
+                a, b = ((v - v.mean(1, keepdims=True)) / (v.std(1, keepdims=True) + 1e-9) for v in (a, b))
+                lags = np.arange(-min(most, n - 1), min(most, n - 1) + 1)
+                c = np.stack([(a[:, max(0, k) : n + min(0, k)] * b[:, max(0, -k) : n - max(0, k)]).sum(1) / n for k in lags], 1)
+                best = c.argmax(1)
+                yield part[keys].assign(**{f"{name}_lag": lags[best].astype("int32"), f"{name}_corr": c[np.arange(len(c)), best]})
+
+    return df.where(F.size(x) > 0).select(*keys, x, y).mapInPandas(run, kinds)
 
 
 def selected(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

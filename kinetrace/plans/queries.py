@@ -991,7 +991,7 @@ c AS (SELECT user_id, window_id, lag, round(list_sum(list_transform(range(greate
 SELECT user_id, window_id, round(max(corr), 6) AS gyro_corr FROM c GROUP BY ALL""")
 def node_lag(spark, d):
     """How well two nodes agree at their best shift."""
-    w = K.with_best_lag(_arrays(spark, d), "x", "y", 10, "gyro")
+    w = K.best_lag(_arrays(spark, d), ["user_id", "window_id"], "x", "y", 10, "gyro")
     return w.select("user_id", "window_id", r6(F.round("gyro_corr", 9)).alias("gyro_corr"))
 
 

@@ -324,13 +324,13 @@ def test_channel_features_and_lags_of_windows(spark):
     assert got[0].x_peaks == len(kernels.find_peaks(np.abs(x[0]), 6)) and got[0].y_rms == pytest.approx(np.sqrt((y[0] ** 2).mean())) and len(got) == 4
     assert got[0].x_dom_freq == pytest.approx(kernels.dominant_frequency(x[0] - x[0].mean(), 50.0)) and got[2].x_dom_freq == 0 and got[2].x_ptp == 0
     z = lambda v: (v - v.mean()) / (v.std() + 1e-9)
-    lags = {r.k: r for r in features.with_best_lag(df, "x", "y", 25, "g").collect()}
+    lags = {r.k: r for r in features.best_lag(df, ["k"], "x", "y", 25, "g").collect()}
     for k in range(2):
         c = np.correlate(z(x[k]), z(y[k]), "full")[39 - 25 : 39 + 26]
         assert lags[k].g_lag == int(c.argmax()) - 25 and lags[k].g_corr == pytest.approx(c.max() / 40)
-    assert lags[1].g_lag == -4 and lags[2].g_corr == pytest.approx(0, abs=1e-6) and -20 < lags[3].g_lag < 20
+    assert lags[1].g_lag == -4 and len(lags) == 4 and lags[2].g_corr == pytest.approx(0, abs=1e-6) and -20 < lags[3].g_lag < 20
     none = spark.createDataFrame([(1, [], [])], "k int, x array<double>, y array<double>")
-    assert features.with_best_lag(none, "x", "y", 3, "g").first().g_lag is None
+    assert features.best_lag(none, ["k"], "x", "y", 3, "g").count() == 0
 
 
 def test_releases_of_a_pose_table(spark):
