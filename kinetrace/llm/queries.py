@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import decontamination, exact_dedup, language_id, near_dedup, pii, repeats, sentencepiece_bpe, sharding, toxicity, warc
+from kinetrace.llm import decontamination, divergence, exact_dedup, language_id, near_dedup, pii, repeats, sentencepiece_bpe, sharding, spelling, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling": spelling.op11_spelling,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op3_near_dedup": near_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
