@@ -34,7 +34,7 @@ SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 _LEFT = 40
 #: Least characters of an instance: so many instances before one cover the characters on its left.
 _LEAST = 6
-_NO_PAIRS = "array<struct<gap:string,hit:string,next:string>>"
+NO_PAIRS = "array<struct<gap:string,hit:string,next:string>>"
 
 
 def running(items: Column, step: Callable[[Column, Column], Column]) -> Column:
@@ -53,7 +53,7 @@ def running(items: Column, step: Callable[[Column, Column], Column]) -> Column:
     return F.flatten(F.aggregate(blocks, F.array(none).cast("array<array<bigint>>"), grown))
 
 
-def _pairs(text: Column, pattern: str) -> Column:
+def pairs_of(text: Column, pattern: str) -> Column:
     """array<struct(gap, hit, next)>: each match with the text between it and the matches around it."""
     between = F.split(text, pattern, -1)
     zipped = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.slice(between, 2, F.size(between)).alias("next"))
@@ -112,7 +112,7 @@ def _with_seeds(rows: DataFrame) -> DataFrame:
     text = F.col("text")
     signs = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(PATTERNS["ip"]), "card": text.rlike(PATTERNS["card"]), "phone": F.contains(text, F.lit("+"))}
     for kind in KINDS:
-        rows = _with_places(rows, F.when(signs[kind], _pairs(text, PATTERNS[kind])).otherwise(F.array().cast(_NO_PAIRS)), kind)
+        rows = _with_places(rows, F.when(signs[kind], pairs_of(text, PATTERNS[kind])).otherwise(F.array().cast(NO_PAIRS)), kind)
         rows = rows.withColumn(kind, _sound(kind, F.col(kind)))
     return rows
 
@@ -162,7 +162,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     rows = _with_seeds(rows.select("doc_id", F.xxhash64("text").alias("h"), "text"))
     rows = rows.withColumn("base", _spans({k: F.col(k) for k in KINDS}))
-    pairs = F.when(F.col("text").rlike("[0-9@]"), _pairs(F.col("text"), _TOKEN)).otherwise(F.array().cast(_NO_PAIRS))
+    pairs = F.when(F.col("text").rlike("[0-9@]"), pairs_of(F.col("text"), _TOKEN)).otherwise(F.array().cast(NO_PAIRS))
     rows = with_kinds(_with_places(rows, pairs, "tokens"))
     mentions = F.transform(F.arrays_zip("tokens", "kinds"), lambda z: F.struct(
         z["tokens"]["start"].alias("start"), z["tokens"]["end"].alias("end"), F.sha1(z["tokens"]["value"].cast("binary")).alias("value"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import decontamination, divergence, exact_dedup, language_id, near_dedup, pii, repeats, sentencepiece_bpe, sharding, spelling, toxicity, warc
+from kinetrace.llm import decontamination, divergence, exact_dedup, language_id, near_dedup, pii, repeats, secret_scan, sentencepiece_bpe, sharding, spelling, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_spelling": spelling.op11_spelling,
+    "op12_secrets": secret_scan.op12_secrets,
     "op13_divergence": divergence.op13_divergence,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_spelling": spelling.ORACLE,
+    "op12_secrets": secret_scan.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }
