@@ -2,10 +2,10 @@
 
 Every group (language and source) gives every kept term of the language a scaled probability. A pair of groups
 is compared by a sum over all terms, most of which most groups lack. Terms that many groups have are heavy: they
-fill dense NumPy tiles of groups by terms. All others are light: a pair of groups starts from the value as if
-both lacked every light term, a histogram of each group's light probabilities corrects for the terms that one
-of them has, and the postings of a term, taken in pairs, correct for those that both have. All parts are whole
-numbers and are added exactly.
+fill dense NumPy tiles of groups by terms; all others are light. A pair of groups starts from the value as if both
+lacked every term. Tiles correct it for the heavy terms, a histogram of each group's light probabilities for the
+light terms that one of them has, and the postings of a term, taken in pairs, for those that both have. All
+parts are whole numbers and are added exactly.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def postings_and_groups(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Kept terms of the groups: (g, lang, source, term, p, q, i, heavy, groups), and the groups: (g, lang, source,
-    i, p0, light, tiles, blocks). i numbers the groups of a language from 0, q is the language's probability,
+    i, p0, terms, tiles, blocks). i numbers the groups of a language from 0, q is the language's probability,
     p0 that of a term the group lacks."""
     counts = term_counts(docs, lang_col, source_col, text_col)
     of = Window.partitionBy("lang", "term")  # a row for each group at most
@@ -105,7 +105,7 @@ def postings_and_groups(docs: DataFrame, lang_col: str, source_col: str, text_co
         F.struct("lang", "source").alias("g"), "lang", "source", "i", "groups", *[zero(c).alias(c) for c in ("group_n", "size", "terms", "all_n", "heavies")],
     )
     groups = written(groups.withColumns({
-        "p0": F.coalesce(scaled(F.lit(0), F.col("group_n"), F.col("terms")), F.lit(1)), "light": F.col("terms") - F.col("heavies"),
+        "p0": F.coalesce(scaled(F.lit(0), F.col("group_n"), F.col("terms")), F.lit(1)),
         "tiles": F.ceil(F.col("groups") / TILE_GROUPS).cast("int"), "blocks": F.ceil(F.col("heavies") / TILE_TERMS).cast("int"),
     }), "groups")
     facts = groups.select("g", "i", "p0", "groups", "tiles", "blocks", "group_n", "terms", "all_n", "size")
@@ -116,34 +116,34 @@ def postings_and_groups(docs: DataFrame, lang_col: str, source_col: str, text_co
     return written(postings, "postings"), groups
 
 
-def _tile(key: tuple, rows: pa.Table) -> pa.Table:
-    """Both directions of all pairs of a group on one side of a tile with one on the other: the share of a block of
-    heavy terms, or, for block -1, of the light terms as if no two groups had one in common."""
+def _tile(key: tuple, rows: pa.Table, size: int) -> pa.Table:
+    """Both directions of all pairs of a group on one side of a tile with one on the other. Block -1 gives what a pair
+    would have if it lacked all terms, and the corrections for light terms as if no two groups had one in common;
+    any other block the corrections for its heavy terms."""
     lang, a, b, block = (k.as_py() for k in key)
     part, i, p, m = (rows.column(c).to_numpy() for c in ("part", "i", "p", "m"))
     base, rest = np.flatnonzero(part == _BASE), np.flatnonzero(part != _BASE)
     base = base[np.argsort(i[base])]
-    names, p0, light = i[base], p[base], m[base]
+    names, p0, terms = i[base], p[base], m[base]
     at = np.searchsorted(names, i[rest])
-    mine, theirs = (np.flatnonzero(names // TILE_GROUPS == side) for side in (a, b))
+    mine, theirs = (np.flatnonzero(names // size == side) for side in (a, b))
     sums = np.zeros((len(names), len(names)), np.int64)
     sides = [(mine, theirs)] if a == b else [(mine, theirs), (theirs, mine)]
     if block < 0:
         for left, right in sides:
-            sums[np.ix_(left, right)] = light[left][:, None] * gaps(p0[left][:, None], p0[right][None])
-        other = {x: np.setdiff1d(np.concatenate([theirs if x in mine else mine]), [x]) for x in range(len(names))}
+            sums[np.ix_(left, right)] = terms[left][:, None] * gaps(p0[left][:, None], p0[right][None])
+        other = {x: np.setdiff1d(theirs if x in mine else mine, [x]) for x in range(len(names))}
         for x, value, times in zip(at, p[rest], m[rest]):
             to = other[x]
             sums[x, to] += times * (gaps(value, p0[to]) - gaps(p0[x], p0[to]))
             sums[to, x] += times * (gaps(p0[to], value) - gaps(p0[to], p0[x]))
     else:
-        terms = rows.column("term").combine_chunks().take(pa.array(rest)).dictionary_encode()
-        dense = np.repeat(p0[:, None], max(1, len(terms.dictionary)), axis=1)
-        if len(rest):
-            dense[at, terms.indices.to_numpy(zero_copy_only=False)] = p[rest]
+        found = rows.column("term").combine_chunks().take(pa.array(rest)).dictionary_encode()
+        dense = np.repeat(p0[:, None], len(found.dictionary), axis=1)  # terms of the block that no group here has are not in it
+        dense[at, found.indices.to_numpy(zero_copy_only=False)] = p[rest]
         for left, right in sides:
             for x in left:
-                sums[x, right] = gaps(dense[x][None], dense[right]).sum(axis=1)
+                sums[x, right] = gaps(dense[x][None], dense[right]).sum(axis=1) - dense.shape[1] * gaps(p0[x], p0[right])
     x, y = (np.concatenate(z) for z in zip(*[(np.repeat(left, len(right)), np.tile(right, len(left))) for left, right in sides]))
     x, y = x[x != y], y[x != y]
     return pa.table({"lang": pa.array([lang] * len(x), pa.string()), "i": names[x].astype(np.int32), "j": names[y].astype(np.int32), "value": sums[x, y]})
@@ -151,7 +151,8 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
 
 def pair_sums(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, i, j, value): the divergence of group i from group j, for all pairs of groups of a language."""
-    light, side = postings.where("NOT heavy"), F.floor(F.col("i") / TILE_GROUPS).cast("int")
+    size = TILE_GROUPS
+    light, side = postings.where("NOT heavy"), F.floor(F.col("i") / size).cast("int")
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     term = F.xxhash64("term")
 
@@ -161,11 +162,11 @@ def pair_sums(postings: DataFrame, groups: DataFrame) -> DataFrame:
         return rows.select("lang", F.least("side", "t").alias("a"), F.greatest("side", "t").alias("b"), F.explode("blocks").alias("block"), F.lit(part).alias("part"), "i", "p", "m", "term")
 
     none, nothing = F.lit(0).cast("long"), F.lit(None).cast("string")
-    base = dealt(groups, _BASE, F.col("p0"), F.col("light"), F.sequence(F.lit(-1), F.col("blocks") - 1), nothing)
+    base = dealt(groups, _BASE, F.col("p0"), F.col("terms"), F.sequence(F.lit(-1), F.col("blocks") - 1), nothing)
     histogram = light.groupBy("g", "i", "p", "tiles").agg(F.count(F.lit(1)).alias("m"))
     lone = dealt(histogram, _HISTOGRAM, F.col("p"), F.col("m"), F.array(F.lit(-1)), nothing)
     dense = dealt(postings.where("heavy"), _DENSE, F.col("p"), none, F.array(F.pmod(term, F.col("blocks")).cast("int")), F.col("term"))
-    tiles = base.unionByName(lone).unionByName(dense).groupBy("lang", "a", "b", "block").applyInArrow(_tile, "lang string, i int, j int, value long")
+    tiles = base.unionByName(lone).unionByName(dense).groupBy("lang", "a", "b", "block").applyInArrow(lambda key, rows: _tile(key, rows, size), "lang string, i int, j int, value long")
     shared = light.groupBy(F.col("g.lang").alias("lang"), "term").agg(F.collect_list(F.struct("i", "p", "p0")).alias("has")).where(F.size("has") > 1)  # MOST_SPARSE at most
     x, y = F.col("x"), F.col("y")
     both = shared.select("lang", "has", F.explode("has").alias("x")).select("lang", "x", F.explode("has").alias("y")).where(x["i"] != y["i"])
