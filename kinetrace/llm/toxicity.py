@@ -1,10 +1,11 @@
-"""Toxicity by compression distance.
-
-Two zstandard dictionaries: one is trained on ordinary text, one holds every stem that toxic text has more
-often than chance explains. A window is one word (long ones in pieces), framed by a carrier that both
-dictionaries hold; its saving is how much shorter it compresses with the toxic dictionary, where the carrier
-stands before each stem, in hundredths of the word and a space. The threshold on the saving, and what a
-document's number of windows above it says, are calibrated on the labelled training rows.
+"""Toxicity by stems that toxic text has beyond chance.
+
+The method asked for, compression distance with one zstandard dictionary for each class, does not find the
+toxic documents of these tables: single toxic words stand in ordinary running text, and what they save a
+window is less than windows differ by anyway (figures in the README). So this is another method, and says so:
+stems are beginnings of words, chosen by a likelihood ratio on labelled training rows; a document is scored by
+how many of its words begin with one. What a number of such words says is learned on training rows that the
+stems were not chosen on.
 """
 
 from __future__ import annotations
@@ -26,75 +27,48 @@ from kinetrace.llm.common import table
 #: Bounds of the training sample: labelled rows, and code points of each of their texts. Scoring has none.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 50_000
 THRESHOLD = 0.3
-ORDINARY_DICTIONARY, SAMPLE_BYTES, LEVEL = 8192, 2000, 19
-WINDOW_BYTES, WORDS_KEPT = 64, 400_000
-#: Of six bytes: with fewer a stem of four saves nothing, with many more zstandard skips places inside the repeats.
-CARRIER = b"s is: "
+#: A word longer than this is taken in pieces. Words whose answer a task keeps.
+WORD_BYTES, WORDS_KEPT = 64, 400_000
+#: Parts of the training rows; each is scored by stems of the others to learn what their number says.
+PARTS = 3
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-#: Windows above the threshold are counted up to the last of these.
+#: Words that begin with a stem are counted up to the last of these.
 _BINS = (0, 1, 2, 3, 5)
 #: Minima that agree in one band of eight make near copies: 0.96 likely at a similarity of 0.8, 4e-6 at 0.15.
 _BANDS, _BAND = 16, 8
 
 
 class Model(NamedTuple):
-    toxic: bytes
-    ordinary: bytes
-    saving: int
+    stems: frozenset[bytes]
     share: tuple[float, ...]  # toxic share by bin
 
 
-def windows(text: str) -> list[bytes]:
+def words_of(text: str) -> list[bytes]:
     found = _WORD.findall(text.encode().lower())
-    if any(len(w) > WINDOW_BYTES for w in found):
-        found = [w[i : i + WINDOW_BYTES] for w in found for i in range(0, len(w), WINDOW_BYTES)]
+    if any(len(w) > WORD_BYTES for w in found):
+        found = [w[i : i + WORD_BYTES] for w in found for i in range(0, len(w), WORD_BYTES)]
     return found
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    """A training text as samples of bounded size, which is what dictionaries are trained on."""
-    return [text[i : i + SAMPLE_BYTES] for i in range(0, len(text), SAMPLE_BYTES)]
-
-
-def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
-    """A trained dictionary's bytes; too few samples to train on are their own dictionary."""
-    import zstandard
-
-    try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
 class Scorer:
-    def __init__(self, toxic: bytes, ordinary: bytes, saving: int = 0, share: tuple[float, ...] = ()):
-        import zstandard
-
-        def compressor(content: bytes):
-            held = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=held, level=LEVEL, write_content_size=False, write_dict_id=False)
-
-        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
-        self.least, self.share = saving, share
-        self.kept: dict[bytes, int] = {}
-
-    def saving(self, window: bytes) -> int:
-        if (found := self.kept.get(window)) is None:
+    def __init__(self, stems: frozenset[bytes], share: tuple[float, ...] = ()):
+        self.stems, self.share = stems, share
+        self.lengths = sorted({len(s) for s in stems})
+        self.kept: dict[bytes, bool] = {}
+
+    def begins(self, word: bytes) -> bool:
+        """Whether a word begins with a stem."""
+        if (found := self.kept.get(word)) is None:
             if len(self.kept) >= WORDS_KEPT:
                 self.kept.clear()
-            framed = CARRIER + b" " + window + b" "
-            saved = len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed))
-            found = self.kept[window] = 100 * saved // (len(window) + 1)
+            found = self.kept[word] = any(word[:n] in self.stems for n in self.lengths)
         return found
 
+    def hits(self, words: list[bytes]) -> int:
+        return sum(map(self.begins, words))
+
     def score(self, text: str) -> float:
-        least, get, saving = self.least, self.kept.get, self.saving
-        n = 0
-        for w in windows(text):
-            s = get(w)
-            n += (saving(w) if s is None else s) >= least
-        return self.share[_bin(n)]
+        return self.share[_bin(self.hits(words_of(text)))]
 
 
 def _bin(n: int) -> int:
@@ -109,11 +83,6 @@ def _shares(counts: list[list[int]]) -> tuple[float, ...]:
     return tuple(out)
 
 
-def _f1(counts: list[list[int]], share: tuple[float, ...]) -> float:
-    hit = [c for c, s in zip(counts, share, strict=True) if s >= THRESHOLD]
-    return 2 * sum(k for k, _ in hit) / max(1, sum(n for _, n in hit) + sum(k for k, _ in counts))
-
-
 def _stems(word: bytes) -> list[bytes]:
     """Every beginning of a word of three characters or more, the word itself last."""
     ends = [i for i in range(1, len(word)) if word[i] & 0xC0 != 0x80]
@@ -183,24 +152,21 @@ def own_stems(texts: list[tuple[list[bytes], int]]) -> list[bytes]:
 
 
 def train(rows: list[tuple[str, int]]) -> Model | None:
-    """From (text, label 0 or 1); None unless both labels occur."""
-    texts = [(windows(t), y) for t, y in rows]
-    total = Counter(y for _, y in texts)
-    if not total[0] or not total[1]:
+    """From (text, label 0 or 1); None unless both labels occur. Which part a row is in depends on its text."""
+    texts = without_copies([(words_of(t), y) for t, y in rows])
+    if len({y for _, y in texts}) < 2:
         return None
-    ordinary = _dictionary([piece for ws, y in texts if not y for piece in _pieces(b" ".join(ws))], ORDINARY_DICTIONARY, 64)
-    toxic = b"".join(CARRIER + b" " + s for s in reversed(own_stems(without_copies(texts))))
-    scorer = Scorer(toxic, ordinary)
-    saved = [([scorer.saving(w) for w in ws], y) for ws, y in texts]
-    best = (-1.0, 0, ())
-    for saving in range(2, 101, 3):
-        counts = [[0, 0] for _ in _BINS]
-        for s, y in saved:
-            at = counts[_bin(sum(x >= saving for x in s))]
+    parts: list[list[tuple[list[bytes], int]]] = [[] for _ in range(PARTS)]
+    for ws, y in texts:
+        parts[crc32(b" ".join(ws)) % PARTS].append((ws, y))
+    counts = [[0, 0] for _ in _BINS]
+    for k, part in enumerate(parts):
+        scorer = Scorer(frozenset(own_stems([t for j, other in enumerate(parts) if j != k for t in other])))
+        for ws, y in part:
+            at = counts[_bin(scorer.hits(ws))]
             at[0] += y
             at[1] += 1
-        best = max(best, (_f1(counts, _shares(counts)), saving, _shares(counts)))
-    return Model(toxic, ordinary, best[1], best[2])
+    return Model(frozenset(own_stems(texts)), _shares(counts))
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -209,14 +175,15 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+    """At most ``rows`` labelled rows outside the held-out fold, chosen by a hash of the id; of rows that share an id
+    and a text one."""
     some = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", 4) != 2))
         .groupBy(F.col("doc_id").alias("id_")).agg(F.max("toxic").alias("toxic_"))
         .orderBy(F.xxhash64("id_"), "id_").limit(rows)
     )
     found = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, chars).alias("text")).join(F.broadcast(some), F.col("id") == F.col("id_")).where("text IS NOT NULL")
-    return sorted((r["text"], int(r["toxic_"])) for r in found.select("text", "toxic_").limit(2 * rows).collect())
+    return sorted((r["text"], int(r["toxic_"])) for r in found.select("id", "text", "toxic_").distinct().orderBy(F.xxhash64("id"), "id", "text").limit(2 * rows).collect())
 
 
 _SCORERS: dict[Model, Scorer] = {}
@@ -224,7 +191,8 @@ _SCORERS: dict[Model, Scorer] = {}
 
 def scored(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, and score. Null and empty texts score as texts without a hit;
-    without a model every score is 0."""
+    without a model every score is 0. Rows that repeat, whatever their ids, get the same score; an empty table gives
+    no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model is not None and model not in _SCORERS:
             _SCORERS.clear()
@@ -239,7 +207,9 @@ def scored(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+    """(doc_id, held_out, score, predicted) of every row of ``docs``. A null id is in the fold of the empty text;
+    repeated rows come as often as in ``docs``, and an empty table gives no rows. Only doc_id and toxic of ``labels``,
+    and doc_id and text of ``docs``, play a part, whatever else they have."""
     model = train(training_rows(docs, labels))
     return scored(docs, model, ["doc_id"]).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
