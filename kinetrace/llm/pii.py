@@ -2,9 +2,10 @@
 
 Regular expressions find the seed entities. Every identifier-like token is an instance; what stands before
 it and the character after it make a lexical pattern. Seeds are known instances at first. In each round
-patterns are scored by the known instances they hold, and the other instances of confident patterns become
-known of that kind, worth what their patterns are worth; so instances that were discovered induce further
-patterns in the next round. All of it is built-in functions: folds over the matches of a text give the
+patterns are scored by the known instances they hold; those that are confident are accepted, and their other
+instances become known of that kind, worth what their patterns are worth, so that they induce further patterns.
+A pattern keeps the score it was accepted with, when none of its own guesses was known yet, so no pattern
+confirms itself; the search ends with the first round that accepts none. All of it is built-in functions: folds over the matches of a text give the
 places, joins and aggregations give the scores.
 """
 
@@ -28,9 +29,8 @@ PATTERNS = {
 }
 #: An instance: a run of identifier characters, six or more, one of them a digit or an at sign.
 _TOKEN = r"(?<![A-Za-z0-9._%+@:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9._%+@:/-]{6,}+"  # _LEAST
-#: A pattern needs so many different instances and at least this score to discover others; the graph is scored
-#: so many times, and an identifier can be so many patterns away from a seed.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: A pattern needs so many different instances and at least this score to discover others.
+SUPPORT, CONFIDENCE = 5, 0.8
 _LEFT = 40
 #: Least characters of an instance: so many instances before one cover the characters on its left.
 _LEAST = 6
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "h", "base", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], mentions.alias("mentions"))
 
 
-def confident_patterns(mentions: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def confident_patterns(mentions: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(pattern, found, score, size) of the patterns that may discover instances of the kind ``found``; size is how
     often a pattern occurs. ``mentions`` has (value, pattern, kind).
 
@@ -186,17 +186,22 @@ def confident_patterns(mentions: DataFrame, support: int = SUPPORT, confidence:
     values = written(graph.groupBy("value").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("uses")), "values")
     seeds = values.where("kind IS NOT NULL").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("worth"), "uses")
     known, good = seeds, None
-    for _ in range(rounds):
+    while True:
         held = joined_evenly(graph.drop("kind"), known, "value", "uses", ["pattern"])
         scores = held.groupBy("pattern", "of", "n", "size").agg((F.sum("worth") / F.col("n")).alias("score"))
         best = scores.where(F.col("score") >= confidence).groupBy("pattern", "size").agg(F.max(F.struct("score", -F.col("of"), "of")).alias("b"))
-        good = written(best.select("pattern", F.col("b.of").alias("found"), F.col("b.score").alias("score"), "size"), "patterns")
+        fresh = best.select("pattern", F.col("b.of").alias("found"), F.col("b.score").alias("score"), "size")
+        if good is not None:
+            fresh = fresh.join(good.select("pattern"), "pattern", "left_anti")
+        fresh = written(fresh, "patterns")
+        if good is not None and fresh.isEmpty():
+            return good
+        good = fresh if good is None else written(good.unionByName(fresh), "patterns")
         reached = joined_evenly(graph.drop("kind", "n", "size"), good, "pattern", "size", ["value"])
         doubt = F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score"))))
         votes = reached.groupBy("value", "found").agg((1 - F.exp(doubt)).alias("worth")).groupBy("value").agg(F.max(F.struct("worth", -F.col("found"), "found")).alias("b"))
-        fresh = values.where("kind IS NULL").join(votes, "value").select("value", F.col("b.found").alias("of"), F.col("b.worth").alias("worth"), "uses")
-        known = written(seeds.unionByName(fresh), "known")
-    return good
+        more = values.where("kind IS NULL").join(votes, "value").select("value", F.col("b.found").alias("of"), F.col("b.worth").alias("worth"), "uses")
+        known = written(seeds.unionByName(more), "known")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
