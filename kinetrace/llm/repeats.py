@@ -397,9 +397,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that stay.
 
     Null texts count as empty; texts shorter than LENGTH lose nothing; rows that repeat a text of LENGTH
-    bytes or more lose all of it, as each is the other's elsewhere. Matches never cross rows.
+    bytes or more lose all of it, as each is the other's elsewhere. Matches never cross rows. An empty table gives
+    no rows.
     """
-    found = repeated_ranges(docs, id_col, text_col).groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    found = repeated_ranges(docs, id_col, text_col).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # rows that repeat have the same ranges
     found = found.withColumnsRenamed({"doc_id": "id_", "h": "h_"})
     rows = _documents(docs, id_col, text_col)
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left").select("doc_id", "text", F.transform("ranges", lambda r: r["first"]).alias("first"), F.transform("ranges", lambda r: r["last"]).alias("last"))
