@@ -139,7 +139,7 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_DOCS, each: int = TRAIN_WIN
     are numbered, so no task sees all ids of a frequent language. With more than ``rows`` languages the most
     frequent ones are learned, one document each.
     """
-    learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
+    learn = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
     sizes = learn.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), "lang_").limit(rows).collect()
     if not sizes:
         return []
@@ -151,13 +151,14 @@ def training_rows(docs: DataFrame, rows: int = TRAIN_DOCS, each: int = TRAIN_WIN
     some = thinned.withColumn("k", number).where(F.col("k") <= share).select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_")).distinct()
     step = F.greatest(F.lit(1), F.floor(F.char_length("text") / each)).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: F.substring(F.col("text"), (i * step + 1).cast("int"), F.lit(WINDOW)))
-    found = learn.join(F.broadcast(some), (F.col("doc_id") == F.col("id_")) & (F.col("lang") == F.col("lang_"))).select("lang", cuts.alias("cuts")).limit(2 * rows)
+    found = learn.join(F.broadcast(some), (F.col("doc_id") == F.col("id_")) & (F.col("lang") == F.col("lang_"))).select("doc_id", "lang", "text", cuts.alias("cuts")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("lang", "cuts").limit(2 * rows)
     return sorted({(w.encode()[:WINDOW], r["lang"]) for r in found.collect() for w in r["cuts"] if has_letter(w)})
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, lang_pred and score: ``und`` with score 0 for a null text or one
-    without a letter, and for all texts if there was nothing to learn from."""
+    without a letter, and for all texts if there was nothing to learn from. Ids play no part, so null and repeated
+    ones are as any other; an empty table gives no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [predict(x.as_py(), model) for x in batch.column(len(keep))]
