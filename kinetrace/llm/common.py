@@ -6,7 +6,7 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +67,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table of what ``build`` returns. Tables that ``build`` wrote meanwhile go as soon as it is written."""
+    with recorded() as tables:
+        df = build()
+    out = written(df, name)
+    removed(df.sparkSession, tables)
+    return out
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from kinetrace.llm.common import is_set, joined_evenly, key_bitmap, table, text_of, written
+from kinetrace.llm.common import is_set, joined_evenly, key_bitmap, masked, recorded, removed, settled, table, text_of, unmasked, written
 from kinetrace.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -39,8 +39,8 @@ REGISTERS = BANDS * ROWS
 #: A register: leading zeros (up to 63) and so many mantissa bits.
 MANTISSA = 10
 FIRST_BANDS = 2
-#: Members of a bucket that one task holds at once.
-BLOCK = 2048
+#: Members of a bucket in a block, and shingles of all of them, some 16 MB; a task holds two blocks at once.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: Standard errors that an estimate may lie under the threshold before its pair is passed over.
 SLACK = 4.5
 
@@ -152,15 +152,15 @@ def row_hash(id_col: str, text_col: str) -> Column:
 
 
 def _buckets(classes: DataFrame, first: int) -> DataFrame:
-    """(digest, root, band, key) for the leading bands, of buckets with two members or more. A bitmap of keys
+    """(digest, root, n, band, key) for the leading bands, of buckets with two members or more. A bitmap of keys
     that come twice, of bounded size, keeps the others from travelling; the few it lets through do no harm."""
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(first)])
-    rows = classes.select("digest", "root", F.posexplode(keys).alias("band", "key"))
+    rows = classes.select("digest", "root", "n", F.posexplode(keys).alias("band", "key"))
     repeated = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     bits, bitmaps = key_bitmap(repeated, "key")
     at = F.pmod(F.col("key"), F.lit(bits)) + 1
     rows = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(at) == F.col("bucket")).where(is_set(F.col("bits"), at))
-    return written(rows.select("digest", "root", "band", "key"), "buckets")
+    return written(rows.select("digest", "root", "n", "band", "key"), "buckets")
 
 
 class _Tile:
@@ -300,11 +300,16 @@ def _tile(a: Column, b: Column) -> Column:
     return F.least(a, b) * _MOST_BLOCKS + F.greatest(a, b)
 
 
+def _blocks(size: Column, shingles: Column) -> Column:
+    """How many blocks so many members with so many shingles are cut into."""
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+
+
 def _first_pass(classes: DataFrame) -> DataFrame:
     """Members of buckets for the first bands, each in a tile of one block."""
     rows = _buckets(classes, FIRST_BANDS)
-    size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    rows = joined_evenly(rows, size.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "key", "size", ["digest"])
+    size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1"), "sizes")
+    rows = joined_evenly(rows, size.select("key", "size", _blocks(F.col("size"), F.col("shingles")).alias("blocks")), "key", "size", ["digest"])
     block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     return rows.select("band", "key", _tile(block, block).alias("tile"), "digest", "root", block.alias("block"))
 
@@ -313,11 +318,11 @@ def _second_pass(classes: DataFrame) -> DataFrame:
     """Members of buckets with two components or more, for every tile that may hold a link between components.
     Blocks of the largest component come first and meet only blocks of others; a bucket of one block is a tile."""
     rows = _buckets(classes, BANDS)
-    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    most, small = F.col("most")["n"], F.col("size") <= BLOCK
-    mixed = mixed.select("key", "size", F.col("most")["root"].alias("common_root"), F.when(small, 0).otherwise(blocks(most)).cast("long").alias("common_blocks"), F.when(small, 1).otherwise(blocks(F.col("size") - most)).cast("long").alias("other_blocks"))
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    mixed = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("members").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("members", "root", "shingles")).alias("most")).where("roots > 1")
+    most, small = F.col("most"), _blocks(F.col("size"), F.col("shingles")) <= 1
+    common_blocks, other_blocks = _blocks(most["members"], most["shingles"]), _blocks(F.col("size") - most["members"], F.col("shingles") - most["shingles"])
+    mixed = mixed.select("key", "size", most["root"].alias("common_root"), F.when(small, 0).otherwise(common_blocks).cast("long").alias("common_blocks"), F.when(small, 1).otherwise(other_blocks).cast("long").alias("other_blocks"))
     rows = joined_evenly(rows, written(mixed, "mixed"), "key", "size", ["digest"])
     c, o, h = F.col("common_blocks"), F.col("other_blocks"), F.xxhash64("digest")
     common = (c > 0) & (F.col("root") == F.col("common_root"))
@@ -332,22 +337,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null or empty text, or one of white space alone, has no shingles and is linked with nothing: its
     component is its own id. Equal sets are linked, whatever their texts. component_id is the smallest id
     of the component, null ids aside; kept says that the row has that id, so rows that repeat an id share it.
+    An empty table gives no rows; other columns play no part, whatever their names.
     """
-    seen = written(sketches(docs, id_col, text_col), "sketches")
-    classes = seen.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    classes = written(classes, "classes").withColumn("root", F.col("digest"))
-    members = written(_first_pass(classes), "members")
-    links = written(_confirmed(members, _hashes_of(docs, id_col, text_col, members, classes)), "confirmed")
-    roots = written(components(links), "roots")
-    joined = classes.drop("root").join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest")).drop("node")
-    members = written(_with_candidates(_second_pass(joined), classes), "members")
-    more = _confirmed(members, _hashes_of(docs, id_col, text_col, members, classes))
-    roots = written(components(links.union(more)), "roots")
-    least = roots.join(classes.select("digest", "least"), F.col("node") == F.col("digest")).groupBy("root").agg(F.min("least").alias("component"))
-    known = written(roots.join(least, "root").select(F.col("node").alias("digest"), "component"), "known")
-    named = written(classes.select("digest", "least").join(known, "digest", "left").select(F.col("digest").alias("digest_"), F.coalesce("component", "least").alias("component")), "named")
-    out = seen.select("doc_id", "h", "n", "digest").where("digest IS NOT NULL").join(named, F.col("digest") == F.col("digest_")).select("doc_id", "h", "n", "component")
+    spark = docs.sparkSession
+    with recorded() as first:
+        sketched = written(sketches(docs, id_col, text_col), "sketches")
+    classes = written(sketched.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("size")), "classes")
+    seen = written(sketched.select("doc_id", "h", "n", "digest"), "seen")
+    removed(spark, first)  # the registers of classes are enough
+
+    def links_among(members: DataFrame) -> DataFrame:
+        members = written(members, "members")
+        return _confirmed(members, _hashes_of(docs, id_col, text_col, members, classes))
+
+    alone = classes.withColumn("root", F.col("digest"))
+    links = settled(lambda: links_among(_first_pass(alone)), "confirmed")
+    roots = settled(lambda: components(links), "roots")
+    joined = classes.join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest")).drop("node")
+    more = settled(lambda: links_among(_with_candidates(_second_pass(joined), classes)), "confirmed")
+    roots = settled(lambda: components(links.union(more)), "roots")
+    least = roots.join(classes.select("digest", "least"), F.col("node") == F.col("digest")).groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("nodes"))
+    known = written(joined_evenly(roots, written(least, "least"), "root", "nodes", ["node"]).select(F.col("node").alias("digest"), "component"), "known")
+    named = written(classes.select("digest", "least", "size").join(known, "digest", "left").select("digest", "size", F.coalesce("component", "least").alias("component")), "named")
+    out = joined_evenly(seen.where("digest IS NOT NULL"), named, "digest", "size", ["doc_id", "h"]).select("doc_id", "h", "n", "component")
     out = out.unionByName(seen.where("digest IS NULL").select("doc_id", "h", "n", F.col("doc_id").alias("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"), "h")
 
@@ -358,7 +371,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = written(near_duplicates(docs, id_col, text_col).where("kept").select("component_id", "h"), "kept")
     named = found.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("h").alias("h_")).select("h_")
     stay = written(named.union(found.where("component_id IS NULL").select("h")).distinct(), "stay")
-    return docs.withColumn("__h", row_hash(id_col, text_col)).join(stay, F.col("__h") == F.col("h_"), "left_semi").drop("__h")
+    plain, names = masked(docs)
+    return unmasked(plain.withColumn("__h", row_hash(names[id_col], names[text_col])).join(stay, F.col("__h") == F.col("h_"), "left_semi"), names)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

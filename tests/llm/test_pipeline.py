@@ -53,3 +53,16 @@ def test_clashing_columns_and_nothing(spark, data):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, data).columns == odd.columns, name
         assert stage(spark, docs.where("false"), data).count() == 0
+
+
+def test_internal_names_do_not_clash(spark, data):
+    """Columns that operators use themselves, with leading and trailing underscores too."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(30)
+    odd = docs.withColumns({c: F.lit(1) for c in ("h_", "__h", "id_", "lang_", "__norm", "__sha", "text_", "c0", "digest", "component_id", "toxic_", "__column0", "__text")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, data)
+        assert got.columns == odd.columns, name
+        got.count()
+    from kinetrace.llm import language_id
+
+    assert len(language_id.training_rows(odd)) > 0
