@@ -77,41 +77,101 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (edges[k] + edges[k + 1] - 1) // 2
 
 
-def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Height of each peak over the higher of the lowest points towards higher ground on its two sides."""
-    out = np.empty(len(peaks))
-    for n, p in enumerate(peaks):
-        higher = np.flatnonzero(x > x[p])
-        k = np.searchsorted(higher, p)
-        a = higher[k - 1] + 1 if k else 0
-        b = higher[k] if k < len(higher) else len(x)
-        out[n] = x[p] - max(x[a : p + 1].min(), x[p:b].min())
+def _lowest_before(tops: list[float], valleys: list[float]) -> list[float]:
+    """For each top the lowest valley between it and the nearest higher top before it, or all before it. valleys[j] is
+    the lowest point just before top j. A stack holds the tops that nothing later has covered, so each is taken off
+    once."""
+    out, stack = [], []
+    for top, low in zip(tops, valleys):
+        while stack and stack[-1][0] <= top:
+            low = min(low, stack.pop()[1])
+        stack.append((top, low))
+        out.append(low)
     return out
 
 
+def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Height of each peak (a local maximum) over the higher of the lowest points towards higher ground on its two sides,
+    in one pass over the extremes from each side."""
+    if not len(peaks):
+        return np.zeros(0)
+    tops = local_maxima(x)
+    ends = [np.array([e]) for e, inner in ((0, np.argmax(np.append(x != x[0], True))), (len(x) - 1, len(x) - 1 - np.argmax(np.append((x != x[-1])[::-1], True)))) if 0 <= inner < len(x) and x[e] > x[inner]]
+    places = np.unique(np.concatenate([tops, *ends]))  # an end that falls away inwards is higher ground for others
+    between = np.minimum.reduceat(x, np.concatenate([[0], places]))[: len(places)] if places[0] else np.concatenate([[np.inf], np.minimum.reduceat(x, places)[:-1]])
+    after = np.minimum.reduceat(x, places)
+    level = x[places].tolist()
+    low = np.maximum(_lowest_before(level, between.tolist()), np.array(_lowest_before(level[::-1], after[::-1].tolist())[::-1]))
+    return x[peaks] - low[np.searchsorted(places, peaks)]
+
+
+def _first_at_most(x: np.ndarray, start: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """From each start the nearest place to the left with a value of at most its level, or -1; by doubling steps over
+    a table of lowest values, the largest first."""
+    lows = [x]
+    while 2 << len(lows) <= 2 * len(x):
+        step = 1 << (len(lows) - 1)
+        low = lows[-1].copy()
+        low[step:] = np.minimum(lows[-1][step:], lows[-1][:-step])
+        lows.append(low)  # lows[k][i] is the least of the 2 ** k values up to i
+    at = start.copy()
+    for k in range(len(lows) - 1, -1, -1):
+        fits = (at >= 0) & (at + 1 >= 1 << k)
+        fits[fits] = lows[k][at[fits]] > level[fits]
+        at[fits] -= 1 << k
+    return at
+
+
+def crossings(x: np.ndarray, peaks: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places on both sides of each peak where the signal has come down to its level, between samples by a straight
+    line; the ends of the signal where it never does."""
+    left = _first_at_most(x, peaks, level)
+    right = len(x) - 1 - _first_at_most(x[::-1], len(x) - 1 - peaks, level)
+
+    def between(low: np.ndarray, inner: np.ndarray, none: np.ndarray) -> np.ndarray:
+        some = (low >= 0) & (low < len(x))
+        a, b = x[np.where(some, low, 0)], x[np.where(some, inner, 0)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            part = np.where(a < level, (level - a) / (b - a), 0.0)
+        return np.where(some, low + (inner - low) * part, none)
+
+    return between(left, left + 1, np.zeros(len(peaks))), between(right, right - 1, np.full(len(peaks), len(x) - 1.0))
+
+
+def widths(x: np.ndarray, peaks: np.ndarray, share: float = 0.5) -> np.ndarray:
+    """Width of each peak, in samples, at a share of its prominence below its top."""
+    left, right = crossings(x, peaks, x[peaks] - share * prominences(x, peaks))
+    return right - left
+
+
 def find_peaks(x: np.ndarray, distance: int | None = None, prominence: float | None = None) -> np.ndarray:
-    """Local maxima at least ``distance`` apart, higher ones first, and then of enough prominence."""
+    """Local maxima at least ``distance`` apart, higher ones first, of equals the later; and then of enough prominence."""
     peaks = local_maxima(x)
     if distance and len(peaks):
         keep = np.ones(len(peaks), bool)
+        lo, hi = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance)
         for n in np.argsort(x[peaks], kind="stable")[::-1]:
             if keep[n]:
-                near = np.abs(peaks - peaks[n]) < distance
-                near[n] = False
-                keep[near] = False
+                keep[lo[n] : hi[n]] = False
+                keep[n] = True
         peaks = peaks[keep]
     return peaks if prominence is None else peaks[prominences(x, peaks) >= prominence]
 
 
-def peaks_for_count(x: np.ndarray, wanted: int, distance: int, steps: int = 50) -> np.ndarray:
-    """Peaks at the prominence, among quantiles of those there are, that leaves nearest to ``wanted`` of them."""
+def peaks_for_count(x: np.ndarray, wanted: int, distance: int, steps: int = 30, start: float = 0.9, floor: float = 0.45) -> np.ndarray:
+    """About ``wanted`` peaks: the least prominence goes through the quantiles of the signal from ``start`` to ``floor``, each
+    over its lower quartile, to the first that leaves nearest to that number; of more the most prominent stay, of
+    equals the later."""
+    finite = x[np.isfinite(x)]
     peaks = find_peaks(x, distance)
     if not len(peaks):
         return peaks
     high = prominences(x, peaks)
-    cuts = np.quantile(high, np.linspace(0, 0.95, steps))
-    best = min(range(steps), key=lambda i: (abs(int((high >= cuts[i]).sum()) - wanted), i))
-    return peaks[high >= cuts[best]]
+    least = np.maximum(np.quantile(finite, np.linspace(start, floor, steps)) - np.quantile(finite, 0.25), 1e-9)
+    counts = len(high) - np.searchsorted(np.sort(high), least)
+    fits = high >= least[int(np.argmin(np.abs(counts - wanted)))]
+    peaks, high = peaks[fits], high[fits]
+    return np.sort(peaks[np.argsort(high, kind="stable")[::-1][:wanted]])
 
 
 def spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:

@@ -170,7 +170,7 @@ def release_candidates(df: DataFrame, by: list[str], order: list[str], rate: flo
     """(…, event, place, order columns, score, confidence) of the likely releases of ``pose_motion`` rows: about as many peaks
     of the weighted score as wanted, at least ``apart`` seconds from each other, numbered V01, V02, … in time."""
     rows = rectified_score(df, by, order, RELEASE_WEIGHTS, 5, "visibility").select(*by, *order, "i", "score")
-    tops = counted_peaks(rows, by, ["i"], "score", wanted, max(1, round(apart * rate))).where("is_peak").select(*by, F.col("i").alias("place"))
+    tops = counted_peaks(rows, by, ["i"], "score", wanted, max(1, round(apart * rate)), 50, 0.95, 0.35).where("is_peak").select(*by, F.col("i").alias("place"))
     sure = peak_confidence(rows, tops, by, "i", "score", round(around * rate))
     named = numbered("V", F.row_number().over(over(by, ["place"])), 2)
     return sure.join(rows.withColumnRenamed("i", "place"), [*by, "place"]).withColumn("event", named).select(*by, "event", "place", *order, "score", "confidence")

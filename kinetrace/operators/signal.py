@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.functions import kernels
+from kinetrace.functions.columns import norm
+from kinetrace.operators.recursion import System, scanned
 
 
 def per_group(df: DataFrame, by: list[str], order: list[str], inputs: list[str], outputs: list[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -26,10 +28,16 @@ def per_group(df: DataFrame, by: list[str], order: list[str], inputs: list[str],
     return df.select(*keep).groupBy(*by).applyInPandas(run, kinds)
 
 
-def smoothed(df: DataFrame, by: list[str], order: list[str], x: str, cutoff: float, rate: float, degree: int = 4, high: bool = False) -> DataFrame:
-    """Zero-phase low- or high-pass; never across groups, and a group too short for it stays as it is."""
-    b, a = kernels.butterworth(degree, cutoff, rate, high)
-    return per_group(df, by, order, [x], [f"{x}_filtered"], lambda v: kernels.zero_phase(b, a, v[:, 0]))
+def smoothed(df: DataFrame, by: list[str], order: list[str], x: str, cutoff: float, rate: float, degree: int = 4, high: bool = False, span: float | None = None) -> DataFrame:
+    """Zero-phase low- or high-pass; never across groups, and a group too short for it stays as it is. With ``span`` a
+    group is cut into chunks of so much of the first order column, so that it may be longer than a task holds."""
+    return _both_ways(df, by, order, x, *kernels.butterworth(degree, cutoff, rate, high), span)
+
+
+def _both_ways(df: DataFrame, by: list[str], order: list[str], x: str, b: np.ndarray, a: np.ndarray, span: float | None) -> DataFrame:
+    if span is None:
+        return per_group(df, by, order, [x], [f"{x}_filtered"], lambda v: kernels.zero_phase(b, a, v[:, 0]))
+    return scanned(df, by, order, x, f"{x}_filtered", System.of_filter(b, a), span, 3 * max(len(a), len(b)))
 
 
 def peaks(df: DataFrame, by: list[str], order: list[str], x: str, distance: int | None = None, prominence: float | None = None) -> DataFrame:
@@ -42,6 +50,17 @@ def peaks(df: DataFrame, by: list[str], order: list[str], x: str, distance: int
     return per_group(df, by, order, [x], ["is_peak"], kernel).withColumn("is_peak", F.col("is_peak") > 0)
 
 
+def peak_shapes(df: DataFrame, by: list[str], order: list[str], x: str, distance: int | None = None, prominence: float | None = None) -> DataFrame:
+    """The peaks alone, with their prominence and their width in samples at half of it."""
+    def kernel(v: np.ndarray) -> np.ndarray:
+        out, x = np.full((len(v), 2), np.nan), v[:, 0]
+        tops = kernels.find_peaks(x, distance, prominence)
+        out[tops] = np.column_stack([kernels.prominences(x, tops), kernels.widths(x, tops)])
+        return out
+
+    return per_group(df, by, order, [x], ["prominence", "width"], kernel).where(F.col("prominence").isNotNull() & ~F.isnan("prominence"))
+
+
 def oriented(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr: list[str], dt: float, method: str = "madgwick") -> DataFrame:
     """Adds the quaternion q_w, q_x, q_y, q_z of each sample."""
     f = {"madgwick": kernels.madgwick, "complementary": kernels.attitude}[method]
@@ -92,25 +111,32 @@ def gravity_frame(df: DataFrame, by: list[str], order: list[str], acc: list[str]
     return per_group(df, by, order, acc, ["a_vert", "a_horiz"], kernel)
 
 
-def banded(df: DataFrame, by: list[str], order: list[str], x: str, lo: float, hi: float, rate: float, degree: int = 4) -> DataFrame:
-    """Zero-phase band-pass of each group."""
-    b, a = kernels.bandpass(degree, lo, hi, rate)
-    return per_group(df, by, order, [x], [f"{x}_filtered"], lambda v: kernels.zero_phase(b, a, v[:, 0]))
+def banded(df: DataFrame, by: list[str], order: list[str], x: str, lo: float, hi: float, rate: float, degree: int = 4, span: float | None = None) -> DataFrame:
+    """Zero-phase band-pass of each group; ``span`` as for ``smoothed``."""
+    return _both_ways(df, by, order, x, *kernels.bandpass(degree, lo, hi, rate), span)
 
 
-def counted_peaks(df: DataFrame, by: list[str], order: list[str], x: str, wanted: int, distance: int, steps: int = 50) -> DataFrame:
-    """Adds is_peak: the peaks at the prominence that leaves nearest to ``wanted`` of them in each group."""
+def counted_peaks(df: DataFrame, by: list[str], order: list[str], x: str, wanted: int, distance: int, steps: int = 30, start: float = 0.9, floor: float = 0.45) -> DataFrame:
+    """Adds is_peak: about ``wanted`` peaks in each group, by a sweep of the least prominence over quantiles of the signal."""
     def kernel(v: np.ndarray) -> np.ndarray:
         out = np.zeros(len(v))
-        out[kernels.peaks_for_count(v[:, 0], wanted, distance, steps)] = 1
+        out[kernels.peaks_for_count(v[:, 0], wanted, distance, steps, start, floor)] = 1
         return out
 
     return per_group(df, by, order, [x], ["is_peak"], kernel).withColumn("is_peak", F.col("is_peak") > 0)
 
 
-def tilted(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr: list[str], dt: float, alpha: float = 0.98) -> DataFrame:
-    """Adds roll and pitch of each sample by a complementary filter that starts level."""
-    return per_group(df, by, order, [*acc, *gyr], ["roll", "pitch"], lambda v: kernels.tilt(v[:, :3], v[:, 3:], dt, alpha))
+def tilted(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr: list[str], dt: float, alpha: float = 0.98, span: float | None = None) -> DataFrame:
+    """Adds roll and pitch of each sample by a complementary filter that starts level; ``span`` as for ``smoothed``."""
+    if span is None:
+        return per_group(df, by, order, [*acc, *gyr], ["roll", "pitch"], lambda v: kernels.tilt(v[:, :3], v[:, 3:], dt, alpha))
+    x, y, z = (F.col(c) for c in acc)
+    seen = {"roll": F.atan2(y, z), "pitch": F.atan2(-x, norm(y, z))}
+    keep = list(dict.fromkeys([*by, *order, *acc, *gyr]))
+    rows = df.select(*keep, *[(alpha * F.col(g) * dt + (1 - alpha) * seen[c]).alias(f"__{c}") for c, g in zip(seen, gyr)])
+    leaky = System(np.array([[alpha]]), np.array([1.0]), np.array([alpha]), 1.0)
+    rows = scanned(rows, by, order, "__roll", "roll", leaky, span, carry=(*keep[len(by) :], "__pitch"))
+    return scanned(rows, by, order, "__pitch", "pitch", leaky, span, carry=(*keep[len(by) :], "roll")).select(*keep, "roll", "pitch")
 
 
 def synchrony(df: DataFrame, keys: list[str], x: str, y: str, rate: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions import columns as C
+from kinetrace.functions import kernels as N
 from kinetrace.operators import evaluation as E
 from kinetrace.operators import features as K
 from kinetrace.operators import joins as J
@@ -21,7 +22,9 @@ from kinetrace.operators import segment as S
 from kinetrace.operators import signal as G
 from kinetrace.operators import similarity as M
 from kinetrace.operators import windows as W
+from kinetrace.operators.recursion import System
 from kinetrace.plans.base import ITEMS, SAMPLES, items, micros, samples, table, windows_sql
+from kinetrace.plans.sql import WIDTHS, far_sql, filtered_query, peaks_sql, tilt_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -485,10 +488,17 @@ def cyclic_labels(spark, d):
 
 
 @query(f"WITH {SAMPLES} SELECT user_id, seq, x, row_number() OVER (PARTITION BY user_id ORDER BY x DESC, us, seq) AS rank FROM ev QUALIFY rank <= 5")
-def prominent_peaks(spark, d):
+def highest_samples(spark, d):
     return W.tallest(samples(spark, d), BY, "x", ORDER, 5).select("user_id", "seq", "x", "rank")
 
 
+@query(f"WITH {SAMPLES}, {peaks_sql()} SELECT pp.user_id, seq, x, round(prominence, 6) AS prominence, row_number() OVER (PARTITION BY pp.user_id ORDER BY round(prominence, 6) DESC, us, seq) AS rank FROM pp JOIN ev USING (user_id, i) QUALIFY rank <= 5")
+def prominent_peaks(spark, d):
+    """The five most prominent peaks of each recording; the rank is that of prominence, rows may be sorted by time again."""
+    p = G.peak_shapes(samples(spark, d), BY, ORDER, "x").withColumn("prominence", r6("prominence"))
+    return W.tallest(p, BY, "prominence", ORDER, 5).select("user_id", "seq", "x", "prominence", "rank")
+
+
 @query(f"""WITH {SAMPLES}, {windows_sql(20, 10)} SELECT user_id, window_id, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max, round(max(x) - min(x), 6) AS ptp, round(sqrt(avg(x * x)), 6) AS rms,
  round((avg(x*x*x) - 3*avg(x)*avg(x*x) + 2*pow(avg(x), 3)) / pow(stddev_pop(x), 3), 5) AS skew, round(kurtosis_pop(x), 5) AS kurt, min(us) AS t_first, max(us) AS t_last, (min(us) + max(us)) / 2 AS t_center FROM w GROUP BY ALL""")
 def sliding_features(spark, d):
@@ -905,9 +915,14 @@ def sliding_dominant_freq(spark, d):
     return f.select("user_id", "window_id", "dom_freq", F.round("dom_power", 5).alias("dom_power"), F.round("centroid", 5).alias("centroid"))
 
 
-@query()
+#: Recordings are filtered in chunks of a week.
+_CHUNK = 7 * 86_400_000_000
+_LOW, _HIGH, _BAND = N.butterworth(3, 8.0, 50.0), N.butterworth(4, 0.5, 50.0, True), N.bandpass(4, 1.0, 8.0, 50.0)
+
+
+@query(filtered_query(System.of_filter(*_LOW), 12))
 def butter_lowpass(spark, d):
-    return G.smoothed(samples(spark, d), BY, ORDER, "x", 8.0, 50.0, 3)
+    return G.smoothed(samples(spark, d), BY, ORDER, "x", 8.0, 50.0, 3, span=_CHUNK).select(*BY, *ORDER, "x", r6("x_filtered").alias("x_filtered"))
 
 
 @query(f"""WITH {SAMPLES}, s AS (SELECT *, CASE WHEN lag(x) OVER o = x THEN 0 ELSE 1 END AS st FROM ev {_W}), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY us, seq) AS run FROM s), l AS (SELECT user_id, run, min(x) AS level, (min(i) + max(i)) // 2 AS middle FROM r GROUP BY ALL),
@@ -917,33 +932,47 @@ def find_peaks(spark, d):
     return G.peaks(samples(spark, d), BY, ORDER, "x")
 
 
-@query()
+@query(f"WITH RECURSIVE {SAMPLES}, {peaks_sql()}, {far_sql(4)} SELECT ev.user_id, us, seq, x, coalesce(prominence >= 20.0, false) AS is_peak FROM ev LEFT JOIN far ON far.user_id = ev.user_id AND far.i = ev.i")
 def prominent_far_peaks(spark, d):
     return G.peaks(samples(spark, d), BY, ORDER, "x", distance=4, prominence=20.0)
 
 
-@query()
+@query(f"WITH RECURSIVE {SAMPLES}, {peaks_sql()}, {far_sql(3)}, {WIDTHS} SELECT far.user_id, us, seq, x, round(prominence, 6) AS prominence, round(width, 6) AS width FROM far JOIN wd USING (user_id, i) JOIN ev USING (user_id, i)")
+def peak_shapes(spark, d):
+    """Prominence and width of all peaks three samples apart."""
+    return G.peak_shapes(samples(spark, d), BY, ORDER, "x", 3).select(*BY, *ORDER, "x", r6("prominence").alias("prominence"), r6("width").alias("width"))
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, {peaks_sql()}, {far_sql(3)}, qs AS (SELECT unnest(range(0, 30)) AS step),
+qv AS (SELECT user_id, list(x ORDER BY x) AS xs FROM ev GROUP BY user_id),
+qc AS (SELECT user_id, step, (0.9 + step * ((0.45 - 0.9) / 29)) * (len(xs) - 1) AS pos, 0.25 * (len(xs) - 1) AS low, xs FROM qv, qs),
+qx AS (SELECT user_id, step, greatest(xs[CAST(floor(pos) AS INT) + 1] + (pos - floor(pos)) * (xs[CAST(ceil(pos) AS INT) + 1] - xs[CAST(floor(pos) AS INT) + 1]) - (xs[CAST(floor(low) AS INT) + 1] + (low - floor(low)) * (xs[CAST(ceil(low) AS INT) + 1] - xs[CAST(floor(low) AS INT) + 1])), 1e-9) AS least FROM qc),
+qn AS (SELECT q.user_id, q.step, q.least, count(*) FILTER (f.prominence >= q.least) AS n FROM qx q JOIN far f USING (user_id) GROUP BY ALL),
+qb AS (SELECT user_id, least FROM qn QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(n - 5), step) = 1),
+top AS (SELECT f.user_id, f.i FROM far f JOIN qb USING (user_id) WHERE f.prominence >= least QUALIFY row_number() OVER (PARTITION BY f.user_id ORDER BY f.prominence DESC, f.i DESC) <= 5)
+SELECT ev.user_id, us, seq, x, top.i IS NOT NULL AS is_peak FROM ev LEFT JOIN top ON top.user_id = ev.user_id AND top.i = ev.i""")
 def peaks_for_count(spark, d):
     return G.counted_peaks(samples(spark, d), BY, ORDER, "x", 5, 3)
 
 
-@query()
+@query(filtered_query(System.of_filter(*_HIGH), 15))
 def butter_highpass(spark, d):
-    return G.smoothed(samples(spark, d), BY, ORDER, "x", 0.5, 50.0, 4, high=True)
+    return G.smoothed(samples(spark, d), BY, ORDER, "x", 0.5, 50.0, 4, high=True, span=_CHUNK).select(*BY, *ORDER, "x", r6("x_filtered").alias("x_filtered"))
 
 
-@query()
+@query(filtered_query(System.of_filter(*_BAND), 27))
 def butter_bandpass(spark, d):
-    return G.banded(samples(spark, d), BY, ORDER, "x", 1.0, 8.0, 50.0)
+    return G.banded(samples(spark, d), BY, ORDER, "x", 1.0, 8.0, 50.0, span=_CHUNK).select(*BY, *ORDER, "x", r6("x_filtered").alias("x_filtered"))
 
 
 def _motion(spark, d):
     return samples(spark, d).withColumns({"z": F.lit(9.8), "g": F.col("y") / 100, "g2": F.col("y") / 200, "g3": -F.col("y") / 100})
 
 
-@query()
+@query(tilt_query(0.98, 0.02))
 def tilt_filter(spark, d):
-    return G.tilted(_motion(spark, d), BY, ORDER, ["x", "y", "z"], ["g", "g2", "g3"], 0.02)
+    t = G.tilted(_motion(spark, d), BY, ORDER, ["x", "y", "z"], ["g", "g2", "g3"], 0.02, span=_CHUNK)
+    return t.select(*BY, *ORDER, r6("roll").alias("roll"), r6("pitch").alias("pitch"))
 
 
 @query()
