@@ -122,11 +122,20 @@ def _first_at_most(x: np.ndarray, start: np.ndarray, level: np.ndarray) -> np.nd
     return at
 
 
+def _sides(x: np.ndarray, peaks: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _first_at_most(x, peaks, level), len(x) - 1 - _first_at_most(x[::-1], len(x) - 1 - peaks, level)
+
+
+def reaches(x: np.ndarray, peaks: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest samples on both sides of each peak that are at most its level; the ends of the signal where none is."""
+    left, right = _sides(x, peaks, level)
+    return np.maximum(left, 0), np.minimum(right, len(x) - 1)
+
+
 def crossings(x: np.ndarray, peaks: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places on both sides of each peak where the signal has come down to its level, between samples by a straight
     line; the ends of the signal where it never does."""
-    left = _first_at_most(x, peaks, level)
-    right = len(x) - 1 - _first_at_most(x[::-1], len(x) - 1 - peaks, level)
+    left, right = _sides(x, peaks, level)
 
     def between(low: np.ndarray, inner: np.ndarray, none: np.ndarray) -> np.ndarray:
         some = (low >= 0) & (low < len(x))

@@ -168,11 +168,26 @@ def repetition_fold(discrete: Column, repetition: Column, key: Column) -> Column
     return F.when(discrete, F.pmod(F.coalesce(repetition, F.lit(0)), F.lit(2)).cast("int")).otherwise(fold(key, 2))
 
 
+def _smallest(df: DataFrame, h: str, wanted: int) -> tuple[int, int]:
+    """(value, rest) of a column of longs: all rows below the value and ``rest`` of those at it are the ``wanted`` smallest.
+    Four passes, each over the counts of at most 65,536 ranges."""
+    at, rest = 0, wanted
+    for bits in (48, 32, 16, 0):
+        rows = df if bits == 48 else df.where(F.shiftright(h, bits + 16) == at)
+        for r in rows.groupBy(F.shiftright(h, bits).alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect():
+            if r["n"] >= rest:
+                at = r["range"]
+                break
+            rest -= r["n"]
+    return at, rest
+
+
 def undersampled(df: DataFrame, label: str, none: str, key: str, ratio: float = 1.5) -> DataFrame:
-    """Keeps at most ``ratio`` times the largest other class of the class ``none``: the rows with the smallest hashes
-    of the key, rows of one key in any order. All other rows stay, null labels among them.
+    """Keeps exactly ``ratio`` times the largest other class of the class ``none``, rounded down, or all of it if it has no more:
+    the rows with the smallest hashes of the key and all columns. All other rows stay, null labels among them.
 
-    A hash under the wanted share and a margin picks few more rows than needed; only those are sorted.
+    Rows that repeat have one hash. Where the last of those kept repeats, one copy is multiplied to the number that
+    stays, so neither their sort nor their rows go through one task.
     """
     one = F.col(label).eqNullSafe(F.lit(none))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.when(~one & F.col(label).isNotNull(), F.col("n"))).alias("most"), F.max(F.when(one, F.col("n"))).alias("of")).first()
@@ -180,10 +195,16 @@ def undersampled(df: DataFrame, label: str, none: str, key: str, ratio: float =
     rest, mine = df.where(~one), df.where(one)
     if there <= cut:
         return df
-    hashed = mine.withColumn("__h", F.xxhash64(F.col(key).cast("string")))
-    share = min(1.0, (cut + 6 * cut**0.5 + 50) / there)
-    few = hashed.where(F.col("__h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
-    return rest.unionByName(few.orderBy("__h", key).limit(cut).drop("__h"))
+    if not cut:
+        return rest
+    hashed = mine.withColumn("__h", F.xxhash64(F.col(key).cast("string"), *df.columns))
+    last, left = _smallest(hashed, "__h", cut)
+    same = hashed.where(F.col("__h") == last).groupBy(F.to_json(F.struct(*df.columns)).alias("__row")).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*df.columns)).alias("__one"))
+    so_far = F.sum("__n").over(Window.orderBy("__row"))  # rows that differ and share a hash of 64 bits: one, as good as always
+    taken = same.withColumn("__take", F.least(F.col("__n"), F.lit(left) - so_far + F.col("__n"))).where("__take > 0")
+    blocks = taken.select("__one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__take") - 1, F.lit(10_000).cast("long"))).alias("__from"), "__take").repartition("__from")
+    copies = blocks.select("__one.*", F.explode(F.sequence("__from", F.least(F.col("__take"), F.col("__from") + 10_000) - 1)).alias("__k")).drop("__k")
+    return rest.unionByName(hashed.where(F.col("__h") < last).drop("__h")).unionByName(copies)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -145,11 +145,14 @@ def selected(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 
 
 def peak_confidence(df: DataFrame, peaks: DataFrame, by: list[str], i: str, x: str, margin: int) -> DataFrame:
-    """Height of each peak (…, place) over the median around it, in standard deviations, 0 at least."""
-    p = peaks.select(*[F.col(c).alias(f"__{c}") for c in by], "place")
-    near = df.join(p, [*[F.col(c) == F.col(f"__{c}") for c in by], F.col(i).between(F.col("place") - margin, F.col("place") + margin)])
-    g = near.groupBy(*by, "place").agg(F.max(F.when(F.col(i) == F.col("place"), F.col(x))).alias("top"), F.percentile(x, 0.5).alias("m"), F.stddev_pop(x).alias("s"))
-    return g.select(*by, "place", F.when(F.col("s") > TINY, F.greatest(F.lit(0.0), (F.col("top") - F.col("m")) / F.col("s"))).otherwise(0.0).alias("confidence"))
+    """Height of each peak (…, place) over the median around it, in standard deviations, 0 at least. What is around a
+    sample is a window frame, so samples and peaks meet by place alone."""
+    around = over(by, [i]).rangeBetween(-margin, margin)
+    rows = df.select(*by, F.col(i).alias("place"), F.col(x).alias("__x"), F.collect_list(x).over(around).alias("__near"), F.stddev_pop(x).over(around).alias("__s"))
+    near = rows.join(peaks.select(*by, "place"), [*by, "place"])
+    n, sorted_ = F.size("__near"), F.array_sort("__near")
+    middle = (F.element_at(sorted_, F.floor((n + 1) / 2).cast("int")) + F.element_at(sorted_, F.floor((n + 2) / 2).cast("int"))) / 2
+    return near.select(*by, "place", F.when(F.col("__s") > TINY, F.greatest(F.lit(0.0), (F.col("__x") - middle) / F.col("__s"))).otherwise(0.0).alias("confidence"))
 
 
 def pose_motion(df: DataFrame, by: list[str], order: list[str], rate: float, shoulder: str = "right_shoulder", elbow: str = "right_elbow", wrist: str = "right_wrist", other: str = "left_wrist") -> DataFrame:
@@ -176,10 +179,40 @@ def release_candidates(df: DataFrame, by: list[str], order: list[str], rate: flo
     return sure.join(rows.withColumnRenamed("i", "place"), [*by, "place"]).withColumn("event", named).select(*by, "event", "place", *order, "score", "confidence")
 
 
-def physically_doubtful(df: DataFrame, peak: str, width: str, vertical: str, pitch_range: str) -> Column:
-    """Reasons why a segment cannot be what its label says, joined by a comma; empty for a sound one."""
-    checks = {"wide peak": F.col(width) > 0.3, "not vertical": F.col(vertical) < 0.5, "little pitch": F.col(pitch_range) < 30, "weak peak": F.col(peak) < 2.0}
-    return F.concat_ws(",", *[F.when(c, F.lit(name)) for name, c in checks.items()])
+def validated(df: DataFrame, keys: list[str], order: list[str], label: str, impact: str, across: str, pitch: str, upward: str, rate: float,
+              narrow: float = 0.1, factor: float = 3.0, least_pitch: float = 30.0, least_peak: float = 2.0) -> DataFrame:
+    """(keys, label, peaks, narrow, upright, pitch_range, vertical_peak, suspicious, reason) of each segment, given by its rows.
+
+    A dribble must have an impact: a peak of the high-passed vertical acceleration, prominent by ``factor`` times
+    its mean, that is down to that level within ``narrow`` seconds, and one where it passes the acceleration across.
+    A shot must change its pitch by ``least_pitch`` degrees and reach ``least_peak`` upwards; where there is no pitch
+    the reason says so without suspicion. Other labels pass. Null samples are left out; without any a segment is
+    empty. A segment is one action and short; they go through in batches.
+    """
+    rows = df.groupBy(*keys).agg(F.first(label).alias(label), F.array_sort(F.collect_list(F.when(F.col(impact).isNotNull(), F.struct(*order, impact, across)))).alias("__s"), (F.max(pitch) - F.min(pitch)).alias("pitch_range"), F.max(upward).alias("vertical_peak"))
+    rows = rows.select(*keys, label, "pitch_range", "vertical_peak", F.transform("__s", lambda s: F.abs(s[impact].cast("double"))).alias("__v"), F.transform("__s", lambda s: s[across].cast("double")).alias("__h"))
+
+    def shape(v: np.ndarray, h: np.ndarray) -> tuple[int, bool, bool]:
+        if not len(v):
+            return 0, False, False
+        level = max(factor * v.mean(), 1e-6)
+        tops = kernels.find_peaks(v, max(1, int(rate * 0.05)), level)
+        left, right = kernels.reaches(v, tops, np.full(len(tops), level))
+        return len(tops), bool(((right - left) / rate < narrow).any()), bool((v[tops] > h[tops]).any())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [shape(np.asarray(v, float), np.asarray(h, float)) for v, h in zip(pdf["__v"], pdf["__h"])]
+            yield pdf[[*keys, label, "pitch_range", "vertical_peak"]].assign(peaks=[g[0] for g in got], narrow=[g[1] for g in got], upright=[g[2] for g in got], empty=[not len(v) for v in pdf["__v"]])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, label, "pitch_range", "vertical_peak"))
+    out = rows.mapInPandas(run, f"{kinds}, peaks int, narrow boolean, upright boolean, empty boolean")
+    dribble, shot = F.col(label) == "dribble", F.col(label) == "shot"
+    reason = (
+        F.when((dribble & F.col("empty")) | (shot & F.col("pitch_range").isNull()), "empty").when(dribble & ~F.col("narrow"), "no narrow impact").when(dribble & ~F.col("upright"), "not vertical")
+        .when(shot & (F.col("pitch_range") < 0.01), "no pitch").when(shot & (F.col("pitch_range") < least_pitch), "little pitch").when(shot & (F.coalesce("vertical_peak", F.lit(0.0)) < least_peak), "weak peak").otherwise("")
+    )
+    return out.withColumn("reason", reason).withColumn("suspicious", ~F.col("reason").isin("", "no pitch")).drop("empty")
 
 
 def recentred(x: Column, y: Column, z: Column, root: tuple[Column, Column, Column], torso: Column, height: float = 1.75) -> tuple[Column, Column, Column]:

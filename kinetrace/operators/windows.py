@@ -5,9 +5,15 @@ Every operator takes the partition columns and a total order, since a table has
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kinetrace.functions import kernels
+
 
 def over(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -153,3 +159,62 @@ def alternate(df: DataFrame, by: list[str], order: list[str], names: list[str])
 def tallest(df: DataFrame, by: list[str], score: str, order: list[str], keep: int) -> DataFrame:
     """The ``keep`` rows of highest score in each partition, ties in order."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *order)).cast("long")).where(F.col("rank") <= keep)
+
+
+def event_segments(df: DataFrame, by: list[str], order: list[str], label: str, none: str = "null") -> DataFrame:
+    """Rows of the maximal runs of one label, with segment, their number in the recording; runs of ``none`` are no events,
+    nor is one whose label the event before it had."""
+    rows = runs(df.withColumn(label, F.coalesce(label, F.lit(none))), by, order, label).where(F.col(label) != none)
+    firsts = rows.groupBy(*by, "run").agg(F.first(label).alias("__label"))
+    again = F.col("__label").eqNullSafe(F.lag("__label").over(Window.partitionBy(*by).orderBy("run")))
+    kept = firsts.withColumn("__again", again).where("NOT __again").select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("run").alias("segment"))
+    return rows.join(kept, [*[F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("run") == F.col("segment")]).drop("run", *[f"__by_{c}" for c in by])
+
+
+def event_anchors(segments: DataFrame, by: list[str], i: str, x: str, label: str, apart: int = 5, spread: float = 1.5) -> DataFrame:
+    """(…, segment, label, anchor, kind) of each event: the place of its tallest peak that is prominent by ``spread``
+    standard deviations, else of its centre of energy, else, without energy, of its middle. A segment is one event
+    and short; they go through in batches."""
+    rows = segments.groupBy(*by, "segment").agg(F.first(label).alias(label), F.array_sort(F.collect_list(F.struct(i, x))).alias("__s"))
+    rows = rows.select(*by, "segment", label, F.transform("__s", lambda s: s[i]).alias("__i"), F.transform("__s", lambda s: s[x].cast("double")).alias("__x"))
+
+    def place(x: np.ndarray) -> tuple[int, str]:
+        tops = kernels.find_peaks(x, apart, spread * x.std())
+        energy = x**2
+        if len(tops):
+            return int(tops[np.argmax(x[tops])]), "peak"
+        if energy.sum() < 1e-12:
+            return len(x) // 2, "middle"
+        return min(int((np.arange(len(x)) * energy).sum() / energy.sum()), len(x) - 1), "centroid"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [place(np.asarray(x, float)) for x in pdf["__x"]]
+            yield pdf[[*by, "segment", label]].assign(anchor=[int(places[k]) for places, (k, _) in zip(pdf["__i"], got)], kind=[k for _, k in got])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*by, "segment", label))
+    return rows.mapInPandas(run, f"{kinds}, anchor long, kind string")
+
+
+def cut(df: DataFrame, centres: DataFrame, by: list[str], order: list[str], columns: list[str], before: int, after: int, size: int, borders: str = "clip", least: int = 1) -> DataFrame:
+    """The columns of ``centres`` (…, center, a place in the recording counted from 0) with k, from 0 to size - 1, and the
+    ``columns`` of the k-th sample of the window [center - before, center + after); what lies beyond it is 0.
+
+    Borders ``clip`` cuts the window at the ends of the recording, ``shift`` moves it inside as far as it fits,
+    ``drop`` leaves it out. Windows of fewer samples than ``least`` are left out too. A window is spread over its
+    scaffold of ``size`` rows and meets the samples by their place: an equi-join, not one of ranges.
+    """
+    rows = indexed(df, by, order, "__i").select(*[F.col(c).alias(f"__by_{c}") for c in by], "__i", *[F.col(c).alias(f"__x_{c}") for c in columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    sizes = rows.groupBy(*[f"__by_{c}" for c in by]).agg(F.count(F.lit(1)).alias("__n"))
+    placed = centres.join(sizes, same).drop(*[f"__by_{c}" for c in by]).withColumns({"__a": F.col("center") - before, "__b": F.col("center") + after})
+    if borders == "drop":
+        placed = placed.where("__a >= 0 AND __b <= __n")
+    a, b = F.greatest(F.lit(0), F.col("__a")), F.least(F.col("__n"), F.col("__b"))
+    if borders == "shift":
+        length = before + after
+        a, b = F.greatest(F.lit(0), F.least(a, F.col("__n") - length)), F.least(F.col("__n"), F.greatest(b, F.lit(length)))
+    placed = placed.withColumns({"__a": a.cast("long"), "__b": F.least(b, a + size).cast("long")}).where(F.col("__b") - F.col("__a") >= least)
+    scaffold = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("__at", F.when(F.col("__a") + F.col("k") < F.col("__b"), F.col("__a") + F.col("k")))
+    joined = scaffold.join(rows, [*same, F.col("__at") == F.col("__i")], "left")
+    return joined.select(*centres.columns, "k", *[F.coalesce(F.col(f"__x_{c}"), F.lit(0.0)).alias(c) for c in columns])

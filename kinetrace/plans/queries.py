@@ -12,6 +12,7 @@ from kinetrace.functions import kernels as N
 from kinetrace.operators import evaluation as E
 from kinetrace.operators import features as K
 from kinetrace.operators import joins as J
+from kinetrace.operators import kernel_machine as H
 from kinetrace.operators import learning as L
 from kinetrace.operators import quality as Q
 from kinetrace.operators import rejection as X
@@ -537,6 +538,87 @@ def padded_windows(spark, d):
     return W.padded(s, ["user_id", "w"], "i", "x", 60).join(n, ["user_id", "w"]).select("user_id", "w", "used", F.size("samples").alias("size"), r6(total).alias("weighted"))
 
 
+#: A second view of the samples as events: the channel y names them, places count in samples.
+_NAMED = f"""{SAMPLES}, nm AS (SELECT *, CASE WHEN y < 30 THEN 'null' WHEN y < 65 THEN 'pass' ELSE 'shot' END AS event, count(*) OVER (PARTITION BY user_id) AS n FROM ev),
+rn AS (SELECT *, sum(CASE WHEN event = before THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us, seq) AS run FROM (SELECT *, lag(event) OVER (PARTITION BY user_id ORDER BY us, seq) AS before FROM nm)),
+sf AS (SELECT user_id, run, event, lag(event) OVER (PARTITION BY user_id ORDER BY run) AS last FROM (SELECT user_id, run, any_value(event) AS event FROM rn WHERE event <> 'null' GROUP BY ALL)),
+sg AS (SELECT rn.user_id AS u, rn.run, rn.user_id * 1000000 + rn.run AS user_id, i AS place, i - min(i) OVER (PARTITION BY rn.user_id, rn.run) AS i, x, n, rn.event FROM rn JOIN sf ON rn.user_id = sf.user_id AND rn.run = sf.run AND sf.last IS DISTINCT FROM sf.event)"""
+_ANCHORS = f"""{_NAMED}, {peaks_sql("sg")}, {far_sql(5)}, sd AS (SELECT user_id, any_value(u) AS u, any_value(run) AS segment, any_value(event) AS event, min(place) AS first, count(*) AS m, stddev_pop(x) AS sd, sum(x * x) AS energy, sum(i * x * x) AS moment, any_value(n) AS n FROM sg GROUP BY user_id),
+tp AS (SELECT f.user_id, arg_min(f.i, {{'v': -f.v, 'i': f.i}}) AS i FROM far f JOIN sd USING (user_id) WHERE f.prominence >= 1.5 * sd GROUP BY f.user_id),
+an AS (SELECT sd.u, segment, event, n, first + CASE WHEN tp.i IS NOT NULL THEN tp.i WHEN energy < 1e-12 THEN m // 2 ELSE least(CAST(floor(moment / energy) AS BIGINT), m - 1) END AS anchor,
+ CASE WHEN tp.i IS NOT NULL THEN 'peak' WHEN energy < 1e-12 THEN 'middle' ELSE 'centroid' END AS kind FROM sd LEFT JOIN tp USING (user_id))"""
+
+
+def _cut_sql(windows: str, size: int, least: int = 1) -> str:
+    """Sums over the windows [a, b) of view ``windows``, which are cut to ``size``."""
+    return f"""SELECT w.* EXCLUDE (a, b, n), least(b - a, {size}) AS used, round(coalesce(sum(ev.x * (ev.i - a + 1)), 0), 6) AS weighted FROM {windows} w JOIN ev ON ev.user_id = w.user_id AND ev.i >= a AND ev.i < least(b, a + {size}) WHERE b - a >= {least} GROUP BY ALL"""
+
+
+def _anchors(spark, d):
+    s = samples(spark, d).withColumn("event", F.when(F.col("y") < 30, "null").when(F.col("y") < 65, "pass").otherwise("shot"))
+    return s, W.event_anchors(W.event_segments(s, BY, ORDER, "event"), BY, "i", "x", "event")
+
+
+def _weighted(rows: DataFrame, keys: list[str], used: Callable) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum(used).cast("long").alias("used"), r6(F.sum(F.col("x") * (F.col("k") + 1))).alias("weighted"))
+
+
+@query(f"""WITH RECURSIVE {_ANCHORS}, os AS (SELECT unnest([0, 5, -10]) AS shift), w AS (SELECT u AS user_id, segment, event, kind, anchor, shift, greatest(0, anchor + shift - 25) AS a, least(n, anchor + shift + 35) AS b, n FROM an, os) {_cut_sql("w", 60, 30)}""")
+def event_windows(spark, d):
+    """60 samples round the anchor of each event, and two shifts of them; cut at the borders, filled with zeros."""
+    s, a = _anchors(spark, d)
+    centres = a.withColumn("shift", F.explode(F.array(*[F.lit(k) for k in (0, 5, -10)]))).withColumn("center", F.col("anchor") + F.col("shift"))
+    rows = W.cut(s.withColumn("one", F.lit(1.0)), centres, BY, ORDER, ["x", "one"], 25, 35, 60, least=30)
+    return _weighted(rows, ["user_id", "segment", "event", "kind", "anchor", "shift"], F.col("one"))
+
+
+_PEAK = f"pk1 AS (SELECT user_id, i AS center, n FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ev) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY x DESC, us, seq) = 1)"
+
+
+def _tallest(spark, d):
+    s = samples(spark, d).withColumn("one", F.lit(1.0))
+    return s, W.tallest(s, BY, "x", ORDER, 1).select("user_id", F.col("i").alias("center"))
+
+
+@query(f"""WITH {SAMPLES}, {_PEAK}, w AS (SELECT user_id, center, n, greatest(0, least(greatest(0, center - 20), n - 50)) AS a, least(n, greatest(least(n, center + 30), 50)) AS b FROM pk1) {_cut_sql("w", 50)}""")
+def shifted_windows(spark, d):
+    """50 samples round the highest one, moved inside at the borders."""
+    s, c = _tallest(spark, d)
+    return _weighted(W.cut(s, c, BY, ORDER, ["x", "one"], 20, 30, 50, "shift"), ["user_id", "center"], F.col("one"))
+
+
+@query(f"""WITH {SAMPLES}, {_PEAK}, w AS (SELECT user_id, center, n, center - 16 AS a, center + 19 AS b FROM pk1 WHERE center >= 16 AND center + 19 <= n) {_cut_sql("w", 35)}""")
+def inclusive_windows(spark, d):
+    """16 samples before the highest one to 18 after it, both ends included; none where a border is in the way."""
+    s, c = _tallest(spark, d)
+    return _weighted(W.cut(s, c, BY, ORDER, ["x", "one"], 16, 19, 35, "drop"), ["user_id", "center"], F.col("one"))
+
+
+#: Segments of 16 samples with what the physical check looks at.
+_CHECKED = f"""{SAMPLES}, sg AS (SELECT user_id AS u, i // 16 AS segment, user_id * 1000000 + i // 16 AS user_id, i % 16 AS i, abs(x - 30) AS x, y AS h, y AS pitch, x / 50 AS up, CASE WHEN (user_id + i // 16) % 2 = 0 THEN 'dribble' ELSE 'shot' END AS label FROM ev)"""
+
+
+@query(f"""WITH RECURSIVE {_CHECKED}, {peaks_sql("sg")}, {far_sql(2)}, lv AS (SELECT user_id, any_value(u) AS u, any_value(segment) AS segment, any_value(label) AS label, greatest(1.5 * avg(x), 1e-6) AS level, max(pitch) - min(pitch) AS pitch_range, max(up) AS vertical_peak, count(*) AS m FROM sg GROUP BY user_id),
+ft AS (SELECT f.user_id, f.i, f.v, level FROM far f JOIN lv USING (user_id) WHERE f.prominence >= level),
+rc AS (SELECT t.user_id, t.i, any_value(t.v) AS v, coalesce(max(s.i) FILTER (s.i < t.i AND s.x <= level), 0) AS l, coalesce(min(s.i) FILTER (s.i > t.i AND s.x <= level), max(s.i)) AS r, any_value(s.h) FILTER (s.i = t.i) AS h FROM ft t JOIN sg s USING (user_id) GROUP BY ALL),
+sh AS (SELECT user_id, count(*) AS peaks, bool_or((r - l) / 50.0 < 0.05) AS narrow, bool_or(v > h) AS upright FROM rc GROUP BY user_id),
+al AS (SELECT u AS user_id, segment, label, pitch_range, vertical_peak, coalesce(peaks, 0) AS peaks, coalesce(narrow, false) AS narrow, coalesce(upright, false) AS upright FROM lv LEFT JOIN sh ON sh.user_id = lv.user_id),
+rs AS (SELECT *, CASE WHEN label = 'dribble' AND NOT narrow THEN 'no narrow impact' WHEN label = 'dribble' AND NOT upright THEN 'not vertical' WHEN label = 'shot' AND pitch_range < 0.01 THEN 'no pitch' WHEN label = 'shot' AND pitch_range < 80 THEN 'little pitch' WHEN label = 'shot' AND vertical_peak < 2.0 THEN 'weak peak' ELSE '' END AS reason FROM al)
+SELECT user_id, segment, label, round(pitch_range, 6) AS pitch_range, round(vertical_peak, 6) AS vertical_peak, peaks, narrow, upright, reason, reason NOT IN ('', 'no pitch') AS suspicious FROM rs""")
+def physical_check(spark, d):
+    """Whether segments can be the dribble or shot that they are said to be, and why not."""
+    s = samples(spark, d).withColumns({"segment": F.floor(F.col("i") / 16), "v": F.col("x") - 30, "up": F.col("x") / 50})
+    s = s.withColumn("label", F.when((F.col("user_id") + F.col("segment")) % 2 == 0, "dribble").otherwise("shot"))
+    c = K.validated(s, ["user_id", "segment"], ORDER, "label", "v", "y", "y", "up", 50.0, 0.05, 1.5, 80.0, 2.0)
+    return c.withColumns({n: r6(F.col(n)) for n in ("pitch_range", "vertical_peak")})
+
+
+@query(f"WITH {SAMPLES}, c AS (SELECT label, count(*) AS n FROM ev GROUP BY label), k AS (SELECT CAST(floor(1.5 * (SELECT max(n) FROM c WHERE label <> 'unknown')) AS BIGINT) AS most) SELECT label, CASE WHEN label = 'unknown' THEN least(n, most) ELSE n END AS n FROM c, k")
+def undersampled_counts(spark, d):
+    """Rows of each class when the unknown ones are cut to half more than the largest other class."""
+    return E.undersampled(samples(spark, d), "label", "unknown", "user_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- resampling
 
 _GRID = f"""{SAMPLES}, s AS (SELECT user_id, us, x FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, us ORDER BY seq) = 1), b AS (SELECT user_id, min(us) AS lo, max(us) AS hi FROM s GROUP BY user_id),
@@ -1064,5 +1146,27 @@ def rf_classify(spark, d):
     return model.transform(f.where(E.fold(F.col("user_id"), 4) == 0)).select("user_id", "window_id", "label", F.col("prediction").alias("predicted"))
 
 
+_COSTS, _GAMMAS = [0.1, 1.0, 10.0], [0.002, 0.01, 0.05]
+
+
+def _vectors(spark, d):
+    return H.prepared(table(spark, d, "embeddings"), "embedding", "label", "vec_id", 5)
+
+
+@query()
+def kernel_machine_grid(spark, d):
+    """How many vectors of each fold are named rightly by machines fitted on the others, for each cost and kernel width."""
+    rows = _vectors(spark, d)
+    return H.scored_grid(rows, H.fit_grid(rows, _COSTS, _GAMMAS, 100))
+
+
+@query()
+def kernel_machine(spark, d):
+    """Class and probability of every vector by the machine of one cell."""
+    rows = _vectors(spark, d)
+    grid = H.fit_grid(rows, [1.0], [0.01], 100)
+    return H.classified(rows, grid, H.machine(rows, grid, 0.01, 1.0), 0.01).select("id", "label", "predicted", r6("probability").alias("probability"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
