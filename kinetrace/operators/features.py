@@ -70,25 +70,61 @@ def between_nodes(c: dict[str, np.ndarray], rate: float) -> dict[str, float]:
     return out
 
 
-def full_features(df: DataFrame, keys: list[str], channels: str, rate: float) -> DataFrame:
-    """(keys, feature, value): all features of windows whose channels are a map of name to samples. Values that
-    are not finite become 0. Long form keeps thousands of columns out of the plan; pivot what is selected."""
+def correlations(x: np.ndarray) -> np.ndarray:
+    """[windows, channels, channels] of windows [windows, channels, samples]; 0 with a constant channel."""
+    c = x - x.mean(2, keepdims=True)
+    size = np.sqrt((c**2).sum(2, keepdims=True))
+    z = np.divide(c, size, out=np.zeros_like(c), where=size > 1e-9)
+    return np.einsum("wcn,wdn->wcd", z, z)
+
+
+def _batch_features(x: np.ndarray, names: tuple[str, ...], rate: float, pairs: bool) -> dict[str, np.ndarray]:
+    """All features of windows [windows, channels, samples], each over all windows."""
+    w, k, n = x.shape
+    at = {c: i for i, c in enumerate(names)}
+    out = {f"{c}_{f}": v.reshape(w, k)[:, i] for f, v in time_and_frequency(x.reshape(-1, n), rate).items() for i, c in enumerate(names)}
+    for node in NODES:
+        if all(f"{g}_{node}" in at for g in ("gx", "gy", "gz")):
+            turning = x[:, [at[f"{g}_{node}"] for g in ("gx", "gy", "gz")]]
+            each = [rotation_shares(*t) for t in turning]
+            out |= {f"rotation_{f}_{node}": np.array([e[f] for e in each]) for f in each[0]}
+    if all(f"a_mag_{node}" in at for node in NODES):
+        each = [between_nodes(dict(zip(names, one)), rate) for one in x]
+        out |= {f: np.array([e[f] for e in each]) for f in each[0]}
+    if pairs:
+        r, rms = correlations(x), np.sqrt((x**2).mean(2))
+        for i in range(k):
+            for j in range(i + 1, k):
+                out[f"corr_{names[i]}_{names[j]}"] = r[:, i, j]
+                channel, other = names[i].rpartition("_"), names[j].rpartition("_")
+                if channel[0] == other[0]:
+                    out[f"ratio_{names[i]}_{names[j]}"] = rms[:, i] / (rms[:, j] + TINY)
+    return out
+
+
+def full_features(df: DataFrame, keys: list[str], channels: str, rate: float, pairs: bool = False) -> DataFrame:
+    """(keys, feature, value): all features of windows whose channels are a map of name to samples, with ``pairs`` the
+    correlation of any two channels too, and the ratio of the same channel at two nodes. Values that are not finite
+    become 0. Long form keeps thousands of columns out of the plan; pivot what is selected. Windows with the same
+    channels and length go through together."""
     kinds = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "feature string, value double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                c = {k: np.asarray(v, float) for k, v in getattr(row, channels).items()}
-                names = sorted(c)
-                base = time_and_frequency(np.stack([c[n] for n in names]), rate)
-                got = {f"{n}_{f}": float(v[i]) for f, v in base.items() for i, n in enumerate(names)}
-                for n in NODES:
-                    if all(f"{g}_{n}" in c for g in ("gx", "gy", "gz")):
-                        got |= {f"rotation_{k}_{n}": v for k, v in rotation_shares(*(c[f"{g}_{n}"] for g in ("gx", "gy", "gz"))).items()}
-                if all(f"a_mag_{n}" in c for n in NODES):
-                    got |= between_nodes(c, rate)
-                value = np.nan_to_num(np.array(list(got.values()), float), nan=0.0, posinf=0.0, neginf=0.0)
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, "feature": list(got), "value": value})
+            maps = [{k: np.asarray(v, float) for k, v in m.items()} for m in pdf[channels]]
+            alike: dict[tuple, list[int]] = {}
+            for i, m in enumerate(maps):
+                names = tuple(sorted(m))
+                if names:
+                    alike.setdefault((names, *{len(v) for v in m.values()}), []).append(i)
+            for (names, *length), rows in alike.items():
+                if len(length) != 1:
+                    raise ValueError(f"channels of one window differ in length: {sorted(length)}")
+                for some in (rows[k : k + 256] for k in range(0, len(rows), 256)):
+                    got = _batch_features(np.stack([[maps[i][c] for c in names] for i in some]), names, rate, pairs)
+                    value = np.nan_to_num(np.stack(list(got.values()), 1).astype(float), nan=0.0, posinf=0.0, neginf=0.0)
+                    part = pdf[keys].iloc[np.repeat(some, len(got))].reset_index(drop=True)
+                    yield part.assign(feature=list(got) * len(some), value=value.ravel())
 
     return df.select(*keys, channels).mapInPandas(run, kinds)
 
@@ -133,7 +169,7 @@ def best_lag(df: DataFrame, keys: list[str], x: str, y: str, most: int, name: st
                 a, b = ((v - v.mean(1, keepdims=True)) / (v.std(1, keepdims=True) + 1e-9) for v in (a, b))
                 lags = np.arange(-min(most, n - 1), min(most, n - 1) + 1)
                 c = np.stack([(a[:, max(0, k) : n + min(0, k)] * b[:, max(0, -k) : n - max(0, k)]).sum(1) / n for k in lags], 1)
-                best = c.argmax(1)
+                best = c.round(9).argmax(1)  # sums in another order differ in their last bits
                 yield part[keys].assign(**{f"{name}_lag": lags[best].astype("int32"), f"{name}_corr": c[np.arange(len(c)), best]})
 
     return df.where(F.size(x) > 0).select(*keys, x, y).mapInPandas(run, kinds)

@@ -8,6 +8,33 @@ from pyspark.sql import functions as F
 from kinetrace.functions.columns import correlation
 
 
+def exact_quantile(df: DataFrame, by: list[str], x: str, p: float, name: str = "quantile") -> DataFrame:
+    """(by, name): the quantile of each group, between two values by a straight line; nulls are left out.
+
+    No task gathers a group: equal values count as one row, a group's values are cut into some hundred ranges at
+    approximate quantiles, counts of ranges tell which hold the two places, and only those ranges are sorted.
+    """
+    by = by or ["__all"]
+    rows = df.withColumn("__all", F.lit(0)) if by == ["__all"] else df
+    one = rows.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("__m"))
+    edges = one.groupBy(*by).agg(F.percentile_approx("__x", [k / 100 for k in range(1, 100)], 1000).alias("__edges")).select(*[F.col(c).alias(f"__by_{c}") for c in by], "__edges")
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    cut = one.join(edges, same).select(*by, "__x", "__m", F.size(F.filter("__edges", lambda e: e <= F.col("__x"))).alias("__range"))
+    counts = cut.groupBy(*by, "__range").agg(F.sum("__m").alias("__n"))
+    group = Window.partitionBy(*by)
+    place = F.lit(float(p)) * (F.sum("__n").over(group) - 1)
+    placed = counts.withColumns({"__before": F.sum("__n").over(group.orderBy("__range")) - F.col("__n"), "__lo": F.floor(place), "__hi": F.ceil(place), "__part": place - F.floor(place)})
+    holds = lambda k: (F.col("__before") <= F.col(k)) & (F.col(k) < F.col("__before") + F.col("__n"))
+    wanted = placed.where(holds("__lo") | holds("__hi")).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__range").alias("__at"), "__before", "__lo", "__hi", "__part")
+    found = cut.join(wanted, [*same, F.col("__range") == F.col("__at")])
+    after = F.col("__before") + F.sum("__m").over(Window.partitionBy(*by, "__range").orderBy("__x"))
+    found = found.withColumn("__after", after)
+    value = lambda k: F.min(F.when(F.col("__after") > F.col(k), F.col("__x")))
+    out = found.groupBy(*by).agg(value("__lo").alias("__a"), value("__hi").alias("__b"), F.first("__part").alias("__part"))
+    out = out.withColumn(name, F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part"))
+    return out.select(*[c for c in by if c != "__all"], name)
+
+
 def packet_loss(df: DataFrame, by: list[str], seq: str, t: str, saturated: Column | None = None) -> DataFrame:
     """Rows, duration, median period and rate, share of sequence numbers that never came, saturated rows."""
     dt = F.col(t) - F.lag(t).over(Window.partitionBy(*by).orderBy(t, seq))
@@ -44,6 +71,15 @@ def baseline(df: DataFrame, by: list[str], t: str, acc: Column, seconds: float,
     return out.withColumn("status", F.when(F.abs(F.col("mean_norm") - gravity) <= tolerance, "static").when(F.col("std_norm") <= tolerance, "offset").otherwise("moving"))
 
 
+def static_check(df: DataFrame, by: list[str], acc: str, vertical: str, gyr: str, gravity: float = 9.80665, near: float = 1.0, turning: float = 0.5) -> DataFrame:
+    """Mean and sample deviation of the norms of acceleration and rotation and of the vertical acceleration of rows at rest,
+    and passed: acceleration near gravity, nothing vertical beside it, no rotation, little spread."""
+    named = {"acc": acc, "vertical": vertical, "gyr": gyr}
+    out = df.groupBy(*by).agg(*[f(F.col(c)).alias(f"{k}_{n}") for k, c in named.items() for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    rest = (F.abs(F.col("acc_mean") - gravity) < near) & (F.col("acc_std") < near) & (F.abs("vertical_mean") < near) & (F.col("vertical_std") < near) & (F.col("gyr_mean") < turning)
+    return out.withColumn("passed", F.coalesce(rest, F.lit(False)))
+
+
 def crosstab(df: DataFrame, rows: str, column: str, values: list[str]) -> DataFrame:
     """Share of each value in each row's total."""
     total = F.count(F.lit(1))
@@ -66,10 +102,12 @@ def marginals(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
 
 def share_summary(df: DataFrame, value: str) -> DataFrame:
     x = F.col(value)
-    return df.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("std"), (F.max(x) - F.min(x)).alias("range"),
+    middle = exact_quantile(df, [], value, 0.5, "median")
+    out = df.agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), (F.max(x) - F.min(x)).alias("range"),
         F.avg((F.abs(x) > 0.3).cast("double")).alias("over_03"), F.avg((F.abs(x) > 0.5).cast("double")).alias("over_05"), F.avg((x > 0).cast("double")).alias("positive"),
     )
+    return out.join(middle, F.lit(True), "left").select("n", "mean", "median", *out.columns[2:])  # one row each
 
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str, flat: float | None = 0.0, least: int = 2) -> DataFrame:

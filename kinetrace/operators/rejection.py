@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,3 +94,18 @@ def distance_matrix(models: dict) -> list[tuple]:
             spread = 0.5 * (whole - sum(v for _, v in each) / 2) if min(sign, *(s for s, _ in each)) > 0 else 0.0
             out.append((a, b, square**0.5, square / 8 + float(spread)))
     return out
+
+
+def class_thresholds(df: DataFrame, label: str, distance: str = "distance", share: float = 0.95, accuracy: int = 10_000, times: float = 1.0) -> DataFrame:
+    """(label, threshold): ``times`` the distance that a share of a class's rows keep to, from a sketch that tasks merge; its
+    place errs by one in ``accuracy`` rows. Learn it on the rows that the models were learned on."""
+    return df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg((F.percentile_approx(distance, share, accuracy) * times).alias("threshold"))
+
+
+def rejected_by_class(df: DataFrame, label: str, max_p: Column, thresholds: DataFrame, least_p: float, distance: str = "distance") -> DataFrame:
+    """Adds threshold, final (the label, or unknown) and confidence: rows are rejected that are less sure than ``least_p`` or
+    farther than their class's threshold; a class without one rejects by probability alone."""
+    known = thresholds.select(F.col("label").alias("__label"), "threshold")
+    rows = df.join(known, F.col(label) == F.col("__label"), "left").drop("__label")
+    out = (max_p < least_p) | F.coalesce(F.col(distance) > F.col("threshold"), F.lit(False))
+    return rows.withColumns({"final": F.when(out, "unknown").otherwise(F.col(label).cast("string")), "confidence": F.when(out, 1 - max_p).otherwise(max_p)})

@@ -116,11 +116,13 @@ def repaired(df: DataFrame, by: list[str], t: str, values: list[str], tolerance:
     rows = df.withColumn("__d", dt).withColumn("__m", F.percentile("__d", 0.5).over(w))
     rows = rows.withColumn("__bad", F.max(F.coalesce(F.abs(F.col("__d") - F.col("__m")) > tolerance * F.col("__m"), F.lit(False))).over(w))
     fine = rows.where(~F.col("__bad")).select(*by, F.col(t).cast("double").alias(t), *values)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), *values)))
-    worse = rows.where("__bad").groupBy(*by).agg(ordered.alias("s")).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("s") - 1)))
-    first, last = F.element_at("s", 1)["t"], F.element_at("s", -1)["t"]
-    worse = worse.withColumn(t, first + (last - first) * F.col("k") / F.greatest(F.size("s") - 1, F.lit(1)))
-    place = F.greatest(F.lit(1), F.least(F.size("s") - 1, F.size(F.filter("s", lambda x: x["t"] <= F.col(t)))))
-    a, b = F.element_at("s", place.cast("int")), F.element_at("s", (place + 1).cast("int"))
-    lerp = {v: F.when(b["t"] == a["t"], a[v]).otherwise(a[v] + (b[v] - a[v]) * (F.col(t) - a["t"]) / (b["t"] - a["t"])) for v in values}
-    return fine.unionByName(worse.withColumns(lerp).select(*by, t, *values))
+    worse = rows.where("__bad").select(*by, F.lit(None).cast("long").alias("__k"), F.col(t).cast("double").alias(t), *values)
+    ends = worse.groupBy(*by).agg(F.min(t).alias("__a"), F.max(t).alias("__b"), F.count(F.lit(1)).alias("__n"))
+    grid = ends.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    grid = grid.withColumn(t, F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__k") / F.greatest(F.col("__n") - 1, F.lit(1))).select(*by, "__k", t)
+    both = worse.unionByName(grid, allowMissingColumns=True)
+    back, ahead = both_ways(by, [F.col(t), F.col("__k").isNotNull(), *[F.col(v) for v in values]])
+    sample = F.col("__k").isNull()
+    t0, t1 = (F.last(F.when(sample, F.col(t)), True).over(w) for w in (back, ahead))
+    lerp = {v: _between(*(F.last(F.when(sample, F.col(v)), True).over(w) for w in (back, ahead)), t0, t1, F.col(t)) for v in values}
+    return fine.unionByName(both.withColumns(lerp).where("__k IS NOT NULL").select(*by, t, *values))

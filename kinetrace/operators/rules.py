@@ -38,18 +38,27 @@ def motion_rules(acc_max: Column, acc_hz: Column, acc_peaks: Column, gyro_max: C
 Bounds = dict[str, dict[str, float]]
 
 
-def holds(bounds: dict[str, float], strict: bool = False) -> Column:
-    """All bounds of one label: ``<feature>_min`` and ``<feature>_max``."""
-    parts = []
+#: Bounds on counts include their ends in every engine.
+COUNTS = ("peak_count",)
+
+
+def holds(bounds: dict[str, float], strict: bool = False, optional: tuple[str, ...] = (), columns: list[str] | None = None) -> Column:
+    """All bounds of one label: ``<feature>_min`` and ``<feature>_max``, without their ends if ``strict``, but for counts. An
+    optional feature bounds only rows that have it; with ``columns`` a table that lacks it is not bounded at all."""
+    parts = [F.lit(True)]
     for name, value in bounds.items():
-        x, low = F.col(name[:-4]), name.endswith("_min")
-        parts.append((x > value if strict else x >= value) if low else (x < value if strict else x <= value))
+        feature, low = name[:-4], name.endswith("_min")
+        if feature in optional and columns is not None and feature not in columns:
+            continue
+        x, open_ = F.col(feature), strict and feature not in COUNTS
+        met = (x > value if open_ else x >= value) if low else (x < value if open_ else x <= value)
+        parts.append(x.isNull() | F.isnan(x.cast("double")) | met if feature in optional else met)
     return F.coalesce(reduce(Column.__and__, parts), F.lit(False))
 
 
-def by_priority(bounds: Bounds, priority: list[str], strict: bool = False) -> tuple[Column, Column]:
+def by_priority(bounds: Bounds, priority: list[str], strict: bool = False, optional: tuple[str, ...] = (), columns: list[str] | None = None) -> tuple[Column, Column]:
     """The first label in order of priority whose bounds all hold, with confidence 1; else unknown with 0."""
-    return first_match([(k, 1.0, holds(bounds[k], strict)) for k in priority if k in bounds], ("unknown", 0.0))
+    return first_match([(k, 1.0, holds(bounds[k], strict, optional, columns)) for k in priority if k in bounds], ("unknown", 0.0))
 
 
 def scored(bounds: Bounds, strict: bool = True) -> dict[str, Column]:
@@ -57,6 +66,24 @@ def scored(bounds: Bounds, strict: bool = True) -> dict[str, Column]:
     return {f"rule_{k}": holds(b, strict).cast("double") for k, b in bounds.items()}
 
 
+def best_scored(bounds: Bounds, strict: bool = True) -> tuple[Column, Column]:
+    """(label, score) of the label with the highest score, the first of equals in the order of the table; unknown where all
+    are 0."""
+    return first_match([(k, 1.0, holds(b, strict)) for k, b in bounds.items()], ("unknown", 0.0))
+
+
+def from_config(config: dict, names: dict[str, str]) -> tuple[Bounds, list[str]]:
+    """(bounds, priority) of a configuration read from a file, ``thresholds`` by label and ``priority``; ``names`` gives the
+    feature that a bound's name without its end stands for."""
+    def named(bound: str) -> str:
+        feature, end = bound[:-4], bound[-4:]
+        if end not in ("_min", "_max"):
+            raise ValueError(f"{bound} is neither a lower nor an upper bound")
+        return names.get(feature, feature) + end
+
+    return {k: {named(n): float(v) for n, v in b.items()} for k, b in config["thresholds"].items()}, list(config["priority"])
+
+
 def disagreement(*predictions: Column) -> Column:
     first, *rest = predictions
     return reduce(Column.__or__, [first != p for p in rest])

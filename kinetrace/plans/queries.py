@@ -11,6 +11,7 @@ from kinetrace.functions import columns as C
 from kinetrace.functions import kernels as N
 from kinetrace.operators import evaluation as E
 from kinetrace.operators import features as K
+from kinetrace.operators import folds as D
 from kinetrace.operators import joins as J
 from kinetrace.operators import kernel_machine as H
 from kinetrace.operators import learning as L
@@ -388,9 +389,21 @@ def baseline_check(spark, d):
     return out.withColumns({"mean_norm": r6(F.col("mean_norm")), "std_norm": r6(F.col("std_norm"))})
 
 
+@query(f"""WITH {SAMPLES}, a AS (SELECT user_id, avg(x) AS acc_mean, stddev_samp(x) AS acc_std, avg(y - 50) AS vertical_mean, stddev_samp(y - 50) AS vertical_std, avg(y / 100) AS gyr_mean, stddev_samp(y / 100) AS gyr_std FROM ev GROUP BY user_id)
+SELECT user_id, round(acc_mean, 6) AS acc_mean, round(acc_std, 6) AS acc_std, round(vertical_mean, 6) AS vertical_mean, round(vertical_std, 6) AS vertical_std, round(gyr_mean, 6) AS gyr_mean, round(gyr_std, 6) AS gyr_std,
+ coalesce(abs(acc_mean - 50) < 32 AND acc_std < 32 AND abs(vertical_mean) < 32 AND vertical_std < 32 AND gyr_mean < 0.5, false) AS passed FROM a""")
+def static_check(spark, d):
+    """Whether recordings are at rest: acceleration, its vertical part and rotation."""
+    s = samples(spark, d).withColumns({"v": F.col("y") - 50, "g": F.col("y") / 100})
+    out = Q.static_check(s, BY, "x", "v", "g", 50.0, 32.0, 0.5)
+    return out.withColumns({c: r6(F.col(c)) for c in out.columns if c.endswith(("_mean", "_std"))})
+
+
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS lo, max(value) AS hi, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
 def phase_summary(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), r6(F.percentile("value", 0.5)).alias("median"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("user_id").alias("users"))
+    e = table(spark, d, "events")
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("user_id").alias("users"))
+    return g.join(Q.exact_quantile(e, ["event_type"], "value", 0.5, "median").withColumn("median", r6("median")), "event_type")
 
 
 _R = f"""{SAMPLES}, c AS (SELECT node, label, user_id, count(*) AS n, corr(x, y) AS r FROM ev GROUP BY ALL HAVING count(*) >= 3)"""
@@ -831,12 +844,35 @@ def rules_priority(spark, d):
     return _item_features(spark, d).select("l_suppkey", "l_orderkey", label.alias("pred"))
 
 
-@query(f"""WITH {_F} SELECT l_suppkey, l_orderkey, (acc_mag_max > 85 AND acc_mag_range > 20)::DOUBLE AS rule_jump, (acc_mag_std > 2.5 AND peak_count > 2)::DOUBLE AS rule_dribble, (acc_mag_std < 0.2 AND acc_mag_range < 0.6)::DOUBLE AS rule_idle FROM f""")
+@query(f"""WITH {_F} SELECT l_suppkey, l_orderkey, (acc_mag_max > 85 AND acc_mag_range > 20)::DOUBLE AS rule_jump, (acc_mag_std > 2.5 AND peak_count >= 2)::DOUBLE AS rule_dribble, (acc_mag_std < 0.2 AND acc_mag_range < 0.6)::DOUBLE AS rule_idle FROM f""")
 def rules_scored(spark, d):
     s = U.scored({k: BOUNDS[k] for k in ("jump", "dribble", "idle")})
     return _item_features(spark, d).select("l_suppkey", "l_orderkey", *[c.alias(k) for k, c in s.items()])
 
 
+_ALL_RULES = """(acc_mag_max > 95 AND peak_count <= 2)::INT AS collision, (acc_mag_max > 85 AND acc_mag_range > 20)::INT AS jump, (acc_mag_max > 80 AND acc_mag_range > 5)::INT AS shot, (acc_mag_max > 70 AND peak_count BETWEEN 1 AND 3)::INT AS pass,
+ (acc_mag_std > 2.5 AND peak_count >= 2)::INT AS dribble, (acc_mag_std > 0.5)::INT AS sprint, (acc_mag_std < 0.2 AND acc_mag_range < 0.6)::INT AS idle"""
+
+
+@query(f"""WITH {_F}, r AS (SELECT l_suppkey, l_orderkey, {_ALL_RULES} FROM f) SELECT l_suppkey, l_orderkey, collision + jump + shot + pass + dribble + sprint + idle AS met,
+ CASE WHEN collision = 1 THEN 'collision' WHEN jump = 1 THEN 'jump' WHEN shot = 1 THEN 'shot' WHEN pass = 1 THEN 'pass' WHEN dribble = 1 THEN 'dribble' WHEN sprint = 1 THEN 'sprint' WHEN idle = 1 THEN 'idle' ELSE 'unknown' END AS pred FROM r""")
+def rules_best(spark, d):
+    """The label of the highest score of all seven rules, and how many of them are met."""
+    label, _ = U.best_scored(BOUNDS)
+    met = sum((c for c in U.scored(BOUNDS).values()), F.lit(0.0)).cast("int")
+    return _item_features(spark, d).select("l_suppkey", "l_orderkey", met.alias("met"), label.alias("pred"))
+
+
+@query(f"""WITH {_F}, v AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_orderkey % 7 END AS speed FROM f) SELECT l_suppkey, l_orderkey, CASE WHEN acc_mag_std >= 0.5 AND (speed IS NULL OR speed >= 3.5) THEN 'sprint' WHEN acc_mag_std <= 0.2 THEN 'idle' ELSE 'unknown' END AS pred FROM v""")
+def rules_configured(spark, d):
+    """Rules of a configuration, with a bound on speed where a row has one."""
+    config = {"thresholds": {"sprint": {"acc_std_min": 0.5, "uwb_vel_min": 3.5}, "idle": {"acc_std_max": 0.2}}, "priority": ["sprint", "idle"]}
+    f = _item_features(spark, d).withColumn("speed", F.when(F.col("l_orderkey") % 3 != 0, F.col("l_orderkey") % 7))
+    bounds, priority = U.from_config(config, {"acc_std": "acc_mag_std", "uwb_vel": "speed"})
+    label, _ = U.by_priority(bounds, priority, optional=("speed",), columns=f.columns)
+    return f.select("l_suppkey", "l_orderkey", label.alias("pred"))
+
+
 @query(f"""WITH {SAMPLES} SELECT seq, CASE WHEN x > 25 AND y < 8 THEN 'jump' WHEN x / 20 BETWEEN 1.5 AND 4.5 AND user_id % 7 >= 3 THEN 'dribble' WHEN y > 5 AND x > 12 THEN 'shot' WHEN y > 3 AND user_id % 7 <= 2 THEN 'pass' WHEN x / 20 > 0.8 AND x > 13 THEN 'sprint' ELSE 'idle' END AS rule_pred FROM ev""")
 def rules_first_match(spark, d):
     label, _ = U.motion_rules(F.col("x"), F.col("x") / 20, F.col("user_id") % 7, F.col("y"))
@@ -1099,11 +1135,11 @@ def window_channel_features(spark, d):
 @query(f"""WITH {SAMPLES}, {windows_sql(32, 16)}, b AS (SELECT user_id, window_id, list(x ORDER BY i) AS a, list(y ORDER BY i) AS b FROM w GROUP BY ALL),
 l AS (SELECT user_id, window_id, list_transform(a, lambda v: (v - list_avg(a)) / (list_stddev_pop(a) + 1e-9)) AS a, list_transform(b, lambda v: (v - list_avg(b)) / (list_stddev_pop(b) + 1e-9)) AS b, unnest(range(-10, 11)) AS lag FROM b),
 c AS (SELECT user_id, window_id, lag, round(list_sum(list_transform(range(greatest(1, 1 + lag), least(32, 32 + lag) + 1), lambda j: a[j] * b[j - lag])) / 32, 9) AS corr FROM l)
-SELECT user_id, window_id, round(max(corr), 6) AS gyro_corr FROM c GROUP BY ALL""")
+SELECT user_id, window_id, CAST(arg_min(lag, {{'c': -corr, 'l': lag}}) AS INT) AS gyro_lag, round(max(corr), 6) AS gyro_corr FROM c GROUP BY ALL""")
 def node_lag(spark, d):
-    """How well two nodes agree at their best shift."""
+    """How well two nodes agree at their best shift, and which it is."""
     w = K.best_lag(_arrays(spark, d), ["user_id", "window_id"], "x", "y", 10, "gyro")
-    return w.select("user_id", "window_id", r6(F.round("gyro_corr", 9)).alias("gyro_corr"))
+    return w.select("user_id", "window_id", "gyro_lag", r6(F.round("gyro_corr", 9)).alias("gyro_corr"))
 
 
 @query()
@@ -1124,11 +1160,13 @@ def pose_release_candidates(spark, d):
 
 @query()
 def mahalanobis_rejection(spark, d):
-    """Open-set rejection of all vectors by their distance to the class that they are said to have."""
+    """Open-set rejection of all vectors by their distance to the class that they are said to have, each class with the
+    threshold that 95 of 100 of its training rows keep to."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    far = X.mahalanobis(e, "v", "label", X.class_models(e.where(E.fold(F.col("vec_id"), 4) != 0), "v", "label"))
-    label, sure = U.rejected(F.lit(0.9), F.col("distance"), 0.5, F.lit(9.5), F.col("label").cast("string"))
-    return far.select("vec_id", "distance", label.alias("label"), sure.alias("confidence"))
+    learn = E.fold(F.col("vec_id"), 4) != 0
+    far = X.mahalanobis(e, "v", "label", X.class_models(e.where(learn), "v", "label"))
+    out = X.rejected_by_class(far, "label", F.lit(0.9), X.class_thresholds(far.where(learn), "label"), 0.5)
+    return out.select("vec_id", "distance", "threshold", F.col("final").alias("label"), "confidence")
 
 
 @query()
@@ -1168,5 +1206,57 @@ def kernel_machine(spark, d):
     return H.classified(rows, grid, H.machine(rows, grid, 0.01, 1.0), 0.01).select("id", "label", "predicted", r6("probability").alias("probability"))
 
 
+@query()
+def fold_sweep(spark, d):
+    """How many vectors of each fold four models get right that have not seen it."""
+    models = {"centroids": D.centroids(), "neighbours": D.neighbours(5), "machine": D.machine(), "forest": D.forest(20, 6)}
+    p = D.swept(_vectors(spark, d), models, 2000)
+    return p.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("predicted") == F.col("label")).cast("int")).alias("right"))
+
+
+@query(f"""WITH {_LONG}, g AS (SELECT feature, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v, var_samp(x) AS s FROM lf GROUP BY ALL), h AS (SELECT feature, sum(n * m) / sum(n) AS gm FROM g GROUP BY feature),
+a AS (SELECT feature, round((sum(n * pow(m - gm, 2)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 5) AS f FROM g JOIN h USING (feature) GROUP BY feature),
+b AS (SELECT feature, count(*) FILTER (label = 0) AS na, count(*) FILTER (label = 1) AS nb, avg(x) FILTER (label = 0) AS ma, avg(x) FILTER (label = 1) AS mb, var_samp(x) FILTER (label = 0) AS va, var_samp(x) FILTER (label = 1) AS vb FROM lf GROUP BY feature),
+t AS (SELECT feature, round(abs((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb))), 5) AS t FROM b),
+r AS (SELECT feature, f, t, row_number() OVER (ORDER BY f DESC, feature) AS by_f, row_number() OVER (ORDER BY t DESC, feature) AS by_t FROM a JOIN t USING (feature))
+SELECT feature, f, t, by_f, by_t, (by_f + by_t) / 2.0 AS mean_rank FROM r QUALIFY row_number() OVER (ORDER BY (by_f + by_t) / 2.0, feature) <= 40""")
+def feature_ranks(spark, d):
+    """The 40 features that are first by the mean of their places by variance ratio and by t."""
+    f = E.rank_by(E.anova_f(_long(spark, d), "label").withColumn("f", F.round("f", 5)), "f", "feature", "by_f")
+    t = E.rank_by(E.t_statistic(_long(spark, d), "label", 0, 1).select("feature", F.round(F.abs("t"), 5).alias("t")), "t", "feature", "by_t")
+    both = f.select("feature", "f", F.col("by_f").cast("long").alias("by_f")).join(t.select("feature", "t", F.col("by_t").cast("long").alias("by_t")), "feature")
+    return both.withColumn("mean_rank", (F.col("by_f") + F.col("by_t")) / 2).orderBy("mean_rank", "feature").limit(40)
+
+
+@query()
+def importance_ranks(spark, d):
+    """Features by their worth to forests."""
+    worth = D.forest_importances(_vectors(spark, d), [f"f{k}" for k in range(64)], 20, 6, 2000)
+    return E.rank_by(worth, "importance", "feature")
+
+
+@query(f"WITH {SAMPLES} SELECT node, round(quantile_cont(x, 0.9), 6) AS q FROM ev GROUP BY node")
+def exact_quantiles(spark, d):
+    """The ninth decile of each node's samples, exact."""
+    return Q.exact_quantile(samples(spark, d), ["node"], "x", 0.9, "q").withColumn("q", r6("q"))
+
+
+_CHANNELS = [f"{c}_{n}" for n in K.NODES for c in ("ax", "ay", "az", "gx", "gy", "gz", "a_mag", "a_vert", "a_horiz", "pitch")]
+
+
+@query()
+def four_node_features(spark, d):
+    """Mean of every feature over all windows of four nodes with ten channels each."""
+    w = _arrays(spark, d)
+    channels = F.create_map(*[x for k, c in enumerate(_CHANNELS) for x in (F.lit(c), _mixed(k))])
+    f = K.full_features(w.select("user_id", "window_id", channels.alias("channels")), ["user_id", "window_id"], "channels", 50.0, pairs=True)
+    return f.groupBy("feature").agg(F.count(F.lit(1)).alias("windows"), r6(F.avg("value")).alias("mean"))
+
+
+def _mixed(k: int):
+    """A channel made of the three that windows have."""
+    return F.transform(("x", "y", "z")[k % 3], lambda v, i: v * (1 + 0.1 * k) + (i * (k + 1)) % 7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

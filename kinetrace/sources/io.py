@@ -39,10 +39,13 @@ def read_nodes(spark: SparkSession, path: str, schema: T.StructType, pattern: st
 
 
 def flatten_metadata(df: DataFrame, column: str = "json") -> DataFrame:
-    """Region to subject to attributes, one row for each subject; text that is no such JSON gives no row."""
+    """Region to subject to attributes, one row for each subject; text that is no such JSON gives one row with the text in
+    ``_corrupt_record`` and nothing else. Null text gives none."""
     attrs = "STRUCT<age:INT,dom_hand:STRING,height:DOUBLE,weight:DOUBLE,skill:STRING,gender:STRING>"
-    parsed = df.select(F.from_json(column, f"MAP<STRING,MAP<STRING,{attrs}>>", {"mode": "PERMISSIVE"}).alias("m"))
-    return parsed.select(F.explode("m").alias("region", "s")).select("region", F.explode("s").alias("subject", "a")).select("region", "subject", "a.*")
+    parsed = df.where(F.col(column).isNotNull()).select(F.from_json(column, f"MAP<STRING,MAP<STRING,{attrs}>>", {"mode": "PERMISSIVE"}).alias("m"), F.col(column).alias("__text"))
+    each = parsed.select(F.explode_outer("m").alias("region", "s"), "__text", F.col("m").isNull().alias("__bad")).where("__bad OR region IS NOT NULL")
+    each = each.select("region", F.explode_outer("s").alias("subject", "a"), "__text", "__bad").where("__bad OR subject IS NOT NULL")
+    return each.select("region", "subject", "a.*", F.when(F.col("__bad"), F.col("__text")).alias("_corrupt_record"))
 
 
 #: Words of a recording's name that mean the same.
@@ -64,6 +67,13 @@ def resolve_recordings(wanted: DataFrame, files: DataFrame, nodes: int = 4, pref
     return best.select("recording", "m.*", (F.coalesce(F.col("m.n_nodes"), F.lit(0)) == nodes).alias("complete"))
 
 
+def missing_nodes(wanted: DataFrame, files: DataFrame, nodes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """(recording, node) of every node of a wanted recording that has no file, of all its nodes if nothing matches it."""
+    named = resolve_recordings(wanted, files, len(nodes)).select("recording", "matched", F.explode(F.array(*[F.lit(n) for n in nodes])).alias("node"))
+    there = files.select(F.col("recording").alias("__rec"), F.col("node").cast("int").alias("__node")).distinct()
+    return named.join(there, (F.col("matched") == F.col("__rec")) & (F.col("node") == F.col("__node")), "left_anti").select("recording", "node")
+
+
 def read_config(path: str) -> dict:
     text = Path(path).read_text(encoding="utf-8")
     return json.loads(text) if path.endswith(".json") else yaml.safe_load(text)
