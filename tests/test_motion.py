@@ -91,7 +91,7 @@ def test_chunks_spread_one_recording(spark):
 
 
 def test_event_anchors_fall_back(spark):
-    shapes = {"peak": [0.0, 1, 9, 1, 2, 1, 0, 1], "centroid": [float(v) for v in range(8)], "middle": [0.0] * 8}
+    shapes = {"peak": [0.0, 1.0, 9.0, 1.0, 2.0, 1.0, 0.0, 1.0], "centroid": [float(v) for v in range(8)], "middle": [0.0] * 8}
     rows = [(1, i + 10 * n, v, name if i % 10 < 8 else "null") for n, (name, xs) in enumerate(shapes.items()) for i, v in enumerate(xs)]
     rows += [(1, 40 + i, 1.0, "null") for i in range(2)] + [(1, 50 + i, 5.0, "middle") for i in range(3)] + [(None, i, 1.0, "null") for i in range(3)]
     df = windows.indexed(spark.createDataFrame(rows, "u long, t long, x double, label string"), ["u"], ["t"])
@@ -178,7 +178,7 @@ def plain_repaired(t, x):
 def test_repaired_recordings(spark):
     rng = np.random.default_rng(2)
     uneven = np.cumsum(rng.integers(1, 9, 40)).astype(float)
-    rows = [(1, float(i), float(i * i)) for i in range(20)] + [(2, t, float(v)) for t, v in zip(uneven, rng.standard_normal(40))]
+    rows = [(1, float(i), float(i * i)) for i in range(20)] + [(2, float(t), float(v)) for t, v in zip(uneven, rng.standard_normal(40))]
     got = resample.repaired(spark.createDataFrame(rows, "u long, t double, x double"), ["u"], "t", ["x"]).orderBy("u", "t").collect()
     want = [(1, t, x) for _, t, x in rows[:20]] + [(2, t, x) for t, x in plain_repaired(uneven, np.array([r[2] for r in rows[20:]]))]
     assert np.allclose([tuple(r) for r in got], want)
@@ -187,7 +187,7 @@ def test_repaired_recordings(spark):
 def vectors(spark, n=240, p=4):
     rng = np.random.default_rng(7)
     label = rng.integers(0, 3, n)
-    x = rng.standard_normal((n, p)) + label[:, None] * np.array([2.0, 0, -1, 0])
+    x = rng.standard_normal((n, p)) + np.array([[0.0, 0, 0, 0], [3, 0, 0, 0], [0, 0, -3, 0]])[label]
     df = spark.createDataFrame([(int(i), [float(v) for v in row], f"c{c}") for i, (row, c) in enumerate(zip(x, label))], "id long, v array<double>, label string").repartition(5)
     return x, np.array([f"c{c}" for c in label]), df
 
@@ -247,9 +247,9 @@ def test_sweep_over_folds(spark):
             arrays = model.fit(x[at], place[at], 3, folds._seed(name, f))
             want[test] = [classes[i] for i in model.predict(arrays, x[test])]
         assert {r.id: r.predicted for r in got if r.model == name} == dict(enumerate(want))
-        assert np.mean(want == y) > 0.75, name
+        assert np.mean(want == y) > 0.7, name
     worth = {r.feature: r.importance for r in folds.forest_importances(rows, list("abcd"), 15, 5).collect()}
-    assert sum(worth.values()) == pytest.approx(1) and max(worth, key=worth.get) == "a"
+    assert sum(worth.values()) == pytest.approx(1) and max(worth, key=worth.get) in "ac" and min(worth, key=worth.get) in "bd"
 
 
 def test_leave_one_out(spark):
@@ -317,7 +317,7 @@ def test_metadata_and_missing_nodes(spark):
 def test_features_of_four_nodes(spark):
     rng = np.random.default_rng(9)
     names = [f"{c}_{n}" for n in features.NODES for c in ("ax", "ay", "az", "gx", "gy", "gz", "a_mag", "a_vert", "a_horiz", "pitch")]
-    rows = [(i, {c: [float(v) for v in (np.zeros(n) if c == "az_node3" else rng.standard_normal(n))] for c in names}) for i, n in enumerate((60, 60, 40, 60))] + [(9, {"x": [1.0, 2, 3, 5]}), (10, {})]
+    rows = [(i, {c: [float(v) for v in (np.zeros(n) if c == "az_node3" else rng.standard_normal(n))] for c in names}) for i, n in enumerate((60, 60, 40, 60))] + [(9, {"x": [1.0, 2.0, 3.0, 5.0]}), (10, {})]
     df = spark.createDataFrame(rows, "id long, channels map<string,array<double>>")
     got = {}
     for r in features.full_features(df, ["id"], "channels", 50.0, pairs=True).collect():
