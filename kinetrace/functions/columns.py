@@ -56,9 +56,13 @@ def quantile_scale(x: Column, q05: Column, q95: Column, lo: float, hi: float) ->
     return lo + clip((x - q05) / (q95 - q05), 0.0, 1.0) * (hi - lo)
 
 
-def fused_energy(acc: Column, gyr: Column) -> Column:
-    """Weighted absolute robust scores of acceleration and rotation."""
-    return 0.45 * F.abs(acc) + 0.55 * F.abs(gyr)
+def fused_energy(acc: Column | list[Column], gyr: Column | list[Column]) -> Column:
+    """Weighted absolute robust scores of acceleration and rotation, of several axes their mean."""
+    def mean(axes: Column | list[Column]) -> Column:
+        each = [F.abs(c) for c in (axes if isinstance(axes, list) else [axes])]
+        return sum(each[1:], each[0]) / len(each)
+
+    return 0.45 * mean(acc) + 0.55 * mean(gyr)
 
 
 def translated(label: Column, names: dict[str, str]) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,30 +118,128 @@ def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0)
 
 
+def _closest(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k rows of a block nearest to each query of it."""
+    def use(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame()
+        x, ids, label, names = _matrix(r["v"]), r["id"].to_numpy(), r["label"].to_numpy(), q["qid"].to_numpy()
+        out = []
+        for i in range(0, len(q), 256):
+            v, mine = _matrix(q["qv"].iloc[i : i + 256]), names[i : i + 256]
+            rough = squared_distances(v, x)
+            last = min(len(x) - 1, k)  # one more, as a query may be a row itself
+            kth = np.partition(rough, last, 1)[:, last]
+            to, at = np.nonzero(rough <= (kth + 1e-6 * (1 + kth))[:, None])  # all that tie with the last are in
+            other = ids[at] != mine[to]
+            to, at = to[other], at[other]
+            d = np.round(((x[at] - v[to]) ** 2).sum(1), 9)
+            order = np.lexsort((ids[at], d, to))
+            to, at, d = to[order], at[order], d[order]
+            first = np.arange(len(to)) - np.searchsorted(to, to) < k
+            out.append((mine[to[first]], at[first], d[first]))
+        qid, at, d = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"qid": qid, "id": ids[at], "label": label[at], "d": d})
+
+    return use
+
+
 def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:
     """(qid, label, votes): majority label of the k nearest rows of ``train`` (id, v, label) to each of ``queries``
     (qid, v), the smallest label of equals; a query never counts itself. Of equal distances (to nine decimals)
     the smaller id is nearer. A block leaves k rows for each query."""
     kind = lambda df, c: df.schema[c].dataType.simpleString()
+    found = by_blocks(queries.select("qid", F.col("v").alias("qv")), train.select("id", "v", "label"), _closest(k), f"qid {kind(queries, 'qid')}, id {kind(train, 'id')}, label {kind(train, 'label')}, d double")
+    return _voted(found, k)
 
-    def use(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"qid": [], "id": [], "label": [], "d": []})
-        x, out = _matrix(r["v"]), []
-        ids = r["id"].to_numpy()
-        for i in range(0, len(q), 256):
-            part = q.iloc[i : i + 256]
-            v = _matrix(part["qv"])
-            near = np.argpartition(squared_distances(v, x), min(len(x) - 1, k + 16), 1)[:, : k + 17]
-            d = np.round(((x[near] - v[:, None]) ** 2).sum(2), 9)
-            d[ids[near] == part["qid"].to_numpy()[:, None]] = np.inf
-            order = np.lexsort((ids[near], d), axis=1)[:, :k]
-            rows, columns = np.repeat(np.arange(len(part)), order.shape[1]), np.take_along_axis(near, order, 1).ravel()
-            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[rows], "id": ids[columns], "label": r["label"].to_numpy()[columns], "d": np.take_along_axis(d, order, 1).ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["d"])]
-
-    found = by_blocks(queries.select("qid", F.col("v").alias("qv")), train.select("id", "v", "label"), use, f"qid {kind(queries, 'qid')}, id {kind(train, 'id')}, label {kind(train, 'label')}, d double")
+
+def _voted(found: DataFrame, k: int) -> DataFrame:
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).where(F.col("r") <= k)
     votes = near.groupBy("qid", "label").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("qid").agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col("label").alias("label"))).alias("b")).select("qid", F.col("b.label").alias("label"), (-F.col("b.n")).alias("votes"))
+
+
+class Ring(NamedTuple):
+    """Rows that have one pivot nearest, at distances from lo to hi of it."""
+
+    cell: int
+    lo: float
+    hi: float
+    n: int
+
+
+#: Rings of a cell, and the most pivots; a task holds a part of a ring of ROWS_AT_ONCE rows.
+RINGS, MOST_PIVOTS, SLACK = 8, 1024, 1e-6
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(squared_distances(a, b))
+
+
+def ringed(train: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds cell, the nearest pivot, and far, the distance to it."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("v").to_pylist(), float)
+                cell = squared_distances(x, pivots).argmin(1)
+                far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    return train.mapInArrow(run, f"{kinds}, cell int, far double")
+
+
+def pruned_neighbours(queries: DataFrame, train: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(the result of ``nearest_neighbours``, (rows, computed)): exact neighbours where most distances are never computed, and
+    of each query how many rows there are and how many were compared.
+
+    Pivots are rows chosen by a hash, one for each block of rows. A row is in the cell of its nearest pivot, in a ring
+    of distances to it. By the triangle inequality a ring has a least and a most distance to a query; rings that
+    surely hold k rows bound the k-th distance, and rings beyond it are left out. What reaches the driver is a
+    few numbers for each ring.
+    """
+    rows = train.select("id", "v", "label").where(F.col("v").isNotNull())
+    n = rows.count()
+    wanted = min(MOST_PIVOTS, max(1, round(n**0.5 / 4)))
+    pivots = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
+    if not pivots:
+        none = nearest_neighbours(queries, train, k)
+        return none, queries.select("qid", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("computed"))
+    at = np.array([r["v"] for r in pivots], float)
+    placed = ringed(rows, at)
+    spread = placed.groupBy("cell").agg(F.max("far").alias("most")).collect()
+    width = np.zeros(len(at))
+    for r in spread:
+        width[r["cell"]] = r["most"] / RINGS
+    widths = F.array(*[F.lit(float(w)) for w in width])
+    step = F.element_at(widths, F.col("cell") + 1)
+    placed = placed.withColumn("ring", F.when(step > 0, F.least(F.floor(F.col("far") / step), F.lit(RINGS - 1))).otherwise(0).cast("int"))
+    found = placed.groupBy("cell", "ring").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("cell", "ring").collect()
+    rings = [Ring(r["cell"], r["lo"], r["hi"], r["n"]) for r in found]
+    number = {(r["cell"], r["ring"]): i for i, r in enumerate(found)}
+    cell, lo, hi, size = (np.array([getattr(r, f) for r in rings]) for f in ("cell", "lo", "hi", "n"))
+    parts = np.maximum(1, -(-size // ROWS_AT_ONCE))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                part = pdf.iloc[i : i + 256]
+                d = _distances(_matrix(part["qv"]), at)[:, cell]
+                least, most = np.maximum(np.maximum(d - hi, lo - d), 0), d + hi
+                order = most.argsort(1)
+                enough = (np.cumsum(size[order], 1) >= k + 1).argmax(1)  # one more, as a query may be a row itself
+                bound = np.take_along_axis(most, order, 1)[np.arange(len(part)), np.where(size.sum() >= k + 1, enough, len(size) - 1)]
+                q, r = np.nonzero(least <= bound[:, None] + SLACK)
+                yield pd.DataFrame({"qid": part["qid"].to_numpy()[q], "qv": part["qv"].to_numpy()[q], "block": r.astype("int32"), "n": size[r]})
+
+    asked = queries.select("qid", F.col("v").alias("qv")).where("qv IS NOT NULL").mapInPandas(visits, f"qid {kind(queries, 'qid')}, qv {kind(queries, 'v')}, block int, n long")
+    every = F.array(*[F.lit(int(p)) for p in parts])
+    blocks = F.create_map(*[F.lit(x) for (c, g), i in number.items() for x in (c * RINGS + g, i)])
+    dealt = placed.withColumn("block", blocks[F.col("cell") * RINGS + F.col("ring")])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(every, F.col("block") + 1)).cast("int")).select("id", "v", "label", "block", "part")
+    sent = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(every, F.col("block") + 1) - 1)))
+    near = sent.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(_closest(k), f"qid {kind(queries, 'qid')}, id {kind(train, 'id')}, label {kind(train, 'label')}, d double")
+    return _voted(near, k), asked.groupBy("qid").agg(F.lit(n).cast("long").alias("rows"), F.sum("n").alias("computed"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,13 @@ def kernel_features(df: DataFrame, features: list[str], gamma: float, size: int
 
 
 def linear_machine(train: DataFrame, features: list[str], label: str) -> PipelineModel:
+    """One linear machine for each class against the others, on features scaled by their population's deviation: the
+    scaler takes the sample's, and the product puts that right."""
+    n = train.count()
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+        VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="by_sample", withMean=True),
+        ElementwiseProduct(inputCol="by_sample", outputCol="features", scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * len(features))),
         OneVsRest(classifier=LinearSVC(maxIter=30), featuresCol="features", labelCol="label_index"),
     ]).fit(train)
 

@@ -35,6 +35,16 @@ def exact_quantile(df: DataFrame, by: list[str], x: str, p: float, name: str = "
     return out.select(*[c for c in by if c != "__all"], name)
 
 
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, mean, std, min, q25, q50, q75, max) of each column; std is the sample's, quartiles are exact."""
+    g = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(c) for c in columns])
+    g = g.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns]))).select("column", "s.*")
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])))
+    for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        g = g.join(exact_quantile(long, ["column"], "x", p, name), "column", "left")
+    return g.select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 def packet_loss(df: DataFrame, by: list[str], seq: str, t: str, saturated: Column | None = None) -> DataFrame:
     """Rows, duration, median period and rate, share of sequence numbers that never came, saturated rows."""
     dt = F.col(t) - F.lag(t).over(Window.partitionBy(*by).orderBy(t, seq))

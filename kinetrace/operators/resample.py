@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from kinetrace.operators.windows import moving_average, over
 
 
 def first_of_each(df: DataFrame, by: list[str], t: str, order: list[str]) -> DataFrame:
@@ -103,9 +104,11 @@ def warped(samples: Column, n: int, pivot: Column, to: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at_place(samples, source(i)))
 
 
-def gated(df: DataFrame, by: list[str], order: list[str], values: list[str], visibility: str, least: float = 0.35) -> DataFrame:
-    """Values of low visibility count as empty and are filled by place."""
-    return fill_by_row(df.withColumns({v: F.when(F.col(visibility) >= least, F.col(v)) for v in values}), by, order, values)
+def gated(df: DataFrame, by: list[str], order: list[str], values: list[str], visibility: str, least: float = 0.35, smooth: int | None = None) -> DataFrame:
+    """Values of low visibility count as empty and are filled by place; then, with ``smooth``, each is the mean over so many
+    rows, those beyond the ends being zero."""
+    filled = fill_by_row(df.withColumns({v: F.when(F.col(visibility) >= least, F.col(v)) for v in values}), by, order, values)
+    return filled if smooth is None else filled.withColumns({v: moving_average(v, over(by, order), smooth) for v in values})
 
 
 def repaired(df: DataFrame, by: list[str], t: str, values: list[str], tolerance: float = 0.2) -> DataFrame:

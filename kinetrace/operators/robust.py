@@ -29,6 +29,23 @@ def zscore(df: DataFrame, by: list[str], x: str, sample: bool = True, eps: float
     return df.withColumns({"__m": F.avg(x).over(w), "__s": sd}).withColumn("z", (F.col(x) - F.col("__m")) / F.when(F.coalesce(F.col("__s"), F.lit(0.0)) <= eps, 1.0).otherwise(F.col("__s") + add)).drop("__m", "__s")
 
 
+def zscore_stats(df: DataFrame, by: list[str], columns: list[str], sample: bool = True) -> DataFrame:
+    """(…, column, mean, std, n) of each group: what ``zscore`` scales by, to be saved beside the scaled rows."""
+    spread = F.stddev_samp if sample else F.stddev_pop
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"), spread(c).alias("std"), F.count(c).alias("n")) for c in columns])
+    return df.groupBy(*by).agg(each.alias("__all")).select(*by, F.inline("__all"))
+
+
+def quantile_scaled(df: DataFrame, by: list[str], x: str, lo: float, hi: float, name: str = "scaled") -> DataFrame:
+    """Adds ``x`` scaled from its 5th to its 95th hundredth onto lo and hi, cut there; 1 throughout if the table lacks it."""
+    if x not in df.columns:
+        return df.withColumn(name, F.lit(1.0))
+    w = Window.partitionBy(*by)
+    rows = df.withColumns({"__a": F.percentile(x, 0.05).over(w), "__b": F.percentile(x, 0.95).over(w)})
+    share = (F.col(x) - F.col("__a")) / F.greatest(F.col("__b") - F.col("__a"), F.lit(1e-9))
+    return rows.withColumn(name, lo + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (hi - lo)).drop("__a", "__b")
+
+
 def varying(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns that are not constant, from one pass."""
     row = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()

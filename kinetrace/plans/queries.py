@@ -23,6 +23,7 @@ from kinetrace.operators import rules as U
 from kinetrace.operators import segment as S
 from kinetrace.operators import signal as G
 from kinetrace.operators import similarity as M
+from kinetrace.operators import skeleton as T
 from kinetrace.operators import windows as W
 from kinetrace.operators.recursion import System
 from kinetrace.plans.base import ITEMS, SAMPLES, items, micros, samples, table, windows_sql
@@ -131,11 +132,10 @@ def label_translate(spark, d):
 
 
 @query("""WITH q AS (SELECT user_id, quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM events GROUP BY user_id)
-SELECT event_id, round(0.8 + greatest(0.0, least(1.0, (value - a) / (b - a))) * 0.4, 6) AS scaled FROM events JOIN q USING (user_id)""")
+SELECT event_id, round(0.8 + greatest(0.0, least(1.0, (value - a) / greatest(b - a, 1e-9))) * 0.4, 6) AS scaled, CAST(1.0 AS DOUBLE) AS missing FROM events JOIN q USING (user_id)""")
 def quantile_scaling(spark, d):
-    w = Window.partitionBy("user_id")
-    e = table(spark, d, "events").withColumns({"a": F.percentile("value", 0.05).over(w), "b": F.percentile("value", 0.95).over(w)})
-    return e.select("event_id", r6(C.quantile_scale(F.col("value"), F.col("a"), F.col("b"), 0.8, 1.2)).alias("scaled"))
+    e = B.quantile_scaled(table(spark, d, "events"), ["user_id"], "value", 0.8, 1.2)
+    return B.quantile_scaled(e, ["user_id"], "no_such_column", 0.8, 1.2, "missing").select("event_id", r6("scaled").alias("scaled"), "missing")
 
 
 @query("SELECT event_id, lpad(CAST(CAST(floor(value) AS INT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value) AS INT) % 60 AS VARCHAR), 2, '0') AS mmss, 'C' || lpad(CAST(user_id AS VARCHAR), 3, '0') AS code FROM events")
@@ -316,6 +316,13 @@ def knn_classify(spark, d):
     return J.nearest_neighbours(e.where("id % 50 = 0").select(F.col("id").alias("qid"), "v"), e)
 
 
+@query(ORACLES["knn_classify"])
+def knn_pruned(spark, d):
+    """The same neighbours where rings of rows that are too far are left out."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return J.pruned_neighbours(e.where("id % 50 = 0").select(F.col("id").alias("qid"), "v"), e)[0]
+
+
 @query("SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
 def class_pairs(spark, d):
     r = table(spark, d, "region")
@@ -678,6 +685,17 @@ def visibility_fill(spark, d):
     return R.gated(samples(spark, d), BY, ORDER, ["x"], "y", 35.0).select("user_id", "seq", r6(F.col("x")).alias("x"))
 
 
+_GATED = f"""{SAMPLES}, gt AS (SELECT user_id, seq, us, i, CASE WHEN y >= 35 THEN x END AS x FROM ev), gf AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS x0, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(x IGNORE NULLS) OVER a AS x1, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1 FROM gt
+ WINDOW b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fl AS (SELECT user_id, seq, i, CASE WHEN i1 IS NULL OR i1 = i0 THEN x0 ELSE x0 + (x1 - x0) * (i - i0) / (i1 - i0) END AS x FROM gf WHERE i0 IS NOT NULL)"""
+
+
+@query(f"WITH {_GATED} SELECT user_id, seq, round(sum(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS x FROM fl")
+def visibility_smooth(spark, d):
+    """Values of low visibility filled, then smoothed over five rows."""
+    return R.gated(samples(spark, d), BY, ORDER, ["x"], "y", 35.0, smooth=5).select("user_id", "seq", r6(F.col("x")).alias("x"))
+
+
 # ---- robust statistics
 
 @query(f"""WITH {SAMPLES}, m AS (SELECT user_id, quantile_cont(x, 0.5) AS m FROM ev GROUP BY user_id), a AS (SELECT user_id, quantile_cont(abs(x - m), 0.5) * 1.4826 AS mad, stddev_pop(x) AS sd FROM ev JOIN m USING (user_id) GROUP BY user_id)
@@ -704,6 +722,35 @@ def fused_energy(spark, d):
     return z.select("seq", r6(C.fused_energy(F.col("zx"), F.col("z"))).alias("energy"))
 
 
+_AXES = {"x": "x", "y": "y", "s": "x + y", "t": "x - y", "u": "x * 0.5 + y", "v": "y - x * 0.25"}
+
+
+@query(f"""WITH {SAMPLES}, ax AS (SELECT user_id, seq, {", ".join(f"{e} AS c_{n}" for n, e in _AXES.items())} FROM ev), m AS (SELECT user_id, {", ".join(f"quantile_cont(c_{n}, 0.5) AS m_{n}" for n in _AXES)} FROM ax GROUP BY user_id),
+a AS (SELECT user_id, {", ".join(f"quantile_cont(abs(c_{n} - m_{n}), 0.5) * 1.4826 AS d_{n}" for n in _AXES)} FROM ax JOIN m USING (user_id) GROUP BY user_id)
+SELECT seq, round(0.45 * ({" + ".join(f"abs((c_{n} - m_{n}) / d_{n})" for n in "xys")}) / 3 + 0.55 * ({" + ".join(f"abs((c_{n} - m_{n}) / d_{n})" for n in "tuv")}) / 3, 6) AS energy FROM ax JOIN m USING (user_id) JOIN a USING (user_id)""")
+def fused_energy_axes(spark, d):
+    """Energy of a node by the mean over three axes of either sensor."""
+    rows = samples(spark, d).select(*BY, "seq", *[F.expr(e).alias(f"c_{n}") for n, e in _AXES.items()])
+    for n in _AXES:
+        rows = B.robust_z(rows, BY, f"c_{n}").withColumnRenamed("z", f"z_{n}")
+    z = lambda names: [F.col(f"z_{n}") for n in names]
+    return rows.select("seq", r6(C.fused_energy(z("xys"), z("tuv"))).alias("energy"))
+
+
+@query(f"""WITH {SAMPLES} SELECT user_id, 'x' AS "column", round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, count(x) AS n FROM ev GROUP BY user_id UNION ALL SELECT user_id, 'y', round(avg(y), 6), round(stddev_samp(y), 6), count(y) FROM ev GROUP BY user_id""")
+def zscore_stats(spark, d):
+    """What each recording is scaled by."""
+    s = B.zscore_stats(samples(spark, d), BY, ["x", "y"])
+    return s.withColumns({"mean": r6("mean"), "std": r6("std")})
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT 'x' AS "column", x AS v FROM ev UNION ALL SELECT 'y', y FROM ev) SELECT "column", count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75, max(v) AS max FROM l GROUP BY 1""")
+def described(spark, d):
+    """Count, mean, deviation and quartiles of two channels."""
+    t = Q.described(samples(spark, d), ["x", "y"])
+    return t.withColumns({c: r6(c) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
 # ---- segments and labels
 
 @query(f"""WITH {SAMPLES}, q AS (SELECT user_id, quantile_cont(x, 0.1) AS q FROM ev GROUP BY user_id), l AS (SELECT ev.*, last_value(CASE WHEN x > 5 * q THEN true WHEN x < 2 * q THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM ev JOIN q USING (user_id)),
@@ -994,6 +1041,53 @@ def segment_similarity(spark, d):
     return M.segment_correlations(s.where("node = 1"), s.where("node = 2"), ["label"], "x").withColumn("r", r6(F.col("r")))
 
 
+@query(f"""WITH {SAMPLES}, r AS (SELECT *, sum(CASE WHEN before IS DISTINCT FROM label THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY us, seq) AS run FROM (SELECT *, lag(label) OVER (PARTITION BY node ORDER BY us, seq) AS before FROM ev)),
+s AS (SELECT node, label, run, dense_rank() OVER (PARTITION BY node, label ORDER BY run) - 1 AS ordinal, row_number() OVER (PARTITION BY node, run ORDER BY us, seq) - 1 AS pos, x FROM r WHERE label IN ('click', 'view', 'purchase')),
+p AS (SELECT a.label, a.ordinal, count(*) AS n, corr(a.x, b.x) AS r, stddev_pop(a.x) AS sa, stddev_pop(b.x) AS sb FROM s a JOIN s b USING (label, ordinal, pos) WHERE a.node = 1 AND b.node = 3 GROUP BY ALL)
+SELECT label, ordinal, n, round(r, 6) AS r FROM p WHERE n >= 3 AND sa >= 1e-12 AND sb >= 1e-12 AND r IS NOT NULL AND NOT isnan(r)""")
+def three_action_similarity(spark, d):
+    """Segments of three actions of at least three samples; those that do not vary are left out."""
+    s = M.labelled_segments(samples(spark, d), ["node"], ORDER, "label", ["click", "view", "purchase"])
+    return M.segment_correlations(s.where("node = 1"), s.where("node = 3"), ["label"], "x", flat=None, least=3).withColumn("r", r6(F.col("r")))
+
+
+_JOINTS = ["left_shoulder", "right_shoulder", "left_elbow", "right_elbow", "left_wrist", "right_wrist", "left_hip", "right_hip"]
+_POSE = f"""{SAMPLES}, jn AS (SELECT unnest(range(0, 8)) AS j, unnest({_JOINTS!r}) AS joint), ps AS (SELECT user_id, i AS frame, joint, x / 100 + j AS px, y / 100 - j % 2 AS py, (x - y) / 200 + j * 0.5 AS pz FROM ev, jn WHERE i < 24),
+ct AS (SELECT user_id, frame, avg(CASE WHEN joint LIKE '%_hip' THEN px END) AS rx, avg(CASE WHEN joint LIKE '%_hip' THEN py END) AS ry, avg(CASE WHEN joint LIKE '%_hip' THEN pz END) AS rz, avg(CASE WHEN joint LIKE '%_shoulder' THEN px END) AS sx, avg(CASE WHEN joint LIKE '%_shoulder' THEN py END) AS sy, avg(CASE WHEN joint LIKE '%_shoulder' THEN pz END) AS sz FROM ps GROUP BY ALL),
+sc AS (SELECT user_id, 1.75 * 0.29 / greatest(quantile_cont(sqrt(pow(sx - rx, 2) + pow(sy - ry, 2) + pow(sz - rz, 2)), 0.5), 1e-6) AS k FROM ct GROUP BY user_id),
+tm AS (SELECT frame, joint, quantile_cont((px - rx) * k, 0.5) AS x, quantile_cont(-(pz - rz) * k, 0.5) AS y, quantile_cont(-(py - ry) * k, 0.5) AS z, count(*) AS n FROM ps JOIN ct USING (user_id, frame) JOIN sc USING (user_id) GROUP BY ALL)"""
+
+
+def _template(spark, d):
+    s = samples(spark, d).where("i < 24")
+    joints = s.select("user_id", F.col("i").alias("frame"), "x", "y", F.posexplode(F.array(*[F.lit(j) for j in _JOINTS])).alias("j", "joint"))
+    pose = joints.select("user_id", "frame", "joint", (F.col("x") / 100 + F.col("j")).alias("x"), (F.col("y") / 100 - F.col("j") % 2).alias("y"), ((F.col("x") - F.col("y")) / 200 + F.col("j") * 0.5).alias("z"))
+    return T.skeleton_template(pose, ["user_id"], "frame", "joint")
+
+
+@query(f"WITH {_POSE} SELECT frame, joint, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, n FROM tm")
+def skeleton_template(spark, d):
+    """Median skeleton of all recordings, frame by frame."""
+    return _template(spark, d).withColumns({a: r6(a) for a in "xyz"})
+
+
+@query(f"""WITH {_POSE}, wn AS (SELECT user_id, count(*) AS n, arg_min(i, {{'x': -x, 'i': i}}) AS rel, 0.9 + (user_id % 5) * 0.05 AS s1, 1.1 - (user_id % 3) * 0.1 AS s2, 1.0 + (user_id % 7) * 0.02 AS s3 FROM ev GROUP BY user_id),
+fr AS (SELECT *, unnest(range(0, n)) AS frame FROM wn), pl AS (SELECT *, CASE WHEN frame <= rel THEN frame / greatest(rel, 1) * 11 ELSE 11 + (frame - rel) / greatest(n - 1 - rel, 1) * 12 END AS pos FROM fr),
+ix AS (SELECT *, greatest(0, least(CAST(floor(pos) AS BIGINT), 22)) AS k FROM pl),
+at AS (SELECT ix.user_id, ix.frame, a.joint, a.x + (b.x - a.x) * (pos - k) AS x, a.y + (b.y - a.y) * (pos - k) AS y, a.z + (b.z - a.z) * (pos - k) AS z, s1, s2, s3 FROM ix JOIN tm a ON a.frame = k JOIN tm b ON b.frame = k + 1 AND b.joint = a.joint),
+w AS (SELECT user_id, frame, any_value(s1) AS s1, any_value(s2) AS s2, any_value(s3) AS s3, {", ".join(f"max({a}) FILTER (joint = '{j}') AS {j}_{a}" for j in _JOINTS for a in "xyz")} FROM at GROUP BY ALL),
+e AS (SELECT *, {", ".join(f"{side}_shoulder_{a} + ({side}_elbow_{a} - {side}_shoulder_{a}) * (1 + 0.15 * ({s} - 1)) AS {side}_e_{a}" for side, s in (("right", "s1"), ("left", "s3")) for a in "xyz")} FROM w)
+SELECT user_id, frame, round(frame / 50.0, 6) AS time_s, {", ".join(f"round({side}_e_{a}, 6) AS {side}_elbow_{a}, round({side}_e_{a} + ({side}_wrist_{a} - {side}_elbow_{a}) * (1 + 0.15 * ({s} - 1)), 6) AS {side}_wrist_{a}" for side, s in (("right", "s2"), ("left", "s3")) for a in "xyz")}, {", ".join(f"round((left_hip_{a} + right_hip_{a}) / 2, 6) AS hips_{a}" for a in "xyz")} FROM e""".replace("at AS (SELECT ix", "atj AS (SELECT ix").replace("FROM at GROUP", "FROM atj GROUP"))
+def fused_animation(spark, d):
+    """The template at the pace of each recording, its arms scaled."""
+    s = samples(spark, d)
+    w = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("i", F.struct(-F.col("x"), "i")).alias("release"))
+    w = w.withColumns({"s1": 0.9 + (F.col("user_id") % 5) * 0.05, "s2": 1.1 - (F.col("user_id") % 3) * 0.1, "s3": 1.0 + (F.col("user_id") % 7) * 0.02})
+    f = T.fused_frames(w, T.framed(_template(spark, d), "frame", "joint"), BY, 24, _JOINTS)
+    parts = {f"{j}_{a}": F.col(f"joints.{j}")[k] for j in ("right_elbow", "right_wrist", "left_elbow", "left_wrist") for k, a in enumerate("xyz")}
+    return f.select("user_id", "frame", r6("time_s").alias("time_s"), *[c.alias(n) for n, c in parts.items()], *[F.col("hips")[k].alias(f"hips_{a}") for k, a in enumerate("xyz")])
+
+
 @query(f"""WITH {SAMPLES}, l AS (SELECT unnest(range(-5, 6)) AS lag), p AS (SELECT a.user_id, l.lag, corr(a.x, b.y) AS r FROM ev a, l JOIN ev b ON b.user_id = a.user_id AND b.i = a.i + l.lag GROUP BY ALL)
 SELECT user_id, CAST(lag AS INT) AS lag, round(r, 6) AS r FROM p WHERE r IS NOT NULL AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(r, 9) DESC, abs(lag), lag) = 1""")
 def xcorr_lag(spark, d):

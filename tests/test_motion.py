@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kinetrace.functions import kernels as k
-from kinetrace.operators import evaluation, features, folds, kernel_machine, learning, quality, rejection, resample, rules, signal, windows
+from kinetrace.operators import evaluation, features, folds, joins, kernel_machine, learning, quality, rejection, resample, rules, signal, skeleton, windows
 from kinetrace.sources import io
 
 
@@ -354,3 +354,59 @@ def test_nothing_gives_nothing(spark):
     assert windows.event_anchors(windows.event_segments(empty, ["u"], ["i"], "label"), ["u"], "i", "x", "label").count() == 0
     with pytest.raises(ValueError):
         kernel_machine.fit_grid(kernel_machine.prepared(empty.select("u", F.array("x").alias("v"), "label"), "v", "label", "u", 3), [1.0], [0.1])
+
+
+@pytest.mark.parametrize("size", [20_000, 7])
+def test_pruned_neighbours_are_exact(spark, size, monkeypatch):
+    """Clusters far apart, ties, repeated vectors and queries that are no rows; most pairs are never computed."""
+    monkeypatch.setattr(joins, "ROWS_AT_ONCE", size)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((60, 3)) * 0.2 + 5 * c for c in range(10)] + [np.ones((30, 3))])
+    rows = [(i, [float(v) for v in row], f"c{i % 4}") for i, row in enumerate(x)]
+    train = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    queries = train.where("id % 9 = 0").select(F.col("id").alias("qid"), "v").union(spark.createDataFrame([(9001, [100.0, 0.0, 0.0]), (9002, [1.0, 1.0, 1.0])], "qid long, v array<double>"))
+    got, told = joins.pruned_neighbours(queries, train, 5)
+    want = joins.nearest_neighbours(queries, train, 5)
+    plain = {}
+    for q in queries.collect():
+        near = sorted((round(float(((x[i] - np.array(q.v)) ** 2).sum()), 9), i) for i in range(len(x)) if i != q.qid)[:5]
+        votes = [rows[i][2] for _, i in near]
+        plain[q.qid] = min((-votes.count(c), c) for c in set(votes))
+    assert {r.qid: (-r.votes, r.label) for r in want.collect()} == plain
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == queries.count()
+    shares = [r.computed / r.rows for r in told.collect()]
+    assert len(shares) == queries.count() and np.mean(shares) < 0.5
+    assert joins.pruned_neighbours(queries, train.where("false"))[0].count() == 0
+    few = joins.pruned_neighbours(queries, train.limit(3), 5)[0].collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, joins.nearest_neighbours(queries, train.limit(3), 5).collect()))
+
+
+def test_animation_documents(spark):
+    names = ["left_shoulder", "right_shoulder", "left_elbow", "right_elbow", "left_wrist", "right_wrist", "left_hip", "right_hip"]
+    rows = [(s, f, j, float(k + f), float(k % 3), float(f * s)) for s in (1, 2, 3) for f in range(10) for k, j in enumerate(names)]
+    template = skeleton.skeleton_template(spark.createDataFrame(rows, "seg long, frame long, joint string, x double, y double, z double"), ["seg"], "frame", "joint")
+    assert template.count() == 80 and {r.n for r in template.collect()} == {3}
+    hips = template.where("joint LIKE '%hip'").groupBy("frame").agg(*[F.abs(F.sum(a)).alias(a) for a in "xyz"]).collect()
+    assert all(max(r.x, r.y, r.z) < 1e-9 for r in hips)
+    windows_ = spark.createDataFrame([(1, 7, 3, 1.0, 1.0, 1.0), (2, 1, 0, 2.0, 1.0, 1.0), (3, 0, 0, 1.0, 1.0, 1.0)], "w long, n long, release long, s1 double, s2 double, s3 double")
+    frames = skeleton.fused_frames(windows_, skeleton.framed(template, "frame", "joint"), ["w"], 10, names).withColumn("phase", F.lit("rise"))
+    docs = {r.w: (r.n_frames, __import__("json").loads(r.document)) for r in skeleton.animations(frames, ["w"], ["phase"]).collect()}
+    assert {w: n for w, (n, _) in docs.items()} == {1: 7, 2: 1} and [f["frame"] for f in docs[1][1]["frames"]] == list(range(7))
+    plain = {(r.frame, r.joint): (r.x, r.y, r.z) for r in template.collect()}
+    last, middle = docs[1][1]["frames"][6], docs[1][1]["frames"][3]
+    assert last["joints"]["right_wrist"] == pytest.approx(plain[9, "right_wrist"], abs=1e-5) and middle["joints"]["left_hip"] == pytest.approx(plain[4, "left_hip"], abs=1e-5)
+
+
+def test_quantile_scaling_of_a_missing_column(spark):
+    df = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, 5.0)], "u long, x double")
+    from kinetrace.operators import robust
+
+    assert [r.scaled for r in robust.quantile_scaled(df, ["u"], "nothing", 0.8, 1.2).collect()] == [1.0] * 3
+    assert sorted(r.scaled for r in robust.quantile_scaled(df, ["u"], "x", 0.8, 1.2).collect()) == pytest.approx([0.8, 0.8, 1.2])
+
+
+def test_linear_machine_scales_by_the_population(spark):
+    _, y, df = vectors(spark, 60)
+    wide = df.select("label", *[F.col("v")[i].alias(f"f{i}") for i in range(4)])
+    out = learning.linear_machine(wide, [f"f{i}" for i in range(4)], "label").transform(wide).select("features").collect()
+    assert np.array([r[0].toArray() for r in out]).std(0) == pytest.approx(np.ones(4))
