@@ -39,10 +39,10 @@ def most_similar(correlations: DataFrame, by: str) -> DataFrame:
     return means.agg(F.min(F.struct(-F.col("mean"), F.col(by))).alias("b")).select(F.col(f"b.{by}").alias(by), (-F.col("b.col1")).alias("mean"))
 
 
-def lagged_correlation(df: DataFrame, by: list[str], i: str, x: str, y: str, most: int) -> DataFrame:
-    """(…, lag, r): the shift of y within ``most`` places that correlates best with x, the smallest of equals. Places
-    ``i`` follow one another without gaps. All shifts are columns over one sort, so no row is copied."""
-    w, lags = Window.partitionBy(*by).orderBy(i), range(-most, most + 1)
+def lagged_correlation(df: DataFrame, by: list[str], order: list[str], x: str, y: str, most: int) -> DataFrame:
+    """(…, lag, r): the shift of y within ``most`` rows that correlates best with x, the smallest of equals. All shifts are
+    columns over one sort, so no row is copied."""
+    w, lags = Window.partitionBy(*by).orderBy(*order), range(-most, most + 1)
     rows = df.select(*by, F.col(x).alias("__x"), *[F.lead(y, k).over(w).alias(f"__y{n}") for n, k in enumerate(lags)])
     found = rows.groupBy(*by).agg(*[correlation(F.col("__x"), F.col(f"__y{n}")).alias(f"__r{n}") for n in range(len(lags))])
     each = F.array(*[F.struct((-F.round(F.col(f"__r{n}"), 9)).alias("minus"), F.lit(abs(k)).alias("far"), F.lit(k).alias("lag")) for n, k in enumerate(lags)])

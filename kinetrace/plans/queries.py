@@ -1091,7 +1091,7 @@ def fused_animation(spark, d):
 @query(f"""WITH {SAMPLES}, l AS (SELECT unnest(range(-5, 6)) AS lag), p AS (SELECT a.user_id, l.lag, corr(a.x, b.y) AS r FROM ev a, l JOIN ev b ON b.user_id = a.user_id AND b.i = a.i + l.lag GROUP BY ALL)
 SELECT user_id, CAST(lag AS INT) AS lag, round(r, 6) AS r FROM p WHERE r IS NOT NULL AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(r, 9) DESC, abs(lag), lag) = 1""")
 def xcorr_lag(spark, d):
-    return M.lagged_correlation(samples(spark, d), BY, "i", "x", "y", 5).withColumn("r", r6(F.col("r")))
+    return M.lagged_correlation(samples(spark, d).drop("i"), BY, ORDER, "x", "y", 5).withColumn("r", r6(F.col("r")))
 
 
 @query(f"WITH {SAMPLES} SELECT node, i, round(avg(x), 8) AS mean, round(stddev_pop(x), 8) AS std, round(quantile_cont(x, 0.5), 8) AS median, count(x) AS n FROM ev GROUP BY ALL")
@@ -1197,18 +1197,38 @@ def gravity_frame(spark, d):
     return G.gravity_frame(_motion(spark, d), BY, ORDER, ["x", "y", "z"], 50.0)
 
 
-@query()
+#: Windows of 32 as groups of their own, places counted from 0.
+_WINDOWS = f"""{SAMPLES}, {windows_sql(32, 16)}, wv AS (SELECT user_id AS u, window_id, user_id * 100000 + window_id AS user_id, i - min(i) OVER (PARTITION BY user_id, window_id) AS i, x, y FROM w)"""
+
+
+@query(f"""WITH {_WINDOWS}, {peaks_sql("wv")}, mo AS (SELECT user_id, any_value(u) AS u, any_value(window_id) AS window_id, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, sqrt(avg(x * x)) AS rms FROM wv GROUP BY user_id),
+ms AS (SELECT user_id, avg(pow(x - mean, 3)) AS m3, avg(pow(x - mean, 4)) AS m4 FROM wv JOIN mo USING (user_id) GROUP BY user_id),
+nb AS (SELECT *, lag(x) OVER q AS b, lead(x) OVER q AS a FROM wv WINDOW q AS (PARTITION BY user_id ORDER BY i)),
+jk AS (SELECT user_id, count(*) FILTER (x * b < 0) AS zero_cross, max(abs(CASE WHEN b IS NULL THEN (a - x) * 50 WHEN a IS NULL THEN (x - b) * 50 ELSE (a - b) * 25 END)) AS jerk FROM nb GROUP BY user_id),
+pc AS (SELECT mo.user_id, count(*) FILTER (prominence >= 0.5 * std) AS peaks FROM mo LEFT JOIN pp USING (user_id) GROUP BY mo.user_id),
+ks AS (SELECT unnest(range(0, 17)) AS k), df AS (SELECT user_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 32)), 2) + pow(sum(x * sin(2 * pi() * k * i / 32)), 2)) AS a FROM wv, ks GROUP BY ALL),
+tt AS (SELECT user_id, sum(a * a) FILTER (k > 0) + 1e-12 AS total FROM df GROUP BY user_id),
+sp AS (SELECT user_id, arg_max(k, a) FILTER (k > 0) * 50 / 32.0 AS dom_freq, max(a * a) FILTER (k > 0) / any_value(total) AS dom_power, sum(k * 50 / 32.0 * a) / (sum(a) FILTER (k > 0) + 1e-12) AS centroid, -sum(a * a / total * log2(a * a / total + 1e-12)) FILTER (k > 0) AS entropy,
+ sum(a * a) FILTER (k * 50 / 32.0 < 3) / any_value(total) AS b0, sum(a * a) FILTER (k * 50 / 32.0 >= 3 AND k * 50 / 32.0 < 8) / any_value(total) AS b3, sum(a * a) FILTER (k * 50 / 32.0 >= 8 AND k * 50 / 32.0 < 25) / any_value(total) AS b8 FROM df JOIN tt USING (user_id) GROUP BY user_id)
+SELECT u AS user_id, window_id, round(mean, 8) AS mean, round(std, 5) AS std, min, max, round(max - min, 5) AS ptp, round(rms, 5) AS rms, round(m3 / pow(std, 3), 5) AS skew, round(m4 / pow(std, 4) - 3, 5) AS kurt, CAST(zero_cross AS DOUBLE) AS zero_cross, CAST(peaks AS DOUBLE) AS peaks, round(jerk, 5) AS jerk_peak,
+ round(dom_freq, 5) AS dom_freq, round(dom_power, 5) AS dom_power, round(centroid, 5) AS centroid, round(entropy, 5) AS entropy, round(b0, 5) AS band_0_3, round(b3, 5) AS band_3_8, round(b8, 5) AS band_8_25 FROM mo JOIN ms USING (user_id) JOIN jk USING (user_id) JOIN pc USING (user_id) JOIN sp USING (user_id)""")
 def window_spectrum(spark, d):
     """Entropy and band shares, with all other features, of every window of a recording."""
-    return G.window_features(W.sliding_samples(samples(spark, d), BY, ORDER, "x", 32, 16), ["user_id", "window_id"], "samples", 50.0)
+    f = G.window_features(W.sliding_samples(samples(spark, d), BY, ORDER, "x", 32, 16), ["user_id", "window_id"], "samples", 50.0)
+    return f.withColumns({c: F.round(c, 8 if c == "mean" else 5) for c in f.columns if c not in ("user_id", "window_id", "min", "max")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WINDOWS}, ce AS (SELECT user_id, any_value(u) AS u, any_value(window_id) AS window_id, list(x - m ORDER BY i) AS a, list(y - n ORDER BY i) AS b, stddev_pop(x) * stddev_pop(y) * 31 + 1e-12 AS size FROM (SELECT *, avg(x) OVER (PARTITION BY user_id) AS m, avg(y) OVER (PARTITION BY user_id) AS n FROM wv) GROUP BY user_id),
+lg AS (SELECT unnest(range(-31, 32)) AS lag), cc AS (SELECT user_id, lag, list_sum(list_transform(range(greatest(1, 1 - lag), least(32, 32 - lag) + 1), lambda j: a[j + lag] * b[j])) AS c FROM ce, lg),
+mx AS (SELECT user_id, max(c) AS c, arg_max(lag, c) AS lag FROM cc GROUP BY user_id), al AS (SELECT unnest(range(0, 32)) AS lag),
+ac AS (SELECT user_id, lag, list_sum(list_transform(range(1, 33 - lag), lambda j: a[j + lag] * a[j])) AS c FROM ce, al), av AS (SELECT user_id, lag - 3 AS i, c AS x FROM ac WHERE lag >= 3), {peaks_sql("av")}, {far_sql(3)},
+fp AS (SELECT user_id, min(i) + 3 AS period FROM far GROUP BY user_id)
+SELECT u AS user_id, window_id, round(mx.c / size, 5) AS sync_max, round(mx.lag / 50.0, 5) AS sync_lag, round(coalesce(ac.c / (a0.c + 1e-12), 0), 5) AS period_height, round(coalesce(period / 50.0, 0), 5) AS period_lag
+ FROM ce JOIN mx USING (user_id) JOIN ac a0 ON a0.user_id = ce.user_id AND a0.lag = 0 LEFT JOIN fp ON fp.user_id = ce.user_id LEFT JOIN ac ON ac.user_id = ce.user_id AND ac.lag = fp.period""")
 def envelope_sync(spark, d):
     """How two channels of a window agree, and the period of the first."""
-    s, keys = samples(spark, d), ["user_id", "window_id"]
-    x, y = (W.sliding_samples(s, BY, ORDER, c, 32, 16).withColumnRenamed("samples", f"s_{c}") for c in ("x", "y"))
-    return G.synchrony(x.join(y, keys), keys, "s_x", "s_y", 50.0)
+    s = G.synchrony(_arrays(spark, d), ["user_id", "window_id"], "x", "y", 50.0)
+    return s.withColumns({c: F.round(c, 5) for c in ("sync_max", "sync_lag", "period_height", "period_lag")})
 
 
 def _arrays(spark, d):
