@@ -248,7 +248,8 @@ def encode_decode(df: DataFrame, text_col: str = "text", model: str | None = Non
 
 
 def token_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; nulls as in ``encode_decode``."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; nulls as in ``encode_decode``. Rows that repeat, and
+    rows of a null id, get what their text gets; an empty table gives no rows; other columns play no part."""
     vocabulary = load_vocabulary(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

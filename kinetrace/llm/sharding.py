@@ -140,7 +140,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     size is the text's UTF-8 bytes plus one; a null text has none and CRC 0, and is equal to an empty one.
     Equal texts share a shard. slot numbers the rows of a shard from 0 without gaps, by group, then by a hash
     of the id and the id itself; repeated rows get slots of their own. With fewer groups than shards some
-    shards stay empty.
+    shards stay empty; an empty table gives no rows. Other columns play no part, whatever their names.
     """
     text = text_of(text_col)
     rows = df.select(

@@ -137,6 +137,16 @@ def test_shards_are_near_equal(spark):
     assert len(sizes) == 16 and sizes[-1] >= 2000 * 401 and sizes[-2] - sizes[0] <= sizes[-2] // 4
 
 
+def test_slots_go_by_group_part_and_id(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text")).withColumns({c: F.lit(1) for c in ("g", "part", "i", "start", "shard", "n")})
+    placed = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df, 5).collect()}
+    order = df.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(sharding.GROUPS)).alias("a"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(sharding.PARTS)).alias("b")).collect()
+    want = {}
+    for r in sorted(order, key=lambda r: (r.a, r.b, r.doc_id)):
+        want.setdefault(placed[r.doc_id][0], []).append(r.doc_id)
+    assert {s: [i for _, i in sorted((placed[i][1], i) for i in ids)] for s, ids in want.items()} == want
+
+
 def test_large_groups_are_numbered_in_parts(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "same").otherwise(F.col("id").cast("string")).alias("text"))
     got = sharding.shard(df, 4)

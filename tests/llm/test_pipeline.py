@@ -44,7 +44,18 @@ def test_stages(spark, data):
     assert left.columns == columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in near.collect() if not hit(w(r.text))}
 
     tokens = stages["sentencepiece"](spark, left, data)
-    assert tokens.count() == left.count() and tokens.where("n_tokens < 1").count() == 0
+    import hashlib
+
+    import sentencepiece
+
+    from kinetrace.llm.sentencepiece_bpe import default_model
+
+    library = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    want = {}
+    for r in left.collect():
+        ids = library.encode(r.text or "", add_eos=True)
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens.collect()} == want
 
 
 def test_clashing_columns_and_nothing(spark, data):
