@@ -116,3 +116,10 @@ def test_udp_source(spark, tmp_path):
         assert spark.table("datagrams").where("value = 'a,1'").count() > 0
     finally:
         q.stop()
+
+
+def test_packets_of_one_kind_and_state(spark):
+    names = "group node seq node_timestamp_us master_timestamp_us acc_x acc_y acc_z gyr_x gyr_y gyr_z".split()
+    rows = spark.range(8).select(*[F.lit(1).alias(c) for c in names], (F.col("id") % 2).alias("msg_type"), F.col("id").alias("status"))
+    assert {r.status for r in streams.valid_packets(rows, kind=1, status=2).collect()} == {3, 7}
+    assert streams.valid_packets(rows).count() == 8
