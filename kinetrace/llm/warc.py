@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrace.llm.common import joined_evenly, table, text_of, written
+from kinetrace.llm.common import is_set, joined_evenly, key_bitmap, table, text_of, written
 
 #: An archive segment ends with the record that takes it past so many bytes.
 SEGMENT_BYTES = 4 << 20
@@ -138,9 +138,16 @@ def write_segments(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = text_of(html_col)
     sha = F.concat(F.when(F.octet_length(html) < min_bytes, "small ").otherwise(""), F.sha1(html.cast("binary")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), sha.alias("sha"))
-    shared = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("shared", F.lit(True))
-    rows = joined_evenly(rows, written(shared, "payloads"), "sha", "n", ["page_id", "url"], "left")
-    rows = rows.select("page_id", "url", "html", "first", (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    shared = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(shared, "payloads")
+    bits, bitmaps = key_bitmap(shared.select(F.xxhash64("sha").alias("k")), "k")
+    at = F.pmod(F.xxhash64("sha"), F.lit(bits)) + 1
+    rows = rows.withColumn("at", at).join(F.broadcast(bitmaps), F.bitmap_bucket_number("at") == F.col("bucket"), "left").withColumn("maybe", is_set(F.col("bits"), F.col("at")))
+    # only pages whose digest may be shared travel; the join is exact
+    maybe = joined_evenly(rows.where("maybe").select("page_id", "url", "html", "sha"), shared, "sha", "n", ["page_id", "url"], "left")
+    repeat = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    alone = rows.where("NOT maybe").select("page_id", "url", "html", F.lit(None).cast(pages.schema[id_col].dataType).alias("first"), F.lit(False).alias("revisit"))
+    rows = alone.unionByName(maybe.select("page_id", "url", "html", "first", repeat.alias("revisit")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
