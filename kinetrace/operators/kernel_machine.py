@@ -55,7 +55,7 @@ def _summed(rows: DataFrame, run, kinds: str, keys: list[str]) -> dict:
         whole = sum(np.frombuffer(b.as_py()) for b in table.column("sums"))
         return pa.table({**{k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key)}, "sums": pa.array([whole.tobytes()], pa.binary())})
 
-    spread = parts.withColumn("__part", (F.rand(7) * 16).cast("int"))
+    spread = parts.withColumn("__part", F.spark_partition_id() % 16)
     once = spread.groupBy(*keys, "__part").applyInArrow(lambda key, t: add(key[:-1], t), f"{kinds}, sums binary")
     return {tuple(r[k] for k in keys): np.frombuffer(r["sums"]) for r in once.groupBy(*keys).applyInArrow(add, f"{kinds}, sums binary").collect()}
 
