@@ -36,7 +36,8 @@ def test_files_by_name(spark, tmp_path):
 def test_metadata(spark):
     good = '{"eu": {"s1": {"age": 20, "height": 1.8}}, "na": {"s2": {"skill": "pro"}}}'
     got = io.flatten_metadata(spark.createDataFrame([(good,), ("{broken",)], "json string"))
-    assert sorted((r.region, r.subject, r.age) for r in got.collect()) == [("eu", "s1", 20), ("na", "s2", None)]
+    assert sorted((r.region, r.subject, r.age) for r in got.where("_corrupt_record IS NULL").collect()) == [("eu", "s1", 20), ("na", "s2", None)]
+    assert [(r.region, r.subject, r._corrupt_record) for r in got.where("_corrupt_record IS NOT NULL").collect()] == [(None, None, "{broken")]
 
 
 def test_recordings(spark):
