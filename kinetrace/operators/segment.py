@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions.columns import clip
 from kinetrace.operators.joins import interval_join, lookup
-from kinetrace.operators.robust import robust_z
+from kinetrace.operators.robust import quantiled, robust_z
 from kinetrace.operators.windows import indexed, moving_average, over, runs, sliding
 
 
@@ -34,7 +34,7 @@ def latch(df: DataFrame, by: list[str], order: list[str], x: str, hi: Column, lo
 
 def hysteresis(df: DataFrame, by: list[str], order: list[str], x: str, hi: float = 5.0, lo: float = 2.0, gap: float = 0.0, least: int = 1) -> DataFrame:
     """Segments between two thresholds, multiples of the 10th percentile; near ones joined, short ones left out."""
-    rows = df.withColumn("__q", F.percentile(x, 0.1).over(Window.partitionBy(*by)))
+    rows = quantiled(df, by, x, {"__q": 0.1})
     rows = rows.withColumn("__state", latch(rows, by, order, x, F.col("__q") * hi, F.col("__q") * lo))
     return merge_close(active_runs(rows, by, order, F.col("__state")), by, gap).where(F.col("n") >= least)
 
@@ -42,9 +42,8 @@ def hysteresis(df: DataFrame, by: list[str], order: list[str], x: str, hi: float
 def adaptive(df: DataFrame, by: list[str], order: list[str], x: str, least: int, gap: float) -> DataFrame:
     """Segments over a threshold from the recording's own percentiles: the median and a quarter of the spread
     between the 10th and the 90th, and one and a half times the 10th at least."""
-    q = F.percentile(x, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).over(Window.partitionBy(*by))
-    rows = df.withColumn("__q", q)
-    p10, p50, p90 = (F.col("__q")[i] for i in range(3))
+    rows = quantiled(df, by, x, {"__p10": 0.1, "__p50": 0.5, "__p90": 0.9})
+    p10, p50, p90 = (F.col(c) for c in ("__p10", "__p50", "__p90"))
     level = F.greatest(p50 + 0.25 * (p90 - p10), 1.5 * p10)
     found = active_runs(rows, by, order, F.col(x) > level).where(F.col("n") >= least)
     return merge_close(found, by, gap)
@@ -54,7 +53,7 @@ def continuous_labels(df: DataFrame, by: list[str], order: list[str], energy: st
     """A recording of one action: its label, but none where energy dips under 1.5 times the 10th percentile or
     within ``trim`` of an end."""
     w = Window.partitionBy(*by)
-    rows = df.withColumns({"__q": F.percentile(energy, 0.1).over(w), "__a": F.min(t).over(w), "__b": F.max(t).over(w)})
+    rows = quantiled(df, by, energy, {"__q": 0.1}).withColumns({"__a": F.min(t).over(w), "__b": F.max(t).over(w)})
     rest = (F.col(energy) < 1.5 * F.col("__q")) | (F.col(t) < F.col("__a") + trim) | (F.col(t) > F.col("__b") - trim)
     return rows.withColumn("assigned", F.when(rest, none).otherwise(F.col(label))).drop("__q", "__a", "__b")
 
@@ -121,7 +120,8 @@ def smeared_labels(df: DataFrame, by: list[str], order: list[str], x: str, label
     part = [*by, "window_id"]
     windows = sliding(df.select(*by, *order, x), by, order, size, step).withColumn("__e", F.sqrt(F.avg(F.col(x) * F.col(x)).over(Window.partitionBy(*part))))
     best = windows.groupBy(*by, "i").agg(F.max("__e").alias("__most"))
-    rest = windows.groupBy(*part).agg(F.first("__e").alias("__e")).groupBy(*by).agg(F.percentile("__e", 0.1).alias("__rest"))
+    rest = windows.groupBy(*part).agg(F.first("__e").alias("__e"))
+    rest = quantiled(rest, by, "__e", {"__rest": 0.1}).groupBy(*by).agg(F.first("__rest").alias("__rest"))
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     rows = indexed(df, by, order).withColumn("__n", n).join(best, [*by, "i"], "left").join(rest, by, "left")
     quiet = F.coalesce(F.coalesce("__most", F.lit(0.0)) < 1.5 * F.col("__rest"), F.lit(True)) | (F.col("i") < trim) | (F.col("i") >= F.col("__n") - trim)
@@ -157,7 +157,7 @@ def last_impact(df: DataFrame, releases: DataFrame, by: list[str], i: str, energ
     start = F.greatest(F.lit(0), F.col("release") - gather)
     first = F.greatest(F.lit(0), start - search)
     rows = df.select(*by, i, energy).join(releases, by).where((F.col(i) >= first) & (F.col(i) < F.greatest(first + 1, start)))
-    rows = rows.withColumn("__q", F.percentile(energy, share).over(Window.partitionBy(*by)))
+    rows = quantiled(rows, by, energy, {"__q": share})
     found = rows.groupBy(*by).agg(F.max(F.when(F.col(energy) >= F.col("__q"), F.col(i))).alias("last"), F.min(i).alias("first"), F.count(energy).alias("c"))
     place = F.when(F.col("c") < 3, F.col("first")).otherwise(F.coalesce("last", "first"))
     return releases.join(found, by).select(*releases.columns, place.alias("impact"))
