@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrace.functions.columns import clip
+from kinetrace.functions.columns import clip, share_of
 from kinetrace.operators.joins import interval_join, lookup
 from kinetrace.operators.robust import quantiled, robust_z
 from kinetrace.operators.windows import indexed, moving_average, over, runs, sliding
@@ -81,7 +81,7 @@ def phases(events: DataFrame, start: str, release: str, end: str, lengths: dict[
 def best_in_share(df: DataFrame, by: list[str], i: str, score: str, lo: float, hi: float) -> DataFrame:
     """Place of the highest score, the first of equals, inside a share of each window."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    inner = df.withColumn("__n", n).where((F.col(i) >= F.floor(lo * F.col("__n"))) & (F.col(i) < F.floor(hi * F.col("__n"))))
+    inner = df.withColumn("__n", n).where((F.col(i) >= share_of(lo, F.col("__n"))) & (F.col(i) < share_of(hi, F.col("__n"))))
     return inner.groupBy(*by).agg(F.min_by(i, F.struct(-F.col(score), F.col(i))).alias("place"), F.max(score).alias("score"))
 
 
