@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.functions.columns import share_of
+
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes: list) -> DataFrame:
     """A count for every pair of classes, zeros included."""
@@ -159,7 +161,7 @@ def split_recordings(df: DataFrame, recording: str, share: float = 0.7) -> DataF
     name decides. Rows of no recording are in neither part (null). Recordings are few beside their rows."""
     names = df.where(F.col(recording).isNotNull()).groupBy(recording).agg(F.md5(F.col(recording).cast("string").cast("binary")).alias("h"))
     w = Window.partitionBy(F.lit(0))
-    placed = names.select(F.col(recording).alias("__rec"), (F.row_number().over(w.orderBy("h")) <= F.floor(share * F.count(F.lit(1)).over(w))).alias("train"))
+    placed = names.select(F.col(recording).alias("__rec"), (F.row_number().over(w.orderBy("h")) <= share_of(share, F.count(F.lit(1)).over(w))).alias("train"))
     return df.join(placed, F.col(recording) == F.col("__rec"), "left").drop("__rec")
 
 
