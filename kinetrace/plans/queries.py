@@ -140,7 +140,7 @@ def quantile_scaling(spark, d):
 
 @query("SELECT event_id, lpad(CAST(CAST(floor(value) AS INT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value) AS INT) % 60 AS VARCHAR), 2, '0') AS mmss, 'C' || lpad(CAST(user_id AS VARCHAR), 3, '0') AS code FROM events")
 def time_labels(spark, d):
-    return table(spark, d, "events").select("event_id", C.minutes_seconds(F.col("value")).alias("mmss"), C.numbered("C", F.col("user_id"), 3).alias("code"))
+    return table(spark, d, "events").select("event_id", C.minutes_seconds(F.col("value")).alias("mmss"), C.lettered("C", F.col("user_id"), 3).alias("code"))
 
 
 @query("SELECT p_partkey, split_part(p_name, ' ', 1) AS first_word, replace(p_brand, 'Brand#', 'B') AS brand, CAST(regexp_extract(p_brand, '#([0-9]+)', 1) AS INT) AS number, starts_with(p_name, 'small') AS small FROM part")
