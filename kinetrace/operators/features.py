@@ -231,7 +231,7 @@ def validated(df: DataFrame, keys: list[str], order: list[str], label: str, impa
     def shape(v: np.ndarray, h: np.ndarray) -> tuple[int, bool, bool]:
         if not len(v):
             return 0, False, False
-        level = max(factor * v.mean(), 1e-6)
+        level = max(factor * (v.cumsum()[-1] / len(v)), 1e-6)  # summed in order, as an aggregate sums
         tops = kernels.find_peaks(v, max(1, int(rate * 0.05)), level)
         left, right = kernels.reaches(v, tops, np.full(len(tops), level))
         return len(tops), bool(((right - left) / rate < narrow).any()), bool((v[tops] > h[tops]).any())
