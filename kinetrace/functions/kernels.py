@@ -153,6 +153,16 @@ def widths(x: np.ndarray, peaks: np.ndarray, share: float = 0.5) -> np.ndarray:
     return right - left
 
 
+def running_std(x: np.ndarray) -> float:
+    """Deviation of the population by Welford's steps, one sample at a time: to the last bit what an aggregate gives."""
+    mean = squares = 0.0
+    for n, v in enumerate(x.tolist(), 1):
+        before = v - mean
+        mean += before / n
+        squares += (v - mean) * before
+    return float(np.sqrt(squares / len(x)))
+
+
 def find_peaks(x: np.ndarray, distance: int | None = None, prominence: float | None = None) -> np.ndarray:
     """Local maxima at least ``distance`` apart, higher ones first, of equals the later; and then of enough prominence."""
     peaks = local_maxima(x)

@@ -179,13 +179,13 @@ def event_anchors(segments: DataFrame, by: list[str], i: str, x: str, label: str
     rows = rows.select(*by, "segment", label, F.transform("__s", lambda s: s[i]).alias("__i"), F.transform("__s", lambda s: s[x].cast("double")).alias("__x"))
 
     def place(x: np.ndarray) -> tuple[int, str]:
-        tops = kernels.find_peaks(x, apart, spread * x.std())
-        energy = x**2
+        tops = kernels.find_peaks(x, apart, spread * kernels.running_std(x))
         if len(tops):
             return int(tops[np.argmax(x[tops])]), "peak"
-        if energy.sum() < 1e-12:
+        energy, moment = (x * x).cumsum()[-1], (np.arange(len(x)) * x * x).cumsum()[-1]  # in order, as aggregates sum
+        if energy < 1e-12:
             return len(x) // 2, "middle"
-        return min(int((np.arange(len(x)) * energy).sum() / energy.sum()), len(x) - 1), "centroid"
+        return min(int(moment / energy), len(x) - 1), "centroid"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
