@@ -49,6 +49,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def r6_scaled(c):
+    """As r6 for means of 32 or 64 values, which do have ties at six: scaled and rounded to a whole number, as DuckDB does it."""
+    return F.round(F.col(c) * 1e6) / 1e6
+
+
 # ---- the flagship: windows, rules, smoothing, timeline
 
 _RULES_SQL = """CASE WHEN mx > 250 AND sd < 80 THEN 'jump' WHEN ptp BETWEEN 60 AND 120 AND nz >= 3 THEN 'dribble'
@@ -403,7 +408,7 @@ def static_check(spark, d):
     """Whether recordings are at rest: acceleration, its vertical part and rotation."""
     s = samples(spark, d).withColumns({"v": F.col("y") - 50, "g": F.col("y") / 100})
     out = Q.static_check(s, BY, "x", "v", "g", 50.0, 32.0, 0.5)
-    return out.withColumns({c: r6(F.col(c)) for c in out.columns if c.endswith(("_mean", "_std"))})
+    return out.withColumns({c: r6_scaled(c) for c in out.columns if c.endswith(("_mean", "_std"))})
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS lo, max(value) AS hi, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
