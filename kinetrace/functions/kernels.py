@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -67,6 +69,39 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return twice[..., ::-1][..., pad:-pad]
 
 
+def alike(lengths: list[int]) -> list[list[int]]:
+    """Places by falling length, in parts whose longest has at most twice the length of the shortest, and 16 more: padded
+    to one length, a part takes no more than a few times its room."""
+    parts: list[list[int]] = []
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        if not parts or lengths[parts[-1][0]] > 2 * lengths[k] + 16:
+            parts.append([])
+        parts[-1].append(k)
+    return parts
+
+
+def zero_phase_each(b: np.ndarray, a: np.ndarray, xs: list[np.ndarray]) -> list[np.ndarray]:
+    """``zero_phase`` of many signals [channels, samples] of any lengths, side by side: what pads the shorter ones comes
+    after their last sample, which a pass has left by then."""
+    pad, zi = 3 * max(len(a), len(b)), steady_state(b, a)
+    out = [x.copy() for x in xs]
+
+    def passed(rows: list[np.ndarray]) -> list[np.ndarray]:
+        stack = np.zeros((rows[0].shape[0], len(rows), max(r.shape[-1] for r in rows)))
+        for k, r in enumerate(rows):
+            stack[:, k, : r.shape[-1]] = r
+        got = filtered(b, a, stack, np.array([z * stack[..., 0] for z in zi]))
+        return [got[:, k, : r.shape[-1]] for k, r in enumerate(rows)]
+
+    for part in alike([x.shape[-1] for x in xs]):
+        some = [k for k in part if xs[k].shape[-1] > pad]
+        if some:
+            wide = [np.concatenate([2 * xs[k][:, :1] - xs[k][:, pad:0:-1], xs[k], 2 * xs[k][:, -1:] - xs[k][:, -2 : -pad - 2 : -1]], -1) for k in some]
+            for k, y in zip(some, passed([w[:, ::-1] for w in passed(wide)])):
+                out[k] = y[:, ::-1][:, pad:-pad]
+    return out
+
+
 def local_maxima(x: np.ndarray) -> np.ndarray:
     """Places higher than both sides; a flat top counts once, at its middle."""
     if len(x) < 3:
@@ -277,37 +312,64 @@ def _down(q: np.ndarray) -> np.ndarray:
     return np.array([2 * (x * z - w * y), 2 * (w * x + y * z), w * w - x * x - y * y + z * z])
 
 
-def attitude(acc: np.ndarray, gyr: np.ndarray, dt: float, gain: float = 2.0, most: float = 2.5 * 9.80665) -> np.ndarray:
-    """Quaternions [n, 4] by integration of rotation, pulled towards measured gravity where the norm of the
-    acceleration is believable."""
-    q, out = np.array([1.0, 0, 0, 0]), np.empty((len(acc), 4))
-    for i, (a, g) in enumerate(zip(acc, gyr)):
-        n = np.linalg.norm(a)
-        if 1e-6 < n < most:
-            g = g + gain * np.cross(a / n, _down(q))
-        q = q + _turn(q, g) * dt
-        q /= np.linalg.norm(q)
-        out[i] = q
+def _size(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(0))
+
+
+def _in_step(groups: list[np.ndarray], rate: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], dt: float) -> list[np.ndarray]:
+    """Quaternions [n, 4] of each group [n, 6] (acceleration, rotation) by integration of ``rate``, which has [4, groups]
+    and twice [3, groups]: all groups go from sample to sample together, the shorter ones leave first."""
+    out: list[np.ndarray] = [np.empty((0, 4))] * len(groups)
+    for part in alike([len(g) for g in groups]):
+        lengths = np.array([len(groups[k]) for k in part])
+        wide, got = np.zeros((lengths[0], 6, len(part))), np.empty((lengths[0], 4, len(part)))
+        for j, k in enumerate(part):
+            wide[: lengths[j], :, j] = groups[k]
+        q = np.zeros((4, len(part)))
+        q[0] = 1.0
+        for i, left in enumerate(np.searchsorted(-lengths, -np.arange(lengths[0]))):
+            q = q[:, :left]
+            q = q + rate(q, wide[i, :3, :left], wide[i, 3:, :left]) * dt
+            q = q / _size(q)
+            got[i, :, :left] = q
+        for j, k in enumerate(part):
+            out[k] = got[: lengths[j], :, j]
     return out
 
 
-def madgwick(acc: np.ndarray, gyr: np.ndarray, dt: float, beta: float = 0.1) -> np.ndarray:
-    """Quaternions [n, 4] by the gradient-descent orientation filter (Madgwick, 2010)."""
-    q, out = np.array([1.0, 0, 0, 0]), np.empty((len(acc), 4))
-    for i, (a, g) in enumerate(zip(acc, gyr)):
+def attitude_each(groups: list[np.ndarray], dt: float, gain: float = 2.0, most: float = 2.5 * 9.80665) -> list[np.ndarray]:
+    """Quaternions [n, 4] by integration of rotation, pulled towards measured gravity where the norm of the
+    acceleration is believable, of each group [n, 6]."""
+    def rate(q: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
+        n = _size(a)
+        sure = (n > 1e-6) & (n < most)
+        (x, y, z), (u, v, w) = a / np.where(sure, n, 1.0), _down(q)
+        return _turn(q, np.where(sure, g + gain * np.array([y * w - z * v, z * u - x * w, x * v - y * u]), g))
+
+    return _in_step(groups, rate, dt)
+
+
+def attitude(acc: np.ndarray, gyr: np.ndarray, dt: float, gain: float = 2.0, most: float = 2.5 * 9.80665) -> np.ndarray:
+    return attitude_each([np.column_stack([acc, gyr])], dt, gain, most)[0]
+
+
+def madgwick_each(groups: list[np.ndarray], dt: float, beta: float = 0.1) -> list[np.ndarray]:
+    """Quaternions [n, 4] by the gradient-descent orientation filter (Madgwick, 2010) of each group [n, 6]."""
+    def rate(q: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
+        n = _size(a)
+        w, x, y, z = q
+        o, p, r = _down(q) - a / np.where(n > 0, n, 1.0)
+        slope = np.array([-2 * y * o + 2 * x * p, 2 * z * o + 2 * w * p - 4 * x * r, -2 * w * o + 2 * z * p - 4 * y * r, 2 * x * o + 2 * y * p])
+        size = _size(slope)
+        pulled = (n > 0) & (size > 0)
         step = _turn(q, g)
-        n = np.linalg.norm(a)
-        if n > 0:
-            w, x, y, z = q
-            off = _down(q) - a / n
-            slope = np.array([[-2 * y, 2 * z, -2 * w, 2 * x], [2 * x, 2 * w, 2 * z, 2 * y], [0, -4 * x, -4 * y, 0]]).T @ off
-            size = np.linalg.norm(slope)
-            if size > 0:
-                step = step - beta * slope / size
-        q = q + step * dt
-        q /= np.linalg.norm(q)
-        out[i] = q
-    return out
+        return np.where(pulled, step - beta * slope / np.where(pulled, size, 1.0), step)
+
+    return _in_step(groups, rate, dt)
+
+
+def madgwick(acc: np.ndarray, gyr: np.ndarray, dt: float, beta: float = 0.1) -> np.ndarray:
+    return madgwick_each([np.column_stack([acc, gyr])], dt, beta)[0]
 
 
 def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

@@ -6,26 +6,57 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.functions import kernels
 from kinetrace.functions.columns import norm
 from kinetrace.operators.recursion import System, scanned
+from kinetrace.operators.windows import over
+
+
+#: Groups go through a kernel together once they have so many rows.
+_ROWS = 50_000
 
 
 def per_group(df: DataFrame, by: list[str], order: list[str], inputs: list[str], outputs: list[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Applies ``kernel`` ([n, inputs] to [n, outputs]) to each group in order and adds the outputs. A group is
     one node's recording, whose length the collection protocol bounds."""
-    keep = list(dict.fromkeys([*by, *order, *inputs]))
-    kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} double" for c in outputs)])
+    return per_groups(df, by, order, inputs, outputs, lambda groups: [kernel(g) for g in groups])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        got = np.asarray(kernel(pdf[inputs].to_numpy(float)), float).reshape(len(pdf), len(outputs))
-        return pdf.assign(**{c: got[:, i] for i, c in enumerate(outputs)})
 
-    return df.select(*keep).groupBy(*by).applyInPandas(run, kinds)
+def per_groups(df: DataFrame, by: list[str], order: list[str], inputs: list[str], outputs: list[str], kernel: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """As ``per_group`` with a kernel of many groups, for recursions that take a sample of each group at a time. A task
+    has its groups one after the other and holds some thousand rows, or one group that is longer."""
+    keep = list(dict.fromkeys([*by, *order, *inputs]))
+    kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} double" for c in outputs)])
+    rows = df.select(*keep).withColumn("__k", F.row_number().over(over(by, order))).sortWithinPartitions(*by, "__k")
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        k = table["__k"].to_numpy()
+        starts = np.flatnonzero(k == 1)
+        if not len(starts) or starts[0] or (np.diff(k)[np.diff(k) != 1] != 1 - k[starts[1:] - 1]).any():
+            raise ValueError("rows of a group are not together")
+        x = np.column_stack([table[c].cast(pa.float64()).to_numpy() for c in inputs])
+        got = np.concatenate([np.asarray(y, float).reshape(-1, len(outputs)) for y in kernel(np.split(x, starts[1:]))])
+        columns = [*(table[c] for c in keep), *(pa.array(got[:, i], from_pandas=True) for i in range(len(outputs)))]
+        yield from pa.Table.from_arrays(columns, names=[*keep, *outputs]).to_batches(10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("__k").to_numpy() == 1)
+            if len(starts) and sum(b.num_rows for b in held) + starts[-1] >= _ROWS:
+                if len(held) or starts[-1]:
+                    yield from whole([*held, batch.slice(0, int(starts[-1]))])
+                held, batch = [], batch.slice(int(starts[-1]))
+            held.append(batch)
+        if sum(b.num_rows for b in held):
+            yield from whole(held)
+
+    return rows.mapInArrow(run, kinds)
 
 
 def smoothed(df: DataFrame, by: list[str], order: list[str], x: str, cutoff: float, rate: float, degree: int = 4, high: bool = False, span: float | None = None) -> DataFrame:
@@ -63,8 +94,8 @@ def peak_shapes(df: DataFrame, by: list[str], order: list[str], x: str, distance
 
 def oriented(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr: list[str], dt: float, method: str = "madgwick") -> DataFrame:
     """Adds the quaternion q_w, q_x, q_y, q_z of each sample."""
-    f = {"madgwick": kernels.madgwick, "complementary": kernels.attitude}[method]
-    return per_group(df, by, order, [*acc, *gyr], ["q_w", "q_x", "q_y", "q_z"], lambda v: f(v[:, :3], v[:, 3:], dt))
+    f = {"madgwick": kernels.madgwick_each, "complementary": kernels.attitude_each}[method]
+    return per_groups(df, by, order, [*acc, *gyr], ["q_w", "q_x", "q_y", "q_z"], lambda groups: f(groups, dt))
 
 
 def window_features(df: DataFrame, keys: list[str], samples: str, rate: float) -> DataFrame:
@@ -101,14 +132,16 @@ def gravity_frame(df: DataFrame, by: list[str], order: list[str], acc: list[str]
     median direction of the slow part of each group."""
     slow, fast = kernels.butterworth(4, 0.2, rate), kernels.butterworth(4, 0.5, rate, high=True)
 
-    def kernel(v: np.ndarray) -> np.ndarray:
-        g = np.median(kernels.zero_phase(*slow, v.T), 1)
-        g = g / (np.linalg.norm(g) + 1e-12)
-        quick = kernels.zero_phase(*fast, v.T).T
-        up = quick @ g
-        return np.column_stack([up, np.linalg.norm(quick - up[:, None] * g, axis=1)])
+    def kernel(groups: list[np.ndarray]) -> list[np.ndarray]:
+        out, channels = [], [v.T for v in groups]
+        for still, quick in zip(kernels.zero_phase_each(*slow, channels), kernels.zero_phase_each(*fast, channels)):
+            g = np.median(still, 1)
+            g = g / (np.linalg.norm(g) + 1e-12)
+            up = quick.T @ g
+            out.append(np.column_stack([up, np.linalg.norm(quick.T - up[:, None] * g, axis=1)]))
+        return out
 
-    return per_group(df, by, order, acc, ["a_vert", "a_horiz"], kernel)
+    return per_groups(df, by, order, acc, ["a_vert", "a_horiz"], kernel)
 
 
 def banded(df: DataFrame, by: list[str], order: list[str], x: str, lo: float, hi: float, rate: float, degree: int = 4, span: float | None = None) -> DataFrame:
