@@ -212,6 +212,34 @@ def find_peaks(x: np.ndarray, distance: int | None = None, prominence: float | N
     return peaks if prominence is None else peaks[prominences(x, peaks) >= prominence]
 
 
+def count_peaks(x: np.ndarray, prominence: np.ndarray) -> np.ndarray:
+    """How many peaks of each row of ``x`` are prominent by so much, as ``find_peaks`` has them. Short rows are compared with
+    all their shifts, all rows at once: a peak's base is the lowest value up to higher ground or the end."""
+    n = x.shape[1]
+    if n > 128:
+        return np.array([len(find_peaks(v, prominence=p)) for v, p in zip(x, prominence)], int)
+    falls = np.zeros(x.shape, bool)  # the next other value is lower
+    for i in range(n - 2, -1, -1):
+        falls[:, i] = (x[:, i + 1] < x[:, i]) | ((x[:, i + 1] == x[:, i]) & falls[:, i + 1])
+    top = falls.copy()
+    top[:, :1] = False
+    top[:, 1:] &= x[:, 1:] > x[:, :-1]
+    row, place = np.nonzero(top)
+    high, low = x[row, place], []
+    for side in (-1, 1):
+        base, at, left = high.copy(), place.copy(), np.arange(len(row))
+        while len(left):
+            at = at + side
+            inside = (at >= 0) & (at < n)
+            left, at = left[inside], at[inside]
+            value = x[row[left], at]
+            lower = value <= high[left]
+            left, at, value = left[lower], at[lower], value[lower]
+            base[left] = np.minimum(base[left], value)
+        low.append(base)
+    return np.bincount(row[high - np.maximum(*low) >= prominence[row]], minlength=len(x))
+
+
 def peaks_for_count(x: np.ndarray, wanted: int, distance: int, steps: int = 30, start: float = 0.9, floor: float = 0.45) -> np.ndarray:
     """About ``wanted`` peaks: the least prominence goes through the quantiles of the signal from ``start`` to ``floor``, each
     over its lower quartile, to the first that leaves nearest to that number; of more the most prominent stay, of

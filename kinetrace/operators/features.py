@@ -111,24 +111,46 @@ def full_features(df: DataFrame, keys: list[str], channels: str, rate: float, pa
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            maps = [{k: np.asarray(v, float) for k, v in m.items()} for m in pdf[channels]]
-            alike: dict[tuple, list[int]] = {}
-            for i, m in enumerate(maps):
-                names = tuple(sorted(m))
-                if names:
-                    alike.setdefault((names, *{len(v) for v in m.values()}), []).append(i)
-            for (names, *length), rows in alike.items():
-                if len(length) != 1:
-                    raise ValueError(f"channels of one window differ in length: {sorted(length)}")
-                for some in (rows[k : k + 256] for k in range(0, len(rows), 256)):
-                    got = _batch_features(np.stack([[maps[i][c] for c in names] for i in some]), names, rate, pairs)
-                    value = np.nan_to_num(np.stack(list(got.values()), 1).astype(float), nan=0.0, posinf=0.0, neginf=0.0)
-                    part = pdf[keys].iloc[np.repeat(some, len(got))].reset_index(drop=True)
-                    yield part.assign(feature=list(got) * len(some), value=value.ravel())
+            for some, names, value in _all_features(pdf[channels], rate, pairs):
+                yield pdf[keys].iloc[np.repeat(some, len(names))].reset_index(drop=True).assign(feature=names * len(some), value=value.ravel())
 
     return df.select(*keys, channels).mapInPandas(run, kinds)
 
 
+def mean_features(df: DataFrame, channels: str, rate: float, pairs: bool = False) -> DataFrame:
+    """(feature, windows, mean) of what ``full_features`` has, over all windows: each batch of windows hands on the sums of
+    its features, so that no value of a window leaves its task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums: dict[str, np.ndarray] = {}
+            for some, names, value in _all_features(pdf[channels], rate, pairs):
+                for name, total in zip(names, value.sum(0)):
+                    sums[name] = sums.get(name, 0.0) + np.array([len(some), total])
+            if sums:
+                n, total = np.stack(list(sums.values()), 1)
+                yield pd.DataFrame({"feature": list(sums), "n": n.astype(int), "total": total})
+
+    parts = df.select(channels).mapInPandas(run, "feature string, n long, total double").groupBy("feature")
+    return parts.agg(F.sum("n").alias("windows"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+
+def _all_features(windows: pd.Series, rate: float, pairs: bool) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+    """Places of windows, names of their features and values [windows, features], those with the same channels and length
+    together."""
+    maps = [{k: np.asarray(v, float) for k, v in m.items()} for m in windows]
+    alike: dict[tuple, list[int]] = {}
+    for i, m in enumerate(maps):
+        names = tuple(sorted(m))
+        if names:
+            alike.setdefault((names, *{len(v) for v in m.values()}), []).append(i)
+    for (names, *length), rows in alike.items():
+        if len(length) != 1:
+            raise ValueError(f"channels of one window differ in length: {sorted(length)}")
+        for some in (rows[k : k + 256] for k in range(0, len(rows), 256)):
+            got = _batch_features(np.stack([[maps[i][c] for c in names] for i in some]), names, rate, pairs)
+            yield some, list(got), np.nan_to_num(np.stack(list(got.values()), 1).astype(float), nan=0.0, posinf=0.0, neginf=0.0)
+
+
 def channel_features(df: DataFrame, keys: list[str], channels: list[str], rate: float, apart: float, absolute: bool = False, variant: str = "centred") -> DataFrame:
     """(keys, <channel>_mean, _std, _min, _max, _ptp, _rms, _dom_freq, _peaks) of windows that hold each channel as an
     array: four samples or more, none of them null. Peaks, of absolute values if asked, are at least ``apart`` seconds

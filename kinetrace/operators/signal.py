@@ -122,7 +122,7 @@ def time_and_frequency(x: np.ndarray, rate: float) -> dict[str, np.ndarray]:
     return {
         "mean": x.mean(1), "std": sd, "min": x.min(1), "max": x.max(1), "ptp": np.ptp(x, 1), "rms": np.sqrt((x**2).mean(1)),
         "skew": moment(3), "kurt": np.where(sd > 0, moment(4) - 3, 0), "zero_cross": (x[:, 1:] * x[:, :-1] < 0).sum(1).astype(float),
-        "peaks": np.array([len(kernels.find_peaks(v, prominence=0.5 * s)) for v, s in zip(x, sd)], float),
+        "peaks": kernels.count_peaks(x, 0.5 * sd).astype(float),
         "jerk_peak": np.abs(np.gradient(x, 1 / rate, axis=1)).max(1), **kernels.spectral(x, rate),
     }
 

@@ -1368,8 +1368,7 @@ def four_node_features(spark, d):
     """Mean of every feature over all windows of four nodes with ten channels each."""
     w = _arrays(spark, d)
     channels = F.create_map(*[x for k, c in enumerate(_CHANNELS) for x in (F.lit(c), _mixed(k))])
-    f = K.full_features(w.select("user_id", "window_id", channels.alias("channels")), ["user_id", "window_id"], "channels", 50.0, pairs=True)
-    return f.groupBy("feature").agg(F.count(F.lit(1)).alias("windows"), r6(F.avg("value")).alias("mean"))
+    return K.mean_features(w.select(channels.alias("channels")), "channels", 50.0, pairs=True).withColumn("mean", r6("mean"))
 
 
 def _mixed(k: int):
