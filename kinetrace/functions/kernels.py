@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
+from typing import Any
 
 import numpy as np
 
@@ -327,77 +329,106 @@ def tilt(acc: np.ndarray, gyr: np.ndarray, dt: float, alpha: float = 0.98) -> np
     return out
 
 
-def _turn(q: np.ndarray, rate: np.ndarray) -> np.ndarray:
+#: With no more groups than this left, plain floats are faster than arrays.
+_FEW = 24
+
+#: Quaternions and vectors by component, each a number or an array with one number for each group.
+Parts = Sequence[Any]
+
+
+def _turn(q: Parts, rate: Parts) -> Parts:
     """Half the product of a quaternion and a rotation rate."""
     w, x, y, z = q
     p, r, s = rate
-    return 0.5 * np.array([-x * p - y * r - z * s, w * p + y * s - z * r, w * r - x * s + z * p, w * s + x * r - y * p])
+    return 0.5 * (-x * p - y * r - z * s), 0.5 * (w * p + y * s - z * r), 0.5 * (w * r - x * s + z * p), 0.5 * (w * s + x * r - y * p)
 
 
-def _down(q: np.ndarray) -> np.ndarray:
+def _down(q: Parts) -> Parts:
     """Direction of gravity in the sensor's frame."""
     w, x, y, z = q
-    return np.array([2 * (x * z - w * y), 2 * (w * x + y * z), w * w - x * x - y * y + z * z])
+    return 2 * (x * z - w * y), 2 * (w * x + y * z), w * w - x * x - y * y + z * z
 
 
-def _size(v: np.ndarray) -> np.ndarray:
-    return np.sqrt((v * v).sum(0))
+def _either(c: bool, a: float, b: float) -> float:
+    return a if c else b
 
 
-def _in_step(groups: list[np.ndarray], rate: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], dt: float) -> list[np.ndarray]:
-    """Quaternions [n, 4] of each group [n, 6] (acceleration, rotation) by integration of ``rate``, which has [4, groups]
-    and twice [3, groups]: all groups go from sample to sample together, the shorter ones leave first."""
+def _in_step(groups: list[np.ndarray], rate: Callable[[Parts, Parts, Parts, Callable, Callable], Parts], dt: float, before: np.ndarray | None) -> list[np.ndarray]:
+    """Quaternions [n, 4] of each group [n, 6] (acceleration, rotation) by integration of ``rate``, the first group from
+    ``before``: all groups go from sample to sample together, the shorter ones leave first, and the last few go one by
+    one, so that a sample of a long group costs no more than one of many. ``rate`` has a quaternion, an acceleration, a
+    rotation, and the square root and the choice that suit them."""
+    def moved(q: Parts, a: Parts, g: Parts, root: Callable, pick: Callable) -> Parts:
+        (w, x, y, z), (dw, dx, dy, dz) = q, rate(q, a, g, root, pick)
+        w, x, y, z = w + dw * dt, x + dx * dt, y + dy * dt, z + dz * dt
+        n = root(w * w + x * x + y * y + z * z)
+        n = pick(n == 0, math.nan, n)
+        return w / n, x / n, y / n, z / n
+
     out: list[np.ndarray] = [np.empty((0, 4))] * len(groups)
     for part in alike([len(g) for g in groups]):
         lengths = np.array([len(groups[k]) for k in part])
         wide, got = np.zeros((lengths[0], 6, len(part))), np.empty((lengths[0], 4, len(part)))
-        for j, k in enumerate(part):
-            wide[: lengths[j], :, j] = groups[k]
         q = np.zeros((4, len(part)))
         q[0] = 1.0
-        for i, left in enumerate(np.searchsorted(-lengths, -np.arange(lengths[0]))):
-            q = q[:, :left]
-            q = q + rate(q, wide[i, :3, :left], wide[i, 3:, :left]) * dt
-            q = q / _size(q)
-            got[i, :, :left] = q
+        for j, k in enumerate(part):
+            wide[: lengths[j], :, j] = groups[k]
+            if k == 0 and before is not None:
+                q[:, j] = before
+        left = np.searchsorted(-lengths, -np.arange(lengths[0]))
+        many = int((left > _FEW).sum())
+        for i in range(many):
+            q = moved([c[: left[i]] for c in q], wide[i, :3, : left[i]], wide[i, 3:, : left[i]], np.sqrt, np.where)
+            got[i, :, : left[i]] = q
+        for j in range(left[many] if many < lengths[0] else 0):
+            now, path = [float(c[j]) for c in q], []
+            for a, b, c, d, e, f in wide[many : lengths[j], :, j].tolist():
+                now = moved(now, (a, b, c), (d, e, f), math.sqrt, _either)
+                path.append(now)
+            got[many : lengths[j], :, j] = path
         for j, k in enumerate(part):
             out[k] = got[: lengths[j], :, j]
     return out
 
 
-def attitude_each(groups: list[np.ndarray], dt: float, gain: float = 2.0, most: float = 2.5 * 9.80665) -> list[np.ndarray]:
+def attitude_each(groups: list[np.ndarray], dt: float, before: np.ndarray | None = None, gain: float = 2.0, most: float = 2.5 * 9.80665) -> list[np.ndarray]:
     """Quaternions [n, 4] by integration of rotation, pulled towards measured gravity where the norm of the
-    acceleration is believable, of each group [n, 6]."""
-    def rate(q: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
-        n = _size(a)
+    acceleration is believable, of each group [n, 6]; the first goes on from ``before``."""
+    def rate(q: Parts, a: Parts, g: Parts, root: Callable, pick: Callable) -> Parts:
+        (x, y, z), (p, r, s), (u, v, w) = a, g, _down(q)
+        n = root(x * x + y * y + z * z)
         sure = (n > 1e-6) & (n < most)
-        (x, y, z), (u, v, w) = a / np.where(sure, n, 1.0), _down(q)
-        return _turn(q, np.where(sure, g + gain * np.array([y * w - z * v, z * u - x * w, x * v - y * u]), g))
+        n = pick(sure, n, 1.0)
+        x, y, z = x / n, y / n, z / n
+        return _turn(q, (pick(sure, p + gain * (y * w - z * v), p), pick(sure, r + gain * (z * u - x * w), r), pick(sure, s + gain * (x * v - y * u), s)))
 
-    return _in_step(groups, rate, dt)
+    return _in_step(groups, rate, dt, before)
 
 
 def attitude(acc: np.ndarray, gyr: np.ndarray, dt: float, gain: float = 2.0, most: float = 2.5 * 9.80665) -> np.ndarray:
-    return attitude_each([np.column_stack([acc, gyr])], dt, gain, most)[0]
-
-
-def madgwick_each(groups: list[np.ndarray], dt: float, beta: float = 0.1) -> list[np.ndarray]:
-    """Quaternions [n, 4] by the gradient-descent orientation filter (Madgwick, 2010) of each group [n, 6]."""
-    def rate(q: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
-        n = _size(a)
-        w, x, y, z = q
-        o, p, r = _down(q) - a / np.where(n > 0, n, 1.0)
-        slope = np.array([-2 * y * o + 2 * x * p, 2 * z * o + 2 * w * p - 4 * x * r, -2 * w * o + 2 * z * p - 4 * y * r, 2 * x * o + 2 * y * p])
-        size = _size(slope)
+    return attitude_each([np.column_stack([acc, gyr])], dt, None, gain, most)[0]
+
+
+def madgwick_each(groups: list[np.ndarray], dt: float, before: np.ndarray | None = None, beta: float = 0.1) -> list[np.ndarray]:
+    """Quaternions [n, 4] by the gradient-descent orientation filter (Madgwick, 2010) of each group [n, 6]; the first
+    goes on from ``before``."""
+    def rate(q: Parts, a: Parts, g: Parts, root: Callable, pick: Callable) -> Parts:
+        (w, x, y, z), (ax, ay, az), (o, p, r) = q, a, _down(q)
+        n = root(ax * ax + ay * ay + az * az)
+        still = pick(n > 0, n, 1.0)
+        o, p, r = o - ax / still, p - ay / still, r - az / still
+        sw, sx, sy, sz = -2 * y * o + 2 * x * p, 2 * z * o + 2 * w * p - 4 * x * r, -2 * w * o + 2 * z * p - 4 * y * r, 2 * x * o + 2 * y * p
+        size = root(sw * sw + sx * sx + sy * sy + sz * sz)
         pulled = (n > 0) & (size > 0)
-        step = _turn(q, g)
-        return np.where(pulled, step - beta * slope / np.where(pulled, size, 1.0), step)
+        size = pick(pulled, size, 1.0)
+        dw, dx, dy, dz = _turn(q, g)
+        return pick(pulled, dw - beta * sw / size, dw), pick(pulled, dx - beta * sx / size, dx), pick(pulled, dy - beta * sy / size, dy), pick(pulled, dz - beta * sz / size, dz)
 
-    return _in_step(groups, rate, dt)
+    return _in_step(groups, rate, dt, before)
 
 
 def madgwick(acc: np.ndarray, gyr: np.ndarray, dt: float, beta: float = 0.1) -> np.ndarray:
-    return madgwick_each([np.column_stack([acc, gyr])], dt, beta)[0]
+    return madgwick_each([np.column_stack([acc, gyr])], dt, None, beta)[0]
 
 
 def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

@@ -26,35 +26,41 @@ def per_group(df: DataFrame, by: list[str], order: list[str], inputs: list[str],
     return per_groups(df, by, order, inputs, outputs, lambda groups: [kernel(g) for g in groups])
 
 
-def per_groups(df: DataFrame, by: list[str], order: list[str], inputs: list[str], outputs: list[str], kernel: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+def per_groups(df: DataFrame, by: list[str], order: list[str], inputs: list[str], outputs: list[str], kernel: Callable[..., list[np.ndarray]], carried: bool = False) -> DataFrame:
     """As ``per_group`` with a kernel of many groups, for recursions that take a sample of each group at a time. A task
-    has its groups one after the other and holds some thousand rows, or one group that is longer."""
+    has its groups one after the other and holds some thousand rows, or one group that is longer. A ``carried`` kernel
+    needs no more of a group's past than the last outputs, and has them, or None, as its second argument: then long
+    groups come in parts."""
     keep = list(dict.fromkeys([*by, *order, *inputs]))
     kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} double" for c in outputs)])
     rows = df.select(*keep).withColumn("__k", F.row_number().over(over(by, order))).sortWithinPartitions(*by, "__k")
 
-    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(held: list[pa.RecordBatch], before: tuple[int, np.ndarray] | None) -> tuple[pa.Table, tuple[int, np.ndarray] | None]:
         table = pa.Table.from_batches(held).combine_chunks()
         k = table["__k"].to_numpy()
-        starts = np.flatnonzero(k == 1)
-        if not len(starts) or starts[0] or (np.diff(k)[np.diff(k) != 1] != 1 - k[starts[1:] - 1]).any():
+        goes_on = before is not None and k[0] == before[0] + 1
+        if not (k[0] == 1 or goes_on) or not ((k[1:] == 1) | (np.diff(k) == 1)).all():
             raise ValueError("rows of a group are not together")
         x = np.column_stack([table[c].cast(pa.float64()).to_numpy() for c in inputs])
-        got = np.concatenate([np.asarray(y, float).reshape(-1, len(outputs)) for y in kernel(np.split(x, starts[1:]))])
+        groups = np.split(x, np.flatnonzero(k[1:] == 1) + 1)
+        got = kernel(groups, before[1] if goes_on else None) if carried else kernel(groups)
+        got = np.concatenate([np.asarray(y, float).reshape(-1, len(outputs)) for y in got])
         columns = [*(table[c] for c in keep), *(pa.array(got[:, i], from_pandas=True) for i in range(len(outputs)))]
-        yield from pa.Table.from_arrays(columns, names=[*keep, *outputs]).to_batches(10_000)
+        return pa.Table.from_arrays(columns, names=[*keep, *outputs]), (int(k[-1]), got[-1]) if carried else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        before = None
         for batch in batches:
             starts = np.flatnonzero(batch.column("__k").to_numpy() == 1)
-            if len(starts) and sum(b.num_rows for b in held) + starts[-1] >= _ROWS:
-                if len(held) or starts[-1]:
-                    yield from whole([*held, batch.slice(0, int(starts[-1]))])
-                held, batch = [], batch.slice(int(starts[-1]))
+            end = batch.num_rows if carried else int(starts[-1]) if len(starts) else -1
+            if end >= 0 and sum(b.num_rows for b in held) + end >= _ROWS:
+                table, before = whole([*held, batch.slice(0, end)], before)
+                yield from table.to_batches(10_000)
+                held, batch = [], batch.slice(end)
             held.append(batch)
         if sum(b.num_rows for b in held):
-            yield from whole(held)
+            yield from whole(held, before)[0].to_batches(10_000)
 
     return rows.mapInArrow(run, kinds)
 
@@ -95,7 +101,7 @@ def peak_shapes(df: DataFrame, by: list[str], order: list[str], x: str, distance
 def oriented(df: DataFrame, by: list[str], order: list[str], acc: list[str], gyr: list[str], dt: float, method: str = "madgwick") -> DataFrame:
     """Adds the quaternion q_w, q_x, q_y, q_z of each sample."""
     f = {"madgwick": kernels.madgwick_each, "complementary": kernels.attitude_each}[method]
-    return per_groups(df, by, order, [*acc, *gyr], ["q_w", "q_x", "q_y", "q_z"], lambda groups: f(groups, dt))
+    return per_groups(df, by, order, [*acc, *gyr], ["q_w", "q_x", "q_y", "q_z"], lambda groups, before: f(groups, dt, before), carried=True)
 
 
 def window_features(df: DataFrame, keys: list[str], samples: str, rate: float) -> DataFrame:
