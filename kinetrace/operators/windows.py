@@ -164,11 +164,12 @@ def tallest(df: DataFrame, by: list[str], score: str, order: list[str], keep: in
 def event_segments(df: DataFrame, by: list[str], order: list[str], label: str, none: str = "null") -> DataFrame:
     """Rows of the maximal runs of one label, with segment, their number in the recording; runs of ``none`` are no events,
     nor is one whose label the event before it had."""
-    rows = runs(df.withColumn(label, F.coalesce(label, F.lit(none))), by, order, label).where(F.col(label) != none)
-    firsts = rows.groupBy(*by, "run").agg(F.first(label).alias("__label"))
-    again = F.col("__label").eqNullSafe(F.lag("__label").over(Window.partitionBy(*by).orderBy("run")))
-    kept = firsts.withColumn("__again", again).where("NOT __again").select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("run").alias("segment"))
-    return rows.join(kept, [*[F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("run") == F.col("segment")]).drop("run", *[f"__by_{c}" for c in by])
+    w = over(by, order)
+    last = F.last(F.when(F.col(label) != none, F.col(label)), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = ~F.col("run").eqNullSafe(F.lag("run").over(w))
+    rows = runs(df.withColumn(label, F.coalesce(label, F.lit(none))), by, order, label).withColumn("__new", F.when(starts, ~F.col(label).eqNullSafe(last)))
+    rows = rows.withColumn("__new", F.last("__new", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where((F.col(label) != none) & F.col("__new")).drop("__new").withColumnRenamed("run", "segment")
 
 
 def event_anchors(segments: DataFrame, by: list[str], i: str, x: str, label: str, apart: int = 5, spread: float = 1.5) -> DataFrame:
@@ -196,25 +197,48 @@ def event_anchors(segments: DataFrame, by: list[str], i: str, x: str, label: str
     return rows.mapInPandas(run, f"{kinds}, anchor long, kind string")
 
 
-def cut(df: DataFrame, centres: DataFrame, by: list[str], order: list[str], columns: list[str], before: int, after: int, size: int, borders: str = "clip", least: int = 1) -> DataFrame:
-    """The columns of ``centres`` (…, center, a place in the recording counted from 0) with k, from 0 to size - 1, and the
-    ``columns`` of the k-th sample of the window [center - before, center + after); what lies beyond it is 0.
+def cut_samples(df: DataFrame, centres: DataFrame, by: list[str], order: list[str], columns: list[str], before: int, after: int, size: int, borders: str = "clip", least: int = 1, shifts: list[int] | None = None) -> DataFrame:
+    """The columns of ``centres`` (…, center, a place in the recording counted from 0) with an array for each of ``columns``:
+    the samples of the window [center - before, center + after) in order, the first ``size`` of them, 0 where one is null.
+    With ``shifts`` a window for each of them, round center + shift, with column shift.
 
     Borders ``clip`` cuts the window at the ends of the recording, ``shift`` moves it inside as far as it fits,
-    ``drop`` leaves it out. Windows of fewer samples than ``least`` are left out too. A window is spread over its
-    scaffold of ``size`` rows and meets the samples by their place: an equi-join, not one of ranges.
+    ``drop`` leaves it out. Windows of fewer samples than ``least``, or of none, are left out too. A recording is cut into
+    blocks as long as the windows of a centre reach, each with the samples of the next one as well, so these windows lie in
+    the block where the first begins: a centre travels as one row and meets one row, and samples are taken out after that.
     """
-    rows = indexed(df, by, order, "__i").select(*[F.col(c).alias(f"__by_{c}") for c in by], "__i", *[F.col(c).alias(f"__x_{c}") for c in columns])
-    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-    sizes = rows.groupBy(*[f"__by_{c}" for c in by]).agg(F.count(F.lit(1)).alias("__n"))
-    placed = centres.join(sizes, same).drop(*[f"__by_{c}" for c in by]).withColumns({"__a": F.col("center") - before, "__b": F.col("center") + after})
-    if borders == "drop":
-        placed = placed.where("__a >= 0 AND __b <= __n")
-    a, b = F.greatest(F.lit(0), F.col("__a")), F.least(F.col("__n"), F.col("__b"))
+    moves, length = shifts or [0], before + after
+    span = max(length + max(moves) - min(moves), 1)
+    keys, xs = [f"__by_{c}" for c in by], [f"__x_{c}" for c in columns]
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+    rows = indexed(df, by, order, "__i").select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.floor(F.col("__i") / span).alias("__block"), "__i", *[F.coalesce(c, F.lit(0.0)).alias(x) for c, x in zip(columns, xs)])
+    blocks = rows.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(F.struct("__i", *xs))).alias("__s")).select(*keys, "__block", *[F.col(f"__s.{x}").cast("array<double>").alias(x) for x in xs])
+    following = lambda x: F.coalesce(F.lead(x).over(over(keys, ["__block"])), F.array().cast("array<double>"))
+    blocks = blocks.select(*keys, "__block", *[F.concat(x, following(x)).alias(x) for x in xs])
+
+    def ends(shift):
+        """Of the window with this shift, inside the recording for ``shift``; else what lies beyond its end has no samples."""
+        a, b = F.greatest(F.lit(0), F.col("center") + shift - before), F.col("center") + shift + after
+        if borders == "shift":
+            a, b = F.greatest(F.lit(0), F.least(a, F.col("__n") - length)), F.least(F.col("__n"), F.greatest(b, F.lit(length)))
+        return a.cast("long"), F.least(b, a + size).cast("long")
+
+    placed = centres
     if borders == "shift":
-        length = before + after
-        a, b = F.greatest(F.lit(0), F.least(a, F.col("__n") - length)), F.least(F.col("__n"), F.greatest(b, F.lit(length)))
-    placed = placed.withColumns({"__a": a.cast("long"), "__b": F.least(b, a + size).cast("long")}).where(F.col("__b") - F.col("__a") >= least)
-    scaffold = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("__at", F.when(F.col("__a") + F.col("k") < F.col("__b"), F.col("__a") + F.col("k")))
-    joined = scaffold.join(rows, [*same, F.col("__at") == F.col("__i")], "left")
-    return joined.select(*centres.columns, "k", *[F.coalesce(F.col(f"__x_{c}"), F.lit(0.0)).alias(c) for c in columns])
+        sizes = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(F.count(F.lit(1)).alias("__n"))
+        placed = centres.join(sizes, same).drop(*keys)
+    joined = placed.join(blocks, [*same, F.floor(ends(F.lit(min(moves)))[0] / span) == F.col("__block")])
+    a, b = ends(F.col("__shift"))
+    windows = joined.withColumn("__shift", F.explode(F.array(*[F.lit(m) for m in moves]))).withColumns({"__skip": a - F.col("__block") * span, "__most": F.greatest(F.lit(0), b - a)}).where(F.col("__most") >= max(least, 1))
+    if borders == "drop":
+        windows = windows.where((F.col("center") + F.col("__shift") >= before) & (F.size(xs[0]) - F.col("__skip") >= length))
+    taken = lambda x: F.slice(x, (F.col("__skip") + 1).cast("int"), F.col("__most").cast("int"))
+    got = windows.select(*centres.columns, *([F.col("__shift").alias("shift")] if shifts else []), *[taken(x).alias(c) for x, c in zip(xs, columns)])
+    return got.where(F.size(columns[0]) >= max(least, 1))
+
+
+def cut(df: DataFrame, centres: DataFrame, by: list[str], order: list[str], columns: list[str], before: int, after: int, size: int, borders: str = "clip", least: int = 1) -> DataFrame:
+    """The windows of ``cut_samples`` a row for each sample: the columns of ``centres`` with k, from 0 to size - 1, and the
+    ``columns`` of the k-th sample; what lies beyond the window is 0."""
+    windows = cut_samples(df, centres, by, order, columns, before, after, size, borders, least).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return windows.select(*centres.columns, "k", *[F.coalesce(F.get(c, F.col("k")), F.lit(0.0)).alias(c) for c in columns])

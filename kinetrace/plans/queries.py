@@ -584,24 +584,25 @@ def _anchors(spark, d):
     return s, W.event_anchors(W.event_segments(s, BY, ORDER, "event"), BY, "i", "x", "event")
 
 
-def _weighted(rows: DataFrame, keys: list[str], used: Callable) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum(used).cast("long").alias("used"), r6(F.sum(F.col("x") * (F.col("k") + 1))).alias("weighted"))
+def _weighted(windows: DataFrame, keys: list[str]) -> DataFrame:
+    total = F.aggregate(F.transform("x", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return windows.select(*keys, F.size("x").cast("long").alias("used"), r6(total).alias("weighted"))
 
 
 @query(f"""WITH RECURSIVE {_ANCHORS}, os AS (SELECT unnest([0, 5, -10]) AS shift), w AS (SELECT u AS user_id, segment, event, kind, anchor, shift, greatest(0, anchor + shift - 25) AS a, least(n, anchor + shift + 35) AS b, n FROM an, os) {_cut_sql("w", 60, 30)}""")
 def event_windows(spark, d):
     """60 samples round the anchor of each event, and two shifts of them; cut at the borders, filled with zeros."""
     s, a = _anchors(spark, d)
-    centres = a.withColumn("shift", F.explode(F.array(*[F.lit(k) for k in (0, 5, -10)]))).withColumn("center", F.col("anchor") + F.col("shift"))
-    rows = W.cut(s.withColumn("one", F.lit(1.0)), centres, BY, ORDER, ["x", "one"], 25, 35, 60, least=30)
-    return _weighted(rows, ["user_id", "segment", "event", "kind", "anchor", "shift"], F.col("one"))
+    # y goes along to the blocks, so that events and blocks come from one shuffle of the samples
+    windows = W.cut_samples(s, a.withColumnRenamed("anchor", "center"), BY, ORDER, ["x", "y"], 25, 35, 60, least=30, shifts=[0, 5, -10])
+    return _weighted(windows.withColumnRenamed("center", "anchor"), ["user_id", "segment", "event", "kind", "anchor", "shift"])
 
 
 _PEAK = f"pk1 AS (SELECT user_id, i AS center, n FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ev) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY x DESC, us, seq) = 1)"
 
 
 def _tallest(spark, d):
-    s = samples(spark, d).withColumn("one", F.lit(1.0))
+    s = samples(spark, d)
     return s, W.tallest(s, BY, "x", ORDER, 1).select("user_id", F.col("i").alias("center"))
 
 
@@ -609,14 +610,14 @@ def _tallest(spark, d):
 def shifted_windows(spark, d):
     """50 samples round the highest one, moved inside at the borders."""
     s, c = _tallest(spark, d)
-    return _weighted(W.cut(s, c, BY, ORDER, ["x", "one"], 20, 30, 50, "shift"), ["user_id", "center"], F.col("one"))
+    return _weighted(W.cut_samples(s, c, BY, ORDER, ["x"], 20, 30, 50, "shift"), ["user_id", "center"])
 
 
 @query(f"""WITH {SAMPLES}, {_PEAK}, w AS (SELECT user_id, center, n, center - 16 AS a, center + 19 AS b FROM pk1 WHERE center >= 16 AND center + 19 <= n) {_cut_sql("w", 35)}""")
 def inclusive_windows(spark, d):
     """16 samples before the highest one to 18 after it, both ends included; none where a border is in the way."""
     s, c = _tallest(spark, d)
-    return _weighted(W.cut(s, c, BY, ORDER, ["x", "one"], 16, 19, 35, "drop"), ["user_id", "center"], F.col("one"))
+    return _weighted(W.cut_samples(s, c, BY, ORDER, ["x"], 16, 19, 35, "drop"), ["user_id", "center"])
 
 
 #: Segments of 16 samples with what the physical check looks at.

@@ -122,6 +122,16 @@ def test_cuts_at_borders(spark, borders):
     assert got == want
 
 
+@pytest.mark.parametrize("borders", ["clip", "shift", "drop"])
+def test_shifts_are_centres_of_their_own(spark, borders):
+    df = spark.createDataFrame([(u, i, None if i % 7 == 3 else float(i + 1)) for u, n in ((1, 45), (2, 6), (None, 20)) for i in range(n)], "u long, i long, x double")
+    centres = spark.createDataFrame([(u, c) for u in (1, 2, None, 3) for c in (-90, -4, 0, 3, 5, 17, 19, 30, 44, 49, 90)], "u long, center long")
+    got = [(r.u, r.center, r["shift"], r.x) for r in windows.cut_samples(df, centres, ["u"], ["i"], ["x"], 3, 5, 8, borders, 2, [4, 0, -11]).collect()]
+    each = [(r.u, r.center - k, k, r.x) for k in (4, 0, -11) for r in windows.cut_samples(df, centres.withColumn("center", F.col("center") + k), ["u"], ["i"], ["x"], 3, 5, 8, borders, 2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, each)) and len(got) > 20
+    assert [x for u, c, k, x in got if (u, c, k) == (1, 19, 4)] == [[float(i + 1) if i % 7 != 3 else 0.0 for i in range(20, 28)]]
+
+
 def test_reasons_of_doubtful_segments(spark):
     narrow, wide = [0.0] * 8 + [30.0] + [0.0] * 7, [0.0] * 4 + [30.0] * 8 + [0.0] * 4
     cases = {
